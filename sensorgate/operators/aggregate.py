@@ -110,7 +110,7 @@ def widen(long: DataFrame, keys, cols, n: int, name="mel{:02d}") -> DataFrame:
 def ordered_array(long: DataFrame, keys, cols) -> DataFrame:
     """Positions gathered back into arrays; their number is the vector length."""
     d = long.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("dim", *cols))).alias("_v"))
-    return d.select(*keys, *[F.transform("_v", lambda s, c=c: s[c]).alias(c) for c in cols])
+    return d.select(*keys, *[F.col("_v")[c].alias(c) for c in cols])
 
 
 def minute_coverage(minutes: DataFrame, hours: DataFrame, keys, minute_hour: str, n_frames: str) -> DataFrame:

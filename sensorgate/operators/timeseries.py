@@ -246,13 +246,9 @@ def lag_profile(df: DataFrame, keys, time: str, u: str, v: str, reach: int = 8)
     Each row looks at its own neighbours through one window, so no self-join is needed.
     """
     w = by_key(keys, time)
-    pairs = F.array(
-        *[
-            F.struct(F.lit(L).alias("lag"), (F.lead(u, L) if L >= 0 else F.lag(u, -L)).over(w).alias("a"), F.col(v).alias("b"))
-            for L in range(-reach, reach + 1)
-        ]
-    )
-    d = df.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.*").filter(F.col("a").isNotNull() & F.col("b").isNotNull())
+    d = df.select(*keys, F.col(v).alias("b"), *[F.lead(u, L).over(w).alias(f"a{L}") for L in range(-reach, reach + 1)])
+    d = d.unpivot([*keys, "b"], [f"a{L}" for L in range(-reach, reach + 1)], "lag", "a").withColumn("lag", F.substring("lag", 2, 9).cast("int"))
+    d = d.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
     return d.groupBy(*keys, "lag").agg(F.corr("a", "b").alias("r"), F.count("*").alias("n"))
 
 

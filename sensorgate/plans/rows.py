@@ -266,7 +266,7 @@ def set_difference(t):
     """SELECT n_nationkey, c_custkey, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey ORDER BY n_nationkey, c_acctbal DESC, c_custkey""",
 )
 def mixed_sort(t):
-    d = t.customer.join(t.nation, t.customer.c_nationkey == t.nation.n_nationkey)
+    d = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return d.select("n_nationkey", "c_custkey", "c_acctbal").orderBy(F.asc("n_nationkey"), F.desc("c_acctbal"), "c_custkey")
 
 
