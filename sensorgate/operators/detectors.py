@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sensorgate.functions.exprs import as_col, clip
@@ -41,11 +42,13 @@ def gate(
     close=None,
     two_sided: bool = True,
     prefix: str = "",
+    bounded: bool = True,
 ) -> DataFrame:
     """Leaky bucket with hysteresis: adds ``persistence``, ``closed`` and ``trust``.
 
     ``position`` is a whole number; positions without a row leak the bucket, so hours since the epoch give the gap
-    policy "leak" and a row number gives "skip". ``scale``, ``deadband`` and ``close`` may be columns.
+    policy "leak" and a row number gives "skip". ``scale``, ``deadband`` and ``close`` may be columns. Keys with one
+    row per hour are ``bounded``; for a denser series of one key, ``bounded=False`` scans it in parallel blocks.
     """
     keys = list(keys)
     s = as_col(score)
@@ -54,14 +57,18 @@ def gate(
     energy = F.coalesce(clip(size / as_col(scale) - as_col(band), 0.0, params.cap), F.lit(0.0))
     p, c, t = f"{prefix}persistence", f"{prefix}closed", f"{prefix}trust"
     limit = as_col(params.close if close is None else close)
-    d = decayed_sum(df.withColumn("_e", energy), keys, position, F.col("_e"), params.decay, p)
+    d = decayed_sum(df.withColumn("_e", energy), keys, position, F.col("_e"), params.decay, p, bounded)
     leaked = (F.col(p) - F.col("_e")) / params.decay
     turn = (
         F.when(F.col(p) >= limit, True)
         .when(F.col(p) <= params.open, False)
         .when(leaked <= params.open - 1e-12, False)  # opened during hours without a row
     )
-    d = carry(d, keys, [position], turn, c, F.floor(F.col(position) / 4096).cast("long"))
+    if bounded:
+        upto = by_key(keys, position).rowsBetween(W.unboundedPreceding, 0)
+        d = d.withColumn("_turn", turn).withColumn(c, F.last("_turn", ignorenulls=True).over(upto)).drop("_turn")
+    else:
+        d = carry(d, keys, [position], turn, c, F.floor(F.col(position) / 4096).cast("long"))
     d = d.withColumn(c, F.coalesce(F.col(c), F.lit(False)))
     ramp = clip((F.col(p) - params.open) / (limit - params.open), 0.0, 1.0)
     return d.withColumn(t, F.when(F.col(c), F.lit(0.0)).otherwise(1.0 - ramp)).drop("_e")
@@ -84,16 +91,12 @@ def window_shift_onsets(df: DataFrame, keys, time: str, score: str, h, out: str
 
 def cusum_running(df: DataFrame, keys, time: str, value: str, out: str, k: float = 0.5) -> DataFrame:
     """max(0, S + v - k) without reset, in closed form: running sum less its lowest point so far (0 at most)."""
-    from pyspark.sql import Window as W
-
     upto = by_key(keys, time).rowsBetween(W.unboundedPreceding, 0)
     d = df.withColumn("_c", F.sum(F.col(value) - F.lit(k)).over(upto))
     return d.withColumn(out, F.col("_c") - F.least(F.lit(0.0), F.min("_c").over(upto))).drop("_c")
 
 
 def sigma_flags(df: DataFrame, keys, value: str, k: float = 3.0) -> DataFrame:
-    from pyspark.sql import Window as W
-
     w = W.partitionBy(*keys)
     z = (F.col(value) - F.avg(value).over(w)) / (F.stddev_samp(value).over(w) + F.lit(1e-9))
     return df.withColumn("z", z).withColumn("flag", F.coalesce(F.abs(F.col("z")) > k, F.lit(False)))
@@ -191,9 +194,9 @@ DETECTORS = {
 def onset_counts(df: DataFrame, keys, time: str, score: str, detectors, grid) -> DataFrame:
     """Number of onsets per key, detector and threshold of a grid (one pass over the key for the whole grid)."""
     keys, names, h = list(keys), list(detectors), np.asarray(grid, float)
-    schema = df.select(*keys).schema.add("detector", "string").add("h_index", "int").add("h", "double").add("n_onsets", "long")
+    schema = df.select(*keys).schema.add("detector", "string").add("h_index", "integer").add("h", "double").add("n_onsets", "long")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         z = pdf.sort_values(time)[score].to_numpy(float)
         parts = [
             pd.DataFrame({"detector": n, "h_index": np.arange(len(h)), "h": h, "n_onsets": DETECTORS[n](z, h).sum(axis=0)})
@@ -211,7 +214,7 @@ def matched_threshold(counts: DataFrame, keys, target: float) -> DataFrame:
     """Threshold per detector whose mean onsets per timeline come closest to the target; the first wins a tie."""
     keys = list(keys)
     d = counts.groupBy(*keys, "detector", "h_index", "h").agg(F.avg("n_onsets").alias("mean_onsets"))
-    best = F.min(F.struct(F.abs(F.col("mean_onsets") - target).alias("gap"), "h_index", "h", "mean_onsets")).alias("b")
+    best = F.min(F.struct(F.round(F.abs(F.col("mean_onsets") - target), 9).alias("gap"), "h_index", "h", "mean_onsets")).alias("b")
     return d.groupBy(*keys, "detector").agg(best).select(*keys, "detector", "b.h_index", "b.h", "b.mean_onsets")
 
 
@@ -312,7 +315,7 @@ def forecast_residuals(df: DataFrame, keys, time: str, value: str, period: int =
     keys = list(keys)
     schema = df.select(*keys).schema.add(time, "long").add("model", "string").add("fitted", "double").add("resid", "double")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna(subset=[value]).sort_values(time)
         if not len(pdf):
             return pd.DataFrame(columns=[f.name for f in schema])

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sensorgate.functions.exprs import as_col, clip
 from sensorgate.operators.quantiles import exact_quantiles
+from sensorgate.session import cut_lineage
 
 MAD_TO_STD = 1.4826
 
@@ -32,16 +33,32 @@ def attach(df: DataFrame, stats: DataFrame, keys) -> DataFrame:
     """Group statistics back on the rows; a single global row comes in as scalar subqueries."""
     if keys:
         return df.join(stats, list(keys), "left")
-    return df.withColumns({c: stats.select(c).scalar() for c in stats.columns})
+    row = stats.select(F.struct(*stats.columns)).scalar()  # one subquery for all of them
+    return df.withColumn("_st", row).select(*df.columns, "_st.*")
 
 
 def robust_stats(df: DataFrame, keys, cols, bounded: bool = True) -> DataFrame:
     """Median ``med_<c>`` and unscaled median absolute deviation ``mad_<c>`` per group."""
     keys, cols = list(keys), list(cols)
     med = medians(df, keys, {f"med_{c}": F.col(c) for c in cols}, bounded)
+    if not bounded:
+        med = cut_lineage(med)  # one small row per group, read twice: do not pass over the raw rows again
     dev = attach(df.select(*keys, *cols), med, keys)
     mad = medians(dev, keys, {f"mad_{c}": F.abs(F.col(c) - F.col(f"med_{c}")) for c in cols}, bounded)
-    return med.join(mad, keys) if keys else med.withColumns({c: mad.select(c).scalar() for c in mad.columns})
+    return attach(med, mad, keys)
+
+
+def with_robust_stats(df: DataFrame, keys, cols, bounded: bool = True) -> DataFrame:
+    """Rows with ``med_<c>`` and ``mad_<c>`` of their group.
+
+    Bounded groups need one shuffle and two window passes, and no join of the table with itself.
+    """
+    keys, cols = list(keys), list(cols)
+    if not (bounded and keys):
+        return attach(df, robust_stats(df, keys, cols, bounded), keys)
+    w = W.partitionBy(*keys)
+    d = df.withColumns({f"med_{c}": F.percentile(c, F.lit(0.5)).over(w) for c in cols})
+    return d.withColumns({f"mad_{c}": F.percentile(F.abs(F.col(c) - F.col(f"med_{c}")), F.lit(0.5)).over(w) for c in cols})
 
 
 def robust_scale(mad, floor: float = 1e-6):
@@ -51,7 +68,7 @@ def robust_scale(mad, floor: float = 1e-6):
 
 def robust_z(df: DataFrame, keys, cols, guard: str = "max", bounded: bool = True) -> DataFrame:
     """Columns ``z_<c>``; the scale is kept away from zero by a maximum or by adding 1e-9."""
-    d = attach(df, robust_stats(df, keys, cols, bounded), list(keys))
+    d = with_robust_stats(df, keys, cols, bounded)
     for c in cols:
         s = F.col(f"mad_{c}") * MAD_TO_STD
         s = F.greatest(s, F.lit(1e-9)) if guard == "max" else s + F.lit(1e-9)
@@ -61,7 +78,7 @@ def robust_z(df: DataFrame, keys, cols, guard: str = "max", bounded: bool = True
 
 def robust_standardize_long(df: DataFrame, keys, value: str, out: str, limit: float | None = None, bounded: bool = False):
     """Feature-wise robust standardising of a long table; a feature with no spread keeps scale 1."""
-    d = attach(df, robust_stats(df, keys, [value], bounded), list(keys))
+    d = with_robust_stats(df, keys, [value], bounded)
     mad = F.col(f"mad_{value}")
     z = (F.col(value) - F.col(f"med_{value}")) / F.when(mad < 1e-9, F.lit(1.0)).otherwise(mad * MAD_TO_STD)
     return d.withColumn(out, z if limit is None else clip(z, -limit, limit)).drop(f"med_{value}", f"mad_{value}")
@@ -289,8 +306,11 @@ def discordance(df: DataFrame, keys, u: str, w: str, bounded: bool = False) -> D
     Both variates are robust z-scores already.
     """
     keys = list(keys)
-    fit = df.groupBy(*keys).agg(F.regr_slope(w, u).alias("slope"))
-    d = attach(df, fit, keys).withColumn("disc", F.col(w) - F.col("slope") * F.col(u))
+    if bounded and keys:
+        d = df.withColumn("slope", F.regr_slope(w, u).over(W.partitionBy(*keys)))
+    else:
+        d = attach(df, df.groupBy(*keys).agg(F.regr_slope(w, u).alias("slope")), keys)
+    d = d.withColumn("disc", F.col(w) - F.col("slope") * F.col(u))
     return robust_z(d, keys, ["disc"], guard="add", bounded=bounded).withColumnRenamed("z_disc", "disc_z")
 
 
@@ -298,16 +318,17 @@ def core_distance(df: DataFrame, keys, x: str, y: str, out: str, inner: float =
     """2-D Mahalanobis distance from zero, covariance taken from rows with radius below its ``inner`` quantile."""
     keys = list(keys)
     d = df.withColumn("_rad", F.sqrt(F.col(x) * F.col(x) + F.col(y) * F.col(y)))
-    if bounded:
-        cut = d.groupBy(*keys).agg(F.percentile("_rad", F.lit(inner)).alias("_cut"))
+    if bounded and keys:
+        whole = W.partitionBy(*keys)
+        d = d.withColumn("_cut", F.percentile("_rad", F.lit(inner)).over(whole))
+        a, b = (F.when(F.col("_rad") < F.col("_cut"), F.col(c)) for c in (x, y))
+        d = d.withColumns({n: F.covar_samp(p, q).over(whole) for n, p, q in (("_sxx", a, a), ("_sxy", a, b), ("_syy", b, b))})
     else:
-        cut = exact_quantiles(d, keys, {"_": F.col("_rad")}, [inner], ["cut"]).withColumnRenamed("__cut", "_cut")
-    d = attach(d, cut, keys)
-    core = d.filter(F.col("_rad") < F.col("_cut"))
-    cov = core.groupBy(*keys).agg(
-        F.covar_samp(x, x).alias("_sxx"), F.covar_samp(x, y).alias("_sxy"), F.covar_samp(y, y).alias("_syy")
-    )
-    d = attach(d, cov, keys)
+        cut = exact_quantiles(d, keys, {"": F.col("_rad")}, [inner], ["_cut"])
+        d = attach(d, cut, keys)
+        core = d.filter(F.col("_rad") < F.col("_cut"))
+        pairs = (("_sxx", x, x), ("_sxy", x, y), ("_syy", y, y))
+        d = attach(d, core.groupBy(*keys).agg(*[F.covar_samp(p, q).alias(n) for n, p, q in pairs]), keys)
     det = F.col("_sxx") * F.col("_syy") - F.col("_sxy") * F.col("_sxy")
     q = (
         F.col("_syy") * F.col(x) * F.col(x) - F.col("_sxy") * F.col(x) * F.col(y) * 2.0 + F.col("_sxx") * F.col(y) * F.col(y)

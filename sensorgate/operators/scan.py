@@ -89,12 +89,12 @@ def with_halo(df: DataFrame, position: str, width: int, before: int, after: int)
     )
 
 
-def decayed_sum(df: DataFrame, keys, position: str, value, decay: float, out: str) -> DataFrame:
+def decayed_sum(df: DataFrame, keys, position: str, value, decay: float, out: str, bounded: bool = False) -> DataFrame:
     """``S_t = decay^(t - s) S_s + value_t`` for the previous row s; positions without a row only decay.
 
     A linear recurrence, so no state loop is needed: inside a block it is a prefix sum of ``value * decay^-i``
     scaled back by ``decay^i``; earlier blocks enter through their last few totals, beyond which the weight is
-    below the precision of a double.
+    below the precision of a double. ``bounded`` keys (hours of one record) do without the summary join.
     """
     keys = list(keys)
     length = max(1, int(math.log(1e5) / -math.log(decay)))
@@ -104,6 +104,17 @@ def decayed_sum(df: DataFrame, keys, position: str, value, decay: float, out: st
     d = d.withColumn("_i", (p - F.col("_blk") * length).cast("double"))
     d = d.withColumn("_v", F.coalesce(as_col(value), F.lit(0.0)) * F.pow(F.lit(decay), -F.col("_i")))
     inside = W.partitionBy(*keys, "_blk").orderBy(position).rowsBetween(_UP, 0)
+    if bounded:
+        along = W.partitionBy(*keys).orderBy("_blk")
+        parts = [
+            F.coalesce(F.sum("_v").over(along.rangeBetween(-k, -k)), F.lit(0.0)) * (decay ** (length * k - 1))
+            for k in range(1, depth + 1)
+        ]
+        carry_in = sum(parts[1:], parts[0])
+        d = d.withColumns({"_loc": F.sum("_v").over(inside), "_car": carry_in})
+        return d.withColumn(out, (F.col("_loc") + F.col("_car") * decay) * F.pow(F.lit(decay), F.col("_i"))).drop(
+            "_blk", "_i", "_v", "_loc", "_car"
+        )
     totals = d.groupBy(*keys, "_blk").agg((F.sum("_v") * decay ** (length - 1)).alias("_tot"))
     recent = W.partitionBy(*keys).orderBy("_blk").rangeBetween(-depth, -1)
     totals = totals.withColumn("_prev", F.collect_list(F.struct("_blk", "_tot")).over(recent))

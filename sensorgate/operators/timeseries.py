@@ -269,5 +269,5 @@ def causal_hour_ewma(df: DataFrame, keys, time: str, value: str, out: str, rate:
     d = df.filter(F.col(value).isNotNull()).withColumn("_hod", F.col(time) % 24)
     d = d.withColumn("_n", (F.row_number().over(by_key(k, time)) - 1).cast("long"))
     gain = F.when(F.col("_n") == 0, F.lit(1.0)).otherwise(F.lit(rate))
-    d = decayed_sum(d, k, "_n", F.col(value) * gain, 1 - rate, "_s")
+    d = decayed_sum(d, k, "_n", F.col(value) * gain, 1 - rate, "_s", bounded=True)
     return d.withColumn(out, F.lag("_s").over(by_key(k, "_n"))).drop("_hod", "_n", "_s")

@@ -1,5 +1,6 @@
 """Persistence gate and sequential detectors on the hourly signal."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sensorgate.functions.exprs import rnd
@@ -39,8 +40,7 @@ en AS (SELECT entity, hr, v, trend, diurnal, fast_residual, row_number() OVER (P
 def residuals(t: Tables):
     """Complete hourly grid with its fast residual and the robust scale of that residual."""
     d = ts.slow_fast(t.flow, E, "hr", "v", variant="b")
-    st = nz.robust_stats(d, E, ["fast_residual"])
-    return nz.attach(d, st.select("entity", nz.robust_scale("mad_fast_residual").alias("scale")), E)
+    return nz.with_robust_stats(d, E, ["fast_residual"]).withColumn("scale", nz.robust_scale("mad_fast_residual"))
 
 
 @query(
@@ -113,10 +113,9 @@ def sqrt_gate_sql(src: str, score: str, keys: str = "entity") -> str:
 
 def sqrt_gate(d, keys, score: str, prefix: str = ""):
     d = d.withColumn("_root", F.sqrt(F.greatest(F.col(score), F.lit(0.0))))
-    st = nz.robust_stats(d, keys, ["_root"])
-    d = nz.attach(d, st, keys)
-    d = d.withColumn("_i", (F.row_number().over(ts.by_key(keys, "hr")) - 1).cast("long"))
-    return det.gate(d, keys, "_i", F.col("_root") - F.col("med__root"), scale=nz.robust_scale("mad__root"), prefix=prefix)
+    d = nz.with_robust_stats(d, keys, ["_root"])
+    d = d.withColumn("row_no", (F.row_number().over(ts.by_key(keys, "hr")) - 1).cast("long"))
+    return det.gate(d, keys, "row_no", F.col("_root") - F.col("med__root"), scale=nz.robust_scale("mad__root"), prefix=prefix)
 
 
 @query(
@@ -259,8 +258,8 @@ qe AS (SELECT entity, name, hr, row_number() OVER (PARTITION BY entity, name ORD
 )
 def joint_vs_marginal(t):
     d = joint(t)
-    cut = d.groupBy("entity").agg(F.percentile("maha", F.lit(0.9)).alias("cut"))
-    core = nz.attach(d, cut, E).filter(F.col("maha") < F.col("cut"))
+    whole = Window.partitionBy("entity")
+    core = d.withColumn("cut", F.percentile("maha", F.lit(0.9)).over(whole)).filter(F.col("maha") < F.col("cut"))
 
     def streams(x):
         x = x.withColumns({"joint": F.col("maha"), "video": F.abs("zv"), "audio": F.abs("za")})

@@ -8,6 +8,7 @@ from sensorgate.operators import aggregate as ag
 from sensorgate.operators import normalize as nz
 from sensorgate.plans.common import EV, FLOW, MERGED, R, Tables, query
 from sensorgate.plans.rollups import rounded
+from sensorgate.session import cut_lineage
 from sensorgate.plans.series import DAILY_SQL, daily_readings
 
 E = ["entity"]
@@ -138,8 +139,8 @@ def coherence_scores(t: Tables):
     """Canonical variates of the two halves of the vectors, as robust z-scores, with their discordance."""
     d = t.embeddings.select("vec_id", "label", "embedding")
     model = nz.Coherence.fit(nz.moments(d, ["embedding"]), split=32)
-    d = model.transform(d, "embedding").drop("embedding")
-    d = nz.robust_z(d, [], ["cu", "cw", "na", "nv"], guard="add", bounded=False)
+    d = cut_lineage(model.transform(d, "embedding").drop("embedding"))
+    d = cut_lineage(nz.robust_z(d, [], ["cu", "cw", "na", "nv"], guard="add", bounded=False))
     return model, nz.discordance(d, [], "z_cu", "z_cw")
 
 
