@@ -158,42 +158,32 @@ def dates_in_text(df: DataFrame, keys, text: str, year) -> DataFrame:
     s = F.regexp_replace(s, r"room\s*\d+", " ")
     s = F.regexp_replace(s, r"\b(audio|video|thermal|data)\b", " ")
     token = F.regexp_extract_all(s, F.lit(r"([a-z]+|[0-9]+|[^a-z0-9]+)"), F.lit(1))
-    placed = F.aggregate(
-        token,
-        F.struct(
-            F.lit(0).alias("at"),
-            F.array().cast("array<struct<at:int,mon:int>>").alias("months"),
-            F.array().cast("array<struct<at:int,day:int>>").alias("days"),
-        ),
-        lambda acc, t: _place(acc, t),
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,mon:int,day:int>>").alias("marks"))
+    marks = F.aggregate(token, start, _add_mark, lambda acc: acc["marks"])
+
+    def date_of(day, all_marks):
+        gaps = F.transform(
+            F.filter(all_marks, lambda m: m["mon"].isNotNull()),
+            lambda m: F.struct(F.abs(m["at"] - day["at"]).alias("gap"), m["at"], m["mon"]),
+        )
+        zero = F.lit(0)
+        return F.try_make_timestamp(
+            as_col(year), F.array_min(gaps)["mon"], day["day"], zero, zero, zero.cast("decimal(16,6)")
+        ).cast("date")
+
+    # The marks go through a one-element array so that they are computed once per row.
+    hits = F.flatten(
+        F.transform(F.array(marks), lambda a: F.transform(F.filter(a, lambda m: m["day"].isNotNull()), lambda d: date_of(d, a)))
     )
+    return df.select(*keys, F.explode(hits).alias("date")).filter(F.col("date").isNotNull())
 
-    def nearest(d, months):
-        scored = F.transform(months, lambda m: F.struct(F.abs(m["at"] - d["at"]).alias("gap"), m["at"], m["mon"]))
-        return F.array_min(scored)["mon"]
 
-    d = df.withColumn("_p", placed).filter((F.size("_p.months") > 0) & (F.size("_p.days") > 0))
-    hits = F.transform(
-        F.col("_p.days"),
-        lambda d: F.try_make_timestamp(
-            as_col(year), nearest(d, F.col("_p.months")), d["day"], F.lit(0), F.lit(0), F.lit(0).cast("decimal(16,6)")
-        ).cast("date"),
-    )
-    return d.select(*keys, F.explode(hits).alias("date")).filter(F.col("date").isNotNull())
-
-
-def _place(acc, t):
-    mon, num = month_number(t), t.try_cast("int")
-    is_day = num.between(1, 31)
-    return F.struct(
-        (acc["at"] + F.length(t)).alias("at"),
-        F.when(mon.isNotNull(), F.array_append(acc["months"], F.struct(acc["at"].alias("at"), mon.alias("mon"))))
-        .otherwise(acc["months"])
-        .alias("months"),
-        F.when(is_day, F.array_append(acc["days"], F.struct(acc["at"].alias("at"), num.alias("day"))))
-        .otherwise(acc["days"])
-        .alias("days"),
-    )
+def _add_mark(acc, t):
+    """Running text position, and the month words and day numbers seen so far."""
+    num = t.try_cast("int")
+    mark = F.struct(acc["at"].alias("at"), month_number(t).alias("mon"), F.when(num.between(1, 31), num).alias("day"))
+    kept = F.filter(F.array(mark), lambda m: m["mon"].isNotNull() | m["day"].isNotNull())
+    return F.struct((acc["at"] + F.length(t)).alias("at"), F.concat(acc["marks"], kept).alias("marks"))
 
 
 def room_label(path) -> Column:

@@ -107,28 +107,25 @@ def _log_place(c, width: float) -> Column:
     return F.ln(F.greatest(as_col(c), F.lit(1e-300))) / width
 
 
-def _bucket(place: Column, level: int) -> Column:
-    return F.floor(place * float(2**level)).cast("long")
+def _bucket(place: Column, level) -> Column:
+    return F.floor(place * F.pow(F.lit(2.0), as_col(level))).cast("long")
 
 
 def _cover(lo: Column, hi: Column) -> Column:
     """Buckets of falling width which lie wholly between two places and do not overlap: a few per level."""
     none = F.array().cast("array<struct<level:int,bucket:bigint>>")
 
-    def span(level, a, b):
-        seq = F.transform(F.sequence(a, b), lambda x: F.struct(F.lit(level).alias("level"), x.alias("bucket")))
-        return F.when(a <= b, seq).otherwise(none)
+    def at(level):
+        def span(a, b):
+            seq = F.transform(F.sequence(a, b), lambda x: F.struct(level.alias("level"), x.alias("bucket")))
+            return F.when(a <= b, seq).otherwise(none)
 
-    parts, a0, b0 = [], None, None
-    for level in range(BAND_LEVELS + 1):
         a, b = _bucket(lo, level) + 1, _bucket(hi, level) - 1
-        if a0 is None:
-            parts.append(span(level, a, b))
-        else:
-            sides = F.concat(span(level, a, a0 * 2 - 1), span(level, b0 * 2 + 2, b))
-            parts.append(F.when(a0 <= b0, sides).otherwise(span(level, a, b)))
-        a0, b0 = a, b
-    return F.concat(*parts)
+        up_a, up_b = _bucket(lo, level - 1) + 1, _bucket(hi, level - 1) - 1
+        sides = F.concat(span(a, up_a * 2 - 1), span(up_b * 2 + 2, b))
+        return F.when((level > 0) & (up_a <= up_b), sides).otherwise(span(a, b))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(BAND_LEVELS)), at))
 
 
 def farthest_in_band(
@@ -145,7 +142,7 @@ def farthest_in_band(
     pool = pool.withColumn("_y", _log_place("pool_norm", width))
     levels = F.transform(
         F.sequence(F.lit(0), F.lit(BAND_LEVELS)),
-        lambda k: F.struct(k.alias("level"), F.floor(F.col("_y") * F.pow(F.lit(2.0), k)).cast("long").alias("bucket")),
+        lambda k: F.struct(k.alias("level"), _bucket(F.col("_y"), k).alias("bucket")),
     )
     ends = pool.withColumn("_k", F.explode(levels)).groupBy("_k.level", "_k.bucket").agg(
         F.count("*").alias("_n"),

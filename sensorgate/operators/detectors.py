@@ -102,6 +102,13 @@ def sigma_flags(df: DataFrame, keys, value: str, k: float = 3.0) -> DataFrame:
     return df.withColumn("z", z).withColumn("flag", F.coalesce(F.abs(F.col("z")) > k, F.lit(False)))
 
 
+def by_groups(df: DataFrame, keys):
+    """Grouping for Python folds. A fixed number of partitions, because adaptive execution would merge small inputs
+    into one task although the work per row is large."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).groupBy(*keys)
+
+
 # State folds: one value of every key per step, all thresholds h at once.
 
 
@@ -154,7 +161,7 @@ def fold_onsets(df: DataFrame, keys, time: str, score: str, thresholds: dict) ->
             pdf[f"on_{n}"] = FOLDS[n](z, np.array([float(thresholds[n])]))[:, 0]
         return pdf
 
-    return df.select(*keys, time, score).groupBy(*keys).applyInPandas(run, schema)
+    return by_groups(df.select(*keys, time, score), keys).applyInPandas(run, schema)
 
 
 def _turns_on(level: np.ndarray) -> np.ndarray:
@@ -174,9 +181,11 @@ def gate_levels(z: np.ndarray, h: np.ndarray, p: GateParams = GateParams()) -> n
 
 def _window_shift(z: np.ndarray, w: int = 24) -> np.ndarray:
     out = np.full(len(z), -np.inf)
-    for t in range(2 * w, len(z)):
-        new, old = z[t - w : t], z[t - 2 * w : t - w]
-        out[t] = (new.mean() - old.mean()) / (np.sqrt(new.var() / w + old.var() / w) + 1e-9)
+    if len(z) > 2 * w:
+        win = np.lib.stride_tricks.sliding_window_view(z, w)
+        mean, var = win.mean(axis=1), win.var(axis=1)
+        k = np.arange(2 * w, len(z))
+        out[k] = (mean[k - w] - mean[k - 2 * w]) / (np.sqrt(var[k - w] / w + var[k - 2 * w] / w) + 1e-9)
     return out
 
 
@@ -207,7 +216,7 @@ def onset_counts(df: DataFrame, keys, time: str, score: str, detectors, grid) ->
             out.insert(0, name, value)
         return out
 
-    return df.select(*keys, time, score).groupBy(*keys).applyInPandas(run, schema)
+    return by_groups(df.select(*keys, time, score), keys).applyInPandas(run, schema)
 
 
 def matched_threshold(counts: DataFrame, keys, target: float) -> DataFrame:
@@ -230,7 +239,7 @@ def detector_onsets(df: DataFrame, keys, time: str, score: str, threshold: str,
         return pdf[[*keys, time, "onset"]]
 
     cols = list(dict.fromkeys([*keys, time, score, threshold, detector]))
-    return df.select(*cols).groupBy(*keys).applyInPandas(run, schema)
+    return by_groups(df.select(*cols), keys).applyInPandas(run, schema)
 
 
 def gated_baseline(
@@ -260,7 +269,7 @@ def gated_baseline(
         return pdf[[*keys, time, "score", "closed", "mu"]]
 
     cols = list(dict.fromkeys([*keys, time, value, mu0, centre, scale, gated]))
-    return df.select(*cols).groupBy(*keys).applyInPandas(run, schema)
+    return by_groups(df.select(*cols), keys).applyInPandas(run, schema)
 
 
 def calibrate_gate(df: DataFrame, keys, stream: str) -> DataFrame:
@@ -334,4 +343,4 @@ def forecast_residuals(df: DataFrame, keys, time: str, value: str, period: int =
             out.insert(0, name, v)
         return out
 
-    return df.select(*keys, time, value).groupBy(*keys).applyInPandas(run, schema)
+    return by_groups(df.select(*keys, time, value), keys).applyInPandas(run, schema)

@@ -40,44 +40,32 @@ def quantiles_long(df: DataFrame, keys, cols: dict, qs) -> DataFrame:
     along = W.partitionBy(*group).orderBy("_r")
     ranges = ranges.withColumn("_before", F.sum("_n").over(along.rowsBetween(W.unboundedPreceding, 0)) - F.col("_n"))
     ranges = ranges.withColumn("_all", F.sum("_n").over(W.partitionBy(*group)))
-    pos = [F.lit(float(q)) * (F.col("_all") - 1) for q in qs]
-    wanted = F.array(
-        *[
-            F.struct(F.lit(i).alias("q"), F.lit(side).alias("hi"), f(p).cast("long").alias("at"), p.alias("pos"))
-            for i, p in enumerate(pos)
-            for side, f in ((False, F.floor), (True, F.ceil))
-        ]
+    target = F.transform(
+        F.array(*[F.lit(float(q)) for q in qs]),
+        lambda q, i: F.struct(i.alias("q"), (q * (F.col("_all") - 1)).alias("pos")),
     )
-    ranges = ranges.withColumn(
-        "_want",
-        F.filter(wanted, lambda s: (s["at"] >= F.col("_before")) & (s["at"] < F.col("_before") + F.col("_n"))),
-    )
-    ranges = ranges.filter(F.size("_want") > 0).select(*group, "_r", "_before", "_want")
+    start, stop = F.col("_before"), F.col("_before") + F.col("_n")
+
+    def inside(s, lo, hi):
+        return ((F.floor(s["pos"]) >= lo) & (F.floor(s["pos"]) < hi)) | ((F.ceil(s["pos"]) >= lo) & (F.ceil(s["pos"]) < hi))
+
+    ranges = ranges.select(*group, "_r", "_before", F.filter(target, lambda s: inside(s, start, stop)).alias("_want"))
+    ranges = ranges.filter(F.size("_want") > 0)
     upto = W.partitionBy(*group, "_r").orderBy("_x").rowsBetween(W.unboundedPreceding, 0)
-    hit = (
-        counts.join(ranges, [*group, "_r"])
-        .withColumn("_end", F.col("_before") + F.sum("_n").over(upto))
-        .select(
-            *group,
-            "_x",
-            F.explode(
-                F.filter("_want", lambda s: (s["at"] < F.col("_end")) & (s["at"] >= F.col("_end") - F.col("_n")))
-            ).alias("_s"),
-        )
-    )
-    lo, hi = F.max(F.when(~F.col("_s.hi"), F.col("_x"))), F.max(F.when(F.col("_s.hi"), F.col("_x")))
-    frac = F.max(F.col("_s.pos") - F.floor("_s.pos"))
-    return hit.groupBy(*group, F.col("_s.q").alias("_q")).agg((lo + (hi - lo) * frac).alias("_val"))
+    hit = counts.join(ranges, [*group, "_r"]).withColumn("_end", F.col("_before") + F.sum("_n").over(upto))
+    first, end = F.col("_end") - F.col("_n"), F.col("_end")
+    hit = hit.select(*group, "_x", first.alias("_first"), "_end", F.explode(F.filter("_want", lambda s: inside(s, first, end))).alias("_s"))
+    low, high = F.floor("_s.pos"), F.ceil("_s.pos")
+    has = lambda at: (at >= F.col("_first")) & (at < F.col("_end"))
+    lo, hi = F.max(F.when(has(low), F.col("_x"))), F.max(F.when(has(high), F.col("_x")))
+    return hit.groupBy(*group, F.col("_s.q").alias("_q")).agg((lo + (hi - lo) * F.max(F.col("_s.pos") - low)).alias("_val"))
 
 
 def exact_quantiles(df: DataFrame, keys, cols: dict, qs, names=None) -> DataFrame:
     """One row per group with columns ``<name>_<suffix>``; ``names`` gives the suffixes (default p00..p99)."""
     keys, qs = list(keys), list(qs)
     names = names or [f"p{round(q * 100):02d}" for q in qs]
-    long = quantiles_long(df, keys, cols, qs)
-    aggs = [
-        F.max(F.when((F.col("_f") == n) & (F.col("_q") == i), F.col("_val"))).alias(f"{n}_{names[i]}" if n else names[i])
-        for n in cols
-        for i in range(len(qs))
-    ]
-    return long.groupBy(*keys).agg(*aggs)
+    long = quantiles_long(df, keys, cols, qs).withColumn("_k", F.concat_ws(":", "_f", "_q"))
+    d = long.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_k", "_val"))).alias("_m"))
+    label = {f"{n}:{i}": f"{n}_{names[i]}" if n else names[i] for n in cols for i in range(len(qs))}
+    return d.select(*keys, *[F.col("_m")[k].alias(a) for k, a in label.items()])

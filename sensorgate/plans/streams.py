@@ -13,7 +13,7 @@ from sensorgate.streaming import stateful as st
 
 
 def event_stream(t: Tables):
-    d = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parquet")
+    d = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/event[s].parquet")
     return d.withColumns({"ts": F.col("ts").cast("timestamp"), "entity": F.col("user_id") % 4})
 
 

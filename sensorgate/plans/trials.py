@@ -269,8 +269,8 @@ def numbered(o):
 
 @query(
     "b09_bootstrap_interval",
-    f"""WITH {STATIC_SQL}, {boot_sql(300)}, s AS (SELECT b, sum(CAST(detected AS INTEGER)) AS tp, sum(spike_fp) AS fp, sum(1 - CAST(detected AS INTEGER)) AS fn FROM dr JOIN ox USING (idx) GROUP BY b),
-    f AS (SELECT 2 * tp / (2 * tp + fp + fn) AS f1 FROM s) SELECT {R('quantile_cont(f1, 0.025)')} AS ci_lo, {R('quantile_cont(f1, 0.975)')} AS ci_hi FROM f""",
+    f"""WITH {STATIC_SQL}, {boot_sql(300)}, rs AS (SELECT b, sum(CAST(detected AS INTEGER)) AS tp, sum(spike_fp) AS fp, sum(1 - CAST(detected AS INTEGER)) AS fn FROM dr JOIN ox USING (idx) GROUP BY b),
+    f AS (SELECT 2 * tp / (2 * tp + fp + fn) AS f1 FROM rs) SELECT {R('quantile_cont(f1, 0.025)')} AS ci_lo, {R('quantile_cont(f1, 0.975)')} AS ci_hi FROM f""",
 )
 def bootstrap_interval(t):
     hit = F.col("detected").cast("int")
@@ -285,8 +285,8 @@ oc AS (SELECT trial, count(*) FILTER (age > 4) > 0 AS a, count(*) FILTER (cohere
 
 @query(
     "b10_paired_bootstrap_gain",
-    f"""WITH {PAIRED_SQL}, {boot_sql(310)}, s AS (SELECT b, avg(CAST(f AS INTEGER)) - greatest(avg(CAST(a AS INTEGER)), avg(CAST(c AS INTEGER))) AS gain FROM dr JOIN ox USING (idx) GROUP BY b)
-    SELECT {R('quantile_cont(gain, 0.025)')} AS ci_lo, {R('quantile_cont(gain, 0.975)')} AS ci_hi FROM s""",
+    f"""WITH {PAIRED_SQL}, {boot_sql(310)}, rs AS (SELECT b, avg(CAST(f AS INTEGER)) - greatest(avg(CAST(a AS INTEGER)), avg(CAST(c AS INTEGER))) AS gain FROM dr JOIN ox USING (idx) GROUP BY b)
+    SELECT {R('quantile_cont(gain, 0.025)')} AS ci_lo, {R('quantile_cont(gain, 0.975)')} AS ci_hi FROM rs""",
 )
 def paired_gain(t):
     d = coupled(t).filter((F.col("kind") != "coupling_break") & (F.col("t") >= F.col("a0")) & (F.col("t") < F.col("a1")))
