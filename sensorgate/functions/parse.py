@@ -136,15 +136,15 @@ def folder_date(path, default_year: int = 2025) -> Column:
 
     def day_month(p):
         first = p.rlike(dm)
-        day = F.when(first, F.regexp_extract(p, dm, 1)).otherwise(F.regexp_extract(p, md, 2)).try_cast("int")
+        text = F.when(first, F.regexp_extract(p, dm, 1)).otherwise(F.regexp_extract(p, md, 2))
+        day = F.when(text != "", text.cast("int"))
         mon = month_number(F.when(first, F.regexp_extract(p, dm, 2)).otherwise(F.regexp_extract(p, md, 1)))
         return F.struct(day.alias("day"), mon.alias("mon"))
 
     found = F.filter(F.transform(folders, day_month), lambda d: d["mon"].isNotNull() & d["day"].between(1, 31))
     last = F.try_element_at(found, F.lit(-1))
-    return F.try_make_timestamp(
-        year, last["mon"], last["day"], F.lit(0), F.lit(0), F.lit(0).cast("decimal(16,6)")
-    ).cast("date")
+    first = F.make_date(year, last["mon"], F.lit(1))
+    return F.when(last["day"] <= F.day(F.last_day(first)), F.date_add(first, last["day"] - 1))
 
 
 def dates_in_text(df: DataFrame, keys, text: str, year) -> DataFrame:
@@ -166,21 +166,20 @@ def dates_in_text(df: DataFrame, keys, text: str, year) -> DataFrame:
             F.filter(all_marks, lambda m: m["mon"].isNotNull()),
             lambda m: F.struct(F.abs(m["at"] - day["at"]).alias("gap"), m["at"], m["mon"]),
         )
-        zero = F.lit(0)
-        return F.try_make_timestamp(
-            as_col(year), F.array_min(gaps)["mon"], day["day"], zero, zero, zero.cast("decimal(16,6)")
-        ).cast("date")
+        first = F.make_date(as_col(year), F.array_min(gaps)["mon"], F.lit(1))
+        return F.when(day["day"] <= F.day(F.last_day(first)), F.date_add(first, day["day"] - 1))
 
     # The marks go through a one-element array so that they are computed once per row.
     hits = F.flatten(
         F.transform(F.array(marks), lambda a: F.transform(F.filter(a, lambda m: m["day"].isNotNull()), lambda d: date_of(d, a)))
     )
-    return df.select(*keys, F.explode(hits).alias("date")).filter(F.col("date").isNotNull())
+    # The outer form keeps the optimiser from adding filters that would compute the array again.
+    return df.select(*keys, F.explode_outer(hits).alias("date")).filter(F.col("date").isNotNull())
 
 
 def _add_mark(acc, t):
     """Running text position, and the month words and day numbers seen so far."""
-    num = t.try_cast("int")
+    num = F.when(t.rlike("^0*[0-9]{1,2}$"), t.cast("int"))  # a failing cast costs far more than the pattern
     mark = F.struct(acc["at"].alias("at"), month_number(t).alias("mon"), F.when(num.between(1, 31), num).alias("day"))
     kept = F.filter(F.array(mark), lambda m: m["mon"].isNotNull() | m["day"].isNotNull())
     return F.struct((acc["at"] + F.length(t)).alias("at"), F.concat(acc["marks"], kept).alias("marks"))

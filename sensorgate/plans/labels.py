@@ -429,7 +429,7 @@ def masked_features(t):
 )
 def histogram(t):
     mag = F.transform("embedding", lambda x: F.abs(x.cast("double")) * 60)
-    d = t.embeddings.select("vec_id", F.posexplode(ar.value_histogram(mag, 32, 20.0)).alias("bin", "share"))
+    d = t.embeddings.select("vec_id", F.posexplode_outer(ar.value_histogram(mag, 32, 20.0)).alias("bin", "share"))
     return d
 
 
@@ -441,7 +441,7 @@ def histogram(t):
 )
 def grid(t):
     """Width 10 and a 3 x 3 grid: the trailing row and column belong to no cell."""
-    d = t.embeddings.select("vec_id", F.posexplode(ar.grid_cells("embedding", 10, 3)).alias("cell", "c"))
+    d = t.embeddings.select("vec_id", F.posexplode_outer(ar.grid_cells("embedding", 10, 3)).alias("cell", "c"))
     return d.select("vec_id", "cell", rnd("c.mean").alias("mean"), rnd("c.std").alias("std"))
 
 

@@ -169,7 +169,7 @@ cs AS (SELECT trial, t, kind, a0, a1, u, w, greatest(u, w) AS age, abs((w - b *
 def coupled(t: Tables):
     """Clean pairs, and in the span: both up along the clean line, the second off its line, or both up by the same."""
     pool = pair_pool(t)
-    model = cut_lineage(nz.discordance(pool, [], "za", "zv").agg(F.first("slope").alias("b")))
+    model = cut_lineage(pool.agg(F.regr_slope("zv", "za").alias("b")))
     disc = pool.withColumn("b", model.select("b").scalar()).withColumn("disc", F.col("zv") - F.col("b") * F.col("za"))
     st = nz.robust_stats(disc, [], ["disc"], bounded=False)
     st = cut_lineage(st.withColumn("b", model.select("b").scalar()).withColumn("dmad", F.col("mad_disc") * 1.4826 + 1e-9))
