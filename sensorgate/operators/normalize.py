@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sensorgate.functions.exprs import as_col, clip
+from sensorgate.functions.exprs import as_col, clip, safe_div
 from sensorgate.operators.quantiles import exact_quantiles
 from sensorgate.session import cut_lineage
 
@@ -332,8 +332,8 @@ def core_distance(df: DataFrame, keys, x: str, y: str, out: str, inner: float =
     det = F.col("_sxx") * F.col("_syy") - F.col("_sxy") * F.col("_sxy")
     q = (
         F.col("_syy") * F.col(x) * F.col(x) - F.col("_sxy") * F.col(x) * F.col(y) * 2.0 + F.col("_sxx") * F.col(y) * F.col(y)
-    ) / det
-    return d.withColumn(out, F.sqrt(q)).drop("_rad", "_cut", "_sxx", "_sxy", "_syy")
+    )
+    return d.withColumn(out, F.sqrt(safe_div(q, det))).drop("_rad", "_cut", "_sxx", "_sxy", "_syy")
 
 
 def prune_correlated(variances: dict, corr: dict, limit: float) -> list[str]:

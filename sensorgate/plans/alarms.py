@@ -105,14 +105,14 @@ def calibration(t):
 
 
 def sqrt_gate_sql(src: str, score: str, keys: str = "entity") -> str:
-    """Clean median and scale of the root score, gate on the root less its median."""
-    return f"""qm AS (SELECT {keys}, median(sqrt(greatest({score}, 0))) AS med FROM {src} GROUP BY {keys}),
-    qs AS (SELECT {keys}, any_value(med) AS med, greatest(1.4826 * median(abs(sqrt(greatest({score}, 0)) - med)), 1e-6) AS scale FROM {src} JOIN qm USING ({keys}) GROUP BY {keys}),
-    qe AS (SELECT {keys}, hr, row_number() OVER (PARTITION BY {keys} ORDER BY hr) - 1 AS i, {energy(f'abs(sqrt(greatest({score}, 0)) - med) / scale - 1')} AS e FROM {src} JOIN qs USING ({keys}))"""
+    """Clean median and scale of the root score (never negative here), gate on the root less its median."""
+    return f"""qm AS (SELECT {keys}, median(sqrt({score})) AS med FROM {src} GROUP BY {keys}),
+    qs AS (SELECT {keys}, any_value(med) AS med, greatest(1.4826 * median(abs(sqrt({score}) - med)), 1e-6) AS scale FROM {src} JOIN qm USING ({keys}) GROUP BY {keys}),
+    qe AS (SELECT {keys}, hr, row_number() OVER (PARTITION BY {keys} ORDER BY hr) - 1 AS i, {energy(f'abs(sqrt({score}) - med) / scale - 1')} AS e FROM {src} JOIN qs USING ({keys}))"""
 
 
 def sqrt_gate(d, keys, score: str, prefix: str = ""):
-    d = d.withColumn("_root", F.sqrt(F.greatest(F.col(score), F.lit(0.0))))
+    d = d.withColumn("_root", F.when(F.col(score).isNotNull(), F.sqrt(F.greatest(F.col(score), F.lit(0.0)))))
     d = nz.with_robust_stats(d, keys, ["_root"])
     d = d.withColumn("row_no", (F.row_number().over(ts.by_key(keys, "hr")) - 1).cast("long"))
     return det.gate(d, keys, "row_no", F.col("_root") - F.col("med__root"), scale=nz.robust_scale("mad__root"), prefix=prefix)
@@ -212,7 +212,7 @@ def quantile_threshold(t):
     return d.select("entity", "hr", *[(F.col("v") > F.col("q")[i]).alias(n) for i, n in enumerate(("over_p95", "over_p99", "over_p999"))])
 
 
-CHAN_SQL = f"""{BOTH}, sl AS (SELECT entity, regr_slope(zv, za) AS b FROM mh GROUP BY 1), dc AS (SELECT entity, hr, za, zv, zv - b * za AS disc FROM mh JOIN sl USING (entity)),
+CHAN_SQL = f"""{BOTH}, sl AS (SELECT entity, CASE WHEN var_pop(za) > 0 THEN regr_slope(zv, za) END AS b FROM mh GROUP BY 1), dc AS (SELECT entity, hr, za, zv, zv - b * za AS disc FROM mh JOIN sl USING (entity)),
 dm AS (SELECT entity, median(disc) AS dmed FROM dc GROUP BY 1), ds AS (SELECT entity, any_value(dmed) AS dmed, median(abs(disc - dmed)) * 1.4826 + 1e-9 AS dmad FROM dc JOIN dm USING (entity) GROUP BY 1),
 ch AS (SELECT entity, hr, greatest(za, zv) AS age, abs(disc - dmed) / dmad AS coherence, greatest(greatest(za, zv), abs(disc - dmed) / dmad) AS coupled FROM dc JOIN ds USING (entity))"""
 

@@ -120,7 +120,7 @@ bs AS (SELECT entity, any_value(ma) AS ma, any_value(mv) AS mv, greatest(median(
 bz AS (SELECT entity, hr, (aud_level - ma) / sa AS za, (vid_flow - mv) / sv AS zv FROM b JOIN bs USING (entity)),
 bc AS (SELECT entity, quantile_cont(sqrt(za * za + zv * zv), 0.9) AS cut FROM bz GROUP BY 1),
 bv AS (SELECT entity, covar_samp(za, za) AS aa, covar_samp(za, zv) AS av, covar_samp(zv, zv) AS vv FROM bz JOIN bc USING (entity) WHERE sqrt(za * za + zv * zv) < cut GROUP BY 1),
-mh AS (SELECT entity, hr, za, zv, sqrt((vv * za * za - 2 * av * za * zv + aa * zv * zv) / (aa * vv - av * av)) AS maha FROM bz JOIN bv USING (entity))"""
+mh AS (SELECT entity, hr, za, zv, sqrt((vv * za * za - 2 * av * za * zv + aa * zv * zv) / nullif(aa * vv - av * av, 0)) AS maha FROM bz LEFT JOIN bv USING (entity))"""
 
 
 def joint(t: Tables):

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sensorgate.functions.exprs import mix_sql, rnd
+from sensorgate.functions.exprs import mix_sql, rnd, safe_div
 from sensorgate.operators import backtest as bt
 from sensorgate.operators import detectors as det
 from sensorgate.operators import normalize as nz
@@ -437,8 +437,8 @@ def permutation(t):
 @query(
     "b16_cross_entity_transfer",
     f"""WITH {MERGED}, {BOTH}, jn AS (SELECT b.entity AS entity, p.entity AS fitted_on, hr, (aud_level - ma) / sa AS za, (vid_flow - mv) / sv AS zv, aa, av, vv FROM b
-      JOIN (SELECT bs.entity, ma, mv, sa, sv, aa, av, vv FROM bs JOIN bv USING (entity)) p ON p.entity = (b.entity + 3) % 4),
-    sc AS (SELECT entity, fitted_on, hr, sqrt((vv * za * za - 2 * av * za * zv + aa * zv * zv) / (aa * vv - av * av)) AS s FROM jn), q AS (SELECT entity, quantile_cont(s, 0.95) AS thr FROM sc GROUP BY entity)
+      JOIN (SELECT bs.entity, ma, mv, sa, sv, aa, av, vv FROM bs LEFT JOIN bv USING (entity)) p ON p.entity = (b.entity + 3) % 4),
+    sc AS (SELECT entity, fitted_on, hr, sqrt((vv * za * za - 2 * av * za * zv + aa * zv * zv) / nullif(aa * vv - av * av, 0)) AS s FROM jn), q AS (SELECT entity, quantile_cont(s, 0.95) AS thr FROM sc GROUP BY entity)
     SELECT entity, fitted_on, hr, {R('s', 5)} AS score, s > thr AS alarm FROM sc JOIN q USING (entity)""",
 )
 def transfer(t):
@@ -460,7 +460,7 @@ def transfer(t):
     d = d.withColumn("x", (F.col("aud_level") - F.col("med_aud_level")) / F.col("sc_aud_level"))
     d = d.withColumn("y", (F.col("vid_flow") - F.col("med_vid_flow")) / F.col("sc_vid_flow"))
     q = F.col("vv") * F.col("x") * F.col("x") - F.col("av") * F.col("x") * F.col("y") * 2 + F.col("aa") * F.col("y") * F.col("y")
-    d = d.withColumn("s", F.sqrt(q / (F.col("aa") * F.col("vv") - F.col("av") * F.col("av"))))
+    d = d.withColumn("s", F.sqrt(safe_div(q, F.col("aa") * F.col("vv") - F.col("av") * F.col("av"))))
     thr = F.percentile("s", F.lit(0.95)).over(Window.partitionBy("entity"))
     return d.withColumn("alarm", F.col("s") > thr).select("entity", "fitted_on", "hr", rnd("s", 5).alias("score"), "alarm")
 
@@ -562,7 +562,7 @@ def real_event(t):
 @query(
     "b11_injection_auc",
     f"""WITH {MERGED}, {BOTH}, pm AS (SELECT entity, hr, za, zv, aa, av, vv FROM mh JOIN bv USING (entity)),
-    sc AS (SELECT entity, CAST(y AS INTEGER) AS y, sqrt((vv * x * x - 2 * av * x * w + aa * w * w) / (aa * vv - av * av)) AS s FROM
+    sc AS (SELECT entity, CAST(y AS INTEGER) AS y, sqrt((vv * x * x - 2 * av * x * w + aa * w * w) / nullif(aa * vv - av * av, 0)) AS s FROM
       (SELECT entity, y, aa, av, vv, za + y * 2.0 * CASE WHEN {mix_sql('hr', 'entity', 8)} % 2 = 0 THEN 1 ELSE -1 END AS x, zv + y * 2.0 * CASE WHEN {mix_sql('hr', 'entity', 9)} % 2 = 0 THEN 1 ELSE -1 END AS w FROM pm, range(2) r(y))),
     r AS (SELECT entity, y, rank() OVER (PARTITION BY entity ORDER BY s) + (count(*) OVER (PARTITION BY entity, s) - 1) / 2 AS r FROM sc),
     g AS (SELECT entity, sum(CASE WHEN y = 1 THEN r END) AS rs, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS q FROM r GROUP BY entity) SELECT entity, {R('(rs - p * (p + 1) / 2) / (p * q)')} AS auc FROM g""",
@@ -582,5 +582,5 @@ def injection_auc(t):
     sign = lambda s: F.when(mix("hr", "entity", s) % 2 == 0, 1.0).otherwise(-1.0)
     d = d.withColumns({"x": F.col("za") + F.col("y") * 2.0 * sign(8), "w": F.col("zv") + F.col("y") * 2.0 * sign(9)})
     q = F.col("vv") * F.col("x") * F.col("x") - F.col("av") * F.col("x") * F.col("w") * 2 + F.col("aa") * F.col("w") * F.col("w")
-    d = d.withColumn("s", F.sqrt(q / (F.col("aa") * F.col("vv") - F.col("av") * F.col("av"))))
+    d = d.withColumn("s", F.sqrt(safe_div(q, F.col("aa") * F.col("vv") - F.col("av") * F.col("av"))))
     return rounded(bt.roc_auc(d, ["entity"], "s", "y").select("entity", "auc"))
