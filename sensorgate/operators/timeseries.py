@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sensorgate.functions.exprs import as_col
-from sensorgate.operators.scan import carry, previous_row, running_sum
+from sensorgate.operators.scan import carry, running_changes
 
 _UP, _DOWN = W.unboundedPreceding, W.unboundedFollowing
 
@@ -46,10 +46,7 @@ def segments(df: DataFrame, keys, time: str, longer_than: int, out: str = "segme
 
 def equal_runs(df: DataFrame, keys, order, value, out: str, block: Column) -> DataFrame:
     """Number of the contiguous run of equal values along ``order``; NULL equals NULL."""
-    d = df.withColumn("_x", as_col(value))
-    d = previous_row(d, keys, order, ["_x"], "_pr", block)
-    changed = F.when(F.col("_pr").isNull() | ~F.col("_x").eqNullSafe(F.col("_pr._x")), 1).otherwise(0)
-    return running_sum(d, keys, order, changed, out, block).drop("_x", "_pr")
+    return running_changes(df, keys, order, value, lambda a, b: ~a.eqNullSafe(b), out, block, first=1)
 
 
 def midnight_rollover(df: DataFrame, keys, order, seconds: str, created_day: str, out: str, block: Column) -> DataFrame:
@@ -57,15 +54,13 @@ def midnight_rollover(df: DataFrame, keys, order, seconds: str, created_day: str
 
     The base is the first known date of the key; rows without a time of day give NULL and are skipped over.
     """
-    d = carry(df, keys, order, F.col(seconds), "_prev", block, inclusive=False)
-    fall = F.when(F.col(seconds) < F.col("_prev"), 1).otherwise(0)
-    d = running_sum(d, keys, order, fall, "_days", block)
+    d = running_changes(df, keys, order, F.col(seconds), lambda a, b: b < a, "_days", block, skip_null=True)
     dated = F.when(F.col(created_day).isNotNull(), F.struct(*order))
-    base = d.groupBy(*keys).agg(F.min_by(created_day, dated).alias("_base"))
+    base = df.groupBy(*keys).agg(F.min_by(created_day, dated).alias("_base"))
     d = d.join(base, list(keys), "left")
     day = F.date_add("_base", F.col("_days").cast("int")).cast("timestamp")
     start = F.timestamp_micros(F.unix_micros(day) + F.round(F.col(seconds) * 1e6).cast("long"))
-    return d.withColumn(out, start).drop("_prev", "_days", "_base")
+    return d.withColumn(out, start).drop("_days", "_base")
 
 
 def session_checks(rows: DataFrame, keys, order, session: str, start: str, created: str, readable: str, block: Column):

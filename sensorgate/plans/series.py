@@ -6,6 +6,7 @@ from sensorgate.functions.exprs import MICROS_PER_HOUR, rnd
 from sensorgate.operators import timeseries as ts
 from sensorgate.operators.align import complete_grid
 from sensorgate.plans.common import EV, FLOW, GRID, MERGED, MODAL, R, Tables, query
+from sensorgate.session import cut_lineage
 from sensorgate.plans.rollups import FILES_SQL, rounded, video_files
 
 E = ["entity"]
@@ -60,7 +61,7 @@ st AS (SELECT rl.*, epoch_us(CAST(base AS TIMESTAMP)) + CAST(days AS BIGINT) * 8
 
 def started(t: Tables):
     d = ts.midnight_rollover(session_rows(t), ["folder"], ["seq"], "tod", "created", "start", seq_block())
-    return d.withColumn("start_us", F.unix_micros("start"))
+    return cut_lineage(d.withColumn("start_us", F.unix_micros("start")))  # read again by each check
 
 
 @query("w05_midnight_rollover", f"WITH {ROLL_SQL} SELECT folder, seq, start_us FROM st")
@@ -77,8 +78,8 @@ cf AS (SELECT *, (unique_creation_time = 1 AND n_readable > 1) OR n_readable <=
 an AS (SELECT *, NOT clock_frozen_as_expected OR NOT monotonic OR duplicates OR n_irregular_gaps > 0 AS anomaly FROM cf)"""
 
 
-def checked(t: Tables):
-    return ts.session_checks(started(t), ["folder"], ["seq"], "run", "start", "created", "readable", seq_block())
+def checked(rows):
+    return ts.session_checks(rows, ["folder"], ["seq"], "run", "start", "created", "readable", seq_block())
 
 
 @query(
@@ -87,7 +88,7 @@ def checked(t: Tables):
     session_start_us, session_end_us, clock_frozen_as_expected, anomaly FROM an""",
 )
 def session_checks(t):
-    d = checked(t).withColumn("run", F.col("run").cast("long"))
+    d = checked(started(t)).withColumn("run", F.col("run").cast("long"))
     return d.withColumn("max_gap_min", rnd("max_gap_min"))
 
 
@@ -100,10 +101,11 @@ def session_checks(t):
 def folder_audit(t):
     """Roll-up of sessions and files per folder; only folders with a problem remain."""
     ok = F.col("readable")
-    files = started(t).groupBy("folder").agg(
+    rows = started(t)
+    files = rows.groupBy("folder").agg(
         F.count_if(~ok).alias("unreadable"), F.count_if(ok & F.col("tod").isNull()).alias("no_timecode"), F.min("start_us").alias("earliest"), F.max("start_us").alias("latest")
     )
-    sess = checked(t).groupBy("folder").agg(F.sum("n_files").alias("n_files"), F.count("*").alias("n_sessions"), F.count_if("anomaly").alias("n_anomalous"))
+    sess = checked(rows).groupBy("folder").agg(F.sum("n_files").alias("n_files"), F.count("*").alias("n_sessions"), F.count_if("anomaly").alias("n_anomalous"))
     d = sess.join(files, "folder")
     return d.filter((F.col("n_anomalous") > 0) | (F.col("unreadable") > 0) | (F.col("no_timecode") > 0))
 

@@ -87,3 +87,23 @@ def test_value_ranges_are_ordered(spark):
     x = np.concatenate([-np.logspace(-12, 9, 400), [0.0], np.logspace(-12, 9, 400)])
     r = spark.createDataFrame(pd.DataFrame({"x": x})).select("x", quantiles.value_range_id("x").alias("r")).toPandas().sort_values("x").r
     assert (np.diff(r) >= 0).all()
+
+
+@pytest.mark.parametrize("skip", [True, False])
+def test_running_changes(spark, skewed, skip):
+    pdf = skewed.assign(v=(skewed.v * 0.7).round())
+    block = F.floor(F.col("t") / 20).cast("long")
+    differs = (lambda a, b: b < a) if skip else (lambda a, b: ~a.eqNullSafe(b))
+    d = scan.running_changes(frame(spark, pdf), ["k"], ["t"], "v", differs, "n", block, first=1, skip_null=skip)
+    want = []
+    for _, g in pdf.groupby("k"):
+        n, prev, seen = 0, None, False
+        for v in g.v:
+            known = not np.isnan(v)
+            if skip and not known:
+                want.append(n)
+                continue
+            n += 1 if not seen else (v < prev if skip else not (prev == v or (np.isnan(prev) and not known)))
+            prev, seen = v, True
+            want.append(n)
+    assert (back(d, "n") == want).all()
