@@ -60,9 +60,9 @@ def asof(left: DataFrame, right: DataFrame, keys, time: str, value: str, width:
     both = l.unionByName(r, allowMissingColumns=True)
     blk, order = F.floor(F.col(time) / width).cast("long"), [time, "_side"]
     both = carry(both, keys, order, F.col("_val"), "_prev", blk)
-    if backfill:
-        both = carry(both, keys, order, F.col("_val"), "_next", blk, forward=False)
-        both = both.withColumn("_prev", F.coalesce("_prev", "_next")).drop("_next")
+    if backfill:  # a row without an earlier value lies before the first one of its key
+        first = r.filter(F.col("_val").isNotNull()).groupBy(*keys).agg(F.min_by("_val", time).alias("_first"))
+        both = both.join(first, keys, "left").withColumn("_prev", F.coalesce("_prev", "_first")).drop("_first")
     return both.filter(F.col("_side") == 1).withColumn(value, F.col("_prev")).drop("_side", "_val", "_prev")
 
 

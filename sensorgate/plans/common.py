@@ -12,9 +12,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorgate.functions.exprs import day_index, hour_index, micros
+from sensorgate.functions.exprs import day_index, hour_index, int_div, micros
 from sensorgate.operators import align
-from sensorgate.session import prepare
+from sensorgate.session import cut_lineage, prepare
 from sensorgate.sources.readers import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,21 +57,39 @@ class Tables:
             {"us": micros("ts"), "hr": hour_index("ts"), "dy": day_index("ts"), "entity": F.col("user_id") % 4}
         )
 
+    @cached_property
+    def hourly(self) -> DataFrame:
+        """The one pass over the raw readings: a row per room and hour, kept in the shared folder.
+
+        Spines, decomposition and gates read this table several times; its size is rooms times hours.
+        """
+        kind, value = F.col("event_type"), F.col("value")
+        audio, video, env = kind.isin("view", "click"), kind == "purchase", kind.isin("signup", "error")
+        d = self.ev.groupBy("entity", "hr").agg(
+            F.avg(value).alias("v"),
+            F.count("*").alias("n"),
+            F.avg(F.when(audio, value)).alias("aud_level"),
+            F.count_if(audio).alias("aud_n"),
+            F.avg(F.when(video & (value >= 15), value)).alias("vid_flow"),
+            F.count_if(video).alias("vid_n"),
+            F.sum(F.when(env, value)).alias("env_sum"),
+            F.count_if(env).alias("env_n"),
+        )
+        return cut_lineage(d)
+
     @cached_property
     def aud(self) -> DataFrame:
-        d = self.ev.filter(F.col("event_type").isin("view", "click"))
-        return d.groupBy("entity", "hr").agg(F.avg("value").alias("aud_level"), F.count("*").alias("aud_n"))
+        return self.hourly.filter(F.col("aud_n") > 0).select("entity", "hr", "aud_level", "aud_n")
 
     @cached_property
     def vid(self) -> DataFrame:
-        d = self.ev.filter(F.col("event_type") == "purchase")
-        lit = F.when(F.col("value") >= 15, F.col("value"))
-        return d.groupBy("entity", "hr").agg(F.avg(lit).alias("vid_flow"), F.count("*").alias("vid_n"))
+        return self.hourly.filter(F.col("vid_n") > 0).select("entity", "hr", "vid_flow", "vid_n")
 
     @cached_property
     def env(self) -> DataFrame:
-        d = self.ev.filter(F.col("event_type").isin("signup", "error"))
-        return d.groupBy("entity", "dy").agg(F.avg("value").alias("env_temp"))
+        """Daily environment, from the hourly sums and counts."""
+        d = self.hourly.filter(F.col("env_n") > 0).groupBy("entity", int_div("hr", 24).alias("dy"))
+        return d.agg((F.sum("env_sum") / F.sum("env_n")).alias("env_temp"))
 
     @cached_property
     def merged(self) -> DataFrame:
@@ -83,7 +101,7 @@ class Tables:
     @cached_property
     def flow(self) -> DataFrame:
         """One signal per room and hour, rows only where there were readings."""
-        return self.ev.groupBy("entity", "hr").agg(F.avg("value").alias("v"), F.count("*").alias("n"))
+        return self.hourly.select("entity", "hr", "v", "n")
 
     @cached_property
     def grid(self) -> DataFrame:

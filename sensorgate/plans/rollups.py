@@ -233,12 +233,12 @@ def pivot(t):
 
 @query(
     "a13_unpivot",
-    f"""WITH {MERGED} SELECT entity, hr, 'aud_level' AS feature, {R('aud_level')} AS value FROM merged UNION ALL
-      SELECT entity, hr, 'vid_flow', {R('vid_flow')} FROM merged UNION ALL SELECT entity, hr, 'env_temp', {R('env_temp')} FROM merged""",
+    f"""WITH {MERGED} SELECT entity, hr, 'aud_level' AS feature, {R('aud_level', 8)} AS value FROM merged UNION ALL
+      SELECT entity, hr, 'vid_flow', {R('vid_flow', 8)} FROM merged UNION ALL SELECT entity, hr, 'env_temp', {R('env_temp', 8)} FROM merged""",
 )
 def unpivot(t):
     d = t.merged.unpivot(["entity", "hr"], ["aud_level", "vid_flow", "env_temp"], "feature", "value")
-    return d.withColumn("value", rnd("value"))
+    return d.withColumn("value", rnd("value", 8))
 
 
 @query(

@@ -56,11 +56,11 @@ def coverage_filter(t):
 
 @query(
     "f06_prefix_feature_selection",
-    f"WITH {MERGED} SELECT {R('aud_level')} AS aud_level, aud_n, {R('vid_flow')} AS vid_flow, vid_n, {R('env_temp')} AS env_temp FROM merged",
+    f"WITH {MERGED} SELECT {R('aud_level')} AS aud_level, aud_n, {R('vid_flow')} AS vid_flow, vid_n, {R('env_temp', 8)} AS env_temp FROM merged",
 )
 def feature_selection(t):
     cols = io.by_modality(io.numeric_columns(t.merged, ("env_", "vid_", "aud_")))
-    return t.merged.select(*[rnd(c).alias(c) if k == "double" else F.col(c) for c, k in t.merged.select(*cols).dtypes])
+    return t.merged.select(*[rnd(c, 8 if c == "env_temp" else 6).alias(c) if k == "double" else F.col(c) for c, k in t.merged.select(*cols).dtypes])
 
 
 @query(
@@ -140,9 +140,9 @@ def full_outer(t):
     return t.aud.join(t.vid, ["entity", "hr"], "full").select("entity", "hr", "aud_n", "vid_n")
 
 
-@query("j05_daily_to_hourly", f"WITH {MERGED} SELECT entity, hr, dy, {R('env_temp')} AS env_temp FROM merged")
+@query("j05_daily_to_hourly", f"WITH {MERGED} SELECT entity, hr, dy, {R('env_temp', 8)} AS env_temp FROM merged")
 def daily_hourly(t):
-    return t.merged.select("entity", "hr", "dy", rnd("env_temp").alias("env_temp"))
+    return t.merged.select("entity", "hr", "dy", rnd("env_temp", 8).alias("env_temp"))
 
 
 @query(
