@@ -1 +1 @@
-"""Long-horizon anomaly analytics on multimodal sensor tables, as Spark DataFrame operators."""
+"""Anomaly analytics on multimodal sensor tables, as Spark DataFrame operators."""

@@ -299,10 +299,10 @@ def coverage(t):
 
 @query(
     "p17_row_mean",
-    f"""WITH {MERGED} SELECT entity, hr, {R('list_avg(list_filter([aud_level, vid_flow, env_temp], lambda x: x IS NOT NULL))')} AS composite FROM merged""",
+    f"""WITH {MERGED} SELECT entity, hr, {R('list_avg(list_filter([aud_level, vid_flow, env_temp], lambda x: x IS NOT NULL))', 8)} AS composite FROM merged""",
 )
 def row_mean(t):
-    return t.merged.select("entity", "hr", rnd(ex.row_mean(["aud_level", "vid_flow", "env_temp"])).alias("composite"))
+    return t.merged.select("entity", "hr", rnd(ex.row_mean(["aud_level", "vid_flow", "env_temp"]), 8).alias("composite"))
 
 
 @query(
