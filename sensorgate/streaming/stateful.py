@@ -68,10 +68,9 @@ def gate_stream(stream: DataFrame, keys, time: str, score: str, p: GateParams =
 
     def step(state, elapsed, v):
         bucket, on = state
-        for gap in range((elapsed or 1) - 1):
-            bucket *= p.decay
-            if on and bucket <= p.open:
-                on = False
+        if elapsed and elapsed > 1:  # the bucket only falls meanwhile, so its last level decides
+            bucket *= p.decay ** (elapsed - 1)
+            on = on and bucket > p.open
         size = 0.0 if v is None else abs(v) if two_sided else v
         bucket = p.decay * bucket + (0.0 if v is None else min(max(0.0, size - p.deadband), p.cap))
         on = bucket > p.open if on else bucket >= p.close
