@@ -31,7 +31,8 @@ from sensorgate.llm.common import WORD_VOCAB, crc32, documents, query, stored
 from sensorgate.llm.words import Encoder, slices
 from sensorgate.session import scratch_path
 
-HEADER = struct.Struct("<8sQ")
+HEADER = "<8sQ"
+START = struct.calcsize(HEADER)
 MAGIC = b"TOKENIDS"
 ENTRY = "doc_id long, copy long, shard int, file string, offset long, n_tokens long"
 ENTRY_ARROW = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("shard", pa.int32()), ("file", pa.string()), ("offset", pa.int64()), ("n_tokens", pa.int64())])
@@ -59,7 +60,7 @@ def write_shards(docs: DataFrame, vocabulary: str, end: int | None, folder: str)
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             if out is None:
                 out = where.open_output_stream(f"{path}/{name}")
-                out.write(HEADER.pack(MAGIC, width))
+                out.write(struct.pack(HEADER, MAGIC, width))
             for a, b in slices(texts):
                 rows = []
                 for key, ids in zip(keys[a:b], encode(texts[a:b]), strict=True):
@@ -190,12 +191,12 @@ def read_shards(found: DataFrame, shards: DataFrame, folder: str, make, schema:
         pdf = pdf.sort_values("offset", kind="stable", ignore_index=True)
         where, path = filesystem(folder)
         with where.open_input_file(f"{path}/{pdf['file'].iloc[0]}") as f:
-            magic, width = HEADER.unpack(f.read(HEADER.size))
+            magic, width = struct.unpack(HEADER, f.read(START))
             if magic != MAGIC:
                 raise ValueError("not a shard")
 
             def ids(row) -> np.ndarray:
-                return np.frombuffer(f.read_at(int(row.n_tokens) * width, HEADER.size + int(row.offset) * width), f"<u{width}")
+                return np.frombuffer(f.read_at(int(row.n_tokens) * width, START + int(row.offset) * width), f"<u{width}")
 
             return make(pdf, ids)
 
