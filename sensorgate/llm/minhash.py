@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -78,6 +79,12 @@ class Shingler:
         return np.unique(x ^ x >> np.uint64(32), return_counts=True)
 
 
+@lru_cache(maxsize=1)
+def shingler() -> Shingler:
+    """One for all tasks of a Python worker."""
+    return Shingler()
+
+
 def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
@@ -87,7 +94,7 @@ def surveyed(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("n", pa.int64()), ("block", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, counters = Shingler(), np.zeros(COUNTERS, np.uint32)
+        make, counters = shingler(), np.zeros(COUNTERS, np.uint32)
         part = TaskContext.get().partitionId() % 64
         for batch in batches:
             keys, rows, found = batch.column(0).to_pylist(), [], []
@@ -175,13 +182,18 @@ class Sampler:
         return drawn
 
 
+@lru_cache(maxsize=1)
+def sampler() -> Sampler:
+    return Sampler()
+
+
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     """``doc_id, keys`` (one per band) and ``signature`` (a byte per position); texts without words have none."""
     schema = pa.schema([("doc_id", pa.int64()), ("keys", pa.list_(pa.int64())), ("signature", pa.binary())])
     sent = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, sample, idf = Shingler(), Sampler(), sent.value
+        make, sample, idf = shingler(), sampler(), sent.value
         salt = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
         factors = np.array([pow(0xE7037ED1A0B428DB, k + 1, 1 << 64) for k in range(POSITIONS // BANDS)], np.uint64)
         for batch in batches:
@@ -233,7 +245,7 @@ def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: floa
     sent = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, idf, last = Shingler(), sent.value, [None, None]
+        make, idf, last = shingler(), sent.value, [None, None]
 
         def weighted(text):
             shingles, counts = make(words_of(text))

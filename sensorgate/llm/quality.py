@@ -21,12 +21,14 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from sensorgate.llm.common import query, table
 
@@ -71,6 +73,12 @@ class Featurizer:
         return np.array(at, np.int32), value.astype(np.float32)
 
 
+@lru_cache(maxsize=1)
+def featurizer() -> Featurizer:
+    """One for all tasks of a Python worker."""
+    return Featurizer()
+
+
 LENGTH = 4.0  # of every feature vector: a text's length in words doesn't move its score
 FEATURES = pa.schema([("grade", pa.int32()), ("at", pa.list_(pa.int32())), ("value", pa.list_(pa.float32()))])
 
@@ -132,7 +140,7 @@ def train(docs: DataFrame, ratings: DataFrame, grade: str = "grade", grades: int
     texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(rated), "doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Featurizer()
+        make = featurizer()
         for batch in batches:
             got = [make(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array([g[0] for g in got], FEATURES[1].type), pa.array([g[1] for g in got], FEATURES[2].type)], schema=FEATURES)
@@ -148,11 +156,11 @@ def train(docs: DataFrame, ratings: DataFrame, grade: str = "grade", grades: int
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """All columns of ``docs`` and ``expected_grade``, ``tails`` (P(grade > k) for each k)."""
     kept = docs.drop("expected_grade", "tails")
-    schema = kept.schema.add("expected_grade", "double").add("tails", "array<double>")
+    schema = StructType([*kept.schema.fields, StructField("expected_grade", DoubleType()), StructField("tails", ArrayType(DoubleType()))])
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, own = Featurizer(), OrdinalModel(*sent.value)
+        make, own = featurizer(), OrdinalModel(*sent.value)
         for batch in batches:
             got = [make(t or "") for t in batch.column("text").to_pylist()]
             scores = np.array([float(own.weights[a].astype(float) @ v.astype(float)) for a, v in got])
