@@ -256,9 +256,9 @@ def repeats(docs: DataFrame, length: int = 400, first: bool = False) -> DataFram
     return spans.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 
 
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
+def merged(spans) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for s in spans or []:
+    for s in () if spans is None else spans:
         if out and s["start"] <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], s["stop"]))
         else:
