@@ -77,6 +77,7 @@ class Automaton:
     symbols: dict[str, int]
     edges: np.ndarray  # trie: sorted (node << 16 | symbol)
     targets: np.ndarray  # node behind each edge
+    near: np.ndarray  # the same for the nodes of the first two levels, by node and symbol; -1: no edge
     token: np.ndarray  # id of the label that ends at a node, or -1
 
 
@@ -113,7 +114,7 @@ def compile_merges(vocabulary: dict[str, int], merges: list[tuple[str, str]], su
     symbols = {s: k for k, s in enumerate(sorted({s for c in chains for s in c}))}
     nodes: dict[tuple[int, int], int] = {}
     token = [-1]
-    for i, chain in enumerate(chains):
+    for i, chain in [*((-1, c[:1]) for c in chains), *enumerate(chains)]:  # nodes of the first level get the first numbers
         at = 0
         for s in chain:
             step = (at, symbols[s])
@@ -121,11 +122,16 @@ def compile_merges(vocabulary: dict[str, int], merges: list[tuple[str, str]], su
                 nodes[step] = len(token)
                 token.append(-1)
             at = nodes[step]
-        token[at] = i
+        if i >= 0:
+            token[at] = i
     edges = np.array([a << 16 | s for a, s in nodes], np.int64)
     order = np.argsort(edges)
     targets = np.array(list(nodes.values()), np.int32)[order]
-    return Automaton(labels, state, column, bits.used(), 0, symbols, edges[order], targets, np.array(token, np.int32))
+    near = np.full((1 + len({c[0] for c in chains if c}), len(symbols)), -1, np.int32)
+    for (a, s), b in nodes.items():
+        if a < len(near):
+            near[a, s] = b
+    return Automaton(labels, state, column, bits.used(), 0, symbols, edges[order], targets, near, np.array(token, np.int32))
 
 
 def walk(a: Automaton, words: list[list[int]]) -> list[list[int]]:
@@ -151,10 +157,15 @@ def _walk_equal(a: Automaton, symbols: np.ndarray) -> list[list[int]]:
     for i in range(n):
         alive, node, here = np.arange(count), np.zeros(count, np.int64), state[i]
         for j in range(i, n):
-            key = node << 16 | symbols[alive, j]
-            edge = np.minimum(np.searchsorted(a.edges, key), len(a.edges) - 1)
-            on = a.edges[edge] == key
-            alive, node = alive[on], a.targets[edge[on]].astype(np.int64)
+            if j < i + 2:
+                to = a.near[node, symbols[alive, j]]
+                on = to >= 0
+                alive, node = alive[on], to[on].astype(np.int64)
+            else:
+                key = node << 16 | symbols[alive, j]
+                edge = np.minimum(np.searchsorted(a.edges, key), len(a.edges) - 1)
+                on = a.edges[edge] == key
+                alive, node = alive[on], a.targets[edge[on]].astype(np.int64)
             if not len(alive):
                 break
             found = a.token[node]
@@ -195,9 +206,11 @@ class WordTokenizer:
         symbols, bytes_ = self.automaton.symbols, byte_symbols()
         self.inner = [symbols.get(c, -1) for c in bytes_]
         self.final = [symbols.get(c + self.suffix, -1) for c in bytes_]
-        self.cache = PieceCache(self._encode)
+        self.cache = PieceCache(self._encode, 150_000)
         self.library = None
         self.path = path
+        self.cores: dict[str, tuple[int, str, str]] = {}
+        self.ends = {c: self._spelled([c])[0] for c in ".,"}
 
     def _split(self, piece: str) -> list[str]:
         """Words of a piece without white space, after normalising."""
@@ -212,7 +225,38 @@ class WordTokenizer:
         normal = self.library.normalizer.normalize_str(piece)
         return [normal[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
+    def _spelled(self, words: list[str]) -> list[tuple[int, str, str]]:
+        """Number of tokens, ids in decimal and labels of normalised words."""
+        inner, final, labels = self.inner, self.final, self.labels
+        coded = [[*[inner[b] for b in w[:-1]], final[w[-1]]] for w in map(str.encode, words)]
+        return [(len(i), " ".join(map(str, i)), " ".join([labels[k] for k in i])) for i in walk(self.automaton, coded)]
+
     def _encode(self, pieces: list[str]) -> list[tuple[int, str, str]]:
+        """Most pieces are one word of letters with at most a full stop or comma after it."""
+        cores, plain, others, ends = self.cores, [], [], self.ends
+        if len(cores) > self.cache.most:
+            cores.clear()
+        for i, p in enumerate(pieces):
+            core = p[:-1] if p[-1] in ends else p
+            if core.isalpha() and (core.isascii() or _CASES.isdisjoint(core) and is_normalized("NFC", core)):
+                plain.append((i, core.lower(), p[-1] if len(core) < len(p) else ""))
+            else:
+                others.append(i)
+        missing = list({core for _, core, _ in plain}.difference(cores))
+        cores.update(zip(missing, self._spelled(missing), strict=True))
+        out: list = [None] * len(pieces)
+        for i, core, end in plain:
+            n, ids, text = cores[core]
+            if end:
+                one, more_ids, more_text = ends[end]
+                out[i] = (n + one, f"{ids} {more_ids}", f"{text} {more_text}")
+            else:
+                out[i] = cores[core]
+        for i, found in zip(others, self._any([pieces[i] for i in others]), strict=True):
+            out[i] = found
+        return out
+
+    def _any(self, pieces: list[str]) -> list[tuple[int, str, str]]:
         words: dict[str, int] = {}
         plan: list[list[int]] = []
         for p in pieces:
@@ -223,27 +267,21 @@ class WordTokenizer:
                 else:
                     own += [words.setdefault(w, len(words)) for w in self._split(part) if w]
             plan.append(own)
-        inner, final = self.inner, self.final
-        coded = [[*(inner[b] for b in w[:-1]), final[w[-1]]] for w in map(str.encode, words)]
-        ids, labels = walk(self.automaton, coded), self.labels
-        as_ids = [" ".join(map(str, i)) for i in ids]
-        as_text = [" ".join([labels[k] for k in i]) for i in ids]
-        out = []
-        for own in plan:
-            if len(own) == 1 and own[0] >= 0:
-                out.append((len(ids[own[0]]), as_ids[own[0]], as_text[own[0]]))
-            else:
-                n = sum(len(ids[k]) if k >= 0 else 1 for k in own)
-                out.append((n, " ".join(as_ids[k] if k >= 0 else str(-1 - k) for k in own), " ".join(as_text[k] if k >= 0 else labels[-1 - k] for k in own)))
-        return out
+        made = self._spelled(list(words))
+        special = {-1 - i: (1, str(i), s) for s, i in self.special.items()}
+        rows = [[made[k] if k >= 0 else special[k] for k in own] for own in plan]
+        return [(sum(x[0] for x in r), " ".join([x[1] for x in r]), " ".join([x[2] for x in r])) for r in rows]
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """Number of tokens, ids in decimal, decoded text; both joined by a space."""
         pieces = [space_pieces(t) for t in texts]
         known = self.cache(pieces)
         for own in pieces:
-            got = [x for x in map(known.__getitem__, own) if x[0]]
-            yield sum(x[0] for x in got), " ".join([x[1] for x in got]), " ".join([x[2] for x in got])
+            if own:
+                counts, ids, decoded = zip(*map(known.__getitem__, own), strict=True)
+                yield sum(counts), " ".join(ids), " ".join(decoded)
+            else:
+                yield 0, "", ""
 
 
 def pack_automaton(a: Automaton) -> dict:
@@ -256,6 +294,16 @@ def unpack_automaton(d: dict) -> Automaton:
     return Automaton(**d | {"missing": np.frombuffer(zlib.decompress(data), np.uint8).reshape(shape)})
 
 
+_HELD: dict[str, WordTokenizer] = {}
+
+
+def held_tokenizer(vocabulary: str, sent) -> WordTokenizer:
+    """One for all tasks of a Python worker, made from the broadcast automaton."""
+    if vocabulary not in _HELD:
+        _HELD[vocabulary] = WordTokenizer(vocabulary, unpack_automaton(sent.value))
+    return _HELD[vocabulary]
+
+
 SCHEMA = "doc_id long, n_tokens long, ids string, decoded string"
 
 
@@ -267,7 +315,7 @@ def round_trip(docs: DataFrame, vocabulary: str = WORD_VOCAB, hashed: bool = Fal
     show = (lambda s: hashlib.sha256(s.encode()).hexdigest()) if hashed else (lambda s: s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(vocabulary, unpack_automaton(automaton.value))
+        tokenizer = held_tokenizer(vocabulary, automaton)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts):

@@ -13,6 +13,7 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 from unicodedata import is_normalized
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
@@ -45,17 +46,15 @@ def byte_pieces(text: str) -> list[str]:
 class PieceCache:
     """Values of pieces; a batch's missing pieces are made together, and the cache is emptied when it is full."""
 
-    def __init__(self, make: Callable[[list[str]], Iterable], most: int = 300_000):
-        gc.freeze()
-        gc.disable()  # the cached values hold no cycles, and walking them costs more than making them
+    def __init__(self, make: Callable[[list[str]], Iterable], most: int = 400_000):
+        gc.set_threshold(200_000, 50, 100)  # the cached values hold no cycles; walking them often costs more than making them
         self.make, self.most, self.known = make, most, {}
 
     def __call__(self, pieces: Iterable[list[str]]) -> dict:
         known = self.known
         missing = list(set().union(*pieces).difference(known))
-        if len(known) + len(missing) > self.most:
-            known.clear()
-            missing = list(set().union(*pieces))
+        if len(known) + len(missing) > self.most:  # what this batch uses stays
+            self.known = known = {p: known[p] for p in set().union(*pieces) if p in known}
         for at in range(0, len(missing), 20_000):
             part = missing[at : at + 20_000]
             known.update(zip(part, self.make(part), strict=True))
@@ -87,34 +86,50 @@ class Encoder:
         self.split = space_pieces if self.lower else byte_pieces
         self.cache = PieceCache(self._ids)
         self.cores: dict[str, bytes] = {}
-        self.ends = {c: self._whole([c])[0] for c in ".,"} | {"": b""}
+        self.signs = frozenset(".,")
+        self.ends = {c: self._whole([c])[0] for c in ".,\n"}
 
     def _whole(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [array(self.kind, e.ids).tobytes() for e in found]
 
-    def _core(self, core: str) -> bytes:
-        if not self.lower:
-            core = " " + core
-        if not core.isascii() or not self.lower:
-            core = "".join([self.symbols[b] for b in core.encode()])
-        return array(self.kind, [t.id for t in self.model.tokenize(core)]).tobytes()
+    def _letters(self, core: str, spaced: bool) -> bytes:
+        """Ids of a run of letters, with the space in front if ``spaced``."""
+        key = core if spaced or self.lower else "\n" + core
+        ids = self.cores.get(key)
+        if ids is None:
+            coded = core if core.isascii() else "".join([self.symbols[b] for b in core.encode()])
+            if spaced and not self.lower:
+                coded = self.symbols[32] + coded
+            ids = self.cores[key] = array(self.kind, [t.id for t in self.model.tokenize(coded)]).tobytes()
+        return ids
+
+    def _simple(self, piece: str, spaced: bool) -> bytes | None:
+        """Ids of a run of letters with at most one sign after it; None if the piece is anything else."""
+        end = piece[-1:] if piece[-1:] in self.signs else ""
+        core = piece[:-1] if end else piece
+        if not core.isalpha():
+            return None
+        if self.lower:
+            if not core.isascii() and not (_CASES.isdisjoint(core) and is_normalized("NFC", core)):
+                return None
+            core = core.lower()
+        ids = self._letters(core, spaced)
+        return ids + self.ends[end] if end else ids
+
+    def _lines(self, piece: str) -> bytes | None:
+        """The same for simple pieces with single line breaks between them (byte vocabulary)."""
+        first, *rest = piece.split("\n")
+        parts = [self._simple(first, True), *(self._simple(p, False) for p in rest)]
+        return None if None in parts else self.ends["\n"].join(parts)
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
-        out, rest, cores, lower = [b""] * len(pieces), [], self.cores, self.lower
-        if len(cores) > self.cache.most:
-            cores.clear()
-        for i, p in enumerate(pieces):
-            end = p[-1:] if p[-1:] in (".", ",") else ""
-            core = p[:-1] if end else p
-            if core.isalpha() and (not lower or core.isascii() or _CASES.isdisjoint(core) and is_normalized("NFC", core)):
-                core = core.lower() if lower else core
-                if (ids := cores.get(core)) is None:
-                    ids = cores[core] = self._core(core)
-                out[i] = ids + self.ends[end]
-            else:
-                rest.append(i)
-        for i, ids in zip(rest, self._whole([pieces[i] if lower else " " + pieces[i] for i in rest]), strict=True):
+        if len(self.cores) > self.cache.most:
+            self.cores.clear()
+        simple, lines = self._simple, not self.lower
+        out = [self._lines(p) if lines and "\n" in p else simple(p, True) for p in pieces]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self._whole([pieces[i] if self.lower else " " + pieces[i] for i in rest]), strict=True):
             out[i] = ids
         return out
 
@@ -128,6 +143,12 @@ class Encoder:
         return [f + b"".join(map(known.__getitem__, p)) for f, p in zip(firsts, pieces, strict=True)]
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a Python worker."""
+    return Encoder(path)
+
+
 def slices(texts: list[str], most: int = 4_000_000):
     """Ranges of a batch of at most so many characters, a longer text alone."""
     start = total = 0
