@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorgate.llm.common import BYTE_VOCAB, crc32, query, table
-from sensorgate.llm.words import Encoder, slices
+from sensorgate.llm.words import encoder, slices
 
 
 @dataclass(frozen=True)
@@ -161,7 +161,7 @@ def pack_documents(docs: DataFrame, vocabulary: str = BYTE_VOCAB, end: int | Non
     chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *(["prompt_chars"] if prompts else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, base, made = Encoder(vocabulary), TaskContext.get().partitionId() << 32, 0
+        encode, base, made = encoder(vocabulary), TaskContext.get().partitionId() << 32, 0
         last = b"" if end is None else np.array([end], encode.width).tobytes()
         keys, examples, masks, held = [], [], [], 0
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorgate.llm.common import WORD_VOCAB, crc32, documents, query, stored
-from sensorgate.llm.words import Encoder, slices
+from sensorgate.llm.words import encoder, slices
 from sensorgate.session import scratch_path
 
 HEADER = "<8sQ"
@@ -50,7 +50,7 @@ def write_shards(docs: DataFrame, vocabulary: str, end: int | None, folder: str)
     ordered = ordered.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context, encode = TaskContext.get(), Encoder(vocabulary)
+        context, encode = TaskContext.get(), encoder(vocabulary)
         last = b"" if end is None else np.array([end], encode.width).tobytes()
         width, shard, offset, previous, copy, started, out = np.dtype(encode.width).itemsize, context.partitionId(), 0, None, 0, False, None
         name = f"shard-{shard:06d}-{context.taskAttemptId()}.bin"
