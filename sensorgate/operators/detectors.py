@@ -1,8 +1,8 @@
 """Persistence gate and classical sequential detectors.
 
 Linear state (the gate's bucket, running CUSUM) is written as blocked window sums and scales past one task per key.
-Detectors that reset when they fire are truly sequential: they fold over one key's hourly rows, so their
-parallelism is the number of (entity, variant, trial) keys, and a key's size is its number of hours.
+Detectors that reset when they fire are sequential in time: a task takes many timelines at once and moves all of them,
+under all limits, one hour at a time, so the loop has as many steps as a timeline has hours.
 """
 
 from __future__ import annotations
@@ -109,114 +109,188 @@ def by_groups(df: DataFrame, keys):
     return df.repartition(n, *keys).groupBy(*keys)
 
 
-# State folds: one value of every key per step, all thresholds h at once.
+# Charts: the statistic of many timelines (rows) under many limits (columns) moves one hour at a time. ``advance`` takes
+# the hour's scores as a column; ``forget`` restarts the cells that fired.
 
 
-def ewma_fires(z: np.ndarray, h: np.ndarray, lam: float = 0.3) -> np.ndarray:
-    out, g = np.zeros((len(z), len(h)), bool), np.zeros(len(h))
-    for t, v in enumerate(z):
-        g = (1 - lam) * g + lam * v
-        out[t] = g > h
-        g[out[t]] = 0.0
-    return out
+class Smoothed:
+    """Exponentially weighted mean with weight 0.3 of the newest score."""
 
+    def __init__(self, shape, weight: float = 0.3):
+        self.level, self.weight = np.zeros(shape), weight
 
-def cusum_fires(z: np.ndarray, h: np.ndarray, k: float = 0.5) -> np.ndarray:
-    out, s = np.zeros((len(z), len(h)), bool), np.zeros(len(h))
-    for t, v in enumerate(z):
-        s = np.maximum(0.0, s + v - k)
-        out[t] = s > h
-        s[out[t]] = 0.0
-    return out
+    def advance(self, score: np.ndarray) -> np.ndarray:
+        self.level += self.weight * (score - self.level)
+        return self.level
 
+    def forget(self, cells: np.ndarray) -> None:
+        self.level[cells] = 0.0
 
-def page_hinkley_fires(z: np.ndarray, h: np.ndarray, delta: float = 0.1) -> np.ndarray:
-    out, m = np.zeros((len(z), len(h)), bool), len(h)
-    mean, total, low, n = np.zeros(m), np.zeros(m), np.zeros(m), np.zeros(m)
-    for t, v in enumerate(z):
-        n += 1
-        mean += (v - mean) / n
-        total += v - mean - delta
-        low = np.minimum(low, total)
-        out[t] = total - low > h
-        for state in (mean, total, low, n):
-            state[out[t]] = 0.0
-    return out
 
+class SumAbove:
+    """One-sided cumulative sum above an allowance of 0.5."""
 
-FOLDS = {"ewma": ewma_fires, "cusum": cusum_fires, "page_hinkley": page_hinkley_fires}
+    def __init__(self, shape, allowance: float = 0.5):
+        self.excess, self.allowance = np.zeros(shape), allowance
 
+    def advance(self, score: np.ndarray) -> np.ndarray:
+        self.excess += score - self.allowance
+        return np.clip(self.excess, 0.0, None, out=self.excess)
 
-def fold_onsets(df: DataFrame, keys, time: str, score: str, thresholds: dict) -> DataFrame:
-    """Fire-and-reset detectors: adds ``on_<name>`` for each of ``{name: h}``; NULL scores count as 0."""
-    keys, names = list(keys), list(thresholds)
-    schema = df.select(*keys, time, score).schema
-    for n in names:
-        schema = schema.add(f"on_{n}", "boolean")
+    def forget(self, cells: np.ndarray) -> None:
+        self.excess[cells] = 0.0
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time)
-        z = pdf[score].fillna(0.0).to_numpy(float)
-        for n in names:
-            pdf[f"on_{n}"] = FOLDS[n](z, np.array([float(thresholds[n])]))[:, 0]
-        return pdf
 
-    return by_groups(df.select(*keys, time, score), keys).applyInPandas(run, schema)
+class RiseOverMean:
+    """Page-Hinkley: rise of the summed deviations from the running mean, less 0.1 each, over their lowest point."""
 
+    def __init__(self, shape, tolerance: float = 0.1):
+        self.count, self.mean, self.walk, self.floor = (np.zeros(shape) for _ in range(4))
+        self.tolerance = tolerance
 
-def _turns_on(level: np.ndarray) -> np.ndarray:
-    out = level.copy()
-    out[1:] &= ~level[:-1]
-    return out
+    def advance(self, score: np.ndarray) -> np.ndarray:
+        self.count += 1.0
+        self.mean += (score - self.mean) / self.count
+        self.walk += score - self.mean - self.tolerance
+        np.minimum(self.floor, self.walk, out=self.floor)
+        return self.walk - self.floor
+
+    def forget(self, cells: np.ndarray) -> None:
+        for held in (self.count, self.mean, self.walk, self.floor):
+            held[cells] = 0.0
+
+
+CHARTS = {"ewma": Smoothed, "cusum": SumAbove, "page_hinkley": RiseOverMean}
 
 
-def gate_levels(z: np.ndarray, h: np.ndarray, p: GateParams = GateParams()) -> np.ndarray:
-    out, bucket, on = np.zeros((len(z), len(h)), bool), 0.0, np.zeros(len(h), bool)
-    for t, v in enumerate(z):
-        bucket = p.decay * bucket + min(max(0.0, v - p.deadband), p.cap)
-        on = np.where(on, bucket > p.open, bucket >= h)
-        out[t] = on
+def chart_fires(chart, scores: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """Hours x timelines x limits: where the statistic passes its limit, after which it restarts.
+
+    ``scores`` is hours x timelines, ``limits`` has a row for all timelines or one for each.
+    """
+    shape = (scores.shape[1], limits.shape[1])
+    state, out = chart(shape), np.empty((len(scores), *shape), bool)
+    for hour, score in enumerate(scores[:, :, None]):
+        np.greater(state.advance(score), limits, out=out[hour])
+        state.forget(out[hour])
     return out
 
 
-def _window_shift(z: np.ndarray, w: int = 24) -> np.ndarray:
-    out = np.full(len(z), -np.inf)
-    if len(z) > 2 * w:
-        win = np.lib.stride_tricks.sliding_window_view(z, w)
-        mean, var = win.mean(axis=1), win.var(axis=1)
-        k = np.arange(2 * w, len(z))
-        out[k] = (mean[k - w] - mean[k - 2 * w]) / (np.sqrt(var[k - w] / w + var[k - 2 * w] / w) + 1e-9)
+class Latch:
+    """The gate's bucket and its latch for many timelines and closing limits; the bucket does not depend on the limit."""
+
+    def __init__(self, timelines: int, limits: np.ndarray, params: GateParams):
+        self.bucket, self.closed = np.zeros((timelines, 1)), np.zeros((timelines, limits.shape[1]), bool)
+        self.limits, self.p = limits, params
+
+    def advance(self, score: np.ndarray) -> np.ndarray:
+        self.bucket = self.p.decay * self.bucket + np.clip(score - self.p.deadband, 0.0, self.p.cap)
+        self.closed = (self.closed & (self.bucket > self.p.open)) | (~self.closed & (self.bucket >= self.limits))
+        return self.closed
+
+
+def gate_closed(scores: np.ndarray, limits: np.ndarray, params: GateParams = GateParams()) -> np.ndarray:
+    latch = Latch(scores.shape[1], limits, params)
+    return np.stack([latch.advance(score) for score in scores[:, :, None]])
+
+
+def _edges(level: np.ndarray) -> np.ndarray:
+    """First hours of the spans where a level holds."""
+    return level & ~np.concatenate([np.zeros_like(level[:1]), level[:-1]])
+
+
+def window_shift(scores: np.ndarray, w: int = 24) -> np.ndarray:
+    """Difference of the means of two adjacent windows before each hour in standard errors; none in the first hours."""
+    out = np.full(scores.shape, -np.inf)
+    if len(scores) > 2 * w:
+        win = np.lib.stride_tricks.sliding_window_view(scores, w, axis=0)
+        mean, var = win.mean(-1), win.var(-1)
+        out[2 * w :] = (mean[w:-1] - mean[: -w - 1]) / (np.sqrt((var[w:-1] + var[: -w - 1]) / w) + 1e-9)
     return out
 
 
-# Registry of detectors: score stream and thresholds -> onset stream per threshold.
+# Registry of detectors: scores (hours x timelines) and limits -> onsets (hours x timelines x limits).
 DETECTORS = {
-    "static": lambda z, h: _turns_on(z[:, None] > h),
-    "ewma": ewma_fires,
-    "cusum": cusum_fires,
-    "page_hinkley": page_hinkley_fires,
-    "adwin": lambda z, h: _turns_on(_window_shift(z)[:, None] > h),
-    "gate": lambda z, h: _turns_on(gate_levels(z, h)),
+    "static": lambda z, h: _edges(z[:, :, None] > h),
+    "ewma": lambda z, h: chart_fires(Smoothed, z, h),
+    "cusum": lambda z, h: chart_fires(SumAbove, z, h),
+    "page_hinkley": lambda z, h: chart_fires(RiseOverMean, z, h),
+    "adwin": lambda z, h: _edges(window_shift(z)[:, :, None] > h),
+    "gate": lambda z, h: _edges(gate_closed(z, h)),
 }
 
+BLOCK_ROWS = 250_000  # rows of whole timelines that a task holds at once
+
+
+def on_timelines(df: DataFrame, keys, time: str, run, schema) -> DataFrame:
+    """``run(rows, line, hour)`` over blocks of whole timelines: rows sorted by keys and time, the number of each row's
+    timeline in the block and its place in the timeline. A task holds BLOCK_ROWS rows, or one longer timeline."""
+    keys = list(keys)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def numbered(rows: pd.DataFrame):
+        same = (rows[keys] == rows[keys].shift()) | (rows[keys].isna() & rows[keys].shift().isna())
+        begins = ~same.all(axis=1).to_numpy()
+        begins[0] = True
+        line = np.cumsum(begins) - 1
+        return line, np.arange(len(rows)) - np.flatnonzero(begins)[line]
+
+    def blocks(batches):
+        held, size = [], 0
+        for pdf in batches:
+            held.append(pdf)
+            size += len(pdf)
+            if size >= BLOCK_ROWS:
+                rows = pd.concat(held, ignore_index=True)
+                line, hour = numbered(rows)
+                last = int(np.searchsorted(line, line[-1]))  # the last timeline may go on in the next batch
+                if last:
+                    yield run(rows[:last], line[:last], hour[:last])
+                held, size = [rows[last:]], 0
+        if held and len(rows := pd.concat(held, ignore_index=True)):
+            yield run(rows, *numbered(rows))
+
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, time).mapInPandas(blocks, schema)
+
+
+def as_matrix(values, line: np.ndarray, hour: np.ndarray) -> np.ndarray:
+    """Hours x timelines, 0 where there is no value."""
+    out = np.zeros((hour.max() + 1, line[-1] + 1))
+    out[hour, line] = np.nan_to_num(np.asarray(values, float), nan=0.0)
+    return out
+
+
+def fold_onsets(df: DataFrame, keys, time: str, score: str, thresholds: dict) -> DataFrame:
+    """Fire-and-reset detectors: adds ``on_<name>`` for each of ``{name: h}``; NULL scores count as 0."""
+    keys, names = list(keys), list(thresholds)
+    d = df.select(*keys, time, score)
+    schema = ", ".join([f"`{n}` {t}" for n, t in d.dtypes] + [f"on_{n} boolean" for n in names])
+
+    def run(rows, line, hour):
+        z = as_matrix(rows[score], line, hour)
+        fires = {f"on_{n}": chart_fires(CHARTS[n], z, np.array([[float(thresholds[n])]]))[hour, line, 0] for n in names}
+        return rows.assign(**fires)
+
+    return on_timelines(d, keys, time, run, schema)
+
 
 def onset_counts(df: DataFrame, keys, time: str, score: str, detectors, grid) -> DataFrame:
-    """Number of onsets per key, detector and threshold of a grid (one pass over the key for the whole grid)."""
+    """Number of onsets per key, detector and threshold of a grid (one pass over the timelines for the whole grid)."""
     keys, names, h = list(keys), list(detectors), np.asarray(grid, float)
-    schema = df.select(*keys).schema.add("detector", "string").add("h_index", "integer").add("h", "double").add("n_onsets", "long")
+    schema = ", ".join([f"`{n}` {t}" for n, t in df.select(*keys).dtypes] + ["detector string, h_index int, h double, n_onsets long"])
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        z = pdf.sort_values(time)[score].to_numpy(float)
-        parts = [
-            pd.DataFrame({"detector": n, "h_index": np.arange(len(h)), "h": h, "n_onsets": DETECTORS[n](z, h).sum(axis=0)})
-            for n in names
-        ]
-        out = pd.concat(parts)
-        for name, value in reversed(list(zip(keys, key))):
-            out.insert(0, name, value)
-        return out
+    def run(rows, line, hour):
+        z, heads = as_matrix(rows[score], line, hour), rows.loc[hour == 0, keys]
+        lived = np.bincount(line)  # hours of each timeline; padding is not counted
+        inside = (np.arange(len(z))[:, None] < lived)[:, :, None]
+        parts = []
+        for n in names:
+            counts = (DETECTORS[n](z, h[None, :]) & inside).sum(0)
+            part = heads.loc[heads.index.repeat(len(h))].reset_index(drop=True)
+            parts.append(part.assign(detector=n, h_index=np.tile(np.arange(len(h)), len(heads)), h=np.tile(h, len(heads)), n_onsets=counts.reshape(-1)))
+        return pd.concat(parts)
 
-    return by_groups(df.select(*keys, time, score), keys).applyInPandas(run, schema)
+    return on_timelines(df.select(*keys, time, score), keys, time, run, schema)
 
 
 def matched_threshold(counts: DataFrame, keys, target: float) -> DataFrame:
@@ -230,16 +304,20 @@ def matched_threshold(counts: DataFrame, keys, target: float) -> DataFrame:
 def detector_onsets(df: DataFrame, keys, time: str, score: str, threshold: str, detector: str) -> DataFrame:
     """Onset stream of the registered detector named in a column, at the threshold in another column."""
     keys = list(keys)
-    schema = df.select(*keys, time).schema.add("onset", "boolean")
+    d = df.select(*dict.fromkeys([*keys, time, score, threshold, detector]))
+    kinds = dict(d.dtypes)
+    schema = ", ".join([f"`{n}` {kinds[n]}" for n in [*keys, time]] + ["onset boolean"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time)
-        h = pdf[threshold].iloc[:1].to_numpy(float)
-        pdf["onset"] = DETECTORS[pdf[detector].iloc[0]](pdf[score].to_numpy(float), h)[:, 0]
-        return pdf[[*keys, time, "onset"]]
+    def run(rows, line, hour):
+        heads = rows[hour == 0]
+        z, h, names = as_matrix(rows[score], line, hour), heads[threshold].to_numpy(float)[:, None], heads[detector].to_numpy()
+        onset = np.zeros(z.shape, bool)
+        for n in set(names):
+            own = names == n
+            onset[:, own] = DETECTORS[n](z[:, own], h[own])[:, :, 0]
+        return rows[[*keys, time]].assign(onset=onset[hour, line])
 
-    cols = list(dict.fromkeys([*keys, time, score, threshold, detector]))
-    return by_groups(df.select(*cols), keys).applyInPandas(run, schema)
+    return on_timelines(d, keys, time, run, schema)
 
 
 def gated_baseline(
@@ -251,25 +329,25 @@ def gated_baseline(
     Adds ``score`` (robust distance from the running mean), ``closed`` and ``mu``.
     """
     keys = list(keys)
-    schema = df.select(*keys, time).schema.add("score", "double").add("closed", "boolean").add("mu", "double")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time)
-        first = pdf.iloc[0]
-        mu, c, s, use_gate = float(first[mu0]), float(first[centre]), float(first[scale]), bool(first[gated])
-        bucket, on, rows = 0.0, False, []
-        for t, x in enumerate(pdf[value].to_numpy(float)):
-            score = (abs(x - mu) - c) / s
-            bucket = params.decay * bucket + min(max(0.0, score - params.deadband), params.cap)
-            on = bucket > params.open if on else bucket >= params.close
-            if t >= warm and not (use_gate and on):
-                mu += rate * (x - mu)
-            rows.append((score, on, mu))
-        pdf[["score", "closed", "mu"]] = pd.DataFrame(rows, index=pdf.index)
-        return pdf[[*keys, time, "score", "closed", "mu"]]
-
-    cols = list(dict.fromkeys([*keys, time, value, mu0, centre, scale, gated]))
-    return by_groups(df.select(*cols), keys).applyInPandas(run, schema)
+    d = df.select(*dict.fromkeys([*keys, time, value, mu0, centre, scale, gated]))
+    kinds = dict(d.dtypes)
+    schema = ", ".join([f"`{n}` {kinds[n]}" for n in [*keys, time]] + ["score double, closed boolean, mu double"])
+
+    def run(rows, line, hour):
+        heads, x = rows[hour == 0], as_matrix(rows[value], line, hour)
+        mean, middle, spread = (heads[c].to_numpy(float) for c in (mu0, centre, scale))
+        free = ~heads[gated].to_numpy(bool)
+        latch = Latch(x.shape[1], np.full((1, 1), params.close), params)
+        distance, shut, track = np.empty(x.shape), np.empty(x.shape, bool), np.empty(x.shape)
+        for t, now in enumerate(x):
+            distance[t] = (np.abs(now - mean) - middle) / spread
+            shut[t] = latch.advance(distance[t][:, None])[:, 0]
+            if t >= warm:
+                mean = mean + np.where(free | ~shut[t], rate * (now - mean), 0.0)
+            track[t] = mean
+        return rows[[*keys, time]].assign(score=distance[hour, line], closed=shut[hour, line], mu=track[hour, line])
+
+    return on_timelines(d, keys, time, run, schema)
 
 
 def calibrate_gate(df: DataFrame, keys, stream: str) -> DataFrame:
@@ -287,14 +365,12 @@ GRID_SMOOTHING = [(a, b, g) for a in (0.1, 0.3, 0.6) for b in (0.01, 0.1) for g
 
 
 def holt_winters(y: np.ndarray, period: int, a: float, b: float, g: float) -> np.ndarray:
-    """One-step-ahead values of additive trend and season with given constants."""
+    """One-step-ahead values of additive trend and season with given constants; none (NaN) without two whole periods."""
     if len(y) < 2 * period:
-        season, level = np.zeros(period), y[0]
-        trend = 0.0
-    else:
-        first, second = y[:period], y[period : 2 * period]
-        level, trend = first.mean(), (second.mean() - first.mean()) / period
-        season = first - level
+        return np.full(len(y), np.nan)
+    first, second = y[:period], y[period : 2 * period]
+    level, trend = first.mean(), (second.mean() - first.mean()) / period
+    season = first - level
     season, out = season.copy(), np.zeros(len(y))
     for t, v in enumerate(y):
         s = season[t % period]
@@ -319,7 +395,8 @@ def local_trend(y: np.ndarray, a: float, b: float) -> np.ndarray:
 def forecast_residuals(df: DataFrame, keys, time: str, value: str, period: int = 24) -> DataFrame:
     """Residuals of both forecasters per segment, constants chosen from a grid by squared error.
 
-    Segments are put on an hourly grid and filled in linearly first; they have no long gaps by construction.
+    Segments are put on an hourly grid and filled in linearly first; they have no long gaps by construction. The seasonal
+    model needs two whole periods: shorter segments have NULL as its fitted value and residual.
     """
     keys = list(keys)
     schema = df.select(*keys).schema.add(time, "long").add("model", "string").add("fitted", "double").add("resid", "double")
@@ -337,7 +414,7 @@ def forecast_residuals(df: DataFrame, keys, time: str, value: str, period: int =
         parts = []
         for name, options in fits.items():
             fit = min(options, key=lambda f: float(((y - f) ** 2).sum()))
-            parts.append(pd.DataFrame({time: t, "model": name, "fitted": fit, "resid": y - fit}))
+            parts.append(pd.DataFrame({time: t, "model": name, "fitted": fit, "resid": y - fit}).astype({"fitted": "Float64", "resid": "Float64"}))
         out = pd.concat(parts)
         for name, v in reversed(list(zip(keys, key))):
             out.insert(0, name, v)

@@ -101,15 +101,30 @@ def test_reset_detectors(spark, series, h):
 def test_grid_counts_equal_single_runs(series):
     z, grid = series.v.fillna(0).to_numpy()[:600], np.linspace(0.5, 15, 60)
     for f in det.DETECTORS.values():
-        many = f(z, grid).sum(axis=0)
-        assert (many == [f(z, np.array([h]))[:, 0].sum() for h in grid]).all()
+        many = f(z[:, None], grid[None, :]).sum(axis=0)[0]
+        assert (many == [f(z[:, None], np.array([[h]])).sum() for h in grid]).all()
+
+
+def test_timelines_of_unequal_length_and_split_batches(spark, monkeypatch):
+    monkeypatch.setattr(det, "BLOCK_ROWS", 50)
+    r = np.random.default_rng(5)
+    rows = pd.concat([pd.DataFrame({"k": k, "t": np.arange(n), "v": r.normal(1, 1, n)}) for k, n in enumerate([3, 170, 40, 1, 90, 60])])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        got = det.onset_counts(spark.createDataFrame(rows), ["k"], "t", "v", det.DETECTORS, [0.7, 2.5]).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for (k, n, h), g in got.groupby(["k", "detector", "h"]):
+        v = rows[rows.k == k].v.to_numpy()[:, None]
+        assert g.n_onsets.tolist() == [det.DETECTORS[n](v, np.array([[h]])).sum()]
+    assert len(got) == 6 * 6 * 2
 
 
 def test_window_form_of_shift_detector(spark, series):
     d = frame(spark, series.fillna(0.0))
     got = det.window_shift_onsets(d, ["entity"], "hr", "v", 2.0).toPandas().sort_values(["entity", "hr"])
     for e, g in series.fillna(0.0).groupby("entity"):
-        want = det.DETECTORS["adwin"](g.v.to_numpy(), np.array([2.0]))[:, 0]
+        want = det.DETECTORS["adwin"](g.v.to_numpy()[:, None], np.array([[2.0]]))[:, 0, 0]
         assert (got[got.entity == e].onset.to_numpy() == want).all()
 
 
