@@ -27,8 +27,9 @@ def micros(ts) -> Column:
 
 
 def int_div(a, b: int) -> Column:
-    """Floor division on whole numbers that are not negative."""
-    return F.call_function("div", as_col(a), F.lit(b).cast("long"))
+    """Floor division on whole numbers, also below zero (clocks before 1970)."""
+    a, b = as_col(a), F.lit(b).cast("long")
+    return F.call_function("div", a - F.pmod(a, b), b)
 
 
 def hour_index(ts) -> Column:

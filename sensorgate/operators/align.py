@@ -48,22 +48,22 @@ def daily_to_hourly(hourly: DataFrame, daily: DataFrame, keys, hour: str, day: s
     return hourly.withColumn(day, days).join(full, [*keys, day], "left")
 
 
-def asof(left: DataFrame, right: DataFrame, keys, time: str, value: str, width: int, backfill: bool = False) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, keys, time: str, value: str, width: int, backfill: bool = False, tie: str | None = None) -> DataFrame:
     """Latest ``value`` of the right side at or before each left row; ``backfill`` gives leading rows the next one.
 
     Both sides are stacked and scanned in blocks of ``width`` time units, so a key may be of any size. A right row
-    at the same time counts as before.
+    at the same time counts as before. Of right rows at one time the last one by ``tie`` counts, by value if not given.
     """
     keys = list(keys)
     l = left.withColumns({"_side": F.lit(1), "_val": F.lit(None).cast(dict(right.dtypes)[value])})
-    r = right.select(*keys, time, F.lit(0).alias("_side"), F.col(value).alias("_val"))
+    r = right.select(*keys, time, F.lit(0).alias("_side"), F.col(value).alias("_val"), F.col(tie or value).alias("_tie"))
     both = l.unionByName(r, allowMissingColumns=True)
-    blk, order = F.floor(F.col(time) / width).cast("long"), [time, "_side"]
+    blk, order = F.floor(F.col(time) / width).cast("long"), [time, "_side", "_tie"]
     both = carry(both, keys, order, F.col("_val"), "_prev", blk)
     if backfill:  # a row without an earlier value lies before the first one of its key
         first = r.filter(F.col("_val").isNotNull()).groupBy(*keys).agg(F.min_by("_val", time).alias("_first"))
         both = both.join(first, keys, "left").withColumn("_prev", F.coalesce("_prev", "_first")).drop("_first")
-    return both.filter(F.col("_side") == 1).withColumn(value, F.col("_prev")).drop("_side", "_val", "_prev")
+    return both.filter(F.col("_side") == 1).withColumn(value, F.col("_prev")).drop("_side", "_val", "_prev", "_tie")
 
 
 def keep_first(df: DataFrame, keys, order, count: str | None = None) -> DataFrame:

@@ -31,15 +31,15 @@ def resample(trials: DataFrame, pool: DataFrame, trial: str, length: int, salt:
 
 
 def contiguous_slice(trials: DataFrame, pool: DataFrame, trial: str, length: int, salt: int = 0) -> DataFrame:
-    """A run of consecutive pool rows from a drawn start."""
+    """A run of consecutive pool rows from a drawn start; a pool shorter than the run starts again from its first row."""
     d = trials.withColumn("_n", pool_size(pool))
     d = d.withColumn("_s", (mix(trial, F.lit(0), salt) % F.greatest(F.col("_n") - length, F.lit(1))).cast("long"))
-    d = d.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).withColumn("pool_idx", F.col("_s") + F.col("t"))
+    d = d.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).withColumn("pool_idx", (F.col("_s") + F.col("t")) % F.col("_n"))
     return d.join(pool, "pool_idx").drop("_n", "_s", "pool_idx")
 
 
 def plan_events(trials: DataFrame, trial: str, length: int = 240, n_spikes: int = 4, salt: int = 100) -> DataFrame:
-    """One sustained span [a0, a1) and single-hour spikes per trial."""
+    """The layout of the timelines. One sustained span [a0, a1) and single-hour spikes per trial."""
     draw = lambda i, n: (mix(trial, F.lit(i), salt) % n).cast("int")
     d = trials.withColumn("a0", 40 + draw(0, length - 80))
     d = d.withColumn("a1", F.col("a0") + 12 + draw(1, 18))
@@ -214,12 +214,12 @@ def roc_auc(df: DataFrame, keys, score: str, label: str) -> DataFrame:
 
     Scores are first counted by value; the running count of negatives is a blocked scan over value ranges.
     """
-    from sensorgate.operators.quantiles import value_range_id
+    from sensorgate.operators.quantiles import value_ranges
     from sensorgate.operators.scan import running_sum
 
     keys = list(keys)
     c = _score_counts(df, keys, score, label).withColumn(score, F.col(score).cast("double"))
-    c = running_sum(c, keys, [score], "_q", "_below", value_range_id(score))
+    c = running_sum(value_ranges(c, keys, score, "_r"), keys, [score], "_q", "_below", F.col("_r"))
     wins = F.sum(F.col("_p") * (F.col("_below") - F.col("_q") * 0.5))
     d = c.groupBy(*keys).agg(wins.alias("_u"), F.sum("_p").alias("n_pos"), F.sum("_q").alias("n_neg"))
     return d.select(*keys, safe_div(F.col("_u"), F.col("n_pos") * F.col("n_neg")).alias("auc"), "n_pos", "n_neg")
@@ -227,13 +227,18 @@ def roc_auc(df: DataFrame, keys, score: str, label: str) -> DataFrame:
 
 def roc_auc_ordered(df: DataFrame, keys, score: str, label: str, tie: str) -> DataFrame:
     """Trapezoid area with ties broken by ``tie`` order: each positive counts the negatives that come after it."""
-    from sensorgate.operators.quantiles import value_range_id
+    from sensorgate.operators.quantiles import value_ranges
     from sensorgate.operators.scan import running_sum
 
     keys = list(keys)
     y = F.col(label).cast("int")
     d = df.filter(F.col(score).isNotNull()).withColumns({"_p": y, "_q": 1 - y, "_ns": -F.col(score).cast("double")})
-    d = running_sum(d, keys, ["_ns", tie], "_q", "_above", value_range_id("_ns"))
+    # Rows of one score share a range, so ranges are cut by score first and a score's rows by their tie order.
+    d = value_ranges(d, keys, "_ns", "_r")
+    d = value_ranges(d, [*keys, "_r"], tie, "_t")
+    single = d.groupBy(*keys, "_r").agg((F.min("_ns") == F.max("_ns")).alias("_single"))
+    block = F.struct("_r", F.when(F.col("_single"), F.col("_t")).otherwise(0).alias("_t"))
+    d = running_sum(d.join(single, [*keys, "_r"]), keys, ["_ns", tie], "_q", "_above", block)
     g = d.groupBy(*keys).agg(
         F.sum("_p").alias("n_pos"), F.sum("_q").alias("n_neg"), F.sum(F.col("_p") * F.col("_above")).alias("_lost")
     )

@@ -121,22 +121,37 @@ def _matrix(pdf: pd.DataFrame, cols) -> np.ndarray:
     return pdf[list(cols)].to_numpy(float)
 
 
-def pair_sums(df: DataFrame, cols, shift=None) -> DataFrame:
+def typical(df: DataFrame, cols, rows: int = 32) -> np.ndarray:
+    """Medians of a few rows: a number inside the range of each feature, 0 where none of the rows has one."""
+    sample = df.select(*cols).limit(rows).toPandas()
+    if not len(sample):
+        return np.zeros(1)
+    x = _matrix(sample, list(cols))
+    x = np.where(np.isfinite(x), x, np.nan)
+    some = ~np.isnan(x).all(axis=0)
+    out = np.zeros(x.shape[1])
+    out[some] = np.nanmedian(x[:, some], axis=0)
+    return out
+
+
+def pair_sums(df: DataFrame, cols, shift=None, complete: bool = False) -> DataFrame:
     """Pairwise-complete sums of all feature pairs: rows (i, j, n, sx, sxx, sxy) with x feature i where j is known.
 
-    ``cols`` are numeric columns or one array column. ``shift`` (one number per feature) is taken off first, so
-    that large offsets do not cost precision. One p x p block per partition, combined map-side.
+    ``cols`` are numeric columns or one array column. Sums are of differences from ``shift`` (one number per feature;
+    medians of a few rows if not given), so that large offsets do not cost precision. With ``complete``, rows in which
+    any feature is missing are left out, and all pairs have the same n. One p x p block per partition, combined map-side.
     """
     cols = list(cols)
+    shift = typical(df, cols) if shift is None else np.asarray(shift, float)
 
     def partial(batches):
         total = None
         for pdf in batches:
             if not len(pdf):
                 continue
-            x = _matrix(pdf, cols)
-            if shift is not None:
-                x = x - np.asarray(shift, float)
+            x = _matrix(pdf, cols) - shift
+            if complete:
+                x = x[np.isfinite(x).all(axis=1)]
             known = np.isfinite(x).astype(float)
             x = np.where(known > 0, x, 0.0)
             part = np.stack([known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x])
@@ -147,7 +162,8 @@ def pair_sums(df: DataFrame, cols, shift=None) -> DataFrame:
             flat = total.reshape(4, -1)
             yield pd.DataFrame({"i": i, "j": j, "n": flat[0], "sx": flat[1], "sxx": flat[2], "sxy": flat[3]})
 
-    parts = df.select(*cols).mapInPandas(partial, "i int, j int, n double, sx double, sxx double, sxy double")
+    rows = df.select(*cols).where(F.col(cols[0]).isNotNull()) if len(cols) == 1 else df.select(*cols)
+    parts = rows.mapInPandas(partial, "i int, j int, n double, sx double, sxx double, sxy double")
     return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sxx", "sxy")])
 
 
@@ -170,14 +186,17 @@ class Moments:
 
 def moments(df: DataFrame, cols) -> Moments:
     """Mean and covariance of complete rows; the only thing collected is the p x p table of sums."""
-    rows = pair_sums(df, cols).collect()
-    p = max(r["i"] for r in rows) + 1
-    s, xy, n = np.zeros(p), np.zeros((p, p)), rows[0]["n"]
+    shift = typical(df, cols)
+    rows = pair_sums(df, cols, shift, complete=True).collect()
+    n = rows[0]["n"] if rows else 0
+    if not n:
+        raise ValueError("no complete row")
+    p = len(shift)
+    s, xy = np.zeros(p), np.zeros((p, p))
     for r in rows:
         xy[r["i"], r["j"]] = r["sxy"]
-        s[r["i"]] = r["sx"] if r["i"] == r["j"] else s[r["i"]]
-    mean = s / n
-    return Moments(n, mean, xy / n - np.outer(mean, mean))
+        s[r["i"]] = r["sx"]
+    return Moments(n, shift + s / n, xy / n - np.outer(s / n, s / n))
 
 
 def _fixed_sign(vectors: np.ndarray) -> np.ndarray:

@@ -14,14 +14,21 @@ from pyspark.sql import functions as F
 
 from sensorgate.functions.exprs import as_col
 
-RANGES_PER_OCTAVE = 256
+RANGES = 64  # that the values of a group are cut in
 
 
-def value_range_id(v) -> Column:
-    """Non-decreasing whole-number label of a double: about 0.3 % wide ranges on either side of zero."""
-    v = as_col(v)
-    size = F.floor((F.log2(F.abs(v)) + 1100.0) * RANGES_PER_OCTAVE).cast("long")
-    return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, size).otherwise(-size)
+def value_ranges(df: DataFrame, keys, value: str, out: str) -> DataFrame:
+    """Adds a whole-number range label that does not fall as the value rises within a group.
+
+    Cuts are approximate quantiles of the group's own values, so ranges hold about equal numbers of rows whatever offset
+    or scale the values have. Rows should be distinct by value (or counted), as equal values cannot be parted.
+    """
+    keys = list(keys)
+    shares = [k / RANGES for k in range(1, RANGES)]
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, shares, 40 * RANGES).alias("_cuts"))
+    d = df.join(cuts, keys) if keys else df.withColumn("_cuts", cuts.scalar())
+    label = F.size(F.filter("_cuts", lambda c: c < F.col(value))).cast("long")
+    return d.withColumn(out, F.coalesce(label, F.lit(0).cast("long"))).drop("_cuts")
 
 
 def _melt(df: DataFrame, keys, cols: dict) -> DataFrame:
@@ -35,7 +42,7 @@ def quantiles_long(df: DataFrame, keys, cols: dict, qs) -> DataFrame:
     keys = list(keys)
     group = [*keys, "_f"]
     counts = _melt(df, keys, cols).groupBy(*group, "_x").agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_r", value_range_id("_x"))
+    counts = value_ranges(counts, group, "_x", "_r")
     ranges = counts.groupBy(*group, "_r").agg(F.sum("_n").alias("_n"))
     along = W.partitionBy(*group).orderBy("_r")
     ranges = ranges.withColumn("_before", F.sum("_n").over(along.rowsBetween(W.unboundedPreceding, 0)) - F.col("_n"))

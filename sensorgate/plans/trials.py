@@ -253,7 +253,7 @@ def precision_recall(t):
     return rounded(bt.prf(c, "tp", "fp", "fn"))
 
 
-REPLICATES = 200
+REPLICATES = 2000
 
 
 def boot_sql(salt: int) -> str:
@@ -424,13 +424,13 @@ def pairs_indexed(t: Tables):
 @query(
     "b15_permutation_test",
     f"""WITH {MERGED}, p AS (SELECT row_number() OVER (ORDER BY entity, hr) - 1 AS idx, aud_level AS u, vid_flow AS v FROM merged WHERE aud_level IS NOT NULL AND vid_flow IS NOT NULL),
-    s AS (SELECT rep, idx AS i, v, row_number() OVER (PARTITION BY rep ORDER BY {mix_sql('idx', 'rep', 400)}, idx) - 1 AS idx FROM p, range(99) r(rep)),
+    s AS (SELECT rep, idx AS i, v, row_number() OVER (PARTITION BY rep ORDER BY {mix_sql('idx', 'rep', 400)}, idx) - 1 AS idx FROM p, range(500) r(rep)),
     n AS (SELECT rep, corr(p.u, s.v) AS r FROM s JOIN p USING (idx) GROUP BY rep), o AS (SELECT corr(u, v) AS r FROM p)
     SELECT {R('(count(*) FILTER (n.r >= o.r) + 1) / (count(*) + 1)')} AS p_value, {R('median(n.r)')} AS null_median, {R('quantile_cont(n.r, 0.95)')} AS null_p95 FROM n, o""",
 )
 def permutation(t):
     d = pairs_indexed(t)
-    null = bt.permutation_null(d, "idx", "aud_level", "vid_flow", 99)
+    null = bt.permutation_null(d, "idx", "aud_level", "vid_flow", 500)
     return rounded(bt.permutation_test(null, d.agg(F.corr("aud_level", "vid_flow").alias("r")), "r"))
 
 
@@ -525,7 +525,7 @@ def drift_curve(t):
 
     d, _ = habituation(t)
     size = F.abs("mu")
-    d = with_quantiles(cut_lineage(d), ["gated", "t"], [F.avg(size).alias("mean_level")], {"": size}, [0.025, 0.975], ["lo", "hi"])
+    d = with_quantiles(cut_lineage(d), ["gated", "t"], [F.avg(size).alias("mean_level")], {"": size}, [0.025, 0.975], ["lo", "hi"], bounded=False)
     return rounded(d.withColumnsRenamed({"_lo": "lo", "_hi": "hi"}))
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sensorgate.functions.exprs import clean_nan
+
 # Column names which are taken as the clock, in order of preference.
 TIME_NAMES = ("hour", "timestamp", "datetime", "time", "date_hour")
 
@@ -16,12 +18,13 @@ CSV_OPTIONS = {"header": True, "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSS
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table of a folder; NaN in its float columns is NULL from here on."""
+    return clean_nan(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def read_csv(spark: SparkSession, paths, schema: str) -> DataFrame:
-    """Header CSV files under one declared schema; no inference pass over the data."""
-    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(list(paths) if not isinstance(paths, str) else paths)
+    """Header CSV files under one declared schema; no inference pass over the data. NaN is NULL."""
+    return clean_nan(spark.read.schema(schema).options(**CSV_OPTIONS).csv(list(paths) if not isinstance(paths, str) else paths))
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -39,7 +42,7 @@ def read_existing(spark: SparkSession, paths, schema: str, fmt: str = "csv", on_
     if not found:
         raise FileNotFoundError("none of the given paths exists")
     d = spark.read.schema(schema).format(fmt).options(**CSV_OPTIONS).load(found)
-    return d.withColumn("source_path", F.col("_metadata.file_path"))
+    return clean_nan(d.withColumn("source_path", F.col("_metadata.file_path")))
 
 
 def find_time_column(columns) -> str | None:

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from sensorgate.functions import arrays as ar
 from sensorgate.functions import parse
+from sensorgate.functions.exprs import clean_nan, int_div
 from sensorgate.operators import aggregate as ag
 from sensorgate.operators import align
 from sensorgate.operators import backtest as bt
+from sensorgate.operators import detectors as det
 from sensorgate.operators import normalize as nz
 from sensorgate.sources import readers as io
 
@@ -168,3 +170,47 @@ def test_sources(spark, tmp_path):
         (tmp_path / n).write_text("x")
     files = io.media_files(io.list_files(spark, str(tmp_path)), ["wav"])
     assert sorted(r.path.rsplit("/", 1)[1] for r in files.collect()) == ["a.wav", "c.WAV"]
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e8])
+def test_moments_with_missing_values_and_offset(spark, offset):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 3)) @ np.array([[1.0, 0.7, 0.0], [0.0, 0.7, 0.2], [0.0, 0.0, 1.0]]) + offset
+    x[::2, 1] = np.nan
+    d = spark.createDataFrame(pd.DataFrame(x, columns=list("abc"))).repartition(4)
+    for frame in (d, clean_nan(d)):
+        m, want = nz.moments(frame, ["a", "b", "c"]), x[1::2]
+        assert m.n == 200 and np.allclose(m.mean, want.mean(0), rtol=1e-12, atol=1e-9) and np.allclose(m.cov, np.cov(want.T, bias=True), rtol=1e-5)
+        got = {(r.i, r.j): r for r in nz.corr_long(nz.pair_sums(frame, ["a", "b", "c"])).collect()}
+        for i in range(3):
+            for j in range(3):
+                both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+                assert got[i, j].n == both.sum() and np.isclose(got[i, j].r, np.corrcoef(x[both, i], x[both, j])[0, 1], atol=1e-6)
+
+
+def test_readers_turn_nan_into_null(spark, tmp_path):
+    spark.createDataFrame([(1, float("nan")), (2, 4.0), (3, 2.0)], "k int, v double").write.parquet(f"{tmp_path}/t.parquet")
+    d = io.read_table(spark, str(tmp_path), "t")
+    assert d.filter("v IS NULL").count() == 1 and d.agg(F.avg("v"), F.percentile("v", F.lit(0.5))).first() == (3.0, 3.0)
+
+
+def test_floor_division_before_1970(spark):
+    d = spark.range(-50, 50).select("id", int_div("id", 24).alias("q")).collect()
+    assert all(r.q == r.id // 24 for r in d)
+
+
+def test_slice_of_a_short_pool_wraps(spark):
+    pool = spark.range(100).select(F.col("id").alias("pool_idx"), F.col("id").alias("v"))
+    trials = spark.range(5).select(F.col("id").alias("trial"))
+    got = bt.contiguous_slice(trials, pool, "trial", 240).toPandas().sort_values(["trial", "t"])
+    assert got.groupby("trial").size().tolist() == [240] * 5
+    for _, g in got.groupby("trial"):
+        assert (np.diff(g.v) % 100 == 1).all()
+
+
+def test_short_segment_has_no_seasonal_model(spark):
+    d = spark.createDataFrame([("a", t, float(t % 7)) for t in range(30)] + [("b", t, float(np.sin(t * np.pi / 12)) + 0.01 * t) for t in range(96)], "k string, t long, v double")
+    got = det.forecast_residuals(d, ["k"], "t", "v").toPandas()
+    seasonal = got[got.model == "seasonal"]
+    assert seasonal[seasonal.k == "a"].resid.isna().all() and len(seasonal[seasonal.k == "a"]) == 30
+    assert seasonal[seasonal.k == "b"].resid.astype(float).abs()[-24:].mean() < 0.3 and got[got.model == "local_trend"].resid.notna().all()

@@ -83,10 +83,12 @@ def test_exact_quantiles(spark, skewed, q):
         assert np.allclose(got, want.to_numpy())
 
 
-def test_value_ranges_are_ordered(spark):
-    x = np.concatenate([-np.logspace(-12, 9, 400), [0.0], np.logspace(-12, 9, 400)])
-    r = spark.createDataFrame(pd.DataFrame({"x": x})).select("x", quantiles.value_range_id("x").alias("r")).toPandas().sort_values("x").r
-    assert (np.diff(r) >= 0).all()
+@pytest.mark.parametrize("kind", ["wide", "offset", "narrow"])
+def test_value_ranges_are_ordered_and_even(spark, kind):
+    rng = np.random.default_rng(3)
+    x = {"wide": np.concatenate([-np.logspace(-12, 9, 4000), np.logspace(-12, 9, 4000)]), "offset": rng.uniform(293.0, 293.5, 8000), "narrow": 1 + 1e-9 * rng.normal(size=8000)}[kind]
+    d = quantiles.value_ranges(spark.createDataFrame(pd.DataFrame({"x": x})), [], "x", "r").toPandas().sort_values("x")
+    assert (np.diff(d.r) >= 0).all() and d.r.value_counts(normalize=True).max() < 2 / quantiles.RANGES
 
 
 @pytest.mark.parametrize("skip", [True, False])
