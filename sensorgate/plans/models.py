@@ -81,6 +81,15 @@ def pca(t):
     return d.select("vec_id", *[rnd(F.col("pc")[i]).alias(f"pc{i}") for i in range(3)])
 
 
+@query("n06_whitened_covariance", f"SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {R('CAST(i = j AS INTEGER)::DOUBLE', 5)} AS cov FROM range(3) a(i), range(3) b(j)")
+def whitened_covariance(t):
+    """Whitened components have the identity as their covariance, which SQL knows without an eigenvector."""
+    m = nz.moments(t.embeddings, ["embedding"])
+    d = nz.Pca.fit(m, k=3).transform(t.embeddings.select("embedding"), "embedding", "pc", whiten=True)
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col("pc")[i].alias("x"), F.col("pc")[j].alias("y")) for i in range(3) for j in range(3)]))
+    return d.select(pairs.alias("p")).groupBy("p.i", "p.j").agg(rnd(F.covar_samp("p.x", "p.y"), 5).alias("cov"))
+
+
 @query("n07_pca_reconstruction_error")
 def reconstruction(t):
     m = nz.moments(t.embeddings, ["embedding"])
@@ -162,7 +171,15 @@ def corr_wide(t):
     return rounded(dim_corr(t), 5)
 
 
-@query("n11_greedy_pruning")
+@query(
+    "n11_greedy_pruning",
+    f"""WITH RECURSIVE {VEC_SQL}, m AS (SELECT a.dim AS i, b.dim AS j, corr(a.x, b.x) AS r FROM x a JOIN x b USING (vec_id) GROUP BY ALL),
+    v AS (SELECT dim, var_samp(x) AS var FROM x GROUP BY dim), cf AS (SELECT i AS dim, coalesce(list(j) FILTER (i <> j AND coalesce(abs(r) > 0.12, true)), []) AS bad FROM m GROUP BY i),
+    od AS (SELECT CAST(dim AS INTEGER) AS dim, var, CAST(bad AS INTEGER[]) AS bad, row_number() OVER (ORDER BY var DESC, dim) AS k FROM v JOIN cf USING (dim) WHERE var > 0),
+    g AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS INTEGER[]) AS kept UNION ALL
+      SELECT od.k, CASE WHEN list_has_any(g.kept, od.bad) THEN g.kept ELSE list_append(g.kept, od.dim) END FROM g JOIN od ON od.k = g.k + 1)
+    SELECT dim, CAST(list_position(kept, dim) - 1 AS INTEGER) AS rank, {R('var')} AS variance FROM od, (SELECT kept FROM g ORDER BY k DESC LIMIT 1) WHERE list_contains(kept, dim)""",
+)
 def pruning(t):
     """Both the variances and the correlations come from one pass; the greedy walk sees p x p numbers only."""
     sums = nz.pair_sums(t.embeddings, ["embedding"])

@@ -408,7 +408,11 @@ def benchmark_fixed(t):
     return benchmark_table(t, z_pool(t), t.spark.range(1).select(pairs))
 
 
-@query("b14_benchmark_matched")
+@query(
+    "b14_benchmark_matched",
+    f"""WITH RECURSIVE {POOL_SQL}, {CLEAN_SQL}, {GRID_SQL}, {streams_sql('clean', 'th')}, {MATCH_SQL}, {EVENT_SQL}, th2 AS (SELECT detector, 0 AS h_index, h FROM best),
+    {streams_sql('evt', 'th2').replace('x_', 'y_')}, {outcome_sql('y_on', 'trial, detector')} SELECT k.*, {R('best.h')} AS h FROM ({TABLE_SQL}) k JOIN best USING (detector)""",
+)
 def benchmark_matched(t):
     """Thresholds first matched on clean timelines, then all detectors scored on the same event timelines."""
     pool = z_pool(t)
