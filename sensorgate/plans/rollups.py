@@ -64,6 +64,33 @@ def rich_video(t):
     return rounded(d)
 
 
+def grid_sql(i: int) -> str:
+    return f"CASE WHEN value >= 15 THEN value * {i % 4 + 1} / {i // 4 + 1} END"
+
+
+@query(
+    "a02_rich_video_table",
+    f"""WITH {EV}, f AS (SELECT entity, hr, value, CAST(CAST(props->>'k' AS INTEGER) AS DOUBLE) AS k, least(31, CAST(floor(value / 10) AS INTEGER)) AS bin FROM ev)
+    SELECT entity, hr, count(*) FILTER (value >= 15) AS n_pairs, {R('avg(CAST(value < 15 AS INTEGER))')} AS dark_fraction,
+      {R('avg(CASE WHEN value >= 15 THEN value END)')} AS flow_mean_avg, {R('avg(CASE WHEN value >= 15 THEN k / 100 END)')} AS moving_frac_avg,
+      {', '.join(f"{R(f'avg(CASE WHEN value >= 15 THEN CAST(bin = {i} AS INTEGER) END)')} AS flowhist{i:02d}" for i in range(32))},
+      {', '.join(f"{R(f'avg({grid_sql(i)})')} AS gridmean{i:02d}, {R(f'stddev_pop({grid_sql(i)})')} AS gridstd{i:02d}" for i in range(16))}
+    FROM f GROUP BY ALL""",
+)
+def rich_video_table(t):
+    """All hourly columns of rich video: flow, moving share, histogram and the 4 x 4 grid, from the frames in one aggregation."""
+    lit_row, value = F.col("value") >= 15, F.col("value")
+    k = F.get_json_object("props", "$.k").cast("double")
+    bin_ = F.least(F.lit(31), F.floor(value / 10).cast("int"))
+    lit = lambda c: F.when(lit_row, c)
+    aggs = [F.count_if(lit_row).alias("n_pairs"), F.avg((~lit_row).cast("double")).alias("dark_fraction"), F.avg(lit(value)).alias("flow_mean_avg"), F.avg(lit(k / 100)).alias("moving_frac_avg")]
+    aggs += [F.avg(lit((bin_ == i).cast("double"))).alias(f"flowhist{i:02d}") for i in range(32)]
+    for i in range(16):
+        cell = lit(value * (i % 4 + 1) / (i // 4 + 1))
+        aggs += [F.avg(cell).alias(f"gridmean{i:02d}"), F.stddev_pop(cell).alias(f"gridstd{i:02d}")]
+    return rounded(t.ev.groupBy("entity", "hr").agg(*aggs))
+
+
 A3 = {f"{c}_{n}": e.format(c) for c in ("level", "k") for n, e in (("mean", "avg({})"), ("std", "stddev_samp({})"), ("p10", "quantile_cont({}, 0.1)"), ("p90", "quantile_cont({}, 0.9)"))}
 
 

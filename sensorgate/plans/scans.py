@@ -148,6 +148,25 @@ def quarantine(t):
     return io.reject_share(d, rules, ["entity"]).withColumn("share", rnd("share"))
 
 
+@query(
+    "s09_two_sinks",
+    f"""WITH {EV}, x AS (SELECT event_id, CASE WHEN event_type = 'error' AND value < 10 THEN NULL ELSE value END AS v FROM ev),
+    z AS (SELECT event_id, v, CASE WHEN v IS NULL THEN 'not_a_number' WHEN v > 300 THEN 'out_of_range' END AS reason FROM x)
+    SELECT event_id, CASE WHEN reason IS NULL THEN 'good' ELSE 'reject' END AS sink, reason, {R('v')} AS v FROM z""",
+)
+def two_sinks(t):
+    """Good rows and rejects with their reason are written to two tables; both are read back."""
+    bad = (F.col("event_type") == "error") & (F.col("value") < 10)
+    d = t.ev.select("event_id", F.when(bad, F.lit("n/a")).otherwise(F.col("value").cast("string")).try_cast("double").alias("v"))
+    good, rejects = io.split_rejects(d, {"not_a_number": F.col("v").isNull(), "out_of_range": F.col("v") > 300})
+    parts = []
+    for name, part in (("good", good.withColumn("reason", F.lit(None).cast("string"))), ("reject", rejects)):
+        path = scratch_path(t.spark, name)
+        part.write.parquet(path)
+        parts.append(t.spark.read.parquet(path).select("event_id", F.lit(name).alias("sink"), "reason", rnd("v").alias("v")))
+    return parts[0].unionByName(parts[1])
+
+
 DAILY_TEXT = """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'n.d.' ELSE strftime(o_orderdate, '%d/%m/%Y') END AS date_text,
   CASE WHEN o_orderkey % 7 = 0 THEN '--' ELSE CAST(o_totalprice AS VARCHAR) END AS temp_text FROM orders"""
 
