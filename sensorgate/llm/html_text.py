@@ -40,8 +40,9 @@ ENDS_P = BLOCK - {"br", "button", "option", "td", "th", "tr", "tbody", "thead",
 PAGE_PARTS = frozenset("nav header footer aside form menu dialog head button fieldset iframe".split())
 ARTICLE_PARTS = frozenset("article main".split())
 PART_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-#: Words in a class or id that name a part of the page beside its article.
-PART_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup privacy promo promoted promotion recommended related replies reply search share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar topbar widget".split())
+#: Words in a class or id that name a part of the page beside its article: whole words, and stems at any place.
+PART_WORDS = frozenset("ad ads adbox adslot form gdpr hidden login nav pager privacy reply search share sharing topbar".split())
+PART_STEMS = re.compile("advert|banner|breadcrumb|comment|consent|cookie|copyright|disclaimer|disqus|footer|masthead|menu|modal|navbar|navigation|newsletter|notice|notification|overlay|paginat|popup|promo|recommend|related|replies|sidebar|signup|social|sponsor|subscri|teaser|toolbar|widget")
 ARTICLE_WORDS = frozenset("article articlebody body content entry main post story text".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -61,14 +62,14 @@ class Block:
     heading: bool
 
 
-def _names(attributes: str) -> tuple[bool, bool]:
-    """Whether attributes name a part beside the article, and whether they name the article."""
+def _names(attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether attributes name a part beside the article, and whether they name the article. A header in an article is its own."""
     part = article = False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
             words = set(_WORD.findall(value))
-            part |= not words.isdisjoint(PART_WORDS)
+            part |= not words.isdisjoint(PART_WORDS) or PART_STEMS.search(value) is not None or ("header" in value and not in_article)
             article |= not words.isdisjoint(ARTICLE_WORDS)
         elif name == "role":
             part |= value in PART_ROLES
@@ -156,7 +157,9 @@ def blocks(page: str) -> list[Block]:
         if name in VOID:
             continue
         stack.append((name, article, part))
-        named_part, named_article = _names(m[3]) if m[3] else (False, False)
+        named_part, named_article = _names(m[3], article) if m[3] else (False, False)
+        if name in ("html", "body", "main", "article"):  # classes of the whole page say what else it has
+            named_part = named_article = False
         links += name == "a"
         heading += name in ("h1", "h2", "h3", "h4", "h5", "h6")
         inside = article and name in ("header", "form") and name == "header"
@@ -238,25 +241,28 @@ def grow(x: np.ndarray, keep: np.ndarray, depth: int = 6, least: int = 2) -> Tre
 _LONG = "the first long sentence of a story tells at some length what has happened and goes on until everything is told"
 _ARTICLE = [("<h1>A title of a story</h1>", 1), (f"<p>{_LONG}.</p>", 1), ("<p>Short.</p>", 1), ("<p>Two words.</p>", 1), (f"<p>One <a href=x>link here</a> in a text. {_LONG}</p>", 1), ("<ul><li>first point</li><li>second point of a list</li></ul>", 1), ("<h2>Heading</h2>", 1), (f"<blockquote>{_LONG}</blockquote>", 1), ("<p><a href=x>a linked line</a></p>", 1), ("<table><tr><td>cell</td><td>another cell</td></tr></table>", 1), ("<pre>code line</pre>", 1), (f"<p><b>{_LONG}<br>{_LONG}</b></p>", 1)]
 _AROUND = [("<nav><ul><li><a href=x>Home</a></li><li><a href=x>News</a></li></ul></nav>", 0), ("<header><p>Name of the site</p><a href=x>Start</a></header>", 0), ("<footer><p>Copyright of the site, all rights reserved by its owner.</p></footer>", 0), (f"<aside><h3>More</h3><p>{_LONG}</p></aside>", 0), ("<form><label>Mail</label><button>Send</button></form>", 0), ("<div class=ad>Buy this now, it is cheap and good.</div>", 0), ("<div class='cookie-notice'><p>We use cookies to improve this site.</p></div>", 0), ("<div id=sidebar><ul><li><a href=x>A related story of the day</a></li><li>text</li></ul></div>", 0), (f"<section class=comments><h3>Comments</h3><p>{_LONG}</p><p>Nice.</p></section>", 0), ("<div role=navigation><a href=x>Next page</a></div>", 0)]
-_LOOSE = [("<div><a href=x>Home</a> <a href=x>About us</a></div>", 0), ("<p>Menu</p>", 0), ("<ul><li><a href=x>one</a></li><li><a href=x>two three</a></li></ul>", 0), (f"<p>{_LONG}</p>", 1), (f"<div>{_LONG} {_LONG}</div>", 1), (f"<h1>{_LONG}</h1>", 1), (f"<p>{_LONG} and more of the same</p>", 1), ("<p>All rights reserved</p>", 0)]
+_LOOSE = [("<div><a href=x>Home</a> <a href=x>About us</a></div>", 0), ("<p>Menu</p>", 0), ("<ul><li><a href=x>one</a></li><li><a href=x>two three</a></li></ul>", 0), (f"<p>{_LONG}</p>", 1), (f"<div>{_LONG} {_LONG}</div>", 1), (f"<h1>{_LONG}</h1>", 1), (f"<p>{_LONG} and more of the same</p>", 1), ("<p>Short.</p>", 1), (f"<p>{_LONG} {_LONG}</p>", 1), ("<h2>Two words</h2>", 1), (f"<p>{_LONG}, told again</p>", 1), (f"<p>{_LONG}</p>", 1), ("<p>All rights reserved</p>", 0)]
 
 
 def labelled_pages() -> list[tuple[str, list[int]]]:
-    """Pages built from the table: with an article element, with a content class, and with neither."""
-    pages = []
+    """Pages built from the table: with an article element, with a content class, and with neither; the article among
+    other parts, and alone on its page."""
+    pages: list[list] = []
     for opening, closing in (("<article>", "</article>"), ("<main>", "</main>"), ("<div class=content>", "</div>"), ("<div class='post entry'>", "</div>")):
-        inside = opening + "".join(m for m, _ in _ARTICLE) + "".join(m for m, _ in _AROUND[3:9]) + closing
-        parts = [(m, k) for m, k in _AROUND[:6]] + [(inside, None)] + _AROUND[6:]
-        pages.append(parts)
-    pages += [_LOOSE, _LOOSE + _AROUND[:3], _AROUND[:2] + _LOOSE]
+        mixed = (opening, _ARTICLE + _AROUND[3:9], closing)
+        pages.append([*_AROUND[:6], mixed, *_AROUND[6:]])
+        for alone in (_ARTICLE, _ARTICLE[1:4], _ARTICLE[7:9], _ARTICLE[2:3], _ARTICLE[8:9]):
+            pages.append([(opening, alone, closing)])
+            pages.append([*_AROUND[:1], (opening, alone, closing), *_AROUND[2:3]])
+    pages += [_LOOSE, _LOOSE + _AROUND[:3], _AROUND[:2] + _LOOSE, _LOOSE[3:], _LOOSE[:-1]]
     out = []
     for parts in pages:
         markup, labels = "", []
-        for m, k in parts:
-            markup += m
-            inner = [(x, y) for x, y in _ARTICLE + _AROUND[3:9]] if k is None else [(m, k)]
-            for x, y in inner:
-                labels += [y] * len(blocks(x))
+        for part in parts:
+            opening, inner, closing = part if len(part) == 3 else ("", [part], "")
+            markup += opening + "".join(m for m, _ in inner) + closing
+            for m, label in inner:
+                labels += [label] * len(blocks(m))
         out.append((markup, labels))
     return out
 
