@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorgate.llm.common import WORD_VOCAB, query, table
-from sensorgate.llm.words import _CASES, PieceCache, byte_symbols, is_normalized, slices, space_pieces
+from sensorgate.llm.words import _CASES, SHORT, PieceCache, byte_symbols, is_normalized, slices, space_pieces
 
 
 class Bits:
@@ -244,6 +244,7 @@ class WordTokenizer:
                 others.append(i)
         missing = list({core for _, core, _ in plain}.difference(cores))
         cores.update(zip(missing, self._spelled(missing), strict=True))
+        passing = [w for w in missing if len(w) > SHORT]
         out: list = [None] * len(pieces)
         for i, core, end in plain:
             n, ids, text = cores[core]
@@ -254,6 +255,8 @@ class WordTokenizer:
                 out[i] = cores[core]
         for i, found in zip(others, self._any([pieces[i] for i in others]), strict=True):
             out[i] = found
+        for w in passing:
+            del cores[w]
         return out
 
     def _any(self, pieces: list[str]) -> list[tuple[int, str, str]]:

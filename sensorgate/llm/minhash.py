@@ -66,7 +66,11 @@ class Shingler:
             known.clear()
             missing = set(words)
         known.update((w, xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))) for w in missing)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        out = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        for w in missing:
+            if len(w) > 64:  # long words are not kept: the bound is a number of words
+                del known[w]
+        return out
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h = self.hashes(words)

@@ -50,7 +50,9 @@ class Featurizer:
         if i is None:
             if len(self.known) >= self.most:
                 self.known.clear()
-            i = self.known[token] = zlib.crc32(token.encode("utf-8", "surrogatepass")) % DIMENSIONS
+            i = zlib.crc32(token.encode("utf-8", "surrogatepass")) % DIMENSIONS
+            if len(token) <= 64:
+                self.known[token] = i
         return i
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:

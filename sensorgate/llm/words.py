@@ -43,21 +43,28 @@ def byte_pieces(text: str) -> list[str]:
     return text.split(" ")
 
 
+SHORT = 64  # characters of a piece that is worth keeping
+
+
 class PieceCache:
     """Values of pieces; a batch's missing pieces are made together, and the cache is emptied when it is full."""
 
     def __init__(self, make: Callable[[list[str]], Iterable], most: int = 400_000):
         gc.set_threshold(200_000, 50, 100)  # the cached values hold no cycles; walking them often costs more than making them
         self.make, self.most, self.known = make, most, {}
+        self.passing: list[str] = []  # long pieces are held for one batch only: the bound is a number of pieces
 
     def __call__(self, pieces: Iterable[list[str]]) -> dict:
         known = self.known
+        for p in self.passing:
+            known.pop(p, None)
         missing = list(set().union(*pieces).difference(known))
         if len(known) + len(missing) > self.most:  # what this batch uses stays
             self.known = known = {p: known[p] for p in set().union(*pieces) if p in known}
         for at in range(0, len(missing), 20_000):
             part = missing[at : at + 20_000]
             known.update(zip(part, self.make(part), strict=True))
+        self.passing = [p for p in missing if len(p) > SHORT]
         return known
 
 
@@ -101,7 +108,9 @@ class Encoder:
             coded = core if core.isascii() else "".join([self.symbols[b] for b in core.encode()])
             if spaced and not self.lower:
                 coded = self.symbols[32] + coded
-            ids = self.cores[key] = array(self.kind, [t.id for t in self.model.tokenize(coded)]).tobytes()
+            ids = array(self.kind, [t.id for t in self.model.tokenize(coded)]).tobytes()
+            if len(core) <= SHORT:
+                self.cores[key] = ids
         return ids
 
     def _simple(self, piece: str, spaced: bool) -> bytes | None:
