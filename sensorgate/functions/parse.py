@@ -47,6 +47,10 @@ def month_number(name) -> Column:
     return F.try_element_at(table, F.lower(as_col(name)))
 
 
+# The patterns and layouts in the functions below are the file-name, folder-name and header formats of the
+# recorders, which parsing has to match.
+
+
 def filename_start(path) -> Column:
     """Start clock in the file name (``YYYYMMDD_HHMMSS``)."""
     return _ts(_found(base_name(path), r"(\d{8}_\d{6})"), "yyyyMMdd_HHmmss")

@@ -27,17 +27,29 @@ def read_csv(spark: SparkSession, paths, schema: str) -> DataFrame:
     return clean_nan(spark.read.schema(schema).options(**CSV_OPTIONS).csv(list(paths) if not isinstance(paths, str) else paths))
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def existing_paths(spark: SparkSession, paths) -> set[str]:
+    """Those of the paths that exist; every parent folder is listed once."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
+    by_parent: dict[str, dict[str, list[str]]] = {}
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        by_parent.setdefault(str(path.getParent()), {}).setdefault(path.getName(), []).append(p)
+    found: set[str] = set()
+    for parent, names in by_parent.items():
+        folder = jvm.org.apache.hadoop.fs.Path(parent)
+        fs = folder.getFileSystem(conf)
+        if fs.exists(folder):
+            for status in fs.listStatus(folder):
+                found.update(names.get(status.getPath().getName(), ()))
+    return found
 
 
 def read_existing(spark: SparkSession, paths, schema: str, fmt: str = "csv", on_missing=None) -> DataFrame:
     """Union of the paths which exist, each row tagged ``source_path``; an error when none is left."""
-    found = [p for p in paths if path_exists(spark, p)]
+    there = existing_paths(spark, paths)
+    found = [p for p in paths if p in there]
     for p in paths:
-        if p not in found and on_missing:
+        if p not in there and on_missing:
             on_missing(p)
     if not found:
         raise FileNotFoundError("none of the given paths exists")
