@@ -13,8 +13,10 @@ never cross documents. The work is cut so that no suffix order of the whole corp
    previous smaller position in suffix order is the left neighbour, the next smaller one does not match, and the longest
    previous factor reaches ``length`` where the left neighbour agrees. Looking at the right neighbour gives the same for
    later positions.
-4. Anchors of very many different contexts (a frequent passage in as many surroundings) are not sorted in one task: their
-   windows are counted by a 128-bit digest, combined before the shuffle.
+4. Anchors of very many different contexts (a frequent passage in as many surroundings) are not sorted in one task. Their
+   contexts are cut, by the distance of windows to the anchor, in parts of 64, then 16, 4 and 1 windows. Parts that hold
+   equal windows agree in the bytes that all windows of the part share, so these bytes make the key of a smaller group,
+   which is treated like an anchor again: counted, sorted or cut further. Single windows are settled by counting.
 
 ``first`` keeps the first copy in the order of (doc_id, text hash, position) and removes later ones; otherwise all copies
 count. Spans are judged on the input, not on what is left.
@@ -59,11 +61,14 @@ def gram_hashes(data: np.ndarray, table: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(29)
 
 
-def runs(data: np.ndarray, ends: np.ndarray, length: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window start, number of windows and anchor hash of each run; ``ends``: where documents end in ``data``."""
+def runs(data: np.ndarray, ends: np.ndarray, length: int, table: np.ndarray) -> tuple[np.ndarray, ...]:
+    """First window start, number of windows, distance from the start to the anchor and anchor hash of each run.
+
+    ``ends``: where documents end in ``data``.
+    """
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, np.zeros(0, np.uint64)
+        return none, none, none, np.zeros(0, np.uint64)
     hashes = gram_hashes(data, table)
     least, width, span = hashes & ~_PLACE | np.arange(len(hashes), dtype=np.uint64), 1, length - GRAM + 1
     while 2 * width <= span:
@@ -79,10 +84,11 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int, table: np.ndarray) ->
     first = np.flatnonzero(change)
     count = np.diff(np.append(first, len(least)))
     first, count = first[inside[first]], count[inside[first]]
-    return first, count, hashes[(least[first] & _PLACE).astype(np.int64)]
+    place = (least[first] & _PLACE).astype(np.int64)
+    return first, count, place - first, hashes[place]
 
 
-RUNS = "doc_id long, tie long, anchor long, start long, windows int, digest long"
+RUNS = "doc_id long, tie long, anchor long, start long, windows int, lead int, digest long"
 
 
 def anchored(docs: DataFrame, length: int) -> DataFrame:
@@ -104,7 +110,7 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for which, coded, place in parts(batch.column(2).to_pylist()):
                 data, ends = b"".join(coded), np.cumsum([len(c) for c in coded])
-                first, count, anchor = runs(np.frombuffer(data, np.uint8), ends, length, table)
+                first, count, lead, anchor = runs(np.frombuffer(data, np.uint8), ends, length, table)
                 if not len(first):
                     continue
                 own = np.searchsorted(ends, first, "right")
@@ -113,7 +119,7 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
                 # Unsigned digests wrap to signed longs.
                 digest = np.array([xxhash.xxh3_64_intdigest(data[i:j]) for i, j in zip(first.tolist(), (first + count + length - 1).tolist(), strict=True)], np.uint64)
                 rows = pa.array(np.array(which)[own])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(anchor.view(np.int64)), pa.array(start), pa.array(count.astype(np.int32)), pa.array(digest.view(np.int64))], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(anchor.view(np.int64)), pa.array(start), pa.array(count.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(digest.view(np.int64))], schema=schema)
 
     return docs.select("doc_id", "tie", "text").mapInArrow(run, RUNS)
 
@@ -188,29 +194,72 @@ def compared(contexts: DataFrame, length: int, first: bool) -> DataFrame:
     return ordered.sortWithinPartitions("anchor", "doc_id", "tie", "start").mapInArrow(run, SPANS)
 
 
-def crowded(contexts: DataFrame, length: int, first: bool) -> DataFrame:
-    """The same for anchors of very many contexts, window by window."""
-    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("high", pa.int64()), ("low", pa.int64())])
+CONTEXTS = "anchor long, m long, doc_id long, tie long, start long, windows int, lead int, context binary"
+PARTS = "anchor long, doc_id long, tie long, start long, windows int, lead int, context binary, digest long"
+PLACE = ("doc_id", "tie", "start", "windows", "lead")
+
+
+def _schema(text: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in text.split(", ")])
+
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def cut_by_distance(contexts: DataFrame, length: int, width: int) -> DataFrame:
+    """Parts of the contexts: windows whose distance to the anchor lies in one cell of ``width``, with the key of the bytes
+    that all windows of the cell share."""
+    schema = _schema(PARTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, tie, start, context in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tie", "start", "context")), strict=True):
-                n = len(context) - length + 1
-                sums = np.frombuffer(b"".join(xxhash.xxh3_128_digest(context[i : i + length]) for i in range(n)), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array([tie] * n, pa.int64()), pa.array(np.arange(start, start + n)), pa.array(sums[:, 0].copy()), pa.array(sums[:, 1].copy())], schema=schema)
-
-    place = F.struct("doc_id", "tie", "start")
-    found = contexts.select("doc_id", "tie", "start", "context").mapInArrow(windows, "doc_id long, tie long, start long, high long, low long")
-    sums = found.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(place).alias("least")).where("n > 1")
-    hit = found.join(sums, ["high", "low"])
-    hit = hit.where(place != F.col("least")) if first else hit
-    # Windows of a document that follow one another become one span.
-    hit = hit.select("doc_id", "tie", "start").distinct()
-    by_doc = hit.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_list("start")).alias("s"))
-    edges = F.expr("filter(sequence(0, size(s) - 1), i -> i = 0 OR s[i] <> s[i - 1] + 1)")
-    spans = by_doc.withColumn("e", edges).select("doc_id", "tie", "s", "e", F.posexplode("e").alias("k", "i"))
-    last = F.expr("s[if(k + 1 < size(e), e[k + 1] - 1, size(s) - 1)]")
-    return spans.select("doc_id", "tie", F.expr("s[i]").alias("start"), (last + length).alias("stop"))
+            rows = []
+            for anchor, doc, tie, start, windows, lead, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = 0  # windows come with falling distance lead, lead - 1, ...
+                while at < windows:
+                    cell = (lead - at) // width
+                    n = min(windows - at, lead - at - cell * width + 1)
+                    core = context[lead - cell * width : lead - (cell + 1) * width + 1 + length]
+                    part = context[at : at + n + length - 1]
+                    key = _signed(xxhash.xxh3_64_intdigest(core, seed=(anchor ^ cell * 64 + width) & (1 << 64) - 1))
+                    rows.append((key, doc, tie, start + at, n, lead - at, part, _signed(xxhash.xxh3_64_intdigest(part))))
+                    at += n
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return contexts.select("anchor", *PLACE, "context").mapInArrow(run, PARTS)
+
+
+def settled(found: DataFrame, length: int, first: bool) -> tuple[DataFrame, DataFrame]:
+    """Counting step for rows of ``anchor, digest`` and a place: spans of contexts that occur twice, and the place of the
+    first copy of each context whose anchor has several (``anchor, m`` and the place)."""
+    place = F.struct(*PLACE)
+    contexts = stored(found.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(place).alias("least")), "contexts")
+    shared = contexts.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
+    open_ = contexts.join(shared, "anchor").select("anchor", "digest", "m", "least.*")
+    whole = found.select("anchor", "digest", *PLACE).join(contexts.where("n > 1").select("anchor", "digest", "least"), ["anchor", "digest"])
+    if first:
+        whole = whole.where(~place.eqNullSafe(F.col("least")))
+    return whole.select("doc_id", "tie", "start", (F.col("start") + F.col("windows") + length - 1).alias("stop")), open_
+
+
+def crowded(contexts: DataFrame, length: int, first: bool) -> list[DataFrame]:
+    """Spans of repeats among contexts of anchors that have more than CROWD of them."""
+    spans, width = [], 64
+    while not contexts.isEmpty():
+        parts = stored(cut_by_distance(contexts, length, width), "parts")
+        whole, open_ = settled(parts, length, first)
+        spans.append(whole)
+        if width == 1:
+            break
+        same = parts.doc_id.eqNullSafe(F.col("_doc")) & (parts.tie == F.col("_tie")) & (parts.start == F.col("_start")) & (parts.anchor == F.col("_anchor"))
+        wanted = open_.select(F.col("anchor").alias("_anchor"), "m", F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), F.col("start").alias("_start"))
+        texts = stored(parts.join(wanted, same).select("anchor", "m", *PLACE, "context"), "open_parts")
+        spans.append(compared(texts.where(F.col("m") <= CROWD), length, first))
+        contexts, width = texts.where(F.col("m") > CROWD), width // 4
+    return spans
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -231,28 +280,21 @@ def repeats(docs: DataFrame, length: int = 400, first: bool = False) -> DataFram
     if length < 2 * GRAM:
         raise ValueError(f"repeats of at least {2 * GRAM} bytes are found")
     found = stored(anchored(docs, length), "runs")
-    place = F.struct("doc_id", "tie", "start", "windows")
-    contexts = found.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(place).alias("least"))
-    contexts = stored(contexts, "contexts")
-    shared = contexts.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
-    open_ = contexts.join(shared, "anchor").select("anchor", "m", "least.*")
-    whole = found.join(contexts.where("n > 1").select("anchor", "digest", "least"), ["anchor", "digest"])
-    if first:
-        whole = whole.where(~((F.col("doc_id").eqNullSafe(F.col("least.doc_id"))) & (F.col("tie") == F.col("least.tie")) & (F.col("start") == F.col("least.start"))))
-    whole = whole.select("doc_id", "tie", "start", (F.col("start") + F.col("windows") + length - 1).alias("stop"))
-    wanted = open_.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("anchor", "m", "start", "windows")).alias("wanted"))
-    schema = pa.schema([("anchor", pa.int64()), ("m", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("context", pa.binary())])
+    whole, open_ = settled(found, length, first)
+    wanted = open_.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("anchor", "m", "start", "windows", "lead")).alias("wanted"))
+    schema = _schema(CONTEXTS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, tie, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tie", "text", "wanted")), strict=True):
                 data = text.encode()
-                rows = [(w["anchor"], w["m"], doc, tie, w["start"], w["windows"], data[w["start"] : w["start"] + w["windows"] + length - 1]) for w in wanted]
+                rows = [(w["anchor"], w["m"], doc, tie, w["start"], w["windows"], w["lead"], data[w["start"] : w["start"] + w["windows"] + length - 1]) for w in wanted]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    texts = stored(same_row(docs, wanted).mapInArrow(cut, "anchor long, m long, doc_id long, tie long, start long, windows int, context binary"), "open_contexts")
+    texts = stored(same_row(docs, wanted).mapInArrow(cut, CONTEXTS), "open_contexts")
     spans = whole.union(compared(texts.where(F.col("m") <= CROWD), length, first))
-    spans = spans.union(crowded(texts.where(F.col("m") > CROWD), length, first))
+    for more in crowded(texts.where(F.col("m") > CROWD), length, first):
+        spans = spans.union(more)
     return spans.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 
 
