@@ -14,8 +14,10 @@ their whole texts. Classes are the connected components of verified pairs.
 
 Exact copies (equal word sequences) are joined first by a 128-bit digest, so a group of copies is one text afterwards.
 A band key of at most 16 texts gives all its pairs. Keys of more texts are replaced by combinations of two such keys of
-a text; where more than 16 texts share even those, they are compared with the most central of them (those in most large
-keys), the linked ones leave, and the rest goes on until nobody is left. Pairs whose signatures agree in fewer than 60 of
+a text. Where more than 16 texts share even those, all are compared with the most central of them (the one in most large
+keys). Then the component of this text leaves the key; if at most 64 texts of different components are left, all their
+pairs are candidates, else the next round goes on with the rest and four times as many central texts, so that rounds grow
+with the logarithm of what is left. Pairs whose signatures agree in fewer than 60 of
 100 positions are not verified.
 
 Defined cases: a null or empty text is in a class of its own; a text of fewer than five words is one shingle; rows that
@@ -45,7 +47,8 @@ POSITIONS, BANDS = 100, 20
 THRESHOLD = 0.8
 LIKELY = 60  # agreeing positions below which a pair is not verified
 SMALL = 16  # texts of a key of which all pairs are candidates
-PIVOTS = 4
+PIVOTS = 1  # central text that all texts of a larger key are compared with; four times as many in each round that follows
+FEW = 64  # texts left in a key after a round of which all pairs in different components are candidates
 COUNTERS = 1 << 20
 BLOCKS = 16  # of counters
 IDF_SHARE, IDF_FLOOR = 0.25, 1 / 1024
@@ -283,21 +286,30 @@ def links(docs: DataFrame, signs: DataFrame, idf: np.ndarray, threshold: float)
     crowd = both.where(F.col("n") > SMALL)
     standing = crowd.groupBy("id").agg(F.sum("n").alias("standing"))
     crowd = stored(crowd.select("key", "id").join(standing, "id"), "crowded_keys")
-    order = Window.partitionBy("key").orderBy(F.desc("standing"), "id")
-    found = None
-    while True:
-        pivots = crowd.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS).select("key", F.col("id").alias("pivot"))
+    order, found = Window.partitionBy("key").orderBy(F.desc("standing"), "id"), None
+    candidates, pending, central, part = small, True, PIVOTS, None
+    while pending:
+        pivots = crowd.withColumn("r", F.row_number().over(order)).where(F.col("r") <= central).select("key", F.col("id").alias("pivot"))
         starred = crowd.join(pivots, "key").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        candidates = starred.distinct() if found is not None else small.union(starred).distinct()
+        candidates = candidates.union(starred).distinct()
         made = stored(verified(stored(likely(candidates, signs), "likely_pairs"), docs, idf, threshold), "verified_pairs")
         found = made if found is None else found.union(made)
-        # Pivots and the texts linked to one leave their key.
-        near = made.select("a", "b").union(made.select("b", "a")).toDF("pivot", "id")
-        gone = pivots.join(near, "pivot").select("key", "id").union(pivots.select("key", F.col("pivot").alias("id"))).distinct()
-        rest = crowd.join(gone, ["key", "id"], "left_anti")
-        crowd = stored(counted(rest.select("key", "id", "standing")).drop("n"), "crowded_keys")
         if crowd.isEmpty():
-            return found
+            break
+        # All texts in the component of a pivot leave its key; keys whose texts are in one component are done.
+        if part is None or not made.isEmpty():
+            part = stored(components(found).withColumnRenamed("component", "part"), "parts")
+        crowd = crowd.join(part, "id", "left").select("key", "id", "standing", F.coalesce("part", "id").alias("part"))
+        known = crowd.join(pivots, (crowd.key == pivots.key) & (crowd.id == pivots.pivot), "left_semi").select("key", "part").distinct()
+        rest = crowd.join(known, ["key", "part"], "left_anti")
+        sizes = rest.groupBy("key").agg(F.count("*").alias("n"), (F.min("part") != F.max("part")).alias("differ")).where("differ")
+        rest = stored(rest.join(sizes, "key").select("key", "id", "standing", "part", "n"), "crowded_keys")
+        few = rest.where(F.col("n") <= FEW)
+        other = few.select("key", F.col("id").alias("b"), F.col("part").alias("other"))
+        candidates = few.select("key", F.col("id").alias("a"), "part").join(other, "key").where("a < b AND part <> other").select("a", "b").distinct()
+        crowd = rest.where(F.col("n") > FEW).select("key", "id", "standing")
+        pending, central = not rest.isEmpty(), 4 * central
+    return found
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
