@@ -15,10 +15,10 @@ their whole texts. Classes are the connected components of verified pairs.
 Exact copies (equal word sequences) are joined first by a 128-bit digest, so a group of copies is one text afterwards.
 A band key of at most 16 texts gives all its pairs. Keys of more texts are replaced by combinations of two such keys of
 a text. Where more than 16 texts share even those, all are compared with the most central of them (the one in most large
-keys). Then the component of this text leaves the key; if at most 64 texts of different components are left, all their
-pairs are candidates, else the next round goes on with the rest and four times as many central texts, so that rounds grow
-with the logarithm of what is left. Pairs whose signatures agree in fewer than 60 of
-100 positions are not verified.
+keys). Then every pair of texts of the key that are still in different components is a candidate: blocks of texts outside
+the largest component meet each other and the blocks of that component, and signatures are compared there before any text
+is read. A first pass verifies a spanning forest of the likely pairs of each task, the second one all that still lie
+across. Pairs whose signatures agree in fewer than 60 of 100 positions are not verified.
 
 Defined cases: a null or empty text is in a class of its own; a text of fewer than five words is one shingle; rows that
 share an id are one document, with the links of all its texts; a null id has class null; an empty table gives no row;
@@ -36,7 +36,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorgate.llm.common import documents, query, stored
@@ -47,8 +47,7 @@ POSITIONS, BANDS = 100, 20
 THRESHOLD = 0.8
 LIKELY = 60  # agreeing positions below which a pair is not verified
 SMALL = 16  # texts of a key of which all pairs are candidates
-PIVOTS = 1  # central text that all texts of a larger key are compared with; four times as many in each round that follows
-FEW = 64  # texts left in a key after a round of which all pairs in different components are candidates
+BLOCK = 2048  # texts of a larger key on each side of a comparison of signatures, about
 COUNTERS = 1 << 20
 BLOCKS = 16  # of counters
 IDF_SHARE, IDF_FLOOR = 0.25, 1 / 1024
@@ -274,6 +273,70 @@ def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: floa
     return texts.mapInArrow(run, "a long, b long, similarity double")
 
 
+def forest(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Numbers of the edges x-y of a maximum spanning forest."""
+    order = np.argsort(-weight.astype(int), kind="stable")
+    names, ends = np.unique(np.concatenate([x[order], y[order]]), return_inverse=True)
+    u, v = ends.reshape(2, -1)
+    at, place, chosen = np.arange(len(names)), np.arange(len(order)), []
+    while len(place):
+        a, b = at[u[place]], at[v[place]]
+        place, a, b = place[a != b], a[a != b], b[a != b]
+        # The heaviest edge of each tree joins it to another one; of two trees that chose the same edge the first is the root.
+        best, to = np.full(len(names), len(order)), np.arange(len(names))
+        np.minimum.at(best, a, place)
+        np.minimum.at(best, b, place)
+        trees = np.flatnonzero(best < len(order))
+        ends_a, ends_b = at[u[best[trees]]], at[v[best[trees]]]
+        to[trees] = np.where(ends_a == trees, ends_b, ends_a)
+        root = trees[(to[to[trees]] == trees) & (trees < to[trees])]
+        to[root] = root
+        while (to != to[to]).any():
+            to = to[to]
+        chosen.append(np.unique(best[trees]))
+        at = to[at]
+    return order[np.concatenate(chosen)] if chosen else order[:0]
+
+
+def likely_across(members: DataFrame, part: DataFrame, signs: DataFrame, trees: bool) -> DataFrame:
+    """Pairs in different parts of a key whose signatures agree in enough positions; with ``trees`` only the edges of a spanning forest of each task.
+
+    The largest part of a key is not compared within itself. The others, in blocks, meet each other's blocks and its blocks.
+    """
+    rows = members.select("key", "id").join(part, "id", "left").select("key", "id", F.coalesce("part", "id").alias("part"))
+    parts = rows.groupBy("key", "part").agg(F.count("*").alias("n"))
+    keys = parts.groupBy("key").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    keys = keys.select("key", F.col("main.part").alias("main"), blocks(F.col("main.n")).alias("inner"), blocks(F.col("n") - F.col("main.n")).alias("outer"))
+    rows = rows.join(keys, "key").withColumn("in_main", F.col("part") == F.col("main")).join(signs.select("id", "signature"), "id")
+    own = F.expr("cast(if(in_main, outer + pmod(xxhash64(id, key), inner), pmod(xxhash64(id, key), outer)) as int)")
+    meets = F.expr("explode(sequence(0, if(in_main, outer, outer + inner) - 1))")
+    rows = rows.select("key", "id", "part", "signature", own.alias("own"), meets.alias("other"))
+    rows = rows.select("key", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "id", "part", "signature")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        first, second, own = (pdf[c].to_numpy() for c in ("first", "second", "own"))
+        id_, part = pdf["id"].to_numpy(), pdf["part"].to_numpy()
+        signs = np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(-1, POSITIONS)
+        left, right, found = np.flatnonzero(own == first), np.flatnonzero(own == second), []
+        columns = np.ascontiguousarray(signs[right].T)
+        for at in range(0, len(left), 64):
+            some = left[at : at + 64]
+            agree = np.zeros((len(some), len(right)), np.uint8)
+            for k in range(POSITIONS):
+                agree += signs[some, k, None] == columns[k]
+            agree[part[some, None] == part[right]] = 0
+            i, j = np.nonzero(agree >= LIKELY)
+            found.append((some[i], right[j], agree[i, j]))
+        i, j, agree = (np.concatenate(c) for c in zip(*found, strict=True)) if found else [np.zeros(0, int)] * 3
+        if trees:
+            kept = forest(part[i], part[j], agree)
+            i, j = i[kept], j[kept]
+        return pd.DataFrame({"a": np.minimum(id_[i], id_[j]), "b": np.maximum(id_[i], id_[j])})
+
+    return rows.groupBy("key", "first", "second").applyInPandas(compare, "a long, b long").distinct()
+
+
 def links(docs: DataFrame, signs: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """``a, b, similarity`` of verified pairs; ``signs`` has ``id, keys, signature`` of distinct texts."""
     members = signs.select("id", F.explode("keys").alias("key"))
@@ -286,29 +349,22 @@ def links(docs: DataFrame, signs: DataFrame, idf: np.ndarray, threshold: float)
     crowd = both.where(F.col("n") > SMALL)
     standing = crowd.groupBy("id").agg(F.sum("n").alias("standing"))
     crowd = stored(crowd.select("key", "id").join(standing, "id"), "crowded_keys")
-    order, found = Window.partitionBy("key").orderBy(F.desc("standing"), "id"), None
-    candidates, pending, central, part = small, True, PIVOTS, None
-    while pending:
-        pivots = crowd.withColumn("r", F.row_number().over(order)).where(F.col("r") <= central).select("key", F.col("id").alias("pivot"))
-        starred = crowd.join(pivots, "key").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        candidates = candidates.union(starred).distinct()
-        made = stored(verified(stored(likely(candidates, signs), "likely_pairs"), docs, idf, threshold), "verified_pairs")
-        found = made if found is None else found.union(made)
+    pivots = crowd.groupBy("key").agg(F.max(F.struct("standing", (-F.col("id")).alias("least"), F.col("id").alias("pivot"))).alias("p")).select("key", "p.pivot")
+    starred = crowd.join(pivots, "key").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+    tried = stored(likely(small.union(starred).distinct(), signs), "likely_pairs")
+    found = stored(verified(tried, docs, idf, threshold), "verified_pairs")
+    # Trees first: they join what a link joins, so that few pairs lie across when all that are left are verified.
+    for trees in (True, False):
         if crowd.isEmpty():
             break
-        # All texts in the component of a pivot leave its key; keys whose texts are in one component are done.
-        if part is None or not made.isEmpty():
+        if trees or not made.isEmpty():
             part = stored(components(found).withColumnRenamed("component", "part"), "parts")
-        crowd = crowd.join(part, "id", "left").select("key", "id", "standing", F.coalesce("part", "id").alias("part"))
-        known = crowd.join(pivots, (crowd.key == pivots.key) & (crowd.id == pivots.pivot), "left_semi").select("key", "part").distinct()
-        rest = crowd.join(known, ["key", "part"], "left_anti")
-        sizes = rest.groupBy("key").agg(F.count("*").alias("n"), (F.min("part") != F.max("part")).alias("differ")).where("differ")
-        rest = stored(rest.join(sizes, "key").select("key", "id", "standing", "part", "n"), "crowded_keys")
-        few = rest.where(F.col("n") <= FEW)
-        other = few.select("key", F.col("id").alias("b"), F.col("part").alias("other"))
-        candidates = few.select("key", F.col("id").alias("a"), "part").join(other, "key").where("a < b AND part <> other").select("a", "b").distinct()
-        crowd = rest.where(F.col("n") > FEW).select("key", "id", "standing")
-        pending, central = not rest.isEmpty(), 4 * central
+        across = stored(likely_across(crowd, part, signs, trees), "likely_pairs")
+        if across.isEmpty():
+            break
+        across = stored(across.join(tried, ["a", "b"], "left_anti"), "likely_pairs")
+        made = stored(verified(across, docs, idf, threshold), "verified_pairs")
+        found, tried = found.union(made), tried.union(across)
     return found
 
 

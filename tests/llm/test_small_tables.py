@@ -203,6 +203,30 @@ def test_minhash_by_brute_force(spark, docs, empty):
     assert sorted(r.doc_id for r in some if r.doc_id is not None) == [0, 1, 2, 3, 4, 5, 7, 8, 9, 10]
 
 
+def edited(words, places, tag):
+    return [f"{tag}x{k}" if k in places else w for k, w in enumerate(words)]
+
+
+def lost_links(spark, keys):
+    """Of 40 sub-families in large keys, a member near the central text and one near that member only: how many of their links are lost."""
+    r, base = random.Random(21), [f"w{k}" for k in range(300)]
+    near = [edited(base, set(r.sample(range(5, 295, 10), 5)), f"m{k}") for k in range(40)]
+    far = [edited(w, set(r.sample(range(10, 295, 10), 5)), f"q{k}") for k, w in enumerate(near)]
+    df = frame(spark, [" ".join(w) for w in [base, *near, *far]]).select("doc_id", "text")
+    idf = np.ones(minhash.COUNTERS, np.float32)
+    signs = minhash.signatures(df, idf).select(F.col("doc_id").alias("id"), F.array(*map(F.lit, keys)).cast("array<long>").alias("keys"), "signature")
+    found = {(x.a, x.b) for x in minhash.links(df, stored(signs, "signs"), idf, 0.8).collect()}
+    at = list(range(81))
+    for _ in at:
+        for a, b in found:
+            at[a] = at[b] = min(at[a], at[b])
+    return sum(at[1 + k] != 0 for k in range(40)) + sum(at[41 + k] != at[1 + k] for k in range(40))
+
+
+def test_minhash_keeps_links_off_the_central_text(spark):
+    assert lost_links(spark, [1, 2]) == 0
+
+
 def test_weighted_sampling_estimates_similarity():
     sample, n = minhash.Sampler(), 4000
     r = np.random.default_rng(2)
