@@ -13,12 +13,11 @@ texts of similarity 0.8 meet with probability 0.9996), and candidates are verifi
 their whole texts. Classes are the connected components of verified pairs.
 
 Exact copies (equal word sequences) are joined first by a 128-bit digest, so a group of copies is one text afterwards.
-A band key of at most 16 texts gives all its pairs. Keys of more texts are replaced by combinations of two such keys of
-a text. Where more than 16 texts share even those, all are compared with the most central of them (the one in most large
-keys). Then every pair of texts of the key that are still in different components is a candidate: blocks of texts outside
-the largest component meet each other and the blocks of that component, and signatures are compared there before any text
-is read. A first pass verifies a spanning forest of the likely pairs of each task, the second one all that still lie
-across. Pairs whose signatures agree in fewer than 60 of 100 positions are not verified.
+A band key of at most 16 texts gives all its pairs. In a key of more, all are compared with the most central of them (the
+one in the most and largest of such keys). Then every pair of texts of the key that are still in different components is a
+candidate: blocks of texts outside the largest component meet each other and the blocks of that component, and signatures
+are compared there before any text is read. A first pass verifies a spanning forest of the likely pairs of each task, the
+second one all that still lie across. Pairs whose signatures agree in fewer than 60 of 100 positions are not verified.
 
 Defined cases: a null or empty text is in a class of its own; a text of fewer than five words is one shingle; rows that
 share an id are one document, with the links of all its texts; a null id has class null; an empty table gives no row;
@@ -341,12 +340,8 @@ def links(docs: DataFrame, signs: DataFrame, idf: np.ndarray, threshold: float)
     """``a, b, similarity`` of verified pairs; ``signs`` has ``id, keys, signature`` of distinct texts."""
     members = signs.select("id", F.explode("keys").alias("key"))
     shared = stored(counted(members), "shared_keys")
-    large = shared.where(F.col("n") > SMALL).groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("k"))
-    follow = F.expr("transform(filter(sequence(1, 4), d -> d < size(k)), d -> xxhash64(least(x, k[(i + d) % size(k)]), greatest(x, k[(i + d) % size(k)])))")
-    both = large.select("id", "k", F.posexplode("k").alias("i", "x")).select("id", F.explode(follow).alias("key")).distinct()
-    both = stored(counted(both), "shared_pairs_of_keys")
-    small = all_pairs(shared.where(F.col("n") <= SMALL)).union(all_pairs(both.where(F.col("n") <= SMALL))).distinct()
-    crowd = both.where(F.col("n") > SMALL)
+    small = all_pairs(shared.where(F.col("n") <= SMALL))
+    crowd = shared.where(F.col("n") > SMALL)
     standing = crowd.groupBy("id").agg(F.sum("n").alias("standing"))
     crowd = stored(crowd.select("key", "id").join(standing, "id"), "crowded_keys")
     pivots = crowd.groupBy("key").agg(F.max(F.struct("standing", (-F.col("id")).alias("least"), F.col("id").alias("pivot"))).alias("p")).select("key", "p.pivot")

@@ -227,6 +227,10 @@ def test_minhash_keeps_links_off_the_central_text(spark):
     assert lost_links(spark, [1, 2]) == 0
 
 
+def test_minhash_keeps_links_of_a_single_large_key(spark):
+    assert lost_links(spark, [1]) == 0
+
+
 def test_weighted_sampling_estimates_similarity():
     sample, n = minhash.Sampler(), 4000
     r = np.random.default_rng(2)
