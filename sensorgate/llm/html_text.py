@@ -46,6 +46,7 @@ PART_STEMS = re.compile("advert|banner|breadcrumb|comment|consent|cookie|copyrig
 ARTICLE_WORDS = frozenset("article articlebody body content entry main post story text".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -112,7 +113,6 @@ def blocks(page: str) -> list[Block]:
         links -= name == "a"
         heading -= name in ("h1", "h2", "h3", "h4", "h5", "h6")
 
-    lower = None
     while at < length:
         m = _TAG.search(page, at)
         if m is None:
@@ -141,9 +141,8 @@ def blocks(page: str) -> list[Block]:
             if name in BLOCK:
                 close()
             if not m[3].endswith("/") or name not in ("svg", "math"):
-                lower = lower or page.lower()
-                end = lower.find(f"</{name}", at)
-                at = length if end < 0 else page.find(">", end) + 1 or length
+                end = _RAW_END[name].search(page, at)
+                at = length if end is None else page.find(">", end.start()) + 1 or length
             continue
         if name in BLOCK:
             close()

@@ -335,6 +335,11 @@ def test_html(spark):
     assert html_text.extract(df.where("false")).count() == 0
 
 
+def test_html_after_letters_that_grow_in_lower_case():
+    page = "<article><p>" + "İ" * 40 + "<SCRIPT>var a;</Script> goes on</p><p>Next</p></article>"
+    assert [b.text for b in html_text.blocks(page)] == ["İ" * 40 + " goes on", "Next"]
+
+
 def test_urls(spark):
     given = [None, "", "no scheme", "HTTP://A.Example.NET/en/x?q", "http://example.net/EN/x", "http://x.net", "http://x.net/", "https://www.example.com/de/1", "http://notexample.com/de/1", "ftp://a.org/fr/#f", "http://a.org/frx", "http://www.bad.info/a/?x#y", "http://bad.info/a.html", "http://good.info/a://b/c", "http://bad.info/a\nb", "http://BAD.info/a/"]
     want = [("", "", None, "allow")] * 3 + [("a.example.net", "/en/x", "example.net/en/", "allow"), ("example.net", "/EN/x", "net/", "block"), ("x.net", "", None, "allow"), ("x.net", "/", "net/", "block"), ("www.example.com", "/de/1", "example.com/de/", "block"), ("notexample.com", "/de/1", None, "allow"), ("a.org", "/fr/", "org/fr/", "allow"), ("a.org", "/frx", None, "allow"), ("www.bad.info", "/a/", None, "block"), ("bad.info", "/a.html", None, "block"), ("good.info", "/a://b/c", None, "allow"), ("bad.info", "/a\nb", None, "allow"), ("bad.info", "/a/", None, "block")]
