@@ -20,8 +20,8 @@ are compared there before any text is read. A first pass verifies a spanning for
 second one all that still lie across. Pairs whose signatures agree in fewer than 60 of 100 positions are not verified.
 
 Defined cases: a null or empty text is in a class of its own; a text of fewer than five words is one shingle; rows that
-share an id are one document, with the links of all its texts; a null id has class null; an empty table gives no row;
-other columns are ignored here and kept by ``without_copies``.
+share an id are one document, with the links of all its texts, but ``without_copies`` takes each of its texts for itself;
+a null id has class null; an empty table gives no row; other columns are ignored here and kept by ``without_copies``.
 """
 
 from __future__ import annotations
@@ -381,13 +381,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, of which one document of each class stays: the one of the smallest id."""
-    found = near_duplicates(docs, threshold)
-    dropped = stored(found.where("class_id <> doc_id").select("doc_id").distinct(), "dropped")
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id IS NULL").union(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    """The rows of ``docs``, all columns, of which one document of each class stays: the one of the smallest id.
+
+    Rows that share an id but not their text are documents of their own; of rows that share both one stays.
+    """
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        dropped = stored(near_duplicates(docs, threshold).where("class_id <> doc_id").select("doc_id").distinct(), "dropped")
+        return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    keyed = docs.withColumn("_key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    found = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), threshold)
+    classes = found.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_key"), "class_id").distinct()
+    first = classes.join(keyed.select("_key", "doc_id"), "_key").groupBy("class_id").agg(F.min(F.struct("doc_id", "_key")).alias("first"))
+    first = stored(first.select("first._key"), "kept")
+    kept = keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"])
+    return kept.select(docs.columns).union(docs.where("doc_id IS NULL"))
 
 
 @query("op4_minhash")

@@ -231,6 +231,12 @@ def test_minhash_keeps_links_of_a_single_large_key(spark):
     assert lost_links(spark, [1]) == 0
 
 
+def test_rows_that_share_an_id_stay_with_their_own_texts(spark):
+    a, b = prose(60, 500), prose(60, 501)
+    df = spark.createDataFrame([(0, b), (1, a), (1, b), (2, a), (2, a)], "doc_id long, text string")
+    assert sorted(minhash.without_copies(df).collect()) == sorted([(0, b), (1, a)])
+
+
 def test_weighted_sampling_estimates_similarity():
     sample, n = minhash.Sampler(), 4000
     r = np.random.default_rng(2)
