@@ -1,6 +1,6 @@
 """All corpus queries; importing a module registers its query."""
 
-from sensorgate.llm import bpe_automaton, embeddings, fill_middle, html_text, minhash, mixing, order_minhash, packing, quality, suffixes, token_files, urls  # noqa: F401
+from sensorgate.llm import bpe_automaton, embeddings, fill_middle, html_text, minhash, mixing, order_minhash, packing, quality, spelling, suffixes, token_files, urls  # noqa: F401
 from sensorgate.llm.common import ORACLES, QUERIES
 
 

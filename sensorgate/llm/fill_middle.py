@@ -48,23 +48,22 @@ def examples(docs: DataFrame, seed: int = SEED, rate: int = RATE, spm_rate: int
     return rows.select("doc_id", "text", "n", "form", output.alias("output"))
 
 
-def parts(output: str, form: str) -> dict[str, Column]:
-    """Prefix, middle and suffix of an output by the places of its markers; null for plain texts."""
-    out, size = F.col(output), len(PREFIX)
-    spm, cut = F.col(form) == "spm", F.col(form) != "plain"
-    second = F.when(spm, F.instr(out, PREFIX)).otherwise(F.instr(out, SUFFIX))
-    third = F.instr(out, MIDDLE)
-    one = F.substring(out, F.lit(size + 1), second - size - 1)
-    two = F.substring(out, second + size, third - second - size)
-    three = F.substring(out, third + size, F.length(out))
-    picked = {"prefix": F.when(spm, two).otherwise(one), "middle": three, "suffix": F.when(spm, one).otherwise(two)}
-    return {name: F.when(cut, part) for name, part in picked.items()}
-
-
-def restored(output: str, form: str) -> Column:
-    """The exact text again, from output and form alone."""
-    p = parts(output, form)
-    return F.coalesce(F.concat(p["prefix"], p["middle"], p["suffix"]), F.col(output))
+def with_parts(rows: DataFrame) -> DataFrame:
+    """Add ``prefix, middle, suffix, restored`` to ``output, form`` by the places of the markers, found once for each row.
+
+    ``restored`` is the exact text again; the parts of plain texts are null.
+    """
+    size, spm = len(PREFIX), F.col("form") == "spm"
+    second = F.when(spm, F.instr("output", PREFIX)).otherwise(F.instr("output", SUFFIX))
+    rows = rows.withColumns({"_second": second, "_third": F.instr("output", MIDDLE)})
+    cut = {
+        "_one": F.expr(f"substring(output, {size + 1}, _second - {size + 1})"),
+        "_two": F.expr(f"substring(output, _second + {size}, _third - _second - {size})"),
+        "middle": F.expr(f"substring(output, _third + {size})"),
+    }
+    rows = rows.withColumns({name: F.when(F.col("form") != "plain", part) for name, part in cut.items()})
+    rows = rows.withColumns({"prefix": F.when(spm, F.col("_two")).otherwise(F.col("_one")), "suffix": F.when(spm, F.col("_one")).otherwise(F.col("_two"))})
+    return rows.withColumn("restored", F.coalesce(F.concat("prefix", "middle", "suffix"), "output")).drop("_one", "_two", "_second", "_third")
 
 
 SQL = r"""
@@ -91,15 +90,14 @@ FROM s
 
 @query("op11_fill_in_middle", SQL)
 def op11(spark: SparkSession, folder: str) -> DataFrame:
-    rows = examples(table(spark, folder, "documents")).select("doc_id", "n", "form", "output")
-    p = parts("output", "form")
+    rows = with_parts(examples(table(spark, folder, "documents")).drop("text"))
     sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
     return rows.select(
         "doc_id",
         "n",
         "form",
-        F.length(p["prefix"]).cast("long").alias("prefix_chars"),
-        F.length(p["middle"]).cast("long").alias("middle_chars"),
-        sha(F.col("output")).alias("output_sha256"),
-        sha(restored("output", "form")).alias("restored_sha256"),
+        F.length("prefix").cast("long").alias("prefix_chars"),
+        F.length("middle").cast("long").alias("middle_chars"),
+        sha("output").alias("output_sha256"),
+        sha("restored").alias("restored_sha256"),
     )
