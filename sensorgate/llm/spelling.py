@@ -173,14 +173,15 @@ def node_pairs(words: DataFrame) -> DataFrame:
     whole = "transform(nodes, (p, i) -> struct(p, get(ends, size(nodes) - 1 - i) AS s, 0 AS kind))"
     skipped = "transform(slice(nodes, 1, size(nodes) - 1), (p, i) -> struct(p, get(ends, size(nodes) - 2 - i) AS s, if(i > 0 AND get(letters, i) = get(letters, i - 1), 2, 1) AS kind))"
     rows = words.withColumn("letters", F.split("word", "")).select("id", "n", F.expr(f"concat({whole}, {skipped})").alias("pairs"))
-    return rows.select("id", "n", F.explode("pairs").alias("x")).select("x.p", "x.s", "id", "n", "x.kind")
+    # explode_outer: no array is empty, and the planner would test that by making each array once more.
+    return rows.select("id", "n", F.explode_outer("pairs").alias("x")).select("x.p", "x.s", "id", "n", "x.kind")
 
 
 def neighbours(pairs: DataFrame) -> DataFrame:
     """``id, n, n_near`` of each word that has neighbours, and the one of largest count: ``near`` as (n, -id)."""
     groups = pairs.groupBy("p", "s").agg(F.collect_list(F.struct("id", "n", "kind")).alias("all")).where("size(all) > 1")
     other = "x.id <> y.id AND (x.kind > 0 AND y.kind > 0 OR x.kind + y.kind = 1)"
-    met = groups.select(F.explode(F.expr(f"transform(all, x -> struct(x.id, x.n, transform(filter(all, y -> {other}), y -> struct(y.n, -y.id AS id)) AS near))")).alias("x"))
+    met = groups.select(F.explode_outer(F.expr(f"transform(all, x -> struct(x.id, x.n, transform(filter(all, y -> {other}), y -> struct(y.n, -y.id AS id)) AS near))")).alias("x"))
     met = met.select("x.id", "x.n", "x.near").where("size(near) > 0")
     return met.groupBy("id", "n").agg(F.sum(F.size("near")).cast("long").alias("n_near"), F.max(F.array_max("near")).alias("near"))
 
