@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sensorgate.functions.exprs import as_col
-from sensorgate.operators.scan import carry
+from sensorgate.operators.ordered import Last, Sum, ordered_scan, row_index
 
 
 def spine(sources, keys, time: str, step: int = 1) -> DataFrame:
@@ -48,22 +48,32 @@ def daily_to_hourly(hourly: DataFrame, daily: DataFrame, keys, hour: str, day: s
     return hourly.withColumn(day, days).join(full, [*keys, day], "left")
 
 
-def asof(left: DataFrame, right: DataFrame, keys, time: str, value: str, width: int, backfill: bool = False, tie: str | None = None) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, keys, time: str, value: str, backfill: bool = False, tie: str | None = None) -> DataFrame:
     """Latest ``value`` of the right side at or before each left row; ``backfill`` gives leading rows the next one.
 
-    Both sides are stacked and scanned in blocks of ``width`` time units, so a key may be of any size. A right row
-    at the same time counts as before. Of right rows at one time the last one by ``tie`` counts, by value if not given.
+    Both sides are stacked and scanned once, so a key may be of any size. A right row at the same time counts as before.
+    Of right rows at one time the last one by ``tie`` counts, by value if not given.
     """
-    keys = list(keys)
     l = left.withColumns({"_side": F.lit(1), "_val": F.lit(None).cast(dict(right.dtypes)[value])})
     r = right.select(*keys, time, F.lit(0).alias("_side"), F.col(value).alias("_val"), F.col(tie or value).alias("_tie"))
-    both = l.unionByName(r, allowMissingColumns=True)
-    blk, order = F.floor(F.col(time) / width).cast("long"), [time, "_side", "_tie"]
-    both = carry(both, keys, order, F.col("_val"), "_prev", blk)
+    return _after(l.unionByName(r, allowMissingColumns=True), keys, time, value, backfill)
+
+
+def asof_within(df: DataFrame, is_right: Column, keys, time: str, value: str, out: str, backfill: bool = False) -> DataFrame:
+    """As ``asof`` where both sides are rows of one table, read once: the rows that are not right, with the latest ``value`` of a right one."""
+    side = F.when(is_right, 0).otherwise(1)
+    d = df.withColumns({"_side": side, "_val": F.when(side == 0, F.col(value)), "_tie": F.when(side == 0, F.col(value))})
+    return _after(d, keys, time, out, backfill)
+
+
+def _after(both: DataFrame, keys, time: str, value: str, backfill: bool) -> DataFrame:
+    keys = list(keys)
+    both = ordered_scan(both, keys, [time, "_side", "_tie"], [Last("_prev", "_val")])
+    out = both.filter(F.col("_side") == 1)
     if backfill:  # a row without an earlier value lies before the first one of its key
-        first = r.filter(F.col("_val").isNotNull()).groupBy(*keys).agg(F.min_by("_val", time).alias("_first"))
-        both = both.join(first, keys, "left").withColumn("_prev", F.coalesce("_prev", "_first")).drop("_first")
-    return both.filter(F.col("_side") == 1).withColumn(value, F.col("_prev")).drop("_side", "_val", "_prev", "_tie")
+        first = both.filter(F.col("_val").isNotNull()).groupBy(*keys).agg(F.min_by("_val", F.struct(time, "_tie")).alias("_first"))
+        out = out.join(first, keys, "left").withColumn("_prev", F.coalesce("_prev", "_first")).drop("_first")
+    return out.withColumn(value, F.col("_prev")).drop("_side", "_val", "_prev", "_tie")
 
 
 def keep_first(df: DataFrame, keys, order, count: str | None = None) -> DataFrame:
@@ -188,18 +198,14 @@ def _nearest(events: DataFrame, pool: DataFrame, event_id: str, k: int) -> DataF
     The k nearest lie among the k rows before and the k rows after the event in norm order, so each event needs a
     short slice of the ordered pool only.
     """
-    from sensorgate.operators.scan import row_index
-
     both = pool.select(F.col("pool_norm").alias("_x"), F.lit(0).alias("_side"), "pool_id", "w").unionByName(
         events.select(F.col("norm").alias("_x"), F.lit(1).alias("_side"), event_id, "expected"), allowMissingColumns=True
     )
-    blk = _bucket(_log_place("_x", 0.01), 0)
-    ordered = row_index(both, [], ["_x", "_side", "pool_id"], "_at", blk)
-    is_pool = F.col("_side") == 0
-    placed = ordered.filter(is_pool).select("pool_id", "w", "_x", "_at")
-    from_pool = row_index(placed, [], ["_x", "pool_id"], "_pos", blk)
-    before = ordered.filter(~is_pool)
-    before = row_index(before, [], ["_x", "_at"], "_seen", blk).withColumn("_pos0", F.col("_at") - F.col("_seen"))
+    # One scan numbers the pool rows and tells each event how many lie before it.
+    ordered = ordered_scan(both.withColumn("_one", 1 - F.col("_side")), [], ["_x", "_side", "pool_id"], [Sum("_sum", "_one")])
+    ordered = ordered.withColumn("_pos0", F.col("_sum").cast("long"))
+    from_pool = ordered.filter(F.col("_side") == 0).withColumn("_pos", F.col("_pos0") - 1)
+    before = ordered.filter(F.col("_side") == 1)
     slots = before.select(
         event_id, "expected", F.col("_x").alias("_norm"), F.explode(F.sequence(F.col("_pos0") - k, F.col("_pos0") + k - 1)).alias("_pos")
     )

@@ -7,12 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sensorgate.functions.exprs import as_col, mix, safe_div
-from sensorgate.operators.scan import row_index
+from sensorgate.operators.ordered import row_index
 
 
-def index_pool(df: DataFrame, order, block: Column, cols) -> DataFrame:
+def index_pool(df: DataFrame, order, cols) -> DataFrame:
     """Clean rows numbered 0..n-1 along ``order``; no task ever orders the whole pool."""
-    d = row_index(df, [], order, "pool_idx", block)
+    d = row_index(df, [], order, "pool_idx")
     return d.select("pool_idx", *cols)
 
 
@@ -249,14 +249,11 @@ def roc_auc_ordered(df: DataFrame, keys, score: str, label: str, tie: str) -> Da
 def permutation_null(df: DataFrame, idx: str, u: str, v: str, replicates: int, salt: int = 400) -> DataFrame:
     """Correlation of u with a shuffled v per replicate.
 
-    A shuffle is the order of a hash; ranks within a replicate are blocked by hash range, so no replicate has to
-    fit one task. Pairing is an equi-join on the rank.
+    A shuffle is the order of a hash; all replicates are ranked in one ordered scan, so none has to fit one task. Pairing is an equi-join on the rank.
     """
-    from sensorgate.operators.scan import row_index as index
-
     reps = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")
     d = df.select(F.col(idx).alias("_i"), v, reps).withColumn("_h", mix("_i", "rep", salt))
-    d = index(d, ["rep"], ["_h", "_i"], idx, F.floor(F.col("_h") / 4194304).cast("long"))
+    d = row_index(d, ["rep"], ["_h", "_i"], idx)
     pairs = d.select("rep", idx, F.col(v).alias("_v")).join(df.select(idx, u), idx)
     return pairs.groupBy("rep").agg(F.corr(u, "_v").alias("r"))
 

@@ -40,12 +40,6 @@ def running_sum(df: DataFrame, keys, order, value, out: str, block: Column) -> D
     )
 
 
-def row_index(df: DataFrame, keys, order, out: str, block: Column) -> DataFrame:
-    """Zero-based position along ``order`` within ``keys``."""
-    d = running_sum(df, keys, order, F.lit(1).cast("long"), out, block)
-    return d.withColumn(out, F.col(out) - 1)
-
-
 def carry(
     df: DataFrame, keys, order, value, out: str, block: Column, inclusive: bool = True, forward: bool = True
 ) -> DataFrame:
@@ -75,50 +69,6 @@ def previous_row(df: DataFrame, keys, order, cols, out: str, block: Column) -> D
     return carry(df, keys, order, F.struct(*cols), out, block, inclusive=False)
 
 
-def running_changes(
-    df: DataFrame, keys, order, value, changed, out: str, block: Column, first: int = 0, skip_null: bool = False
-) -> DataFrame:
-    """Running count of the rows whose value ``changed(previous, current)``; the first row of a key counts ``first``.
-
-    With ``skip_null`` rows without a value are passed over. One summary row per block carries its first and last
-    value and its inner count, so steps across block borders are settled in the summary.
-    """
-    keys, order = list(keys), list(order)
-    d = df.withColumns({"_blk": block, "_x": as_col(value)})
-    known = F.col("_x").isNotNull() if skip_null else F.lit(True)
-    inside = W.partitionBy(*keys, "_blk").orderBy(*order)
-    d = d.withColumn("_s", F.when(known, F.struct("_x")))
-    d = d.withColumns(
-        {
-            "_pr": F.last("_s", ignorenulls=True).over(inside.rowsBetween(_UP, -1)),
-            "_seen": F.count("_s").over(inside.rowsBetween(_UP, 0)) > 0,
-        }
-    )
-    step = F.col("_s").isNotNull() & F.col("_pr").isNotNull() & changed(F.col("_pr._x"), F.col("_x"))
-    d = d.withColumn("_c", F.when(step, 1).otherwise(0))
-    rank = F.when(F.col("_s").isNotNull(), F.struct(*order))
-    summary = d.groupBy(*keys, "_blk").agg(
-        F.sum("_c").alias("_tot"), F.min_by("_s", rank).alias("_first"), F.max_by("_s", rank).alias("_last")
-    )
-    before = W.partitionBy(*keys).orderBy("_blk").rowsBetween(_UP, -1)
-    summary = summary.withColumn("_pl", F.last("_last", ignorenulls=True).over(before))
-    border = (
-        F.when(F.col("_first").isNull(), 0)
-        .when(F.col("_pl").isNull(), first)
-        .when(changed(F.col("_pl._x"), F.col("_first._x")), 1)
-        .otherwise(0)
-    )
-    summary = summary.withColumn("_border", border)
-    summary = summary.select(*keys, "_blk", "_border", F.sum(F.col("_tot") + F.col("_border")).over(before).alias("_off"))
-    d = d.withColumn("_loc", F.sum("_c").over(inside.rowsBetween(_UP, 0)))
-    total = F.coalesce("_off", F.lit(0)) + F.when(F.col("_seen"), F.col("_border")).otherwise(0) + F.col("_loc")
-    return (
-        _join_blocks(d, summary, keys)
-        .withColumn(out, total)
-        .drop("_blk", "_x", "_s", "_pr", "_seen", "_c", "_border", "_off", "_loc")
-    )
-
-
 def with_halo(df: DataFrame, position: str, width: int, before: int, after: int) -> DataFrame:
     """Copy rows to every block of ``width`` positions whose framed windows can see them.
 

@@ -1,7 +1,7 @@
 """Gap, session and rolling operators, and the slow/fast decomposition.
 
 Operators on the hourly grid window by key: a key has one row per hour, so its size is bounded by the length of the
-record and not by the number of readings. Operators on raw rows use the block scans of ``scan``.
+record and not by the number of readings. Operators on raw rows use the scans of ``ordered``.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sensorgate.functions.exprs import as_col
-from sensorgate.operators.scan import carry, running_changes
+from sensorgate.operators.ordered import Changes, Last, ordered_scan
 
 _UP, _DOWN = W.unboundedPreceding, W.unboundedFollowing
 
@@ -44,31 +44,35 @@ def segments(df: DataFrame, keys, time: str, longer_than: int, out: str = "segme
     return d.withColumn(out, F.sum(flag).over(by_key(keys, time).rowsBetween(_UP, 0))).drop("_gap")
 
 
-def equal_runs(df: DataFrame, keys, order, value, out: str, block: Column) -> DataFrame:
+def equal_runs(df: DataFrame, keys, order, value: str, out: str) -> DataFrame:
     """Number of the contiguous run of equal values along ``order``; NULL equals NULL."""
-    return running_changes(df, keys, order, value, lambda a, b: ~a.eqNullSafe(b), out, block, first=1)
+    return ordered_scan(df, keys, order, [Changes(out, value, first=1)])
 
 
-def midnight_rollover(df: DataFrame, keys, order, seconds: str, created_day: str, out: str, block: Column) -> DataFrame:
+def midnight_rollover(df: DataFrame, keys, order, seconds: str, created_day: str, out: str, run: str | None = None) -> DataFrame:
     """Clock start from a time of day and a base date: each fall of the time of day moves on by one day.
 
-    The base is the first known date of the key; rows without a time of day give NULL and are skipped over.
+    The base is the first known date of the key; rows without a time of day give NULL and are skipped over. ``run`` adds
+    the number of the run of equal dates in the same scan.
     """
-    d = running_changes(df, keys, order, F.col(seconds), lambda a, b: b < a, "_days", block, skip_null=True)
+    steps = [Changes("_days", seconds, falls=True, skip_null=True)] + ([Changes(run, created_day, first=1)] if run else [])
+    d = ordered_scan(df, keys, order, steps)
     dated = F.when(F.col(created_day).isNotNull(), F.struct(*order))
-    base = df.groupBy(*keys).agg(F.min_by(created_day, dated).alias("_base"))
-    d = d.join(base, list(keys), "left")
-    day = F.date_add("_base", F.col("_days").cast("int")).cast("timestamp")
+    base = d.groupBy(*keys).agg(F.min_by(created_day, dated).alias("_base"))
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    d = d.alias("d").join(base.alias("b"), same, "left").select("d.*", "b._base")
+    day = F.date_add("_base", F.col("_days")).cast("timestamp")
     start = F.timestamp_micros(F.unix_micros(day) + F.round(F.col(seconds) * 1e6).cast("long"))
     return d.withColumn(out, start).drop("_days", "_base")
 
 
-def session_checks(rows: DataFrame, keys, order, session: str, start: str, created: str, readable: str, block: Column):
+def session_checks(rows: DataFrame, keys, order, session: str, start: str, created: str, readable: str):
     """Per session: readable files, creation times, order of starts, long pauses, anomaly flag."""
     group = [*keys, session]
     ok = F.col(readable)
     t = F.when(ok, F.unix_micros(F.col(start)))
-    d = carry(rows.withColumn("_t", t), group, order, F.col("_t"), "_pt", block, inclusive=False)
+    d = rows.select(*group, *order, readable, created, t.alias("_t"))
+    d = ordered_scan(d, group, order, [Last("_pt", "_t", inclusive=False)])
     pause = F.when(F.col("_t").isNotNull(), (F.col("_t") - F.col("_pt")) / 60e6)
     d = d.withColumn("_pause", pause)
     s = d.groupBy(*group).agg(

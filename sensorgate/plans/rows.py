@@ -154,9 +154,8 @@ def daily_hourly(t):
 )
 def asof(t):
     signup = F.col("event_type") == "signup"
-    right = t.ev.filter(signup).select("user_id", "us", F.col("value").alias("reading"))
-    left = t.ev.filter(~signup).select("event_id", "user_id", "us")
-    d = align.asof(left, right, ["user_id"], "us", "reading", 6 * ex.MICROS_PER_HOUR, backfill=True)
+    rows = t.ev.select("event_id", "user_id", "us", "event_type", "value")
+    d = align.asof_within(rows, signup, ["user_id"], "us", "value", "reading", backfill=True)
     return d.select("event_id", "user_id", "reading")
 
 

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from sensorgate.functions.exprs import MICROS_PER_HOUR, rnd
 from sensorgate.operators import timeseries as ts
 from sensorgate.operators.align import complete_grid
+from sensorgate.operators.ordered import row_index
+from sensorgate.operators.scan import with_halo
 from sensorgate.plans.common import EV, FLOW, GRID, MERGED, MODAL, R, Tables, query
 from sensorgate.session import cut_lineage
 from sensorgate.plans.rollups import FILES_SQL, rounded, video_files
@@ -40,12 +42,8 @@ RUNS_SQL = f"""{FILES_SQL}, ch AS (SELECT *, CASE WHEN row_number() OVER w = 1 O
 runs AS (SELECT *, CAST(sum(c) OVER (PARTITION BY folder ORDER BY seq) AS BIGINT) AS run FROM ch)"""
 
 
-def seq_block():
-    return F.floor(F.col("seq") / 4096).cast("long")
-
-
 def session_rows(t: Tables):
-    return ts.equal_runs(video_files(t), ["folder"], ["seq"], "created", "run", seq_block())
+    return ts.equal_runs(video_files(t), ["folder"], ["seq"], "created", "run")
 
 
 @query("w04_equal_value_runs", f"WITH {RUNS_SQL} SELECT folder, seq, run FROM runs")
@@ -60,7 +58,7 @@ st AS (SELECT rl.*, epoch_us(CAST(base AS TIMESTAMP)) + CAST(days AS BIGINT) * 8
 
 
 def started(t: Tables):
-    d = ts.midnight_rollover(session_rows(t), ["folder"], ["seq"], "tod", "created", "start", seq_block())
+    d = ts.midnight_rollover(video_files(t), ["folder"], ["seq"], "tod", "created", "start", run="run")
     return cut_lineage(d.withColumn("start_us", F.unix_micros("start")))  # read again by each check
 
 
@@ -79,7 +77,7 @@ an AS (SELECT *, NOT clock_frozen_as_expected OR NOT monotonic OR duplicates OR
 
 
 def checked(rows):
-    return ts.session_checks(rows, ["folder"], ["seq"], "run", "start", "created", "readable", seq_block())
+    return ts.session_checks(rows, ["folder"], ["seq"], "run", "start", "created", "readable")
 
 
 @query(
@@ -200,10 +198,7 @@ def median_rows(t):
 )
 def median_raw(t):
     """Raw frames of one room may be any number, so they are cut in numbered blocks with borders copied over."""
-    from sensorgate.operators.scan import row_index, with_halo
-
-    d = t.ev.select("event_id", "entity", "us", "value")
-    d = row_index(d, E, ["us", "event_id"], "i", F.floor(F.col("us") / (300 * 1_000_000)).cast("long"))
+    d = row_index(t.ev.select("event_id", "entity", "us", "value"), E, ["us", "event_id"], "i")
     d = with_halo(d, "i", 4096, 25, 24)
     d = ts.rolling_median_rows(d, [*E, "_blk"], ["i"], "value", "base50", 50, 5)
     return d.filter("_core").select("event_id", rnd("base50").alias("base50"))

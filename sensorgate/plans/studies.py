@@ -11,7 +11,7 @@ from sensorgate.plans.alarms import RESID_SQL, energy, gate_sql, residuals
 from sensorgate.plans.common import R, Tables, query
 from sensorgate.plans.rollups import rounded
 from sensorgate.plans.trials import (
-    COUPLED_SQL, HOURS, PLAN_SQL, POOL_SQL, SLOT_SQL, TARGET, coupled, room_block, slot_amount, timeline_sql, trials, z_pool,
+    COUPLED_SQL, HOURS, PLAN_SQL, POOL_SQL, SLOT_SQL, TARGET, coupled, slot_amount, timeline_sql, trials, z_pool,
 )
 from sensorgate.session import cut_lineage
 
@@ -40,7 +40,7 @@ def injection_variants(t):
     """Quiet residuals of all rooms in their own scales; every variant is one more key of the same job."""
     d = residuals(t).filter(F.abs(F.col("fast_residual") - F.col("med_fast_residual")) < F.col("scale") * 3)
     d = d.select("entity", "hr", (F.col("fast_residual") / F.col("scale")).alias("z"))
-    pool = cut_lineage(bt.index_pool(d, ["entity", "hr"], room_block(), ["z"]))
+    pool = bt.index_pool(d, ["entity", "hr"], ["z"])
     d = variants(bt.resample(trials(t), pool, "trial", HOURS, salt=11))
     d = d.withColumn("z", F.col("z") + F.when((F.col("t") >= 80) & (F.col("t") < 80 + F.col("dur")), F.col("mag")).otherwise(0.0))
     d = d.withColumns({"i": F.col("t").cast("long"), "a0": F.lit(80), "a1": 80 + F.col("win")})
@@ -92,7 +92,7 @@ def ablation(t):
     d = nz.with_robust_stats(d, ["entity"], ["v"])
     raw = (F.col("v") - F.col("med_v")) / nz.robust_scale("mad_v")
     d = d.select("entity", "hr", raw.alias("raw"), ((F.col("fast_residual") - F.col("med_fast_residual")) / F.col("scale")).alias("detrended"))
-    pool = cut_lineage(bt.index_pool(d, ["entity", "hr"], room_block(), ["raw", "detrended"]))
+    pool = bt.index_pool(d, ["entity", "hr"], ["raw", "detrended"])
     kinds = ["raw", "detrended"]
     limit = exact_quantiles(pool.unpivot(["pool_idx"], kinds, "representation", "z"), ["representation"], {"": F.abs("z")}, [0.99], ["q"])
     events = bt.plan_slots(trials(t), "trial", HOURS)

@@ -24,13 +24,9 @@ def trials(t: Tables):
     return t.events.select(F.col("user_id").alias("trial")).distinct()
 
 
-def room_block(width: int = 256):
-    return (F.col("entity") * 1_000_000_000 + F.floor(F.col("hr") / width)).cast("long")
-
-
 def z_pool(t: Tables):
     """Numbered clean scores, written once: every trial reads them."""
-    return cut_lineage(bt.index_pool(z_rows(t), ["entity", "hr"], room_block(), ["z"]))
+    return bt.index_pool(z_rows(t), ["entity", "hr"], ["z"])
 
 
 POOL_SQL = f"""{FLOW}, {ZROWS}, pool AS (SELECT row_number() OVER (ORDER BY entity, hr) - 1 AS pool_idx, z FROM z), np AS (SELECT count(*) AS n FROM pool),
@@ -121,7 +117,7 @@ def slot_outcomes(t):
 
 
 def pair_pool(t: Tables):
-    return cut_lineage(bt.index_pool(joint(t), ["entity", "hr"], room_block(), ["za", "zv"]))
+    return bt.index_pool(joint(t), ["entity", "hr"], ["za", "zv"])
 
 
 PAIR_SQL = f"""{MERGED}, {BOTH}, pool AS (SELECT row_number() OVER (ORDER BY entity, hr) - 1 AS pool_idx, za, zv FROM mh), np AS (SELECT count(*) AS n FROM pool), tr AS (SELECT DISTINCT user_id AS trial FROM events),
@@ -263,8 +259,7 @@ def boot_sql(salt: int) -> str:
 
 def numbered(o):
     """Trials numbered from 0 for the bootstrap, written once."""
-    block = F.floor(F.col("trial") / 65536).cast("long")
-    return cut_lineage(bt.row_index(o, [], ["trial"], "idx", block))
+    return bt.row_index(o, [], ["trial"], "idx")
 
 
 @query(
@@ -422,7 +417,7 @@ def benchmark_matched(t):
 
 def pairs_indexed(t: Tables):
     d = t.merged.dropna(subset=["aud_level", "vid_flow"]).select("entity", "hr", "aud_level", "vid_flow")
-    return cut_lineage(bt.row_index(d, [], ["entity", "hr"], "idx", room_block()))
+    return bt.row_index(d, [], ["entity", "hr"], "idx")
 
 
 @query(

@@ -28,14 +28,10 @@ def back(df, out):
 
 
 
-def test_running_sum_and_index(spark, skewed):
+def test_running_sum(spark, skewed):
     block = F.floor(F.col("t") / 100).cast("long")
     d = scan.running_sum(frame(spark, skewed), ["k"], ["t"], "v", "s", block)
     assert np.allclose(back(d, "s"), skewed.fillna(0).groupby("k").v.cumsum())
-    d = scan.row_index(frame(spark, skewed), ["k"], ["t"], "i", block)
-    assert (back(d, "i") == skewed.groupby("k").cumcount()).all()
-    d = scan.row_index(frame(spark, skewed), [], ["t"], "i", block)
-    assert sorted(back(d, "i")) == list(range(len(skewed)))
 
 
 @pytest.mark.parametrize("forward", [True, False])
@@ -89,23 +85,3 @@ def test_value_ranges_are_ordered_and_even(spark, kind):
     x = {"wide": np.concatenate([-np.logspace(-12, 9, 4000), np.logspace(-12, 9, 4000)]), "offset": rng.uniform(293.0, 293.5, 8000), "narrow": 1 + 1e-9 * rng.normal(size=8000)}[kind]
     d = quantiles.value_ranges(spark.createDataFrame(pd.DataFrame({"x": x})), [], "x", "r").toPandas().sort_values("x")
     assert (np.diff(d.r) >= 0).all() and d.r.value_counts(normalize=True).max() < 2 / quantiles.RANGES
-
-
-@pytest.mark.parametrize("skip", [True, False])
-def test_running_changes(spark, skewed, skip):
-    pdf = skewed.assign(v=(skewed.v * 0.7).round())
-    block = F.floor(F.col("t") / 20).cast("long")
-    differs = (lambda a, b: b < a) if skip else (lambda a, b: ~a.eqNullSafe(b))
-    d = scan.running_changes(frame(spark, pdf), ["k"], ["t"], "v", differs, "n", block, first=1, skip_null=skip)
-    want = []
-    for _, g in pdf.groupby("k"):
-        n, prev, seen = 0, None, False
-        for v in g.v:
-            known = not np.isnan(v)
-            if skip and not known:
-                want.append(n)
-                continue
-            n += 1 if not seen else (v < prev if skip else not (prev == v or (np.isnan(prev) and not known)))
-            prev, seen = v, True
-            want.append(n)
-    assert (back(d, "n") == want).all()
