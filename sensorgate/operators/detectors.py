@@ -168,8 +168,12 @@ def chart_fires(chart, scores: np.ndarray, limits: np.ndarray) -> np.ndarray:
 
     ``scores`` is hours x timelines, ``limits`` has a row for all timelines or one for each.
     """
-    shape = (scores.shape[1], limits.shape[1])
-    state, out = chart(shape), np.empty((len(scores), *shape), bool)
+    return follow(chart((scores.shape[1], limits.shape[1])), scores, limits)
+
+
+def follow(state, scores: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """The same from the state that a chart is in, which moves on."""
+    out = np.empty((len(scores), scores.shape[1], limits.shape[1]), bool)
     for hour, score in enumerate(scores[:, :, None]):
         np.greater(state.advance(score), limits, out=out[hour])
         state.forget(out[hour])
@@ -188,6 +192,12 @@ class Latch:
         self.closed = (self.closed & (self.bucket > self.p.open)) | (~self.closed & (self.bucket >= self.limits))
         return self.closed
 
+    def rest(self, hours: int) -> None:
+        """Hours without a reading: the bucket only leaks, so the latch can open and not close."""
+        if hours > 0:
+            self.bucket = self.bucket * self.p.decay**hours
+            self.closed = self.closed & (self.bucket > self.p.open)
+
 
 def gate_closed(scores: np.ndarray, limits: np.ndarray, params: GateParams = GateParams()) -> np.ndarray:
     latch = Latch(scores.shape[1], limits, params)

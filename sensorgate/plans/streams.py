@@ -23,18 +23,24 @@ def as_stream(t: Tables, df, name: str):
     return t.spark.readStream.schema(t.spark.read.parquet(path).schema).parquet(path)
 
 
-def run(t: Tables, stream, name: str):
-    return st.run_to_table(stream, scratch_path(t.spark, name), scratch_path(t.spark, f"{name}-state"))
+def run(t: Tables, stream, build, name: str, ts: str = "ts", delay: str = "2 hours"):
+    return st.run_to_end(stream, ts, delay, build, scratch_path(t.spark, name))
+
+
+def with_clock(df):
+    """Hours since the epoch as the event time."""
+    return df.withColumn("ts", F.timestamp_seconds(F.col("hr") * 3600))
 
 
 @query(
     "t01_stream_hourly_rollup",
     f"""WITH {EV}, h AS (SELECT entity, hr, avg(value) AS mean, stddev_samp(value) AS std, count(*) AS n FROM ev GROUP BY ALL)
-    SELECT entity, make_timestamp(hr * 3600000000) AS hour, {R('mean')} AS mean, {R('std')} AS std, n FROM h WHERE (hr + 1) * 3600000 <= (SELECT max(us) // 1000 FROM ev) - 7200000""",
+    SELECT entity, make_timestamp(hr * 3600000000) AS hour, {R('mean')} AS mean, {R('std')} AS std, n FROM h""",
 )
 def stream_rollup(t):
-    """Windows that the watermark (two hours behind the newest row) has passed."""
-    d = run(t, st.hourly_rollup(event_stream(t), ["entity"], "ts", "value", "2 hours"), "rollup")
+    """All hours: those that the watermark passed on the way and, at the end of the input, the open ones."""
+    rows = event_stream(t).select("entity", "ts", "value")
+    d = run(t, rows, lambda s: st.hourly_rollup(s, ["entity"], "ts", "value"), "rollup")
     return d.select("entity", F.col("hour").cast("timestamp_ntz").alias("hour"), rnd("mean").alias("mean"), rnd("std").alias("std"), "n")
 
 
@@ -46,14 +52,14 @@ def stream_rollup(t):
 def stream_gate(t):
     """Only hours with readings arrive; hours between them leak the bucket as on the complete grid."""
     z = nz.robust_z(t.flow, ["entity"], ["v"], guard="add").select("entity", "hr", "z_v")
-    d = run(t, st.gate_stream(as_stream(t, z, "scores"), ["entity"], "hr", "z_v", two_sided=False), "gate")
+    d = run(t, as_stream(t, with_clock(z), "scores"), lambda s: st.gate_stream(s, ["entity"], "hr", "z_v", two_sided=False), "gate")
     return d.select("entity", "hr", rnd("persistence").alias("persistence"), "closed")
 
 
 @query("t03_stream_hour_ewma", f"WITH RECURSIVE {FLOW}, {W22_SQL} SELECT entity, hr, {R('pred')} AS prediction FROM ew")
 def stream_ewma(t):
-    d = as_stream(t, t.flow.select("entity", (F.col("hr") % 24).alias("hod"), "hr", "v"), "flow")
-    d = run(t, st.hour_ewma_stream(d, ["entity", "hod"], "hr", "v"), "ewma")
+    d = as_stream(t, with_clock(t.flow.select("entity", (F.col("hr") % 24).alias("hod"), "hr", "v")), "flow")
+    d = run(t, d, lambda s: st.hour_ewma_stream(s, ["entity", "hod"], "hr", "v"), "ewma")
     return d.select("entity", "hr", rnd("prediction").alias("prediction"))
 
 
@@ -63,18 +69,19 @@ def stream_ewma(t):
     FROM z JOIN ew USING (entity, i) JOIN cu USING (entity, i) JOIN ph USING (entity, i)""",
 )
 def stream_detectors(t):
-    d = as_stream(t, z_rows(t).select("entity", "hr", "z"), "z")
-    return run(t, st.reset_detectors_stream(d, ["entity"], "hr", "z", {"ewma": 1.3, "cusum": 5.1, "page_hinkley": PH_H}), "detectors")
+    d = as_stream(t, with_clock(z_rows(t).select("entity", "hr", "z")), "z")
+    limits = {"ewma": 1.3, "cusum": 5.1, "page_hinkley": PH_H}
+    return run(t, d, lambda s: st.reset_detectors_stream(s, ["entity"], "hr", "z", limits), "detectors")
 
 
 @query(
     "t05_stream_gap_sessions",
     f"""WITH {EV}, g AS (SELECT user_id, us, CASE WHEN us - lag(us) OVER w >= 21600000000 OR lag(us) OVER w IS NULL THEN 1 ELSE 0 END AS c FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us)),
     s AS (SELECT user_id, us, sum(c) OVER (PARTITION BY user_id ORDER BY us) AS k FROM g), x AS (SELECT user_id, min(us) AS a, max(us) AS b, count(*) AS n FROM s GROUP BY user_id, k)
-    SELECT user_id, make_timestamp(a) AS first_ts, make_timestamp(b) AS last_ts, n FROM x WHERE (b + 21600000000) // 1000 <= (SELECT max(us) // 1000 FROM ev) - 7200000""",
+    SELECT user_id, make_timestamp(a) AS first_ts, make_timestamp(b) AS last_ts, n FROM x""",
 )
 def stream_sessions(t):
-    d = run(t, st.gap_sessions(event_stream(t), ["user_id"], "ts", "6 hours", "2 hours"), "sessions")
+    d = run(t, event_stream(t).select("user_id", "ts"), lambda s: st.gap_sessions(s, ["user_id"], "ts", "6 hours"), "sessions")
     return d.select("user_id", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"), F.col("last_ts").cast("timestamp_ntz").alias("last_ts"), "n")
 
 
@@ -85,11 +92,38 @@ def stream_sessions(t):
 )
 def late_data(t):
     """The second half of the month arrives first; the first half is then behind the watermark and is dropped."""
-    source, out, state = (scratch_path(t.spark, n) for n in ("arrivals", "late", "late-state"))
+    out, state = (scratch_path(t.spark, n) for n in ("late", "late-state"))
+    for d in late_arrivals(t):
+        table = st.run_to_table(st.hourly_rollup(d.withWatermark("ts", "2 hours"), ["entity"], "ts", "value"), out, state)
+    return table.select("entity", F.col("hour").cast("timestamp_ntz").alias("hour"), "n")
+
+
+def late_arrivals(t: Tables):
+    """A stream to which the second half of the month has come, and then the first half too."""
+    source = scratch_path(t.spark, "arrivals")
     early = F.dayofmonth("ts") <= 15
     for part in (t.events.filter(~early), t.events.filter(early)):
         part.write.mode("append").parquet(source)
         d = t.spark.readStream.schema(t.events.schema).parquet(source)
-        d = d.withColumns({"ts": F.col("ts").cast("timestamp"), "entity": F.col("user_id") % 4})
-        table = st.run_to_table(st.hourly_rollup(d, ["entity"], "ts", "value", "2 hours"), out, state)
-    return table.select("entity", F.col("hour").cast("timestamp_ntz").alias("hour"), "n")
+        yield d.select((F.col("user_id") % 4).alias("entity"), F.col("ts").cast("timestamp").alias("ts"), "value")
+
+
+@query(
+    "t06_late_row_accounts",
+    f"""WITH {EV}, m AS (SELECT entity, max(us) // 1000 AS newest FROM ev WHERE day(ts) > 15 GROUP BY entity),
+    a AS (SELECT e.*, day(ts) <= 15 AND (hr + 1) * 3600000 <= newest - 7200000 AS late FROM ev e LEFT JOIN m USING (entity))
+    SELECT entity, count(*) AS arrived, count(*) FILTER (NOT coalesce(late, false)) AS kept, count(*) FILTER (late) AS late, min(CASE WHEN late THEN us END) AS first_late_us,
+      {R('avg(CASE WHEN NOT coalesce(late, false) THEN value END)')} AS mean_kept FROM a GROUP BY entity""",
+)
+def late_accounts(t):
+    """Late rows by the clock of their own room, in a side table; kept and late rows add up to those that arrived."""
+    out, state = (scratch_path(t.spark, n) for n in ("accounts", "accounts-state"))
+    for d in late_arrivals(t):
+        marked = st.split_late(d, ["entity"], "ts", 2 * st.HOUR_MS)
+        st.append_available(marked, out, state, ("late",))
+    rows = t.spark.read.schema(marked.schema).parquet(out)
+    late = F.col("late")
+    return rows.groupBy("entity").agg(
+        F.count("*").alias("arrived"), F.count_if(~late).alias("kept"), F.count_if(late).alias("late"),
+        F.min(F.when(late, F.unix_micros("ts"))).alias("first_late_us"), rnd(F.avg(F.when(~late, F.col("value")))).alias("mean_kept"),
+    )

@@ -1,121 +1,260 @@
-"""Causal detectors and roll-ups on streams. Each gives the same rows as its batch operator on the complete input.
+"""Causal detectors and roll-ups on streams; after the end of the input each equals its batch operator on all rows.
 
-Late data: rows older than the watermark are dropped by Spark and show in the query progress
-(``numRowsDroppedByWatermark``); keyed state never rewinds, a row at or before the last one of its key is skipped.
+Windows and sessions are Spark's own. Detectors are keyed state on RocksDB: rows wait in the state of their key until
+the watermark has passed their hour, then the ready ones move on the charts of ``operators.detectors`` in the order of
+time, so files may arrive in any order within the delay. A timer per key wakes keys that get no more rows.
+
+The end of the input is a row of its own, far in the future, which moves the watermark past every open window, session
+and waiting hour. Rows behind the watermark are dropped by Spark; ``split_late`` tells them apart before that, by the
+clock of their own key, and keeps them in a side table, so that kept and late rows add up to those that arrived.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import datetime
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from sensorgate.operators.detectors import CHARTS, GateParams, Latch, Smoothed, follow
 
-from sensorgate.operators.detectors import GateParams
+HOUR_MS = 3_600_000
+END = datetime.datetime(9999, 1, 1)
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def hourly_rollup(stream: DataFrame, keys, ts: str, value: str, delay: str) -> DataFrame:
-    """Event-time hour windows; a window comes out once the watermark has passed its end."""
+def hourly_rollup(rows: DataFrame, keys, ts: str, value: str) -> DataFrame:
+    """Event-time hour windows of a stream with a watermark; a window comes out once the watermark has passed its end."""
     return (
-        stream.withWatermark(ts, delay)
-        .groupBy(*keys, F.window(ts, "1 hour").alias("w"))
+        rows.groupBy(*keys, F.window(ts, "1 hour").alias("w"))
         .agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count("*").alias("n"))
         .select(*keys, F.col("w.start").alias("hour"), "mean", "std", "n")
     )
 
 
-def gap_sessions(stream: DataFrame, keys, ts: str, gap: str, delay: str) -> DataFrame:
+def gap_sessions(rows: DataFrame, keys, ts: str, gap: str) -> DataFrame:
     """Sessions closed by inactivity; rows exactly one gap apart belong to different sessions."""
     return (
-        stream.withWatermark(ts, delay)
-        .groupBy(*keys, F.session_window(ts, gap).alias("w"))
+        rows.groupBy(*keys, F.session_window(ts, gap).alias("w"))
         .agg(F.count("*").alias("n"), F.max(ts).alias("last_ts"))
         .select(*keys, F.col("w.start").alias("first_ts"), "last_ts", "n")
     )
 
 
-def _fold(stream: DataFrame, keys, time: str, value: str, out: str, state: str, start: tuple, step) -> DataFrame:
-    """Keyed fold: ``step(state, hours since last row or None, value) -> (state, output row)``."""
-    keys = list(keys)
-    schema = ", ".join([f"{n} {t}" for n, t in stream.select(*keys, time).dtypes] + [out])
-    names = [c.split()[0] for c in out.split(", ")]
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        now = tuple(held.get) if held.exists else (*start, -1)
-        pdf = pd.concat(list(parts)).sort_values(time)
-        rows = []
-        for t, v in zip(pdf[time], pdf[value]):
-            last = now[-1]
-            if last >= 0 and t <= last:
-                continue
-            cur, row = step(now[:-1], int(t - last) if last >= 0 else None, None if pd.isna(v) else float(v))
-            now = (*cur, int(t))
-            rows.append((*key, t, *row))
-        held.update(now)
-        yield pd.DataFrame(rows, columns=[*keys, time, *names])
+class GateFold:
+    """Persistence gate; hours without a row leak the bucket."""
 
-    return (
-        stream.select(*keys, time, value)
-        .groupBy(*keys)
-        .applyInPandasWithState(run, schema, f"{state}, last_t long", "append", GroupStateTimeout.NoTimeout)
-    )
+    columns = "persistence double, closed boolean"
+
+    def __init__(self, params: GateParams, two_sided: bool):
+        self.params, self.two_sided = params, two_sided
+
+    def charts(self) -> list:
+        return [Latch(1, np.array([[self.params.close]]), self.params)]
+
+    def run(self, charts, hours: np.ndarray, scores: np.ndarray, last: int | None):
+        latch, out = charts[0], np.empty((2, len(hours)))
+        size = np.nan_to_num(np.abs(scores) if self.two_sided else scores, nan=0.0)
+        rests = np.diff(hours, prepend=hours[0] - 1 if last is None else last) - 1
+        for k, (rest, score) in enumerate(zip(rests, size, strict=True)):
+            latch.rest(int(rest))
+            latch.advance(np.array([[score]]))
+            out[:, k] = latch.bucket[0, 0], latch.closed[0, 0]
+        return {"persistence": out[0], "closed": out[1].astype(bool)}
+
+
+class HourMeanFold:
+    """Prediction from earlier rows of the key: their exponentially weighted mean, none before the first."""
+
+    columns = "prediction double"
+
+    def __init__(self, rate: float):
+        self.rate = rate
+
+    def charts(self) -> list:
+        mean = Smoothed((1, 1), self.rate)
+        mean.level += np.nan  # nothing seen yet
+        return [mean]
+
+    def run(self, charts, hours, scores, last):
+        mean, out = charts[0], []
+        for score in scores:
+            seen = not np.isnan(mean.level[0, 0])
+            out.append(float(mean.level[0, 0]) if seen else None)
+            if not np.isnan(score):
+                mean.level[:] = mean.advance(score) if seen else score
+        return {"prediction": pd.Series(out, dtype="object")}
+
+
+class ChartsFold:
+    """Charts that restart where they fire; a missing score counts as 0."""
+
+    def __init__(self, limits: dict[str, float]):
+        self.limits = limits
+        self.columns = ", ".join(f"on_{n} boolean" for n in limits)
+
+    def charts(self) -> list:
+        return [CHARTS[n]((1, 1)) for n in self.limits]
+
+    def run(self, charts, hours, scores, last):
+        z = np.nan_to_num(scores, nan=0.0)[:, None]
+        return {f"on_{n}": follow(c, z, np.array([[float(h)]]))[:, 0, 0] for c, (n, h) in zip(charts, self.limits.items(), strict=True)}
+
+
+def cells(charts: list) -> list[np.ndarray]:
+    """All arrays of the charts: what the state has to hold."""
+    return [a for c in charts for a in vars(c).values() if isinstance(a, np.ndarray)]
 
 
-def gate_stream(stream: DataFrame, keys, time: str, score: str, p: GateParams = GateParams(), two_sided: bool = True):
-    """Persistence gate state (bucket, latch); hours without a row leak the bucket."""
+class InOrder(StatefulProcessor):
+    """Rows of a key in the order of their hours, each as soon as the watermark has passed its hour."""
 
-    def step(state, elapsed, v):
-        bucket, on = state
-        if elapsed and elapsed > 1:  # the bucket only falls meanwhile, so its last level decides
-            bucket *= p.decay ** (elapsed - 1)
-            on = on and bucket > p.open
-        size = 0.0 if v is None else abs(v) if two_sided else v
-        bucket = p.decay * bucket + (0.0 if v is None else min(max(0.0, size - p.deadband), p.cap))
-        on = bucket > p.open if on else bucket >= p.close
-        return (bucket, bool(on)), (bucket, bool(on))
+    def __init__(self, keys: list[str], time: str, value: str, fold):
+        self.keys, self.time, self.value, self.fold = keys, time, value, fold
 
-    return _fold(stream, keys, time, score, "persistence double, closed boolean", "bucket double, shut boolean", (0.0, False), step)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getValueState("waiting", "hours array<bigint>, scores array<double>")
+        self.folded = handle.getValueState("folded", "cells array<double>, last bigint")
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        hours, scores = self._waiting()
+        for pdf in rows:
+            hours.append(pdf[self.time].to_numpy("int64"))
+            scores.append(pdf[self.value].to_numpy("float64"))
+        yield from self._advance(key, np.concatenate(hours), np.concatenate(scores), timerValues.getCurrentWatermarkInMs())
 
-def hour_ewma_stream(stream: DataFrame, keys, time: str, value: str, rate: float = 0.2) -> DataFrame:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        hours, scores = self._waiting()
+        yield from self._advance(key, np.concatenate(hours), np.concatenate(scores), timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+    def _waiting(self) -> tuple[list, list]:
+        if not self.waiting.exists():
+            return [np.zeros(0, "int64")], [np.zeros(0)]
+        hours, scores = self.waiting.get()
+        return [np.asarray(hours, "int64")], [np.asarray(scores, "float64")]
+
+    def _advance(self, key, hours, scores, mark: int) -> Iterator[pd.DataFrame]:
+        ready = (hours + 1) * HOUR_MS <= mark
+        now = np.flatnonzero(ready)[np.argsort(hours[ready], kind="stable")]
+        if len(now):
+            charts, last = self.fold.charts(), None
+            if self.folded.exists():
+                held, last = self.folded.get()
+                at = 0
+                for a in cells(charts):
+                    a.reshape(-1)[:] = held[at : at + a.size]
+                    at += a.size
+            result = self.fold.run(charts, hours[now], scores[now], last)
+            self.folded.update((np.concatenate([a.reshape(-1).astype(float) for a in cells(charts)]).tolist(), int(hours[now[-1]])))
+            yield pd.DataFrame({**dict(zip(self.keys, key, strict=True)), self.time: hours[now], **result})
+        if ready.all():
+            self.waiting.clear()
+        else:
+            self.waiting.update((hours[~ready].tolist(), scores[~ready].tolist()))
+            self.handle.registerTimer(int(hours[~ready].min() + 1) * HOUR_MS)
+
+
+def _folded(rows: DataFrame, keys, time: str, value: str, fold) -> DataFrame:
+    keys = list(keys)
+    schema = ", ".join([f"{n} {t}" for n, t in rows.select(*keys, time).dtypes] + [fold.columns])
+    return rows.groupBy(*keys).transformWithStateInPandas(InOrder(keys, time, value, fold), schema, "Append", "eventTime")
+
+
+def gate_stream(rows: DataFrame, keys, time: str, score: str, p: GateParams = GateParams(), two_sided: bool = True) -> DataFrame:
+    """Persistence gate state (bucket, latch) of a stream with a watermark; ``time`` counts hours since the epoch."""
+    return _folded(rows, keys, time, score, GateFold(p, two_sided))
+
+
+def hour_ewma_stream(rows: DataFrame, keys, time: str, value: str, rate: float = 0.2) -> DataFrame:
     """Prediction from earlier days; ``keys`` must include the hour of day."""
+    return _folded(rows, keys, time, value, HourMeanFold(rate))
+
 
-    def step(state, elapsed, v):
-        mean, seen = state
-        if v is None:
-            return state, (mean if seen else None,)
-        return ((1 - rate) * mean + rate * v if seen else v, True), (mean if seen else None,)
+def reset_detectors_stream(rows: DataFrame, keys, time: str, score: str, h: dict) -> DataFrame:
+    """EWMA, CUSUM and Page-Hinkley with fire-and-reset as one keyed state."""
+    return _folded(rows, keys, time, score, ChartsFold(h))
 
-    return _fold(stream, keys, time, value, "prediction double", "mean double, seen boolean", (0.0, False), step)
 
+class KeyClock(StatefulProcessor):
+    """Marks rows whose hour had ended, ``delay`` before the newest row of the key in earlier micro-batches."""
 
-def reset_detectors_stream(stream: DataFrame, keys, time: str, score: str, h: dict) -> DataFrame:
-    """EWMA, CUSUM and Page-Hinkley with fire-and-reset as one keyed state; NULL scores count as 0."""
+    def __init__(self, ts: str, delay_ms: int):
+        self.ts, self.delay = ts, delay_ms
 
-    def step(state, elapsed, v):
-        v = v or 0.0
-        g, s, n, mean, total, low = state
-        g = 0.7 * g + 0.3 * v
-        s = max(0.0, s + v - 0.5)
-        n, mean = n + 1, mean + (v - mean) / (n + 1)
-        total += v - mean - 0.1
-        low = min(low, total)
-        fired = (g > h["ewma"], s > h["cusum"], total - low > h["page_hinkley"])
-        g, s = (0.0 if fired[0] else g), (0.0 if fired[1] else s)
-        if fired[2]:
-            n, mean, total, low = 0, 0.0, 0.0, 0.0
-        return (g, s, n, mean, total, low), fired
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", "ms bigint")
 
-    return _fold(
-        stream, keys, time, score, "on_ewma boolean, on_cusum boolean, on_page_hinkley boolean",
-        "g double, s double, n long, mean double, total double, low double", (0.0, 0.0, 0, 0.0, 0.0, 0.0), step,
-    )
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = self.newest.get()[0] if self.newest.exists() else None
+        newest = before
+        for pdf in rows:
+            ms = pdf[self.ts].to_numpy("datetime64[ms]").astype("int64")
+            late = np.zeros(len(pdf), bool) if before is None else (ms // HOUR_MS + 1) * HOUR_MS <= before - self.delay
+            newest = int(ms.max()) if newest is None else max(newest, int(ms.max()))
+            yield pdf.assign(late=late)
+        if newest is not None:
+            self.newest.update((newest,))
+
+    def close(self) -> None:
+        pass
+
+
+def split_late(stream: DataFrame, keys, ts: str, delay_ms: int) -> DataFrame:
+    """All rows of a stream with a column ``late``; observed as ``arrivals`` (arrived, late) in the query's progress."""
+    schema = ", ".join([f"{n} {t}" for n, t in stream.dtypes] + ["late boolean"])
+    marked = stream.groupBy(*keys).transformWithStateInPandas(KeyClock(ts, delay_ms), schema, "Append", "none")
+    return marked.observe("arrivals", F.count("*").alias("arrived"), F.count_if("late").alias("late"))
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Keyed state with types and timers needs RocksDB, which also keeps it off the executors' heap."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def append_available(stream: DataFrame, path: str, checkpoint: str, parts: tuple[str, ...] = ()):
+    """Process everything that is available, append to a table, and return the finished query."""
+    with rocksdb_state(stream.sparkSession):
+        w = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").partitionBy(*parts)
+        q = w.trigger(availableNow=True).start(path)
+        q.awaitTermination()
+    return q
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Process everything that is available, append to a table, and return the table."""
-    q = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
-    q.trigger(availableNow=True).start(path).awaitTermination()
+    append_available(stream, path, checkpoint)
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def run_to_end(stream: DataFrame, ts: str, delay: str, build: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
+    """The whole result of ``build`` on a stream that has come to its end.
+
+    First all available rows are processed, then the end row arrives through a folder of its own, and a second run from
+    the same checkpoint emits what is still open. A job that goes on for days would do the second run when its input ends.
+    """
+    spark, end = stream.sparkSession, f"{path}-end"
+    spark.createDataFrame([], stream.schema).write.parquet(end)
+    both = stream.unionByName(spark.readStream.schema(stream.schema).parquet(end))
+    # The filter names the event time, so it stays behind the watermark, which the end row has to move.
+    result = build(both.withWatermark(ts, delay).where(F.col(ts) < F.lit(END)))
+    append_available(result, path, f"{path}-state")
+    last = [F.lit(END).cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema]
+    spark.range(1).select(*last).write.mode("append").parquet(end)
+    append_available(result, path, f"{path}-state")
+    return spark.read.schema(result.schema).parquet(path)

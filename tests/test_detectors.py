@@ -128,16 +128,17 @@ def test_window_form_of_shift_detector(spark, series):
         assert (got[got.entity == e].onset.to_numpy() == want).all()
 
 
-def feed(spark, tmp_path, pdf, make, parts=5):
-    """Rows arrive in several files, one file per micro-batch, in time order."""
-    src = str(tmp_path / "in")
-    pdf = pdf.sort_values("hr")
-    hours = np.array_split(np.sort(pdf.hr.unique()), parts)
-    for h in hours:
-        frame(spark, pdf[pdf.hr.isin(h)]).coalesce(1).write.mode("append").parquet(src)
+def feed(spark, tmp_path, pdf, make, parts=5, delay="4000 days"):
+    """Rows arrive in several files in random order, one file per micro-batch."""
+    src, rng = str(tmp_path / "in"), np.random.default_rng(5)
+    pdf = pdf.assign(hr=pdf.hr + 480_000)  # the epoch itself is the first watermark
+    for part in np.array_split(rng.permutation(len(pdf)), parts):
+        rows = frame(spark, pdf.iloc[part]).withColumn("ts", F.timestamp_seconds(F.col("hr").cast("long") * 3600))
+        rows.coalesce(1).write.mode("append").parquet(src)
     schema = spark.read.parquet(src).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    return st.run_to_table(make(stream), str(tmp_path / "out"), str(tmp_path / "state")).toPandas()
+    out = st.run_to_end(stream, "ts", delay, make, str(tmp_path / "out")).toPandas()
+    return out.assign(hr=out.hr - 480_000)
 
 
 def test_gate_stream_equals_batch(spark, series, tmp_path):
