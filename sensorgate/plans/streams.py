@@ -24,7 +24,7 @@ def as_stream(t: Tables, df, name: str):
 
 
 def run(t: Tables, stream, build, name: str, ts: str = "ts", delay: str = "2 hours"):
-    return st.run_to_end(stream, ts, delay, build, scratch_path(t.spark, name))
+    return st.run_to_end(stream, ts, delay, build, scratch_path(t.spark, name), complete=True)
 
 
 def with_clock(df):

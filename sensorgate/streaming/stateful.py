@@ -25,7 +25,6 @@ from sensorgate.operators.detectors import CHARTS, GateParams, Latch, Smoothed,
 
 HOUR_MS = 3_600_000
 END = datetime.datetime(9999, 1, 1)
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def hourly_rollup(rows: DataFrame, keys, ts: str, value: str) -> DataFrame:
@@ -215,16 +214,23 @@ def split_late(stream: DataFrame, keys, ts: str, delay_ms: int) -> DataFrame:
     return marked.observe("arrivals", F.count("*").alias("arrived"), F.count_if("late").alias("late"))
 
 
+#: Keyed state with types and timers needs RocksDB, which also keeps it off the executors' heap; a batch stores its changes.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
 @contextmanager
 def rocksdb_state(spark: SparkSession):
-    """Keyed state with types and timers needs RocksDB, which also keeps it off the executors' heap."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE_STORE}
+    for name, value in STATE_STORE.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def append_available(stream: DataFrame, path: str, checkpoint: str, parts: tuple[str, ...] = ()):
@@ -242,19 +248,22 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def run_to_end(stream: DataFrame, ts: str, delay: str, build: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
+def run_to_end(stream: DataFrame, ts: str, delay: str, build: Callable[[DataFrame], DataFrame], path: str, complete: bool = False) -> DataFrame:
     """The whole result of ``build`` on a stream that has come to its end.
 
     First all available rows are processed, then the end row arrives through a folder of its own, and a second run from
     the same checkpoint emits what is still open. A job that goes on for days would do the second run when its input ends.
+    An input that is ``complete`` and read as one micro-batch takes the end row along: the batch after it has no rows and
+    emits everything.
     """
     spark, end = stream.sparkSession, f"{path}-end"
     spark.createDataFrame([], stream.schema).write.parquet(end)
     both = stream.unionByName(spark.readStream.schema(stream.schema).parquet(end))
     # The filter names the event time, so it stays behind the watermark, which the end row has to move.
     result = build(both.withWatermark(ts, delay).where(F.col(ts) < F.lit(END)))
-    append_available(result, path, f"{path}-state")
+    if not complete:
+        append_available(result, path, f"{path}-state")
     last = [F.lit(END).cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema]
-    spark.range(1).select(*last).write.mode("append").parquet(end)
+    spark.range(1).select(*last).coalesce(1).write.mode("append").parquet(end)
     append_available(result, path, f"{path}-state")
     return spark.read.schema(result.schema).parquet(path)
