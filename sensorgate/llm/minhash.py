@@ -16,8 +16,11 @@ Exact copies (equal word sequences) are joined first by a 128-bit digest, so a g
 A band key of at most 16 texts gives all its pairs. In a key of more, all are compared with the most central of them (the
 one in the most and largest of such keys). Then every pair of texts of the key that are still in different components is a
 candidate: blocks of texts outside the largest component meet each other and the blocks of that component, and signatures
-are compared there before any text is read. A first pass verifies a spanning forest of the likely pairs of each task, the
-second one all that still lie across. Pairs whose signatures agree in fewer than 60 of 100 positions are not verified.
+are compared there before any text is read. A first pass verifies a spanning forest of the likely pairs of each task. In
+the second one the texts that still have likely partners across send their weighted shingles to the tasks, each pair is
+compared exactly at one of its keys, and a task returns a spanning forest of the links that hold: a key gives fewer rows
+than it has texts, also where all are likely and none alike. Pairs whose signatures agree in fewer than 60 of 100
+positions are not verified.
 
 Defined cases: a null or empty text is in a class of its own; a text of fewer than five words is one shingle; rows that
 share an id are one document, with the links of all its texts, but ``without_copies`` takes each of its texts for itself;
@@ -47,6 +50,7 @@ THRESHOLD = 0.8
 LIKELY = 60  # agreeing positions below which a pair is not verified
 SMALL = 16  # texts of a key of which all pairs are candidates
 BLOCK = 2048  # texts of a larger key on each side of a comparison of signatures, about
+SHINGLES = 1_000_000  # of the texts on each side of a comparison of shingles, about (16 MB)
 COUNTERS = 1 << 20
 BLOCKS = 16  # of counters
 IDF_SHARE, IDF_FLOOR = 0.25, 1 / 1024
@@ -297,45 +301,147 @@ def forest(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return order[np.concatenate(chosen)] if chosen else order[:0]
 
 
-def likely_across(members: DataFrame, part: DataFrame, signs: DataFrame, trees: bool) -> DataFrame:
-    """Pairs in different parts of a key whose signatures agree in enough positions; with ``trees`` only the edges of a spanning forest of each task.
+def meeting(rows: DataFrame, per_block: int) -> DataFrame:
+    """``key, first, second, own, id, part``: texts of a key in every pair of blocks where they meet texts of other parts.
 
-    The largest part of a key is not compared within itself. The others, in blocks, meet each other's blocks and its blocks.
+    ``rows`` has ``key, id, part, size``; a block holds texts of about ``per_block`` in sum. The largest part of a key is
+    not compared within itself. The others, in blocks, meet each other's blocks and its blocks.
     """
-    rows = members.select("key", "id").join(part, "id", "left").select("key", "id", F.coalesce("part", "id").alias("part"))
-    parts = rows.groupBy("key", "part").agg(F.count("*").alias("n"))
+    parts = rows.groupBy("key", "part").agg(F.sum("size").alias("n"))
     keys = parts.groupBy("key").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    blocks = lambda n: F.ceil(n / F.lit(per_block)).cast("int")
     keys = keys.select("key", F.col("main.part").alias("main"), blocks(F.col("main.n")).alias("inner"), blocks(F.col("n") - F.col("main.n")).alias("outer"))
-    rows = rows.join(keys, "key").withColumn("in_main", F.col("part") == F.col("main")).join(signs.select("id", "signature"), "id")
+    rows = rows.join(keys, "key").withColumn("in_main", F.col("part") == F.col("main"))
     own = F.expr("cast(if(in_main, outer + pmod(xxhash64(id, key), inner), pmod(xxhash64(id, key), outer)) as int)")
     meets = F.expr("explode(sequence(0, if(in_main, outer, outer + inner) - 1))")
-    rows = rows.select("key", "id", "part", "signature", own.alias("own"), meets.alias("other"))
-    rows = rows.select("key", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "id", "part", "signature")
+    rows = rows.select("key", "id", "part", own.alias("own"), meets.alias("other"))
+    return rows.select("key", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "id", "part")
+
+
+def across(pdf: pd.DataFrame, once: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows i, j of different parts in two blocks that meet whose signatures agree in enough positions, and in how many.
+
+    With ``once`` a pair comes up at the least of its common keys only (if few texts share that key, its pairs were all tried).
+    """
+    own, part, key = pdf["own"].to_numpy(), pdf["part"].to_numpy(), pdf["key"].iloc[0]
+    first, second = pdf["first"].iloc[0], pdf["second"].iloc[0]
+    signs = np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(-1, POSITIONS)
+    keys = np.stack(pdf["keys"].to_numpy()) if once else None
+    left, right, found = np.flatnonzero(own == first), np.flatnonzero(own == second), []
+    columns = np.ascontiguousarray(signs[right].T)
+    for at in range(0, len(left), 64):
+        some = left[at : at + 64]
+        agree = np.zeros((len(some), len(right)), np.uint8)
+        for k in range(POSITIONS):
+            agree += signs[some, k, None] == columns[k]
+        agree[part[some, None] == part[right]] = 0
+        if first == second:
+            agree[some[:, None] >= right] = 0
+        i, j = np.nonzero(agree >= LIKELY)
+        if once and len(i):
+            same = np.where(keys[some[i]] == keys[right[j]], keys[some[i]], np.iinfo(np.int64).max)
+            i, j = (x[same.min(1) == key] for x in (i, j))
+        found.append((some[i], right[j], agree[i, j]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
+
+
+def _membership(members: DataFrame, part: DataFrame) -> DataFrame:
+    rows = members.select("key", "id").join(part, "id", "left")
+    return rows.select("key", "id", F.coalesce("part", "id").alias("part"), F.lit(1).alias("size"))
+
+
+def likely_trees(members: DataFrame, part: DataFrame, signs: DataFrame) -> DataFrame:
+    """Edges of a spanning forest of the likely pairs in different parts, of each two blocks that meet."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        first, second, own = (pdf[c].to_numpy() for c in ("first", "second", "own"))
-        id_, part = pdf["id"].to_numpy(), pdf["part"].to_numpy()
-        signs = np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(-1, POSITIONS)
-        left, right, found = np.flatnonzero(own == first), np.flatnonzero(own == second), []
-        columns = np.ascontiguousarray(signs[right].T)
-        for at in range(0, len(left), 64):
-            some = left[at : at + 64]
-            agree = np.zeros((len(some), len(right)), np.uint8)
-            for k in range(POSITIONS):
-                agree += signs[some, k, None] == columns[k]
-            agree[part[some, None] == part[right]] = 0
-            i, j = np.nonzero(agree >= LIKELY)
-            found.append((some[i], right[j], agree[i, j]))
-        i, j, agree = (np.concatenate(c) for c in zip(*found, strict=True)) if found else [np.zeros(0, int)] * 3
-        if trees:
-            kept = forest(part[i], part[j], agree)
-            i, j = i[kept], j[kept]
-        return pd.DataFrame({"a": np.minimum(id_[i], id_[j]), "b": np.maximum(id_[i], id_[j])})
+        ids, parts = pdf["id"].to_numpy(), pdf["part"].to_numpy()
+        i, j, agree = across(pdf, False)
+        kept = forest(parts[i], parts[j], agree)
+        a, b = ids[i[kept]], ids[j[kept]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
+    rows = meeting(_membership(members, part), BLOCK).join(signs.select("id", "signature"), "id")
     return rows.groupBy("key", "first", "second").applyInPandas(compare, "a long, b long").distinct()
 
 
+def shingled(docs: DataFrame, ids: DataFrame, idf: np.ndarray) -> DataFrame:
+    """``id, size, shingles, weights`` of some texts: ascending 64-bit hashes and doubles, as bytes."""
+    sent = docs.sparkSession.sparkContext.broadcast(idf)
+    schema = pa.schema([("id", pa.int64()), ("size", pa.int32()), ("shingles", pa.binary()), ("weights", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, idf = shingler(), sent.value
+        for batch in batches:
+            rows = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                shingles, counts = make(words_of(text))
+                rows.append((key, len(shingles), shingles.tobytes(), weights(shingles, counts, idf).astype(float).tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    texts = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "text")
+    return texts.mapInArrow(run, "id long, size int, shingles binary, weights binary")
+
+
+def similarities(shingles: list[np.ndarray], weight: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard of the texts i and j. One text is laid out over all shingles of the block and met by its partners at once."""
+    size = np.array([len(x) for x in shingles])
+    start = np.concatenate([[0], np.cumsum(size)[:-1]])
+    _, place = np.unique(np.concatenate(shingles), return_inverse=True)
+    flat, total = np.concatenate(weight), np.array([w.sum() for w in weight])
+    laid, out = np.zeros(place.max() + 1), np.empty(len(i))
+    order = np.argsort(i, kind="stable")
+    for run in np.split(order, np.flatnonzero(np.diff(i[order])) + 1):
+        one = i[run[0]]
+        mine = slice(start[one], start[one] + size[one])
+        laid[place[mine]] = flat[mine]
+        for at in range(0, len(run), 256):
+            some = run[at : at + 256]
+            n = size[j[some]]
+            begin = np.concatenate([[0], np.cumsum(n)[:-1]])
+            cells = np.repeat(start[j[some]] - begin, n) + np.arange(n.sum())
+            low = np.add.reduceat(np.minimum(laid[place[cells]], flat[cells]), begin)
+            out[some] = low / (total[one] + total[j[some]] - low)
+        laid[place[mine]] = 0.0
+    return out
+
+
+def linked_across(members: DataFrame, part: DataFrame, signs: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """``a, b, similarity``: links between texts of different parts of a key, so many that they join all that any link joins.
+
+    Texts with a likely partner are told first (a row each, not one for each pair). Their shingles go to the tasks, in
+    blocks of a bounded number of shingles; a task compares its likely pairs exactly and keeps a spanning forest of those
+    that hold.
+    """
+    members = _membership(members, part)
+    known = signs.select("id", "signature", "keys")
+
+    def touched(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j, _ = across(pdf, True)
+        at = np.unique(np.concatenate([i, j]))
+        return pdf.iloc[at][["key", "id", "part"]]
+
+    met = meeting(members, BLOCK).join(known, "id").groupBy("key", "first", "second").applyInPandas(touched, "key long, id long, part long")
+    met = stored(met.distinct(), "touched")
+    texts = stored(shingled(docs, met.select("id").distinct(), idf), "shingles")
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, parts = pdf["id"].to_numpy(), pdf["part"].to_numpy()
+        i, j, _ = across(pdf, True)
+        if not len(i):
+            return pd.DataFrame({"a": [], "b": [], "similarity": []})
+        similar = similarities([np.frombuffer(x, np.uint64) for x in pdf["shingles"]], [np.frombuffer(x) for x in pdf["weights"]], i, j)
+        hold = similar >= threshold
+        i, j, similar = i[hold], j[hold], similar[hold]
+        kept = forest(parts[i], parts[j], similar * 1e6)
+        a, b = ids[i[kept]], ids[j[kept]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": similar[kept]})
+
+    sized = met.join(texts.select("id", "size"), "id")
+    rows = meeting(sized, SHINGLES).join(known, "id").join(texts.drop("size"), "id")
+    return rows.groupBy("key", "first", "second").applyInPandas(verify, "a long, b long, similarity double")
+
+
 def links(docs: DataFrame, signs: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """``a, b, similarity`` of verified pairs; ``signs`` has ``id, keys, signature`` of distinct texts."""
     members = signs.select("id", F.explode("keys").alias("key"))
@@ -348,19 +454,14 @@ def links(docs: DataFrame, signs: DataFrame, idf: np.ndarray, threshold: float)
     starred = crowd.join(pivots, "key").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
     tried = stored(likely(small.union(starred).distinct(), signs), "likely_pairs")
     found = stored(verified(tried, docs, idf, threshold), "verified_pairs")
-    # Trees first: they join what a link joins, so that few pairs lie across when all that are left are verified.
-    for trees in (True, False):
-        if crowd.isEmpty():
-            break
-        if trees or not made.isEmpty():
-            part = stored(components(found).withColumnRenamed("component", "part"), "parts")
-        across = stored(likely_across(crowd, part, signs, trees), "likely_pairs")
-        if across.isEmpty():
-            break
-        across = stored(across.join(tried, ["a", "b"], "left_anti"), "likely_pairs")
-        made = stored(verified(across, docs, idf, threshold), "verified_pairs")
-        found, tried = found.union(made), tried.union(across)
-    return found
+    if crowd.isEmpty():
+        return found
+    parts = lambda: stored(components(found).withColumnRenamed("component", "part"), "parts")
+    # Trees first: they join what a link joins, so that few texts have partners across when all pairs are compared.
+    trees = stored(likely_trees(crowd, parts(), signs).join(tried, ["a", "b"], "left_anti"), "likely_pairs")
+    if not trees.isEmpty():
+        found = found.union(stored(verified(trees, docs, idf, threshold), "verified_pairs"))
+    return found.union(stored(linked_across(crowd, parts(), signs, docs, idf, threshold), "links_across"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -81,8 +81,9 @@ def featurizer() -> Featurizer:
     return Featurizer()
 
 
+BUCKETS = 256  # of each grade, for the sample
 LENGTH = 4.0  # of every feature vector: a text's length in words doesn't move its score
-FEATURES = pa.schema([("grade", pa.int32()), ("at", pa.list_(pa.int32())), ("value", pa.list_(pa.float32()))])
+FEATURES = pa.schema([("grade", pa.int32()), ("place", pa.int64()), ("at", pa.list_(pa.int32())), ("value", pa.list_(pa.float32()))])
 
 
 @dataclass
@@ -95,18 +96,22 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -50, 50)))
 
 
-def fit(at: list[np.ndarray], value: list[np.ndarray], grade: np.ndarray, grades: int, penalty: float = 3e-4, steps: int = 200, least: int = 8) -> OrdinalModel:
-    """Penalised maximum likelihood with grades weighted to equal shares; gradient steps with momentum and scaling.
+def fit(flat: np.ndarray, x: np.ndarray, sizes: np.ndarray, grade: np.ndarray, grades: int, penalty: float = 3e-4, steps: int = 200, least: int = 8) -> OrdinalModel:
+    """Features of all texts in a row (numbers, values), how many each has, and its grade.
+
+    Penalised maximum likelihood with grades weighted to equal shares; gradient steps with momentum and scaling.
 
     Features of fewer than ``least`` rated texts keep the weight 0: one text's own words say nothing about another.
     Thresholds are a first one and logarithms of gaps, so they stay in order.
     """
     if not len(grade) or len(np.unique(grade)) < 2:
         return OrdinalModel(np.zeros(DIMENSIONS, np.float32), np.arange(grades - 1, dtype=float))
-    flat, x, row = np.concatenate(at), np.concatenate(value).astype(float), np.repeat(np.arange(len(at)), [len(a) for a in at])
-    often = (np.bincount(flat, minlength=DIMENSIONS) >= least)[flat]
-    used, flat = np.unique(flat[often], return_inverse=True)
-    x, row = x[often], row[often]
+    often = np.bincount(flat, minlength=DIMENSIONS) >= least
+    used, number = np.flatnonzero(often), np.cumsum(often, dtype=np.int32) - 1
+    kept = often[flat]
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[kept]
+    flat, x = number[flat[kept]], x[kept]
+    del kept
     share = 1 / np.bincount(grade, minlength=grades).clip(1)
     mass = share[grade] / share[grade].sum()
     p = np.zeros(len(used) + grades - 1)
@@ -114,7 +119,7 @@ def fit(at: list[np.ndarray], value: list[np.ndarray], grade: np.ndarray, grades
     first, second = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, steps + 1):
         w, cuts = p[: len(used)], p[len(used)] + np.concatenate([[0], np.cumsum(np.exp(p[len(used) + 1 :]))])
-        score = np.bincount(row, w[flat] * x, len(at))
+        score = np.bincount(row, w[flat] * x, len(sizes))
         ends = np.concatenate([[-np.inf], cuts, [np.inf]])
         upper = 1 / (1 + np.exp(np.clip(score - ends[grade + 1], -50, 50)))  # P(grade <= own)
         lower = 1 / (1 + np.exp(np.clip(score - ends[grade], -50, 50)))
@@ -137,22 +142,34 @@ def train(docs: DataFrame, ratings: DataFrame, grade: str = "grade", grades: int
     """Fit on at most ``sample`` rows of each grade of ``ratings`` (doc_id, grade 0..grades-1)."""
     rated = ratings.select("doc_id", F.col(grade).cast("int").alias("grade")).where("doc_id IS NOT NULL AND grade IS NOT NULL")
     rated = rated.groupBy("doc_id").agg(F.max("grade").alias("grade"))  # repeated ratings of a document count once
-    order = Window.partitionBy("grade").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rated = rated.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample).drop("_n")
+    # Within buckets of a grade first: a common grade's rows never meet in one task.
+    rated = rated.withColumn("place", F.xxhash64("doc_id"))
+    for group in (["grade", F.pmod("place", F.lit(BUCKETS))], ["grade"]):
+        order = Window.partitionBy(*group).orderBy("place", "doc_id")
+        rated = rated.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample).drop("_n")
     texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(rated), "doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = featurizer()
         for batch in batches:
             got = [make(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array([g[0] for g in got], FEATURES[1].type), pa.array([g[1] for g in got], FEATURES[2].type)], schema=FEATURES)
-
-    # At most grades * sample rows come here.
-    found = texts.select("grade", "text").mapInArrow(features, "grade int, at array<int>, value array<float>").toArrow()
-    at, value = (found.column(c).to_pylist() for c in ("at", "value"))
-    order = sorted(range(len(at)), key=lambda i: at[i])
-    grade_of = np.array(found.column("grade").to_pylist(), int)[order] if order else np.zeros(0, int)
-    return fit([np.array(at[i]) for i in order], [np.array(value[i]) for i in order], grade_of, grades)
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), batch.column("place"), pa.array([g[0] for g in got], FEATURES[2].type), pa.array([g[1] for g in got], FEATURES[3].type)], schema=FEATURES)
+
+    # At most grades * sample rows come here, in an order that does not depend on the tasks.
+    made = texts.select("grade", "place", "text").mapInArrow(features, "grade int, place long, at array<int>, value array<float>")
+    found = made.orderBy("place", "grade", F.hash("at")).toArrow()
+    grade_of = found.column("grade").to_numpy().astype(int)
+    flat, sizes = _flat(found.column("at"), np.int32)
+    x, _ = _flat(found.column("value"), np.float32)
+    del found, made
+    return fit(flat, x, sizes, grade_of, grades)
+
+
+def _flat(lists: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Elements of all lists in a row, and the sizes of the lists; no Python object for any of them."""
+    parts = [c.flatten().to_numpy() for c in lists.chunks]
+    sizes = [np.diff(c.offsets.to_numpy()) for c in lists.chunks]
+    return np.concatenate([np.zeros(0, kind), *parts]).astype(kind), np.concatenate([np.zeros(0, int), *sizes]).astype(int)
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
