@@ -206,6 +206,13 @@ def judged(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return score(docs, model).withColumn("selected", F.element_at("tails", -1) >= KEEP)
 
 
+def kept(docs: DataFrame, model: OrdinalModel) -> DataFrame:
+    """The documents that are not rejected, with all their own columns, whatever their names are."""
+    names = [c if c == "text" else f"_{k}" for k, c in enumerate(docs.columns)]
+    good = score(docs.toDF(*names), model).where(F.element_at("tails", -1) >= KEEP)
+    return good.select(*names).toDF(*docs.columns)
+
+
 @query("op7_quality")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")

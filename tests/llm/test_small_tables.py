@@ -258,6 +258,10 @@ def test_quality(spark, docs, empty):
     grade = [r.expected_grade for r in sorted(rows, key=lambda r: r.doc_id)]
     assert len(rows) == 123 and np.mean(np.array(grade[1:60:2]) > 1) > 0.9 and np.mean(np.array(grade[61:120:2]) < 1) > 0.9
     assert all(1 >= r.tails[0] >= r.tails[1] >= 0 for r in rows)
+    own = df.withColumns({"tails": F.lit("own"), "expected_grade": F.lit(7), "selected": F.col("doc_id")})
+    kept = quality.kept(own, model)
+    assert kept.schema == own.schema and {(r.tails, r.expected_grade) for r in kept.collect()} == {("own", 7)}
+    assert {r.selected for r in kept.collect()} == {r.doc_id for r in rows if r.tails[-1] >= quality.KEEP}
     assert quality.score(empty, model).count() == 0 and quality.score(docs, quality.train(empty, ratings)).count() == 13
 
 
