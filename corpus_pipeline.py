@@ -22,7 +22,8 @@ PASSAGE = 200
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier rejects go: those of low probability to be of the best grade."""
-    return quality.judged(prepare(spark), docs, sf_dir).where("selected").select(docs.columns)
+    labels = prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return quality.kept(docs, quality.train(docs, quality.graded(labels)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
