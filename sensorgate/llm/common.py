@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +51,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def crc32(ids) -> int:
     """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.asarray(ids).astype("<u4").tobytes())
+
+
+def freeing(cached: Callable):
+    """For functions over Arrow batches: a worker gives back what ``cached`` (an ``lru_cache``) holds when a task has ended.
+
+    Python workers outlive their tasks, and those of one stage wait beside those of the next.
+    """
+
+    def wrap(run):
+        def go(batches):
+            yield from run(batches)
+            cached.cache_clear()
+            pa.default_memory_pool().release_unused()
+
+        return go
+
+    return wrap

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorgate.llm.common import documents, query, stored
+from sensorgate.llm.common import documents, freeing, query, stored
 from sensorgate.llm.components import components
 
 SHINGLE = 5
@@ -90,7 +90,7 @@ class Shingler:
 
 @lru_cache(maxsize=1)
 def shingler() -> Shingler:
-    """One for all tasks of a Python worker."""
+    """One for a task."""
     return Shingler()
 
 
@@ -102,6 +102,7 @@ def surveyed(docs: DataFrame) -> DataFrame:
     """One pass: ``doc_id, high, low, n`` (digest of the words) per row, and the counters of each task as ``block, counts``."""
     schema = pa.schema([("doc_id", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("n", pa.int64()), ("block", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
 
+    @freeing(shingler)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, counters = shingler(), np.zeros(COUNTERS, np.uint32)
         part = TaskContext.get().partitionId() % 64
@@ -201,6 +202,7 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("keys", pa.list_(pa.int64())), ("signature", pa.binary())])
     sent = docs.sparkSession.sparkContext.broadcast(idf)
 
+    @freeing(shingler)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, sample, idf = shingler(), sampler(), sent.value
         salt = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
@@ -253,6 +255,7 @@ def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: floa
     side = lambda name: docs.select(F.col("doc_id").alias(name), F.col("text").alias(f"t{name}"))
     sent = docs.sparkSession.sparkContext.broadcast(idf)
 
+    @freeing(shingler)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, idf, last = shingler(), sent.value, [None, None]
 
@@ -369,6 +372,7 @@ def shingled(docs: DataFrame, ids: DataFrame, idf: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(idf)
     schema = pa.schema([("id", pa.int64()), ("size", pa.int32()), ("shingles", pa.binary()), ("weights", pa.binary())])
 
+    @freeing(shingler)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, idf = shingler(), sent.value
         for batch in batches:

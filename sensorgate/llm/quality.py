@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from sensorgate.llm.common import query, table
+from sensorgate.llm.common import freeing, query, table
 
 DIMENSIONS = 1 << 18
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -77,7 +77,7 @@ class Featurizer:
 
 @lru_cache(maxsize=1)
 def featurizer() -> Featurizer:
-    """One for all tasks of a Python worker."""
+    """One for a task."""
     return Featurizer()
 
 
@@ -149,6 +149,7 @@ def train(docs: DataFrame, ratings: DataFrame, grade: str = "grade", grades: int
         rated = rated.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample).drop("_n")
     texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(rated), "doc_id")
 
+    @freeing(featurizer)
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = featurizer()
         for batch in batches:
@@ -178,6 +179,7 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     schema = StructType([*kept.schema.fields, StructField("expected_grade", DoubleType()), StructField("tails", ArrayType(DoubleType()))])
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
 
+    @freeing(featurizer)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, own = featurizer(), OrdinalModel(*sent.value)
         for batch in batches:
