@@ -2,24 +2,30 @@
 
 Equal vectors are joined first, so a group of copies is one vector with a count. Distinct vectors are dealt over shards;
 each shard gets a graph (layers of ever fewer vectors, every vector linked to near ones in different directions), kept as
-a file in the shared folder. Every vector then queries every shard: a greedy walk down the upper layers, then a beam on
-the ground layer. Tasks hold a bounded part of the queries and one shard. In each task a few queries are audited against
-all vectors of the shard; while their recall is under ``recall``, the beam is doubled and all queries of the task run
-again. Pairs found are kept if their cosine, in double precision on the given numbers, reaches the threshold; links count
-copies, and components are the unions of links.
+a file in the shared folder. Every vector then queries every shard, its own one in the task that builds the graph: a greedy
+walk down the upper layers, then a beam on the ground layer. A query whose beam is full of hits is compared with all vectors
+of the shard, in blocks. Vectors that their own search does not find are listed in the file, and every query meets them.
+In each task some queries are audited against all vectors of the shard; while the recall of those whose beam can hold their
+links is under ``recall``, the beam is doubled. Pairs found are kept if their cosine, in double precision on the given
+numbers, reaches the threshold; links count copies, and components are the unions of links.
+
+Pairs do not leave their task: it gives back the number of links of each query and a spanning forest, in which a query
+meets each part of a shard once. So the rows grow with the vectors, however many are alike. Tasks hold at most ``most``
+vectors of one shard and a bounded part of the queries, which visit ``VISITS`` shards one after the other.
 
 A shard holds at most ``most`` vectors, and there are at least ``shards`` of them; work grows as vectors times shards, so
 on growing tables ``most`` should be as large as executor memory allows.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite numbers link with nothing and are components
-of their own; vectors of different lengths never link; rows that share an id and a vector count as copies; a row without
-an id links with nothing and has no component; an empty table gives no row; other columns are ignored.
+of their own; vectors of different lengths never link; rows that share an id and a vector count as copies, and an id with
+several vectors has the links of all of them; a row without an id links with nothing and has no component; an empty table
+gives no row; other columns are ignored. Arrays of doubles are compared as given, all others as floats.
 """
 
 from __future__ import annotations
 
 import io
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,20 +41,27 @@ from sensorgate.session import scratch_path
 LINKS = 16  # of a vector in an upper layer; twice as many in the ground layer
 BUILD_BEAM = 64
 BEAM = 64
-AUDITED = 24
+AUDITED = 64  # queries of a task
+VISITS = 16  # shards that a task searches
+CELLS = 1 << 22  # of a block of exact comparisons
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Scaled by the largest number first: the squares of very large or small numbers leave the range of doubles."""
+    wide = vectors.astype(np.float64)
+    wide /= np.abs(wide).max(1, keepdims=True)
+    return (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32)
 
 
 class Graph:
     """Layers of links over unit vectors; all steps work on batches of queries."""
 
     def __init__(self, vectors: np.ndarray):
-        self.raw = np.ascontiguousarray(vectors, np.float32)
-        wide = self.raw.astype(np.float64)
-        # Scaled by the largest number first: the squares of very large or small numbers leave the range of doubles.
-        wide /= np.abs(wide).max(1, keepdims=True)
-        self.unit = (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32)
+        self.raw = np.ascontiguousarray(vectors)
+        self.unit = unit(self.raw)
         self.layers: list[np.ndarray] = []
         self.entry = 0
+        self.stray = np.zeros(0, np.int32)  # vectors that no walk finds
 
     # Search
 
@@ -178,14 +191,14 @@ class Graph:
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, raw=self.raw, entry=self.entry, **{f"layer{k}": x for k, x in enumerate(self.layers)})
+        np.savez(out, raw=self.raw, entry=self.entry, stray=self.stray, **{f"layer{k}": x for k, x in enumerate(self.layers)})
         return out.getvalue()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Graph:
         held = np.load(io.BytesIO(data))
         g = cls(held["raw"])
-        g.entry = int(held["entry"])
+        g.entry, g.stray = int(held["entry"]), held["stray"]
         g.layers = [held[f"layer{k}"] for k in range(sum(n.startswith("layer") for n in held.files))]
         return g
 
@@ -196,50 +209,112 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
 
 
-def found_near(g: Graph, queries: np.ndarray, threshold: float, recall: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Query numbers and vector numbers of the pairs that reach the threshold; the beam is widened until the audit passes."""
-    wide = queries.astype(np.float64)
-    wide /= np.abs(wide).max(1, keepdims=True)
-    q = (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32)
-    slack, n = threshold - 1e-5, len(g.unit)
-    audited = np.unique(np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int))
-    truth = (q[audited] @ g.unit.T >= slack).sum()
+def found_near(g: Graph, queries: np.ndarray, threshold: float, recall: float, beam: int = BEAM) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Query numbers and vector numbers of the pairs that reach the threshold, in blocks of at most ``CELLS`` pairs."""
+    q, n = unit(queries), len(g.unit)
+    margin = max(1e-5, (queries.shape[1] + 4) * 2.0**-23)  # more than the error of a product of unit vectors of floats
+    slack, sure = threshold - margin, threshold + margin
+    rows = max(1, CELLS // n)
 
-    def run(own: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        step, who, hits = max(8, (1 << 24) // max(n, 1)), [], []
-        for at in range(0, len(own), min(step, 512)):
-            part = own[at : at + min(step, 512)]
-            ids, near = g.search(q[part], width)
-            a, b = np.nonzero(near >= slack)
-            who.append(part[a])
-            hits.append(ids[a, b])
-        return np.concatenate(who), np.concatenate(hits)
+    def checked(who: np.ndarray, hits: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        good = near >= sure
+        close = np.flatnonzero(~good)
+        for at in range(0, len(close), 1 << 15):
+            part = close[at : at + (1 << 15)]
+            good[part] = cosines(queries[who[part]], g.raw[hits[part]]) >= threshold
+        return who[good], hits[good]
 
+    audited = np.unique(np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int))
+    truth = np.concatenate([(q[audited[at : at + rows]] @ g.unit.T >= slack).sum(1) for at in range(0, len(audited), rows)])
     width = min(beam, n)
-    while width < n and len(run(audited, width)[0]) < recall * truth:
-        width = min(2 * width, n)
-    who, hits = run(np.arange(len(q)), width)
-    # A beam that is full of hits may have been too narrow for its query: those queries run with wider ones.
-    while width < n and len(full := np.flatnonzero(np.bincount(who, minlength=len(q)) >= width)):
+    # Queries with more links than the beam holds are compared with all vectors, so they do not count.
+    while width < n and (asked := (truth > 0) & (truth < width)).any():
+        near = g.search(q[audited[asked]], width)[1]
+        if (near >= slack).sum() >= recall * truth[asked].sum():
+            break
         width = min(2 * width, n)
-        rest = ~np.isin(who, full)
-        more, more_hits = run(full, width)
-        who, hits = np.concatenate([who[rest], more]), np.concatenate([hits[rest], more_hits])
-    good = cosines(queries[who], g.raw[hits]) >= threshold if len(who) else np.zeros(0, bool)
-    return who[good], hits[good]
+
+    for at in range(0, len(q), step := max(8, min((1 << 24) // n, 512))):
+        part = np.arange(at, min(at + step, len(q)))
+        ids, near = g.search(q[part], width)
+        hit = near >= slack
+        full = hit.all(1) & (width < n)
+        a, b = np.nonzero(hit & ~full[:, None])
+        who, hits, value = part[a], ids[a, b].astype(np.int64), near[a, b]
+        if len(g.stray):
+            own = part[~full]
+            met = q[own] @ g.unit[g.stray].T
+            a, b = np.nonzero(met >= slack)
+            who, hits, value = np.append(who, own[a]), np.append(hits, g.stray[b]), np.append(value, met[a, b])
+            first = np.unique(who * n + hits, return_index=True)[1]
+            who, hits, value = who[first], hits[first], value[first]
+        yield checked(who, hits, value)
+        crowded = part[full]
+        for start in range(0, len(crowded), rows):
+            own = crowded[start : start + rows]
+            near = q[own] @ g.unit.T
+            a, b = np.nonzero(near >= slack)
+            yield checked(own[a], b, near[a, b])
+
+
+class Forest:
+    """Spanning forest of links that come in blocks."""
+
+    def __init__(self) -> None:
+        self.root = np.zeros(0, np.int64)
+        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def grow(self, n: int) -> int:
+        """Room for ``n`` more vertices; the number of the first."""
+        first = len(self.root)
+        self.root = np.append(self.root, np.arange(first, first + n))
+        return first
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Positions of the links that join trees. Roots are the smallest vertices of their trees."""
+        at, used = np.arange(len(a)), []
+        while True:
+            ra, rb = self.root[a[at]], self.root[b[at]]
+            apart = ra != rb
+            at, ra, rb = at[apart], ra[apart], rb[apart]
+            if not len(at):
+                return np.concatenate(used) if used else at
+            moved, first = np.unique(np.maximum(ra, rb), return_index=True)
+            self.root[moved] = np.minimum(ra, rb)[first]  # each root once, to a smaller one: no circles
+            used.append(at[first])
+            while (self.root != (up := self.root[self.root])).any():
+                self.root = up
 
 
 def _numbers(vectors: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float32) for v in vectors])
+    return np.stack(list(vectors))
 
 
-@lru_cache(maxsize=1)
-def _held(folder: str, name: str) -> tuple[Graph, np.ndarray]:
+def _write(folder: str, name: str, parts: dict[str, np.ndarray], g: Graph) -> None:
+    where, path = filesystem(folder)
+    where.create_dir(path, recursive=True)
+    out = io.BytesIO()
+    np.savez(out, **parts)
+    with where.open_output_stream(f"{path}/{name}") as f:
+        f.write(len(out.getbuffer()).to_bytes(8, "little"))
+        f.write(out.getbuffer())
+        f.write(g.to_bytes())
+
+
+def _read(folder: str, name: str) -> tuple[dict[str, np.ndarray], Graph]:
     where, path = filesystem(folder)
     with where.open_input_file(f"{path}/{name}") as f:
-        size = int.from_bytes(f.read(8), "little")
-        ids = np.frombuffer(f.read(size), "<i8")
-        return Graph.from_bytes(f.read()), ids
+        held = np.load(io.BytesIO(f.read(int.from_bytes(f.read(8), "little"))))
+        return {k: held[k] for k in held.files}, Graph.from_bytes(f.read())
+
+
+def _result(ids: np.ndarray, links: np.ndarray, edges: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """One row for each vector with links, and one for each edge."""
+    some = np.flatnonzero(links)
+    a, b = (np.concatenate([np.zeros(0, np.int64), *side]) for side in (zip(*edges, strict=True) if edges else ((), ())))
+    other = pd.array(np.append(np.zeros(len(some), np.int64), b), "Int64")
+    other[: len(some)] = pd.NA
+    return pd.DataFrame({"id": np.append(ids[some], a), "links": np.append(links[some], np.zeros(len(a), np.int64)), "other": other})
 
 
 def usable(embedding: str = "embedding"):
@@ -249,50 +324,85 @@ def usable(embedding: str = "embedding"):
 
 
 def linked(distinct: DataFrame, threshold: float, recall: float, shards: int, most: int) -> DataFrame:
-    """``a, b`` (a < b) of linked vectors; ``distinct`` has ``id, embedding``."""
+    """Links of ``distinct`` (``id, embedding, copies``) as rows ``id, links, other``.
+
+    ``links`` are to be summed over the rows of an id (copies of other ids); rows that have ``other`` are edges of a forest.
+    """
     folder = scratch_path(distinct.sparkSession, "graphs")
     count = distinct.count()
     shards = max(shards, -(-count // most))
-    parts = max(1, -(-count // 4096))
+    parts, blocks = max(1, -(-count // 4096)), -(-shards // VISITS)
     spread = distinct.withColumn("dims", F.size("embedding")).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        g = Graph.build(_numbers(pdf["embedding"]))
-        name = f"graph-{pdf['dims'].iloc[0]}-{pdf['shard'].iloc[0]}-{TaskContext.get().taskAttemptId()}.bin"
-        where, path = filesystem(folder)
-        where.create_dir(path, recursive=True)
-        ids = pdf["id"].to_numpy("<i8").tobytes()
-        with where.open_output_stream(f"{path}/{name}") as out:
-            out.write(len(ids).to_bytes(8, "little") + ids + g.to_bytes())
-        return pd.DataFrame({"dims": pdf["dims"].iloc[:1], "shard": pdf["shard"].iloc[:1], "file": [name]})
-
-    files = stored(spread.groupBy("dims", "shard").applyInPandas(build, "dims int, shard long, file string"), "graph_files")
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, ids = _held(folder, pdf["file"].iloc[0])
-        own = pdf["id"].to_numpy(np.int64)
-        who, hits = found_near(g, _numbers(pdf["embedding"]), threshold, recall)
-        a, b = own[who], ids[hits]
-        other = a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[other], "b": np.maximum(a, b)[other]})
-
-    asked = spread.drop("shard").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    asked = asked.join(files, ["dims", "shard"])
-    return asked.groupBy("file", "part").applyInPandas(search, "a long, b long").distinct()
+        dims, shard, ids, copies = int(pdf["dims"].iloc[0]), int(pdf["shard"].iloc[0]), pdf["id"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64)
+        vectors = _numbers(pdf["embedding"])
+        del pdf
+        g, n = Graph.build(vectors), len(ids)
+        missed = []
+        for at in range(0, n, 512):
+            found, near = g.search(g.unit[at : at + 512], min(BEAM, n))
+            own = np.arange(at, at + len(found))
+            missed.append(own[~(found == own[:, None]).any(1) & ~(near >= threshold).all(1)])
+        g.stray = np.concatenate(missed).astype(np.int32)
+        links, forest, edges = np.zeros(n, np.int64), Forest(), []
+        forest.grow(n)
+        for who, hits in found_near(g, vectors, threshold, recall):
+            other = ids[who] != ids[hits]
+            who, hits = who[other], hits[other]
+            links += np.bincount(who, copies[hits], n).astype(np.int64)
+            used = forest.add(who, hits)
+            edges.append((ids[who[used]], ids[hits[used]]))
+        name = f"graph-{dims}-{shard}-{TaskContext.get().taskAttemptId()}.bin"
+        _write(folder, name, {"ids": ids, "copies": copies, "tree": forest.root}, g)
+        out = pd.concat([pd.DataFrame({"file": [name]}), _result(ids, links, edges)])
+        return out.assign(dims=dims, shard=shard)[["dims", "shard", "file", "id", "links", "other"]]
+
+    built = spread.groupBy("dims", "shard").applyInPandas(build, "dims int, shard long, file string, id long, links long, other long")
+    built = stored(built, "graph_files")
+    files = built.where("file is not null").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    files = files.select("dims", F.floor(F.col("shard") / VISITS).alias("block"), "part", "shard", "file")
+
+    def search(pdf: pd.DataFrame, visited: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(visited):
+            return pd.DataFrame({"id": [], "links": [], "other": []})
+        ids, home, vectors = pdf["id"].to_numpy(np.int64), pdf["shard"].to_numpy(), _numbers(pdf["embedding"])
+        links, forest, edges = np.zeros(len(ids), np.int64), Forest(), []
+        forest.grow(len(ids))
+        for shard, name in sorted(zip(visited["shard"], visited["file"], strict=True)):
+            away = np.flatnonzero(home != shard)
+            if not len(away):
+                continue
+            held, g = _read(folder, name)
+            first = forest.grow(len(g.unit))
+            for who, hits in found_near(g, vectors[away], threshold, recall):
+                who = away[who]
+                other = ids[who] != held["ids"][hits]
+                who, hits = who[other], hits[other]
+                links += np.bincount(who, held["copies"][hits], len(ids)).astype(np.int64)
+                used = forest.add(who, first + held["tree"][hits])
+                edges.append((ids[who[used]], held["ids"][hits[used]]))
+        return _result(ids, links, edges)
+
+    asked = spread.withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int"))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    keys = ["dims", "block", "part"]
+    asked = asked.select(*keys, "shard", "id", "embedding").groupBy(*keys)
+    across = asked.cogroup(files.groupBy(*keys)).applyInPandas(search, "id long, links long, other long")
+    return built.where("file is null").select("id", "links", "other").union(across)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.99, shards: int = 8, most: int = 100_000) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row of ``vectors`` (vec_id, embedding)."""
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    wide = vectors.schema["embedding"].dataType.elementType.typeName() == "double"
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>" if wide else "array<float>").alias("embedding"))
     valid = rows.where(usable() & F.col("vec_id").isNotNull())
     groups = stored(valid.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "distinct_vectors")
-    pairs = stored(linked(groups.select("id", "embedding"), threshold, recall, shards, most), "links")
-    both = pairs.union(pairs.select("b", "a")).toDF("id", "other")
+    links = stored(linked(groups, threshold, recall, shards, most), "links")
     sizes = groups.groupBy("id").agg(F.sum("copies").alias("copies"))
-    outside = both.join(sizes.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.sum("copies").alias("outside"))
-    parts = components(pairs)
+    outside = links.groupBy("id").agg(F.sum("links").alias("outside"))
+    parts = components(links.where("other is not null"), "id", "other")
     known = sizes.join(outside, "id", "left").join(parts, "id", "left").select("id", (F.coalesce("outside", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
     owner = valid.join(groups.select("embedding", "id"), "embedding").select("vec_id", "id").join(known, "id").select("vec_id", "n_links", F.col("component").alias("component_id"))
     alone = rows.where(~F.coalesce(usable() & F.col("vec_id").isNotNull(), F.lit(False)))

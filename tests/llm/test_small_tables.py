@@ -318,6 +318,28 @@ def test_embeddings_by_brute_force(spark):
     assert got[None].component_id is None and embeddings.near_vectors(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embeddings_in_crowds(spark, kind):
+    """Groups larger than a beam, with links inside and between them that hold for some members only."""
+    r = np.random.default_rng(9)
+    base = r.normal(size=(3, 24))
+    e = np.concatenate([base[0] + 0.13 * r.normal(size=(500, 24)), base[1] + 0.2 * r.normal(size=(200, 24)), base[2] + 0.01 * r.normal(size=(150, 24)), r.normal(size=(400, 24))])
+    e = e if kind == "double" else e.astype(np.float32).astype(float)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(e)], f"vec_id long, embedding array<{kind}>")
+    links = embeddings.linked(df.select(F.col("vec_id").alias("id"), "embedding", F.lit(1).cast("long").alias("copies")), 0.95, 0.99, 2, 400)
+    assert links.count() <= 4 * len(e)  # the pairs are over 50 000
+    got = {x.vec_id: x for x in embeddings.near_vectors(df, shards=3).collect()}
+    u = e / np.linalg.norm(e, axis=1, keepdims=True)
+    link = u @ u.T >= 0.95
+    np.fill_diagonal(link, False)
+    part = np.arange(len(e))
+    while (part != (new := np.minimum(part, np.where(link, part[None, :], len(e)).min(1)))).any():
+        part = new
+    found = sum(x.n_links for x in got.values())
+    assert 0.999 * link.sum() <= found <= link.sum() and all(got[k].n_links <= link[k].sum() for k in got)
+    assert [got[k].component_id for k in range(len(e))] == part.tolist()
+
+
 def test_graph_recall():
     r = np.random.default_rng(4)
     v = r.normal(size=(3000, 24)).astype(np.float32)
