@@ -1,7 +1,7 @@
 """Robust scaling, detrending, correlation, covariance, PCA, distance and cross-modal models.
 
-Moments of p features are one pass of per-partition matrix sums (p x p numbers per partition, added up by Spark);
-only that p x p result reaches the driver, where it is decomposed. Scoring maps over Arrow batches.
+Moments of p features are one pass of matrix sums: a task gives one row of arrays for each feature, Spark merges them by
+blocks of features, and p such rows reach the driver, where they are decomposed. Scoring maps over Arrow batches.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -134,15 +135,22 @@ def typical(df: DataFrame, cols, rows: int = 32) -> np.ndarray:
     return out
 
 
-def pair_sums(df: DataFrame, cols, shift=None, complete: bool = False) -> DataFrame:
-    """Pairwise-complete sums of all feature pairs: rows (i, j, n, sx, sxx, sxy) with x feature i where j is known.
+GRAM = "i int, n array<double>, sx array<double>, sxx array<double>, sxy array<double>"
+FAN_IN = 256  # states that one step of a merge takes
+BLOCK = 1 << 13  # numbers of each kind in a block of features, so that a merge holds FAN_IN of them
 
-    ``cols`` are numeric columns or one array column. Sums are of differences from ``shift`` (one number per feature;
-    medians of a few rows if not given), so that large offsets do not cost precision. With ``complete``, rows in which
-    any feature is missing are left out, and all pairs have the same n. One p x p block per partition, combined map-side.
+
+def gram_state(df: DataFrame, cols, shift, complete: bool = False) -> DataFrame:
+    """Mergeable second moments, one row of arrays for each feature: ``i, n, sx, sxx, sxy``.
+
+    Pairwise: position j of the arrays holds the rows in which features i and j are known, and sums over them of feature
+    i, its square and the product. With ``complete`` only rows without a missing feature count, and as all pairs then
+    share n, a row holds ``n`` and ``sx`` once, no ``sxx``, and products from feature i on (the upper triangle). Sums are
+    of differences from ``shift``. Each task gives one state; states are merged by blocks of features in two steps of
+    bounded size, so neither a merge nor the driver ever sees a row for each pair.
     """
-    cols = list(cols)
-    shift = typical(df, cols) if shift is None else np.asarray(shift, float)
+    cols, shift = list(cols), np.asarray(shift, float)
+    size = max(1, BLOCK // len(shift))
 
     def partial(batches):
         total = None
@@ -152,19 +160,43 @@ def pair_sums(df: DataFrame, cols, shift=None, complete: bool = False) -> DataFr
             x = _matrix(pdf, cols) - shift
             if complete:
                 x = x[np.isfinite(x).all(axis=1)]
-            known = np.isfinite(x).astype(float)
-            x = np.where(known > 0, x, 0.0)
-            part = np.stack([known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x])
-            total = part if total is None else total + part
-        if total is not None:
-            p = total.shape[1]
-            i, j = np.divmod(np.arange(p * p), p)
-            flat = total.reshape(4, -1)
-            yield pd.DataFrame({"i": i, "j": j, "n": flat[0], "sx": flat[1], "sxx": flat[2], "sxy": flat[3]})
+                part = [np.full(len(shift), float(len(x))), x.sum(axis=0), x.T @ x]
+            else:
+                known = np.isfinite(x).astype(float)
+                x = np.where(known > 0, x, 0.0)
+                part = [known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x]
+            total = part if total is None else [t + q for t, q in zip(total, part, strict=True)]
+        if total is None:
+            return
+        task, features = TaskContext.get().partitionId(), np.arange(len(shift))
+        rows = {"task": task, "i": features}
+        if complete:
+            n, sx, xy = total
+            rows |= {"n": list(n[:, None]), "sx": list(sx[:, None]), "sxx": [[]] * len(features), "sxy": [xy[i, i:] for i in features]}
+        else:
+            rows |= {name: list(m) for name, m in zip(("n", "sx", "sxx", "sxy"), total, strict=True)}
+        yield pd.DataFrame(rows)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [(i, *(np.sum(np.stack(list(g[c])), axis=0) for c in ("n", "sx", "sxx", "sxy"))) for i, g in pdf.groupby("i")]
+        return pd.DataFrame(out, columns=["i", "n", "sx", "sxx", "sxy"]).assign(task=pdf["task"].iloc[0])[["task", "i", "n", "sx", "sxx", "sxy"]]
 
     rows = df.select(*cols).where(F.col(cols[0]).isNotNull()) if len(cols) == 1 else df.select(*cols)
-    parts = rows.mapInPandas(partial, "i int, j int, n double, sx double, sxx double, sxy double")
-    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sxx", "sxy")])
+    states = rows.mapInPandas(partial, f"task int, {GRAM}")
+    block = F.floor(F.col("i") / size).alias("block")
+    near = states.groupBy(block, F.floor(F.col("task") / FAN_IN).alias("step")).applyInPandas(merge, f"task int, {GRAM}")
+    return near.groupBy(block).applyInPandas(merge, f"task int, {GRAM}").drop("task")
+
+
+def pair_sums(df: DataFrame, cols, shift=None) -> DataFrame:
+    """Pairwise-complete sums of all feature pairs: rows (i, j, n, sx, sxx, sxy) with x feature i where j is known.
+
+    ``cols`` are numeric columns or one array column. Sums are of differences from ``shift`` (one number per feature;
+    medians of a few rows if not given), so that large offsets do not cost precision.
+    """
+    state = gram_state(df, cols, typical(df, list(cols)) if shift is None else shift)
+    pairs = state.select("i", F.posexplode(F.arrays_zip("n", "sx", "sxx", "sxy")).alias("j", "s"))
+    return pairs.select("i", "j", "s.n", "s.sx", "s.sxx", "s.sxy")
 
 
 def corr_long(sums: DataFrame) -> DataFrame:
@@ -185,20 +217,37 @@ class Moments:
 
 
 def moments(df: DataFrame, cols) -> Moments:
-    """Mean and covariance of complete rows; the only thing collected is the p x p table of sums."""
+    """Mean and covariance of complete rows; one row of arrays for each feature is collected."""
     shift = typical(df, cols)
-    rows = pair_sums(df, cols, shift, complete=True).collect()
-    n = rows[0]["n"] if rows else 0
+    rows = gram_state(df, cols, shift, complete=True).collect()
+    n = rows[0]["n"][0] if rows else 0
     if not n:
         raise ValueError("no complete row")
     p = len(shift)
     s, xy = np.zeros(p), np.zeros((p, p))
     for r in rows:
-        xy[r["i"], r["j"]] = r["sxy"]
-        s[r["i"]] = r["sx"]
+        i = r["i"]
+        s[i] = r["sx"][0]
+        xy[i, i:] = xy[i:, i] = r["sxy"]
     return Moments(n, shift + s / n, xy / n - np.outer(s / n, s / n))
 
 
+def correlations(df: DataFrame, cols) -> tuple[np.ndarray, np.ndarray]:
+    """Variances (n - 1) and pairwise-complete correlations of all features; NaN where a feature does not vary.
+
+    One row of arrays for each feature reaches the driver.
+    """
+    rows = sorted(gram_state(df, cols, typical(df, list(cols))).collect(), key=lambda r: r["i"])
+    if not rows:
+        return np.zeros(0), np.zeros((0, 0))
+    n, sx, sxx, sxy = (np.array([r[c] for r in rows]).reshape(len(rows), -1) for c in ("n", "sx", "sxx", "sxy"))
+    spread = np.maximum(n * sxx - sx**2, 0.0)  # of feature i where j is known
+    with np.errstate(invalid="ignore", divide="ignore"):
+        variance = np.diag(spread) / (np.diag(n) * (np.diag(n) - 1))
+        r = np.where((spread > 0) & (spread.T > 0), (n * sxy - sx * sx.T) / np.sqrt(spread * spread.T), np.nan)
+    return variance, r
+
+
 def _fixed_sign(vectors: np.ndarray) -> np.ndarray:
     """Columns with their largest loading made positive, so that results do not depend on the solver."""
     k = np.abs(vectors).argmax(axis=0)
@@ -247,6 +296,7 @@ class ShrunkDistance:
     mean: np.ndarray
     precision: np.ndarray
     shrinkage: float
+    target: float  # variance of the identity that the covariance is drawn to
 
     @staticmethod
     def fit(df: DataFrame, vector: str) -> "ShrunkDistance":
@@ -262,7 +312,7 @@ class ShrunkDistance:
         distance = (dot - p * mu**2) / p
         noise = (spread4 / m.n - dot) / (p * m.n)
         s = 0.0 if distance == 0 else min(noise, distance) / distance
-        return ShrunkDistance(centre, np.linalg.inv((1 - s) * m.cov + s * mu * np.eye(p)), s)
+        return ShrunkDistance(centre, np.linalg.inv((1 - s) * m.cov + s * mu * np.eye(p)), s, float(mu))
 
     def transform(self, df: DataFrame, vector: str, out: str, squared: bool = False) -> DataFrame:
         mean, prec = self.mean, self.precision
@@ -355,19 +405,28 @@ def core_distance(df: DataFrame, keys, x: str, y: str, out: str, inner: float =
     return d.withColumn(out, F.sqrt(safe_div(q, det))).drop("_rad", "_cut", "_sxx", "_sxy", "_syy")
 
 
-def prune_correlated(variances: dict, corr: dict, limit: float) -> list[str]:
+def prune_features(variance: np.ndarray, corr: np.ndarray, limit: float) -> list[int]:
     """Keep features from the largest variance down unless tied to a kept one; a missing correlation drops too.
 
-    Runs on the driver over the p x p summary, p being the number of features.
+    Runs on the driver over the p x p summary, p being the number of features. Equal variances go by position.
     """
-    kept: list[str] = []
-    for name, _ in sorted(((n, v) for n, v in variances.items() if v and v > 0), key=lambda x: (-x[1], x[0])):
-        size = [corr.get((name, k)) for k in kept]
-        if all(r is not None and abs(r) <= limit for r in size):
-            kept.append(name)
+    free = np.nan_to_num(variance) > 0
+    kept = []
+    for i in np.argsort(-np.where(free, variance, 0.0), kind="stable"):
+        if free[i]:
+            kept.append(int(i))
+            free &= np.abs(corr[i]) <= limit
     return kept
 
 
+def prune_correlated(variances: dict, corr: dict, limit: float) -> list[str]:
+    """``prune_features`` for named features and pairs of names; equal variances go by name."""
+    names = sorted(variances)
+    var = np.array([variances[n] or 0.0 for n in names], float)
+    pairs = [[corr.get((a, b), corr.get((b, a))) for b in names] for a in names]
+    return [names[i] for i in prune_features(var, np.array(pairs, float), limit)]
+
+
 def best_partner(corr: DataFrame, modality) -> DataFrame:
     """Strongest partner of another modality for each feature of a long correlation table (f, g, r).
 

@@ -97,14 +97,64 @@ def reconstruction(t):
     return d.select("vec_id", rnd("err").alias("err"))
 
 
+TWO_SQL = """x AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings),
+    m AS (SELECT count(*) AS n, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS sa, var_pop(b) AS sb, covar_pop(a, b) AS sc FROM x)"""
+
+
+def two(t: Tables):
+    return t.embeddings.select("vec_id", F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("v"))
+
+
+@query(
+    "n07_reconstruction_error_2d",
+    f"""WITH {TWO_SQL}, l AS (SELECT *, (sa + sb) / 2 - sqrt(pow((sa - sb) / 2, 2) + sc * sc) AS low FROM m),
+    d AS (SELECT vec_id, a - ma AS a, b - mb AS b, sc AS u, low - sa AS v FROM x, l)
+    SELECT vec_id, {R('pow(a * u + b * v, 2) / (u * u + v * v)')} AS err FROM d""",
+)
+def reconstruction_2d(t):
+    """What the first of two components leaves is the part along the other one, which SQL has in closed form."""
+    d = two(t)
+    return nz.Pca.fit(nz.moments(d, ["v"]), k=1).reconstruction_error(d, "v", "err").select("vec_id", rnd("err").alias("err"))
+
+
+@query(
+    "n07_reconstruction_error_sum",
+    f"""WITH {VEC_SQL}, m AS (SELECT a.dim AS i, b.dim AS j, covar_pop(a.x, b.x) AS c FROM x a JOIN x b USING (vec_id) GROUP BY ALL)
+    SELECT (SELECT count(*) FROM embeddings) AS n, {R('sum(c) FILTER (i = j)', 5)} AS spread, {R('sum(c * c)', 5)} AS square, {R('0.0', 5)} AS gap FROM m""",
+)
+def reconstruction_sum(t):
+    """The spectrum of all dimensions: variances add up to the trace, their squares to the squared entries of the covariance,
+    and the mean error of the 95 % model is the variance that its components leave (``gap`` is the difference)."""
+    m = nz.moments(t.embeddings, ["embedding"])
+    model, whole = nz.Pca.fit(m, share=0.95), nz.Pca.fit(m, k=len(m.mean))
+    scale = (m.n - 1) / m.n
+    val = whole.variance * scale
+    d = model.reconstruction_error(t.embeddings.select("embedding"), "embedding", "err")
+    left = float(val[len(model.variance) :].sum())
+    return d.agg(
+        F.count("*").alias("n"), rnd(F.lit(float(val.sum())), 5).alias("spread"), rnd(F.lit(float((val**2).sum())), 5).alias("square"), rnd(F.avg("err") - left, 5).alias("gap")
+    )
+
+
 @query("n08_shrunk_mahalanobis")
 def shrunk(t):
     d = t.embeddings.select("vec_id", "embedding")
     return nz.ShrunkDistance.fit(d, "embedding").transform(d, "embedding", "distance").select("vec_id", rnd("distance").alias("distance"))
 
 
-def two(t: Tables):
-    return t.embeddings.select("vec_id", F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("v"))
+@query(
+    "n08_shrinkage",
+    f"""WITH {VEC_SQL}, c AS (SELECT a.dim AS i, b.dim AS j, covar_pop(a.x, b.x) AS c FROM x a JOIN x b USING (vec_id) GROUP BY ALL),
+    e AS (SELECT dim, avg(x) AS mean FROM x GROUP BY dim), q AS (SELECT vec_id, sum(pow(x - mean, 2)) AS d FROM x JOIN e USING (dim) GROUP BY vec_id),
+    f AS (SELECT count(*) AS n, sum(d * d) AS fourth FROM q), s AS (SELECT sum(c * c) AS dot, sum(c) FILTER (i = j) / 64 AS mu FROM c),
+    r AS (SELECT n, mu, (dot - 64 * mu * mu) / 64 AS dist, (fourth / n - dot) / (64 * n) AS noise FROM f, s)
+    SELECT n, {R('mu')} AS target, {R('CASE WHEN dist = 0 THEN 0 ELSE least(noise, dist) / dist END')} AS shrinkage FROM r""",
+)
+def shrinkage(t):
+    """Target and strength of the shrinkage over all 64 dimensions."""
+    d = t.embeddings.select("embedding")
+    model = nz.ShrunkDistance.fit(d, "embedding")
+    return d.agg(F.count("*").alias("n"), rnd(F.lit(model.target)).alias("target"), rnd(F.lit(float(model.shrinkage))).alias("shrinkage"))
 
 
 @query(
@@ -153,6 +203,23 @@ def coherence_scores(t: Tables):
     return model, nz.discordance(d, [], "z_cu", "z_cw")
 
 
+C4_SQL = ", ".join(f"corr(e[{i + 1}], e[{j + 1}]) AS r{i}{j}" for i in range(4) for j in range(i + 1, 4))
+
+
+@query(
+    "n10_canonical_r",
+    f"""WITH c AS (SELECT {C4_SQL}, count(*) AS n FROM (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings)),
+    m AS (SELECT n, (1 - r01 * r01) * (1 - r23 * r23) AS d,
+      (r02 - r01 * r12) * (r02 - r23 * r03) + (r03 - r01 * r13) * (r03 - r23 * r02) + (r12 - r01 * r02) * (r12 - r23 * r13) + (r13 - r01 * r03) * (r13 - r23 * r12) AS tr, pow(r02 * r13 - r03 * r12, 2) AS de FROM c)
+    SELECT n, {R('sqrt((tr / d + sqrt(greatest(pow(tr / d, 2) - 4 * de / d, 0))) / 2)', 5)} AS r FROM m""",
+)
+def canonical_r(t):
+    """Two features against two: the squared correlation is the larger root of a quadratic, which SQL solves."""
+    d = t.embeddings.select(F.slice("embedding", 1, 4).alias("v"))
+    model = nz.Coherence.fit(nz.moments(d, ["v"]), split=2, k=2)
+    return d.agg(F.count("*").alias("n"), rnd(F.lit(model.r), 5).alias("r"))
+
+
 @query("n10_canonical_discordance")
 def canonical(t):
     _, d = coherence_scores(t)
@@ -181,12 +248,9 @@ def corr_wide(t):
     SELECT dim, CAST(list_position(kept, dim) - 1 AS INTEGER) AS rank, {R('var')} AS variance FROM od, (SELECT kept FROM g ORDER BY k DESC LIMIT 1) WHERE list_contains(kept, dim)""",
 )
 def pruning(t):
-    """Both the variances and the correlations come from one pass; the greedy walk sees p x p numbers only."""
-    sums = nz.pair_sums(t.embeddings, ["embedding"])
-    corr = {(r["i"], r["j"]): r["r"] for r in nz.corr_long(sums).collect()}
-    var = {r["i"]: (r["sxx"] - r["sx"] ** 2 / r["n"]) / (r["n"] - 1) for r in sums.filter("i = j").collect()}
-    kept = nz.prune_correlated(var, corr, 0.12)
-    rows = [(int(i), rank, float(np.round(var[i], 6))) for rank, i in enumerate(kept)]
+    """Both the variances and the correlations come from one pass; the greedy walk sees one array for each feature."""
+    var, corr = nz.correlations(t.embeddings, ["embedding"])
+    rows = [(i, rank, float(np.round(var[i], 6))) for rank, i in enumerate(nz.prune_features(var, corr, 0.12))]
     return t.spark.createDataFrame(rows, "dim int, rank int, variance double")
 
 

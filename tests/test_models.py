@@ -87,6 +87,27 @@ def test_pruning_drops_missing_and_tied():
     assert nz.prune_correlated(var, corr, 0.9) == ["a", "c"]
 
 
+def test_gram_state_merges_blocks_and_steps(spark, monkeypatch):
+    """Several blocks of features, more tasks than one step takes, missing values, and an empty table."""
+    monkeypatch.setattr(nz, "FAN_IN", 3)
+    monkeypatch.setattr(nz, "BLOCK", 64)
+    x = np.random.default_rng(6).normal(size=(200, 20)) + 300
+    x[:, 7] = 5.0
+    x[::9, 3] = np.nan
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>").repartition(10)
+    full = x[~np.isnan(x).any(axis=1)]
+    m = nz.moments(df, ["v"])
+    assert m.n == len(full) and np.allclose(m.mean, full.mean(axis=0)) and np.allclose(m.cov, np.cov(full.T, bias=True), atol=1e-9)
+    var, r = nz.correlations(df, ["v"])
+    want = pd.DataFrame(x).corr().to_numpy()
+    want[7], want[:, 7] = np.nan, np.nan
+    assert np.allclose(var, pd.DataFrame(x).var(), atol=1e-9) and np.allclose(r, want, equal_nan=True)
+    assert len(nz.gram_state(df, ["v"], np.zeros(20), complete=True).collect()) == 20
+    assert 7 not in nz.prune_features(var, r, 0.9)
+    var, r = nz.correlations(df.where("false"), ["v"])
+    assert len(var) == 0 and nz.prune_features(var, r, 0.9) == []
+
+
 def test_band_match_brute_force(spark):
     rng = np.random.default_rng(9)
     ev = pd.DataFrame({"e": range(60), "norm": np.r_[rng.uniform(0.5, 5, 57), 40.0, 0.01, 11.0], "expected": rng.normal(size=60)})
