@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sensorgate.functions.exprs import as_col, mix, safe_div
+from sensorgate.operators import normalize
 from sensorgate.operators.ordered import row_index
 
 
@@ -246,16 +247,28 @@ def roc_auc_ordered(df: DataFrame, keys, score: str, label: str, tie: str) -> Da
     return g.select(*keys, safe_div(both - F.col("_lost"), both).alias("auc"), "n_pos", "n_neg")
 
 
-def permutation_null(df: DataFrame, idx: str, u: str, v: str, replicates: int, salt: int = 400) -> DataFrame:
-    """Correlation of u with a shuffled v per replicate.
+def shuffled_pairs(df: DataFrame, idx: str, u: str, v: str, replicates: int, salt: int = 400) -> DataFrame:
+    """Rows ``rep, u, v``: u with a shuffled v per replicate; ``idx`` numbers the rows from 0.
 
     A shuffle is the order of a hash; all replicates are ranked in one ordered scan, so none has to fit one task. Pairing is an equi-join on the rank.
     """
     reps = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")
     d = df.select(F.col(idx).alias("_i"), v, reps).withColumn("_h", mix("_i", "rep", salt))
     d = row_index(d, ["rep"], ["_h", "_i"], idx)
-    pairs = d.select("rep", idx, F.col(v).alias("_v")).join(df.select(idx, u), idx)
-    return pairs.groupBy("rep").agg(F.corr(u, "_v").alias("r"))
+    return d.select("rep", idx, v).join(df.select(idx, u), idx).select("rep", u, v)
+
+
+def drawn_pairs(df: DataFrame, idx: str, u: str, v: str, replicates: int, salt: int) -> DataFrame:
+    """Rows ``rep, u, v``: as many rows as there are, drawn with replacement per replicate."""
+    n = df.agg(F.count("*")).scalar()
+    reps = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")
+    draws = df.select(F.col(idx).alias("_i"), reps).select("rep", (mix("rep", "_i", salt) % n).alias(idx))
+    return draws.join(df.select(idx, u, v), idx).select("rep", u, v)
+
+
+def permutation_null(df: DataFrame, idx: str, u: str, v: str, replicates: int, salt: int = 400) -> DataFrame:
+    """Correlation of u with a shuffled v per replicate."""
+    return shuffled_pairs(df, idx, u, v, replicates, salt).groupBy("rep").agg(F.corr(u, v).alias("r"))
 
 
 def permutation_test(null: DataFrame, observed: DataFrame, r: str) -> DataFrame:
@@ -266,3 +279,22 @@ def permutation_test(null: DataFrame, observed: DataFrame, r: str) -> DataFrame:
         F.percentile("r", F.lit(0.5)).alias("null_median"),
         F.percentile("r", F.lit(0.95)).alias("null_p95"),
     )
+
+
+def canonical_test(df: DataFrame, order, vector: str, split: int, k: int, replicates: int, salt: int) -> DataFrame:
+    """Canonical correlation of two blocks of a vector with its permutation p-value and bootstrap interval: one row.
+
+    The blocks become k unit-variance principal components each. A shuffle of rows leaves the components of a block as
+    they are, so every replicate is fitted anew from sums of products of these few numbers; bootstrap samples are fitted
+    within the same components. Rows without a vector are left out.
+    """
+    d = df.where(F.col(vector).isNotNull()).select(*order, vector)
+    m = normalize.moments(d, [vector])
+    sizes = (min(k, split), min(k, len(m.mean) - split))
+    d = row_index(normalize.block_scores(d, vector, m, split, k).drop(vector), [], list(order), "idx").select("idx", "u", "w")
+    observed = normalize.canonical_r(d, [], "u", "w", sizes)
+    null = normalize.canonical_r(shuffled_pairs(d, "idx", "u", "w", replicates, salt), ["rep"], "u", "w", sizes)
+    drawn = normalize.canonical_r(drawn_pairs(d, "idx", "u", "w", replicates, salt + 1), ["rep"], "u", "w", sizes)
+    interval = drawn.agg(*[F.percentile("r", F.lit(q)).alias(n) for n, q in (("lo", 0.025), ("hi", 0.975))])
+    out = permutation_test(null, observed, "r").withColumn("r", observed.scalar())
+    return normalize.attach(out, interval, []).select("r", "p_value", "null_median", "null_p95", "lo", "hi")

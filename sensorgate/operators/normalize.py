@@ -326,6 +326,60 @@ class ShrunkDistance:
         return df.withColumn(out, distance(vector))
 
 
+def white_blocks(m: Moments, split: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scales of all features, and maps of each standardised block to its first k principal components with unit variance."""
+    std = np.sqrt(np.diag(m.cov)) + 1e-9
+    c = m.cov / np.outer(std, std)
+
+    def white(block):
+        val, vec = np.linalg.eigh(block)
+        val, vec = val[::-1][:k], vec[:, ::-1][:, :k]
+        return vec / np.sqrt(np.maximum(val, 1e-12))
+
+    return std, white(c[:split, :split]), white(c[split:, split:])
+
+
+def block_scores(df: DataFrame, vector: str, m: Moments, split: int, k: int, u: str = "u", w: str = "w") -> DataFrame:
+    """Arrays ``u`` and ``w``: unit-variance principal components of the two blocks of a vector."""
+    mean, (std, ra, rv) = m.mean, white_blocks(m, split, k)
+
+    @F.pandas_udf(f"{u} array<double>, {w} array<double>")
+    def project(v: pd.Series) -> pd.DataFrame:
+        x = (np.stack(v.to_numpy()).astype(float) - mean) / std
+        return pd.DataFrame({u: list(x[:, :split] @ ra), w: list(x[:, split:] @ rv)})
+
+    return df.withColumn("_p", project(vector)).select(*df.columns, "_p.*")
+
+
+def canonical_r(df: DataFrame, keys, u: str, w: str, sizes: tuple[int, int]) -> DataFrame:
+    """First canonical correlation ``r`` of two arrays per group: sums of products in one pass, then small matrices in the tasks."""
+    keys, (a, b) = list(keys), sizes
+    x = [F.col(u)[i] for i in range(a)] + [F.col(w)[i] for i in range(b)]
+    first = [F.sum(c) for c in x]
+    second = [F.sum(x[i] * x[j]) for i in range(a + b) for j in range(i, a + b)]
+    sums = df.groupBy(*keys).agg(F.count("*").cast("double").alias("_n"), F.array(*first).alias("_s"), F.array(*second).alias("_q"))
+
+    @F.pandas_udf("double")
+    def largest(n: pd.Series, s: pd.Series, q: pd.Series) -> pd.Series:
+        if not len(n):
+            return pd.Series([], dtype=float)
+        n, s = n.to_numpy()[:, None], np.stack(s.to_numpy())
+        i, j = np.triu_indices(a + b)
+        c = np.empty((len(n), a + b, a + b))
+        c[:, i, j] = c[:, j, i] = np.stack(q.to_numpy()) / n
+        c -= (s / n)[:, :, None] * (s / n)[:, None, :]
+
+        def white(block):
+            val, vec = np.linalg.eigh(block)
+            # A direction that does not vary in this group correlates with nothing.
+            return vec * np.where(val > 1e-12, 1 / np.sqrt(np.maximum(val, 1e-12)), 0.0)[:, None, :]
+
+        cross = white(c[:, :a, :a]).transpose(0, 2, 1) @ c[:, :a, a:] @ white(c[:, a:, a:])
+        return pd.Series(np.linalg.svd(cross, compute_uv=False)[:, 0])
+
+    return sums.select(*keys, largest("_n", "_s", "_q").alias("r"))
+
+
 @dataclass
 class Coherence:
     """First canonical pair between two blocks of a vector, after standardising and k principal components each."""
@@ -339,15 +393,8 @@ class Coherence:
 
     @staticmethod
     def fit(m: Moments, split: int, k: int = 5) -> "Coherence":
-        std = np.sqrt(np.diag(m.cov)) + 1e-9
+        std, ra, rv = white_blocks(m, split, k)
         c = m.cov / np.outer(std, std)
-
-        def white(block):
-            val, vec = np.linalg.eigh(block)
-            val, vec = val[::-1][:k], vec[:, ::-1][:, :k]
-            return vec / np.sqrt(np.maximum(val, 1e-12))
-
-        ra, rv = white(c[:split, :split]), white(c[split:, split:])
         left, sv, right = np.linalg.svd(ra.T @ c[:split, split:] @ rv)
         wa, wv = ra @ left[:, 0], rv @ right[0]
         sign = np.sign(wa[np.abs(wa).argmax()])

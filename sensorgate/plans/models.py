@@ -204,14 +204,16 @@ def coherence_scores(t: Tables):
 
 
 C4_SQL = ", ".join(f"corr(e[{i + 1}], e[{j + 1}]) AS r{i}{j}" for i in range(4) for j in range(i + 1, 4))
+# First canonical correlation of features (0, 1) with (2, 3): its square is the larger root of a quadratic.
+CANON_SQL = """(SELECT *, (1 - r01 * r01) * (1 - r23 * r23) AS d, pow(r02 * r13 - r03 * r12, 2) AS de,
+      (r02 - r01 * r12) * (r02 - r23 * r03) + (r03 - r01 * r13) * (r03 - r23 * r02) + (r12 - r01 * r02) * (r12 - r23 * r13) + (r13 - r01 * r03) * (r13 - r23 * r12) AS tr FROM {0})"""
+ROOT_SQL = "sqrt((tr / d + sqrt(greatest(pow(tr / d, 2) - 4 * de / d, 0))) / 2)"
 
 
 @query(
     "n10_canonical_r",
-    f"""WITH c AS (SELECT {C4_SQL}, count(*) AS n FROM (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings)),
-    m AS (SELECT n, (1 - r01 * r01) * (1 - r23 * r23) AS d,
-      (r02 - r01 * r12) * (r02 - r23 * r03) + (r03 - r01 * r13) * (r03 - r23 * r02) + (r12 - r01 * r02) * (r12 - r23 * r13) + (r13 - r01 * r03) * (r13 - r23 * r12) AS tr, pow(r02 * r13 - r03 * r12, 2) AS de FROM c)
-    SELECT n, {R('sqrt((tr / d + sqrt(greatest(pow(tr / d, 2) - 4 * de / d, 0))) / 2)', 5)} AS r FROM m""",
+    f"""WITH c AS (SELECT {C4_SQL}, count(*) AS n FROM (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings))
+    SELECT n, {R(ROOT_SQL, 5)} AS r FROM {CANON_SQL.format('c')}""",
 )
 def canonical_r(t):
     """Two features against two: the squared correlation is the larger root of a quadratic, which SQL solves."""

@@ -11,7 +11,7 @@ from sensorgate.operators import timeseries as ts
 from sensorgate.operators.align import stack
 from sensorgate.plans.alarms import CHAN_SQL, ZROWS, attribute, channels, energy, gate_sql, z_rows
 from sensorgate.plans.common import FLOW, MERGED, R, Tables, query
-from sensorgate.plans.models import BOTH, joint
+from sensorgate.plans.models import BOTH, C4_SQL, CANON_SQL, ROOT_SQL, joint
 from sensorgate.plans.rollups import rounded
 from sensorgate.session import cut_lineage
 
@@ -433,6 +433,26 @@ def permutation(t):
     return rounded(bt.permutation_test(null, d.agg(F.corr("aud_level", "vid_flow").alias("r")), "r"))
 
 
+PAIR4_SQL = C4_SQL
+for k in range(1, 5):
+    PAIR4_SQL = PAIR4_SQL.replace(f"e[{k}]", f"{'a' if k < 3 else 'b'}.e[{k}]")
+
+
+@query(
+    "b15_canonical_permutation",
+    f"""WITH p AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS idx, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), np AS (SELECT count(*) AS n FROM p),
+    s AS (SELECT rep, idx AS i, e, row_number() OVER (PARTITION BY rep ORDER BY {mix_sql('idx', 'rep', 410)}, idx) - 1 AS idx FROM p, range(500) r(rep)),
+    nc AS (SELECT rep, {PAIR4_SQL} FROM p a JOIN s b USING (idx) GROUP BY rep), nr AS (SELECT {ROOT_SQL} AS r FROM {CANON_SQL.format('nc')}),
+    dr AS (SELECT rep, {mix_sql('rep', 'idx', 411)} % n AS idx FROM p, range(500) r(rep), np), bc AS (SELECT rep, {C4_SQL} FROM dr JOIN p USING (idx) GROUP BY rep), br AS (SELECT {ROOT_SQL} AS r FROM {CANON_SQL.format('bc')}),
+    oc AS (SELECT {C4_SQL} FROM p), o AS (SELECT {ROOT_SQL} AS r FROM {CANON_SQL.format('oc')}), q AS (SELECT quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi FROM br)
+    SELECT {R('any_value(o.r)', 5)} AS r, {R('(count(*) FILTER (nr.r >= o.r) + 1) / (count(*) + 1)', 5)} AS p_value, {R('median(nr.r)', 5)} AS null_median, {R('quantile_cont(nr.r, 0.95)', 5)} AS null_p95,
+      {R('any_value(lo)', 5)} AS lo, {R('any_value(hi)', 5)} AS hi FROM nr, o, q""",
+)
+def canonical_permutation(t):
+    """Two features against two, with the canonical pair fitted anew for each of 500 shuffles and 500 bootstrap samples."""
+    return rounded(bt.canonical_test(t.embeddings.select("vec_id", F.slice("embedding", 1, 4).alias("v")), ["vec_id"], "v", 2, 2, 500, 410), 5)
+
+
 @query(
     "b16_cross_entity_transfer",
     f"""WITH {MERGED}, {BOTH}, jn AS (SELECT b.entity AS entity, p.entity AS fitted_on, hr, (aud_level - ma) / sa AS za, (vid_flow - mv) / sv AS zv, aa, av, vv FROM b

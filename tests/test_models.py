@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sensorgate.functions import arrays as ar
 from sensorgate.functions import parse
-from sensorgate.functions.exprs import clean_nan, int_div
+from sensorgate.functions.exprs import clean_nan, int_div, mix
 from sensorgate.operators import aggregate as ag
 from sensorgate.operators import align
 from sensorgate.operators import backtest as bt
@@ -87,6 +87,37 @@ def test_pruning_drops_missing_and_tied():
     assert nz.prune_correlated(var, corr, 0.9) == ["a", "c"]
 
 
+def test_canonical_replicates_are_fitted_anew(spark):
+    """Every shuffle and bootstrap sample against components and decompositions of its own rows."""
+    g = np.random.default_rng(12)
+    x = g.normal(size=(90, 7))
+    x[:, 4] += 0.8 * x[:, 0]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    m = nz.moments(df, ["v"])
+    d = bt.row_index(nz.block_scores(df, "v", m, 4, 3), [], ["id"], "idx").select("idx", "u", "w")
+
+    def direct(a, b):
+        a, b = (np.linalg.qr(z - z.mean(0))[0] for z in (a, b))
+        return np.linalg.svd(a.T @ b)[1][0]
+
+    def components(z):
+        z = (z - z.mean(0)) / z.std(0)
+        return z @ np.linalg.svd(z, full_matrices=False)[2][:3].T
+
+    u, w = components(x[:, :4]), components(x[:, 4:])
+    reps = [(k, r) for k in range(90) for r in range(4)]
+    draws = {(r.k, r.rep): (r.h, r.at) for r in spark.createDataFrame(reps, "k long, rep int").select("k", "rep", mix("k", "rep", 5).alias("h"), (mix("rep", "k", 6) % 90).alias("at")).collect()}
+    null = {r.rep: r.r for r in nz.canonical_r(bt.shuffled_pairs(d, "idx", "u", "w", 4, 5), ["rep"], "u", "w", (3, 3)).collect()}
+    boot = {r.rep: r.r for r in nz.canonical_r(bt.drawn_pairs(d, "idx", "u", "w", 4, 6), ["rep"], "u", "w", (3, 3)).collect()}
+    for rep in range(4):
+        order = sorted(range(90), key=lambda k: (draws[k, rep][0], k))
+        assert np.isclose(null[rep], direct(u, components(x[order][:, 4:])))
+        at = [draws[k, rep][1] for k in range(90)]
+        assert np.isclose(boot[rep], direct(u[at], w[at]))
+    row = bt.canonical_test(df, ["id"], "v", 4, 3, 40, 5).first()
+    assert np.isclose(row.r, direct(u, w)) and 1 / 41 <= row.p_value <= 0.2 and row.lo < row.r < row.hi
+
+
 def test_gram_state_merges_blocks_and_steps(spark, monkeypatch):
     """Several blocks of features, more tasks than one step takes, missing values, and an empty table."""
     monkeypatch.setattr(nz, "FAN_IN", 3)
