@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sensorgate.functions.exprs import mix_sql, rnd, safe_div
+from sensorgate.functions.exprs import mix, mix_sql, rnd, safe_div
 from sensorgate.operators import backtest as bt
 from sensorgate.operators import detectors as det
 from sensorgate.operators import normalize as nz
@@ -501,8 +501,6 @@ def habituation(t: Tables):
     pool_d = nz.attach(pool, m, [])
     far = F.abs(F.col("z") - F.col("mu0"))
     st = cut_lineage(pool_d.groupBy("mu0").agg(F.avg(far).alias("c"), (F.stddev_pop(far) + 1e-9).alias("s")))
-    from sensorgate.functions.exprs import mix
-
     sign = F.when(mix("trial", F.lit(1), 6) % 2 == 0, 1.0).otherwise(-1.0)
     d = bt.resample(trials(t), pool, "trial", LONG_HOURS, salt=5)
     d = d.withColumn("x", F.col("z") + F.when((F.col("t") >= 80) & (F.col("t") < 300), sign * 7.0).otherwise(0.0))
@@ -548,6 +546,42 @@ def drift_curve(t):
     return rounded(d.withColumnsRenamed({"_lo": "lo", "_hi": "hi"}))
 
 
+SWEEP_HOURS = 480
+SPIKE_EVERY = (48, 24, 16, 12, 8, 6, 4, 3)
+SPIKE_SQL = f"""{POOL_SQL}, {timeline_sql('raw', SWEEP_HOURS, 8)}, m0 AS (SELECT avg(z) AS mu0 FROM pool), cs AS (SELECT mu0, avg(abs(z - mu0)) AS c, stddev_pop(abs(z - mu0)) + 1e-9 AS s FROM pool, m0 GROUP BY mu0),
+sd AS (SELECT trial, t, z, CASE WHEN {mix_sql('trial', '1', 9)} % 2 = 0 THEN 1 ELSE -1 END AS sgn FROM raw),
+ob AS (SELECT trial, every, gated, t, mu0 AS mu, {energy('(abs(z - mu0) - c) / s - 1')} AS p, false AS closed FROM sd, cs, (SELECT unnest({list(SPIKE_EVERY)}) AS every) e, (VALUES (true), (false)) g(gated) WHERE t = 0
+  UNION ALL SELECT trial, every, gated, t, CASE WHEN t >= 60 AND NOT (gated AND on_) THEN mu + 0.06 * (x - mu) ELSE mu END, p, on_ FROM
+  (SELECT *, CASE WHEN was THEN p > 2.0 ELSE p >= 6.0 END AS on_ FROM (SELECT *, 0.85 * p0 + {energy('(abs(x - mu) - c) / s - 1')} AS p FROM
+    (SELECT h.trial, g.every, g.gated, h.t, h.z + CASE WHEN h.t >= 80 AND h.t < {SWEEP_HOURS - 1} AND (h.t - 80) % g.every = 0 THEN 8.0 * sgn ELSE 0 END AS x, g.mu, g.p AS p0, g.closed AS was, c, s
+      FROM ob g JOIN sd h ON h.trial = g.trial AND h.t = g.t + 1, cs))))"""
+
+
+@query(
+    "b17_spike_frequency",
+    f"""WITH RECURSIVE {SPIKE_SQL}, k AS (SELECT trial, every, gated, avg((mu - mu0) * sgn) / 8 AS f FROM ob JOIN sd USING (trial, t), m0 WHERE t >= {SWEEP_HOURS // 2} GROUP BY ALL)
+    SELECT every, gated, {R('24.0 / every')} AS spikes_per_day, {R('avg(f)')} AS shift, {R('quantile_cont(f, 0.025)')} AS lo, {R('quantile_cont(f, 0.975)')} AS hi FROM k GROUP BY every, gated""",
+)
+def spike_frequency(t):
+    """How far brief spikes, ever more of them, pull the baseline along: its mean shift in spike heights over the second half."""
+    pool = z_pool(t)
+    pool_d = nz.attach(pool, pool.agg(F.avg("z").alias("mu0")), [])
+    far = F.abs(F.col("z") - F.col("mu0"))
+    st = cut_lineage(pool_d.groupBy("mu0").agg(F.avg(far).alias("c"), (F.stddev_pop(far) + 1e-9).alias("s")))
+    d = nz.attach(bt.resample(trials(t), pool, "trial", SWEEP_HOURS, salt=8), st, [])
+    d = d.withColumn("sgn", F.when(mix("trial", F.lit(1), 9) % 2 == 0, 1.0).otherwise(-1.0))
+    d = d.withColumn("every", F.explode(F.array(*[F.lit(n) for n in SPIKE_EVERY])))
+    spike = (F.col("t") >= 80) & (F.col("t") < SWEEP_HOURS - 1) & ((F.col("t") - 80) % F.col("every") == 0)
+    d = d.withColumn("x", F.col("z") + F.when(spike, F.col("sgn") * 8.0).otherwise(0.0))
+    d = d.withColumn("gated", F.explode(F.array(F.lit(True), F.lit(False))))
+    keys = ["trial", "every", "gated", "mu0", "sgn"]
+    d = det.gated_baseline(d, keys, "t", "x", "mu0", "c", "s", "gated").filter(F.col("t") >= SWEEP_HOURS // 2)
+    k = d.groupBy("trial", "every", "gated").agg((F.avg((F.col("mu") - F.col("mu0")) * F.col("sgn")) / 8).alias("f"))
+    return k.groupBy("every", "gated").agg(
+        rnd(F.first(F.lit(24.0) / F.col("every"))).alias("spikes_per_day"), rnd(F.avg("f")).alias("shift"), rnd(F.percentile("f", F.lit(0.025))).alias("lo"), rnd(F.percentile("f", F.lit(0.975))).alias("hi")
+    )
+
+
 EVENT_SPAN_SQL = f"""{MERGED}, {CHAN_SQL}, dl AS (SELECT entity, hr // 24 AS dy, avg(coupled) AS m FROM ch GROUP BY ALL), pk AS (SELECT entity, arg_max(dy, m) AS dy FROM dl GROUP BY entity),
 nm AS (SELECT ch.*, row_number() OVER (PARTITION BY entity ORDER BY hr) - 1 AS i, hr // 24 = pk.dy AS is_event FROM ch JOIN pk USING (entity)),
 sn AS (SELECT entity, min(i) AS a0, max(i) + 1 AS a1 FROM nm WHERE is_event GROUP BY entity)"""
@@ -588,8 +622,6 @@ def real_event(t):
 )
 def injection_auc(t):
     """Clean rows against the same rows moved by two units per feature, random sign per row and feature."""
-    from sensorgate.functions.exprs import mix
-
     d = cut_lineage(joint(t))
     rad = F.sqrt(F.col("za") * F.col("za") + F.col("zv") * F.col("zv"))
     w = Window.partitionBy("entity")
