@@ -2,15 +2,17 @@
 
 A page is cut at block tags into flat blocks of text. Each block has shallow features: its words and link density, those
 of the block before and after it, and what stands around it in the page (inside an element for articles or main content,
-inside one for navigation, forms and the like by tag, by role or by a word of its class or id, a heading). A decision
-tree over these features, grown here from a small table of labelled pages, keeps or drops the block.
+inside one for navigation, forms and the like by tag, by role or by a whole word of its class or id, inside one whose
+name may also be the topic of a text, a heading). A decision tree over these features, grown here from a small table of
+labelled pages, keeps or drops the block; where no name helps, words and link density of block and neighbours decide.
 
 Scripts, styles, comments and markup never become text; character references are decoded; white space within a block is
 one space. Blocks that stay are joined by a line break in page order.
 
 Defined cases: a null or empty page has an empty text; unclosed, crossed or stray tags never fail (an unclosed element
-ends with its parent, a stray end tag is ignored); markup without an end runs to the end of the page; pages of any
-length are read whole, tag by tag; repeated rows get equal results; an empty table gives no row; columns named like the
+ends with its parent, a stray end tag is ignored); markup without an end runs to the end of the page, but for a CDATA
+section, which HTML reads as a comment up to the next ``>``; pages of any length and depth are read whole, tag by tag,
+in time that grows with their length; repeated rows get equal results; an empty table gives no row; columns named like the
 results are replaced.
 """
 
@@ -40,17 +42,23 @@ ENDS_P = BLOCK - {"br", "button", "option", "td", "th", "tr", "tbody", "thead",
 PAGE_PARTS = frozenset("nav header footer aside form menu dialog head button fieldset iframe".split())
 ARTICLE_PARTS = frozenset("article main".split())
 PART_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-#: Words in a class or id that name a part of the page beside its article: whole words, and stems at any place.
-PART_WORDS = frozenset("ad ads adbox adslot form gdpr hidden login nav pager privacy reply search share sharing topbar".split())
-PART_STEMS = re.compile("advert|banner|breadcrumb|comment|consent|cookie|copyright|disclaimer|disqus|footer|masthead|menu|modal|navbar|navigation|newsletter|notice|notification|overlay|paginat|popup|promo|recommend|related|replies|sidebar|signup|social|sponsor|subscri|teaser|toolbar|widget")
+#: An open paragraph, item or cell is not ended from inside these.
+ENCLOSING = frozenset("ul ol table div section article body nav aside blockquote dl select".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Whole words in a class or id that name a part of the page beside its article.
+PART_WORDS = frozenset(
+    "ad ads adbox adslot advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer form gdpr hidden masthead menu menus modal nav navbar navigation newsletter notice notices notification notifications pager pagination popup privacy promo promos promotion replies reply sidebar signup sponsor sponsored sponsors subscribe subscription topbar".split()
+)
+#: Whole words that name such a part or the topic of a text: the tree weighs them.
+TOPIC_WORDS = frozenset("login overlay recommendations recommended related search share sharing social teaser teasers toolbar widget widgets".split())
 ARTICLE_WORDS = frozenset("article articlebody body content entry main post story text".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "in_part", "heading")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "in_part", "topic", "heading")
 
 
 @dataclass
@@ -60,33 +68,38 @@ class Block:
     linked: int
     in_article: bool
     in_part: bool
+    topic: bool
     heading: bool
 
 
-def _names(attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether attributes name a part beside the article, and whether they name the article. A header in an article is its own."""
-    part = article = False
+def _names(attributes: str, in_article: bool) -> tuple[bool, bool, bool]:
+    """Whether attributes name a part beside the article, the article, or what may be either. A header in an article is its own."""
+    part = article = topic = False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
+        name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            words = set(_WORD.findall(value))
-            part |= not words.isdisjoint(PART_WORDS) or PART_STEMS.search(value) is not None or ("header" in value and not in_article)
+            words = {w.lower() for w in _WORD.findall(value)}
+            part |= not words.isdisjoint(PART_WORDS) or ("header" in words and not in_article)
+            topic |= not words.isdisjoint(TOPIC_WORDS)
             article |= not words.isdisjoint(ARTICLE_WORDS)
-        elif name == "role":
+            continue
+        value = value.lower()
+        if name == "role":
             part |= value in PART_ROLES
             article |= value in ("main", "article")
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
             part = True
-    return part, article and not part
+    return part, article and not part, topic
 
 
 def blocks(page: str) -> list[Block]:
     """Flat text blocks in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, in article, in part
+    stack: list[tuple[str, bool, bool, bool]] = []  # open elements: name; in article, in part, in a topic before them
+    places: dict[str, list[int]] = {}  # where in the stack elements of a name lie
     pieces: list[str] = []
     links, linked, heading, at, length = 0, 0, 0, 0, len(page)
-    article = part = False
+    article = part = topic = False
 
     def close() -> None:
         nonlocal linked
@@ -95,7 +108,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join((entities.unescape(text) if "&" in text else text).split())
             if text:
                 n = text.count(" ") + 1
-                out.append(Block(text, n, min(n, linked), article, part, heading > 0))
+                out.append(Block(text, n, min(n, linked), article, part, topic, heading > 0))
             pieces.clear()
         linked = 0
 
@@ -107,11 +120,17 @@ def blocks(page: str) -> list[Block]:
             if links:
                 linked += len(piece.split())
 
-    def pop() -> None:
-        nonlocal links, heading, article, part
-        name, article, part = stack.pop()
+    def pop() -> str:
+        nonlocal links, heading, article, part, topic
+        name, article, part, topic = stack.pop()
+        places[name].pop()
         links -= name == "a"
-        heading -= name in ("h1", "h2", "h3", "h4", "h5", "h6")
+        heading -= name in HEADINGS
+        return name
+
+    def last(names) -> int:
+        """Place of the innermost open element of these names, -1 if there is none."""
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
 
     while at < length:
         m = _TAG.search(page, at)
@@ -121,14 +140,10 @@ def blocks(page: str) -> list[Block]:
         add(at, m.start())
         at = m.end()
         if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                add(m.start() + 9, m.end() - 3)
             continue
         name = m[2].lower()
         if m[1]:
-            if name in ("br", "p") and not any(s[0] == name for s in stack):
-                close()
-            elif any(s[0] == name for s in stack):
+            if places.get(name):
                 if name in BLOCK:
                     close()
                 while stack[-1][0] != name:
@@ -136,6 +151,8 @@ def blocks(page: str) -> list[Block]:
                         close()
                     pop()
                 pop()
+            elif name in ("br", "p"):
+                close()
             continue
         if name in RAW:
             if name in BLOCK:
@@ -147,23 +164,22 @@ def blocks(page: str) -> list[Block]:
         if name in BLOCK:
             close()
         ending = SELF_ENDING.get(name, frozenset()) | ({"p"} if name in ENDS_P else frozenset())
-        while stack and ending and any(s[0] in ending for s in reversed(stack)):
-            open_ = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ending)
-            if any(s[0] in ("ul", "ol", "table", "div", "section", "article", "body", "nav", "aside", "blockquote", "dl", "select") for s in stack[open_ + 1 :]):
-                break
+        while ending and (open_ := last(ending)) >= 0 and last(ENCLOSING) <= open_:
             while len(stack) > open_:
                 pop()
         if name in VOID:
             continue
-        stack.append((name, article, part))
-        named_part, named_article = _names(m[3], article) if m[3] else (False, False)
+        places.setdefault(name, []).append(len(stack))
+        stack.append((name, article, part, topic))
+        named_part, named_article, named_topic = _names(m[3], article) if m[3] else (False, False, False)
         if name in ("html", "body", "main", "article"):  # classes of the whole page say what else it has
-            named_part = named_article = False
+            named_part = named_article = named_topic = False
         links += name == "a"
-        heading += name in ("h1", "h2", "h3", "h4", "h5", "h6")
-        inside = article and name in ("header", "form") and name == "header"
+        heading += name in HEADINGS
+        inside = article and name == "header"
         article = article or name in ARTICLE_PARTS or named_article
         part = part or (name in PAGE_PARTS and not inside) or named_part
+        topic = topic or named_topic
     close()
     return out
 
@@ -175,7 +191,7 @@ def features(found: list[Block]) -> np.ndarray:
         x[:, 0] = [b.words for b in found]
         x[:, 1] = [b.linked / b.words for b in found]
         x[1:, 2:4], x[:-1, 4:6] = x[:-1, :2], x[1:, :2]
-        x[:, 6:] = [(b.in_article, b.in_part, b.heading) for b in found]
+        x[:, 6:] = [(b.in_article, b.in_part, b.topic, b.heading) for b in found]
     return x
 
 
@@ -201,7 +217,7 @@ class Tree:
         return np.array(self.share)[node] >= 0.5
 
 
-def grow(x: np.ndarray, keep: np.ndarray, depth: int = 6, least: int = 2) -> Tree:
+def grow(x: np.ndarray, keep: np.ndarray, depth: int = 8, least: int = 2) -> Tree:
     """Binary splits of least Gini impurity."""
     tree = Tree([], [], [], [], [])
 
@@ -243,6 +259,20 @@ _AROUND = [("<nav><ul><li><a href=x>Home</a></li><li><a href=x>News</a></li></ul
 _LOOSE = [("<div><a href=x>Home</a> <a href=x>About us</a></div>", 0), ("<p>Menu</p>", 0), ("<ul><li><a href=x>one</a></li><li><a href=x>two three</a></li></ul>", 0), (f"<p>{_LONG}</p>", 1), (f"<div>{_LONG} {_LONG}</div>", 1), (f"<h1>{_LONG}</h1>", 1), (f"<p>{_LONG} and more of the same</p>", 1), ("<p>Short.</p>", 1), (f"<p>{_LONG} {_LONG}</p>", 1), ("<h2>Two words</h2>", 1), (f"<p>{_LONG}, told again</p>", 1), (f"<p>{_LONG}</p>", 1), ("<p>All rights reserved</p>", 0)]
 
 
+#: Names that are the topic of a text here and a part of the page there.
+_TOPICS = [(f"<p class=social-contract>{_LONG}.</p>", 1), ("<div class=social><a href=x>Send on</a> <a href=x>Tell others</a></div>", 0), (f"<div id=searchParty><p>{_LONG}, and <a href=x>more</a></p></div>", 1), ("<div class=share><p>Share this</p></div>", 0), (f"<ul class=related><li><a href=x>{_LONG}</a></li><li><a href=x>another story</a></li></ul>", 0), ("<div class='widget search'><p>Find a word</p></div>", 0), (f"<p class=widget-makers>{_LONG} {_LONG}</p>", 1)]
+#: Parts without any name that helps.
+_LINKS = [("<div class=k1><a href=x>Start</a> <a href=x>Old stories</a> <a href=x>Who we are</a></div>", 0), ("<div class=k2><ul><li><a href=x>One</a></li><li><a href=x>Two of them</a></li><li><a href=x>A third and longer entry of the list</a></li></ul></div>", 0)]
+_TEXT = [("<h1>A title of a story</h1>", 1), (f"<div class=k3>{_LONG}.</div>", 1), (f"<p>{_LONG}, as <a href=x>others told</a> before.</p>", 1), ("<p>Short.</p>", 1), (f"<p>{_LONG}.</p>", 1), ("<h2>Next part</h2>", 1), (f"<p>{_LONG} {_LONG}</p>", 1), ("<ul><li>a point without links</li><li>one more</li></ul>", 1), (f"<p>{_LONG}.</p>", 1)]
+_MORE = [("<h3>More to read</h3>", 0), (f"<div class=k4><a href=x>{_LONG}</a></div>", 0), (f"<div class=k4><a href=x>{_LONG} and more</a></div>", 0), (f"<div class=k4>New: <a href=x>{_LONG}</a></div>", 0), ("<p><a href=x>Terms</a> and <a href=x>rules</a>, <a href=x>contact us</a></p>", 0)]
+
+
+#: Paragraphs of many lengths: in an article none is too short.
+_LENGTHS = [(f"<p>{' '.join(['word'] * n)}</p>", 1) for n in (3, 1, 14, 2, 40, 6, 11, 1, 1, 9, 25, 4, 13, 5, 60, 12, 2)]
+_LENGTHS.append(("<p><a href=x>word</a></p>", 1))
+_PLAIN = [(f"<{tag}>{' '.join(['word'] * n)}</{tag}>", 1) for tag, n in (("h1", 7), ("p", 60), ("p", 9), ("p", 33), ("h2", 4), ("p", 80), ("div", 13), ("p", 45), ("p", 5), ("p", 28), ("h2", 3), ("p", 90), ("p", 11), ("p", 26), ("p", 15), ("p", 50))]
+
+
 def labelled_pages() -> list[tuple[str, list[int]]]:
     """Pages built from the table: with an article element, with a content class, and with neither; the article among
     other parts, and alone on its page."""
@@ -254,6 +284,14 @@ def labelled_pages() -> list[tuple[str, list[int]]]:
             pages.append([(opening, alone, closing)])
             pages.append([*_AROUND[:1], (opening, alone, closing), *_AROUND[2:3]])
     pages += [_LOOSE, _LOOSE + _AROUND[:3], _AROUND[:2] + _LOOSE, _LOOSE[3:], _LOOSE[:-1]]
+    pages += [around for plain in (_PLAIN, _PLAIN[4:], _PLAIN[::-1], _PLAIN[1:6]) for around in (plain, _LINKS + plain + _MORE, _AROUND[:3] + plain + _AROUND[2:3])]
+    pages += [_LINKS + _TEXT + _MORE, _TEXT + _MORE, _LINKS + _TEXT, _TEXT, _MORE + _TEXT[:5] + _MORE[1:], _LINKS + _TEXT[1:3] + _MORE[1:], _TEXT[3:4], _LINKS, _MORE[1:]]
+    for opening, closing in (("<article>", "</article>"), ("", "")):
+        mixed = _TEXT[:3] + _TOPICS + _TEXT[4:]
+        if opening:
+            lengths = [_LENGTHS, _LENGTHS[::-1], *([p] for p in _LENGTHS[:6]), *([p, q] for p in _LENGTHS[-4:] for q in _LENGTHS)]
+            pages += [page for inner in lengths for page in ([(opening, inner, closing)], [*_LINKS, (opening, inner, closing), *_MORE], [*_AROUND[:1], (opening, inner, closing), *_AROUND[2:3]])]
+        pages += [[(opening, mixed, closing)], [*_LINKS, (opening, mixed, closing), *_MORE]]
     out = []
     for parts in pages:
         markup, labels = "", []

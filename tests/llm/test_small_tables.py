@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -367,6 +368,52 @@ def test_html(spark):
     assert html_text.extract(df.where("false")).count() == 0
 
 
+SENTENCE = "one line of prose that is long enough to look like what people write when they tell a whole story"
+PROSE = f"<h1>A short title</h1><p>{SENTENCE}.</p><p>Yes.</p><p>{SENTENCE}, with <a href=x>a source</a>.</p>"
+PROSE_TEXT = f"A short title\n{SENTENCE}.\nYes.\n{SENTENCE}, with a source."
+
+
+def test_html_without_names_that_help():
+    """Words and link density of a block and its neighbours decide; the tree does ask for both."""
+    menu = "<div class=a1><ul><li><a href=x>Start</a></li><li><a href=x>All of the older stories</a></li></ul></div>"
+    more = f"<div class=a2><a href=x>{SENTENCE}</a></div><div class=a2><a href=x>{SENTENCE} too</a></div>"
+    assert html_text.main_text(f"<body>{menu}<div class=a3>{PROSE}</div>{more}</body>") == PROSE_TEXT
+    asked = {html_text.FEATURES[f] for f in html_text.tree().feature if f >= 0}
+    assert {"links", "words"} <= asked and asked & {"links_before", "links_after"}
+
+
+def test_html_names_are_whole_words_and_may_be_topics():
+    for name in ("social-contract", "searchParty", "addendum", "formula", "adverbs"):
+        page = f"<article><p class={name}>{SENTENCE}</p></article>"
+        assert html_text.main_text(page) == SENTENCE, name
+    for name in ("cookie-notice", "sideNav nav", "reader_comments", "promo"):
+        page = f"<article>{PROSE}<div class='{name}'><p>{SENTENCE} as well</p></div></article>"
+        assert html_text.main_text(page) == PROSE_TEXT, name
+    share = "<div class=social><a href=x>Send on</a> <a href=x>Tell others</a></div>"
+    assert html_text.main_text(f"<article>{PROSE}{share}</article>") == PROSE_TEXT
+
+
+def test_html_cdata_is_a_comment():
+    assert html_text.main_text("<article><p>a<![CDATA[abcdef</p>") == "a"
+    assert html_text.main_text("<article><p>a<![CDATA[b]]>c</p></article>") == "ac"
+
+
+def test_html_keeps_articles_of_all_lengths():
+    for first in (1, 2, 7, 16, 30, 120):
+        for second in (1, 3, 11, 25, 90):
+            texts = [" ".join(["word"] * n) for n in (first, second)]
+            page = "<nav><a href=x>Home</a></nav><article>" + "".join(f"<p>{t}</p>" for t in texts) + "</article><footer>Imprint</footer>"
+            assert html_text.main_text(page) == "\n".join(texts)
+
+
+def test_html_deep_and_unclosed_pages_take_linear_time():
+    """Elements left open are counted by name, so a tag never walks over all of them."""
+    for part, times in (("<div>", 200_000), ("<p><font>t", 60_000), ("<div><p><font>t</div>", 40_000)):
+        start = time.perf_counter()
+        html_text.blocks(part * times + "x")
+        assert time.perf_counter() - start < 20, part
+
+
 def test_html_after_letters_that_grow_in_lower_case():
     page = "<article><p>" + "İ" * 40 + "<SCRIPT>var a;</Script> goes on</p><p>Next</p></article>"
     assert [b.text for b in html_text.blocks(page)] == ["İ" * 40 + " goes on", "Next"]
