@@ -8,10 +8,12 @@ from sensorgate.operators import detectors as det
 from sensorgate.operators import normalize as nz
 from sensorgate.operators import timeseries as ts
 from sensorgate.operators.align import stack
-from sensorgate.plans.common import FLOW, GRID, MERGED, R, Tables, query
+from sensorgate.operators.estimators import CalibratedGate, CalibratedGateModel
+from sensorgate.plans.common import FLOW, GRID, MERGED, ORACLES, R, Tables, query
 from sensorgate.plans.models import BOTH, Z_SQL, joint
 from sensorgate.plans.rollups import rounded
 from sensorgate.plans.series import ADJ_SQL, MED_FRAME, interp_sql, profile_sql, slow_fast_sql
+from sensorgate.session import scratch_path
 
 E = ["entity"]
 
@@ -104,6 +106,14 @@ def calibration(t):
     return rounded(det.calibrate_gate(t.flow, E, "v"))
 
 
+@query("g03_stored_model", ORACLES["g03_gate_calibration"])
+def stored_calibration(t):
+    """The same numbers from a fitted gate that was stored and read back."""
+    path = scratch_path(t.spark, "model")
+    CalibratedGate(inputCol="v").fit(t.flow).save(path)
+    return rounded(CalibratedGateModel.load(path).fitted.select("entity", "scale", "deadband", "q95"))
+
+
 def sqrt_gate_sql(src: str, score: str, keys: str = "entity") -> str:
     """Clean median and scale of the root score (never negative here), gate on the root less its median."""
     return f"""qm AS (SELECT {keys}, median(sqrt({score})) AS med FROM {src} GROUP BY {keys}),

@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 
 from sensorgate.functions.exprs import rnd
 from sensorgate.operators import aggregate as ag
+from sensorgate.operators import estimators as est
 from sensorgate.operators import normalize as nz
-from sensorgate.plans.common import EV, FLOW, MERGED, R, Tables, query
+from sensorgate.plans.common import EV, FLOW, MERGED, ORACLES, R, Tables, query
 from sensorgate.plans.rollups import rounded
-from sensorgate.session import cut_lineage
+from sensorgate.session import cut_lineage, scratch_path
 from sensorgate.plans.series import DAILY_SQL, daily_readings
 
 E = ["entity"]
@@ -173,6 +174,27 @@ def shrunk_2d(t):
     return nz.ShrunkDistance.fit(d, "v").transform(d, "v", "distance").select("vec_id", rnd("distance").alias("distance"))
 
 
+def reloaded(t: Tables, model):
+    """The model as another job would have it: stored in the shared folder and read back."""
+    path = scratch_path(t.spark, "model")
+    model.save(path)
+    return type(model).load(path)
+
+
+@query("n08_stored_model", ORACLES["n08_shrunk_mahalanobis_2d"])
+def stored_distance(t):
+    d = two(t)
+    model = reloaded(t, est.CovarianceDistance(inputCol="v").fit(d))
+    return model.transform(d).select("vec_id", rnd("distance").alias("distance"))
+
+
+@query("n07_stored_model", ORACLES["n07_reconstruction_error_2d"])
+def stored_reconstruction(t):
+    d = two(t)
+    model = reloaded(t, est.PrincipalComponents(inputCol="v", outputCol="err", k=1, error=True).fit(d))
+    return model.transform(d).select("vec_id", rnd("err").alias("err"))
+
+
 BOTH = """b AS (SELECT entity, hr, aud_level, vid_flow FROM merged WHERE aud_level IS NOT NULL AND vid_flow IS NOT NULL AND hr % 24 >= 6 AND hr % 24 < 18),
 bm AS (SELECT entity, median(aud_level) AS ma, median(vid_flow) AS mv FROM b GROUP BY 1),
 bs AS (SELECT entity, any_value(ma) AS ma, any_value(mv) AS mv, greatest(median(abs(aud_level - ma)) * 1.4826, 1e-9) AS sa, greatest(median(abs(vid_flow - mv)) * 1.4826, 1e-9) AS sv FROM b JOIN bm USING (entity) GROUP BY 1),
@@ -222,6 +244,13 @@ def canonical_r(t):
     return d.agg(F.count("*").alias("n"), rnd(F.lit(model.r), 5).alias("r"))
 
 
+@query("n10_stored_model", ORACLES["n10_canonical_r"])
+def stored_coherence(t):
+    d = t.embeddings.select(F.slice("embedding", 1, 4).alias("v"))
+    model = reloaded(t, est.BlockCoherence(inputCol="v", split=2, k=2).fit(d))
+    return model.transform(d).agg(F.count("*").alias("n"), rnd(F.corr("cu", "cw"), 5).alias("r"))
+
+
 @query("n10_canonical_discordance")
 def canonical(t):
     _, d = coherence_scores(t)
