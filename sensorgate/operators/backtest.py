@@ -21,22 +21,38 @@ def pool_size(pool: DataFrame) -> Column:
     return pool.agg(F.count("*")).scalar()
 
 
+SMALL_POOL = 1_000_000  # rows of a pool that every task may hold
+ROWS_PER_TASK = 2_000_000  # hours of timelines
+
+
+def parts_for(trials: DataFrame, length: int) -> int:
+    """Partitions for timelines of ``length`` hours: their number grows with the trials, a task's rows do not."""
+    return max(int(trials.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-trials.count() * length // ROWS_PER_TASK))
+
+
+def draw_from(draws: DataFrame, pool: DataFrame, idx: str = "pool_idx") -> DataFrame:
+    """Join with the drawn pool rows. Draws are many times their trials and planned as if they were as few, so the side
+    that every task holds is named here: the pool if it is small, otherwise none."""
+    return draws.join(F.broadcast(pool) if pool.count() <= SMALL_POOL else pool.hint("merge"), idx).drop(idx)
+
+
 def resample(trials: DataFrame, pool: DataFrame, trial: str, length: int, salt: int = 0) -> DataFrame:
     """Each trial becomes a timeline of ``length`` hours drawn with replacement from the pool.
 
     Draws are spread evenly over the pool, so the join key has no hot value.
     """
-    d = trials.withColumn("_n", pool_size(pool)).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
+    d = trials.repartition(parts_for(trials, length), trial).withColumn("_n", pool_size(pool))
+    d = d.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
     d = d.withColumn("pool_idx", (mix(trial, "t", salt) % F.col("_n")).cast("long"))
-    return d.join(pool, "pool_idx").drop("_n", "pool_idx")
+    return draw_from(d, pool).drop("_n")
 
 
 def contiguous_slice(trials: DataFrame, pool: DataFrame, trial: str, length: int, salt: int = 0) -> DataFrame:
     """A run of consecutive pool rows from a drawn start; a pool shorter than the run starts again from its first row."""
-    d = trials.withColumn("_n", pool_size(pool))
+    d = trials.repartition(parts_for(trials, length), trial).withColumn("_n", pool_size(pool))
     d = d.withColumn("_s", (mix(trial, F.lit(0), salt) % F.greatest(F.col("_n") - length, F.lit(1))).cast("long"))
     d = d.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).withColumn("pool_idx", (F.col("_s") + F.col("t")) % F.col("_n"))
-    return d.join(pool, "pool_idx").drop("_n", "_s", "pool_idx")
+    return draw_from(d, pool).drop("_n", "_s")
 
 
 def plan_events(trials: DataFrame, trial: str, length: int = 240, n_spikes: int = 4, salt: int = 100) -> DataFrame:
@@ -75,11 +91,14 @@ def add_events(df: DataFrame, score: str, magnitude, spike_magnitude) -> DataFra
 
 
 def add_slot_events(df: DataFrame, events: DataFrame, trial, score: str, amount: Column) -> DataFrame:
-    """Add the total of ``amount`` of the events that cover a row (a trial has a handful of events)."""
+    """Add the total of ``amount`` of the events that cover a row (a trial has a handful of events).
+
+    Neither side is held whole by a task or the driver: covered hours are many times the events they are planned as.
+    """
     trial = [trial] if isinstance(trial, str) else list(trial)
     hours = events.select(*trial, F.explode(F.sequence("t0", F.col("t1") - 1)).alias("t"), amount.alias("_a"))
     hours = hours.groupBy(*trial, "t").agg(F.sum("_a").alias("_a"))
-    d = df.join(hours, [*trial, "t"], "left")
+    d = df.join(hours.hint("merge"), [*trial, "t"], "left")
     return d.withColumn(score, F.col(score) + F.coalesce("_a", F.lit(0.0))).drop("_a")
 
 
@@ -94,11 +113,17 @@ def event_outcomes(alarms: DataFrame, keys, alarm: str = "onset") -> DataFrame:
         F.first("spikes").alias("spikes"),
         F.array_sort(F.collect_list(F.when(F.col(alarm), F.col("t")))).alias("_at"),
     )
-    inside = F.filter("_at", lambda t: (t >= F.col("a0")) & (t < F.col("a1")))
+    return hours_outcomes(d, keys, "_at")
+
+
+def hours_outcomes(df: DataFrame, keys, hours: str) -> DataFrame:
+    """The same from one row per timeline with its sorted alarm hours."""
+    at = F.col(hours)
+    inside = F.filter(at, lambda t: (t >= F.col("a0")) & (t < F.col("a1")))
     by_spike = lambda t: F.exists(F.col("spikes"), lambda s: (t >= s) & (t < s + 2))
-    outside = F.filter("_at", lambda t: ((t < F.col("a0")) | (t >= F.col("a1"))) & ~by_spike(t))
-    hit_spikes = F.filter("spikes", lambda s: F.exists(F.col("_at"), lambda t: (t >= s) & (t < s + 2)))
-    return d.select(
+    outside = F.filter(at, lambda t: ((t < F.col("a0")) | (t >= F.col("a1"))) & ~by_spike(t))
+    hit_spikes = F.filter("spikes", lambda s: F.exists(at, lambda t: (t >= s) & (t < s + 2)))
+    return df.select(
         *keys,
         (F.size(inside) > 0).alias("detected"),
         (F.try_element_at(inside, F.lit(1)) - F.col("a0")).alias("delay"),
@@ -188,16 +213,15 @@ def bootstrap_draws(trials: DataFrame, idx: str, replicates: int, salt: int = 30
 
     Every trial row makes its own draw per replicate, so this is an explode and an equi-join on the drawn number.
     """
-    d = trials.select(F.col(idx).alias("_i"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    d = d.withColumn("_n", pool_size(trials))
+    d = trials.select(F.col(idx).alias("_i")).repartition(parts_for(trials, replicates))
+    d = d.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_n", pool_size(trials))
     return d.select("b", (mix("b", "_i", salt) % F.col("_n")).cast("long").alias(idx))
 
 
 def bootstrap(trials: DataFrame, idx: str, sums, statistic, replicates: int, salt: int = 300) -> DataFrame:
     """Replicate table: summed columns and the statistic computed from the sums. ``idx`` numbers the trials from 0."""
-    draws = bootstrap_draws(trials, idx, replicates, salt)
-    d = draws.join(trials.select(idx, *sums), idx).groupBy("b").agg(*[F.sum(c).alias(c) for c in sums], F.count("*").alias("n"))
-    return statistic(d)
+    d = draw_from(bootstrap_draws(trials, idx, replicates, salt), trials.select(idx, *sums), idx)
+    return statistic(d.groupBy("b").agg(*[F.sum(c).alias(c) for c in sums], F.count("*").alias("n")))
 
 
 def interval(df: DataFrame, col: str, lo: float = 0.025, hi: float = 0.975) -> DataFrame:

@@ -232,11 +232,12 @@ DETECTORS = {
 BLOCK_ROWS = 250_000  # rows of whole timelines that a task holds at once
 
 
-def on_timelines(df: DataFrame, keys, time: str, run, schema) -> DataFrame:
+def on_timelines(df: DataFrame, keys, time: str, run, schema, parts: int | None = None) -> DataFrame:
     """``run(rows, line, hour)`` over blocks of whole timelines: rows sorted by keys and time, the number of each row's
-    timeline in the block and its place in the timeline. A task holds BLOCK_ROWS rows, or one longer timeline."""
+    timeline in the block and its place in the timeline. A task holds BLOCK_ROWS rows, or one longer timeline; it sorts
+    its share of ``parts`` (by default the shuffle partitions), which should grow with the rows."""
     keys = list(keys)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def numbered(rows: pd.DataFrame):
         same = (rows[keys] == rows[keys].shift()) | (rows[keys].isna() & rows[keys].shift().isna())
@@ -263,10 +264,10 @@ def on_timelines(df: DataFrame, keys, time: str, run, schema) -> DataFrame:
     return df.repartition(n, *keys).sortWithinPartitions(*keys, time).mapInPandas(blocks, schema)
 
 
-def as_matrix(values, line: np.ndarray, hour: np.ndarray) -> np.ndarray:
-    """Hours x timelines, 0 where there is no value."""
-    out = np.zeros((hour.max() + 1, line[-1] + 1))
-    out[hour, line] = np.nan_to_num(np.asarray(values, float), nan=0.0)
+def as_matrix(values, line: np.ndarray, hour: np.ndarray, missing: float = 0.0) -> np.ndarray:
+    """Hours x timelines, 0 (or ``missing``) where there is no value."""
+    out, given = np.full((hour.max() + 1, line[-1] + 1), missing), np.asarray(values, float)
+    out[hour, line] = given if np.isnan(missing) else np.nan_to_num(given, nan=missing)
     return out
 
 
@@ -284,23 +285,132 @@ def fold_onsets(df: DataFrame, keys, time: str, score: str, thresholds: dict) ->
     return on_timelines(d, keys, time, run, schema)
 
 
-def onset_counts(df: DataFrame, keys, time: str, score: str, detectors, grid) -> DataFrame:
-    """Number of onsets per key, detector and threshold of a grid (one pass over the timelines for the whole grid)."""
+def onset_counts(df: DataFrame, keys, time: str, score, detectors, grid, parts: int | None = None) -> DataFrame:
+    """Number of onsets per key, detector and threshold of a grid (one pass over the timelines for the whole grid).
+
+    ``score`` may be a list of columns; then a column ``score`` names them."""
     keys, names, h = list(keys), list(detectors), np.asarray(grid, float)
-    schema = ", ".join([f"`{n}` {t}" for n, t in df.select(*keys).dtypes] + ["detector string, h_index int, h double, n_onsets long"])
+    scores, tag = ([score], "") if isinstance(score, str) else (list(score), "score string, ")
+    schema = ", ".join([f"`{n}` {t}" for n, t in df.select(*keys).dtypes] + [f"{tag}detector string, h_index int, h double, n_onsets long"])
 
     def run(rows, line, hour):
-        z, heads = as_matrix(rows[score], line, hour), rows.loc[hour == 0, keys]
+        heads = rows.loc[hour == 0, keys]
         lived = np.bincount(line)  # hours of each timeline; padding is not counted
-        inside = (np.arange(len(z))[:, None] < lived)[:, :, None]
-        parts = []
-        for n in names:
-            counts = (DETECTORS[n](z, h[None, :]) & inside).sum(0)
-            part = heads.loc[heads.index.repeat(len(h))].reset_index(drop=True)
-            parts.append(part.assign(detector=n, h_index=np.tile(np.arange(len(h)), len(heads)), h=np.tile(h, len(heads)), n_onsets=counts.reshape(-1)))
-        return pd.concat(parts)
+        made = []
+        for c in scores:
+            z = as_matrix(rows[c], line, hour)
+            inside = (np.arange(len(z))[:, None] < lived)[:, :, None]
+            for n in names:
+                counts = (DETECTORS[n](z, h[None, :]) & inside).sum(0)
+                part = heads.loc[heads.index.repeat(len(h))].reset_index(drop=True)
+                part = part.assign(score=c) if tag else part
+                made.append(part.assign(detector=n, h_index=np.tile(np.arange(len(h)), len(heads)), h=np.tile(h, len(heads)), n_onsets=counts.reshape(-1)))
+        return pd.concat(made)
+
+    return on_timelines(df.select(*keys, time, *scores), keys, time, run, schema, parts)
 
-    return on_timelines(df.select(*keys, time, score), keys, time, run, schema)
+
+def onset_hours(df: DataFrame, keys, time: str, score: str | None, limits: dict, parts: int | None = None) -> DataFrame:
+    """Sorted onset hours of each timeline, a row for each of ``{detector: limit}``; the timelines are read once for all.
+
+    Without ``score``, ``limits`` has such a dictionary for each score column, and a column ``score`` names them."""
+    keys = list(keys)
+    tag, plan = ("", {score: limits}) if score else ("score string, ", limits)
+    schema = ", ".join([f"`{n}` {t}" for n, t in df.select(*keys).dtypes] + [f"{tag}detector string, hours array<int>"])
+
+    def run(rows, line, hour):
+        clock, heads = as_matrix(rows[time], line, hour).astype(int), rows.loc[hour == 0, keys]
+        inside = np.arange(len(clock))[:, None] < np.bincount(line)
+        made = []
+        for c, own_limits in plan.items():
+            z, named = as_matrix(rows[c], line, hour), heads.assign(score=c) if tag else heads
+            for n, h in own_limits.items():
+                own, at = np.nonzero((DETECTORS[n](z, np.array([[float(h)]]))[:, :, 0] & inside).T)
+                hours = np.split(clock[at, own], np.cumsum(np.bincount(own, minlength=len(heads)))[:-1])
+                made.append(named.assign(detector=n, hours=hours))
+        return pd.concat(made)
+
+    return on_timelines(df.select(*keys, time, *plan), keys, time, run, schema, parts)
+
+
+@dataclass(frozen=True)
+class Injection:
+    """An amount added to a timeline from its start hour on, for some hours, and the hours that a detection may take.
+    None stands for the timeline's own span."""
+
+    label: tuple
+    amount: float
+    hours: int | None = None
+    window: int | None = None
+
+
+def gate_delays(
+    df: DataFrame, keys, time: str, score: str, start: str, stop: str, names: str, injections, close: float = 6.0,
+    two_sided: bool = True, parts: int | None = None,
+) -> DataFrame:
+    """Hours until the gate is closed after each injection, NULL if it is not: a row per timeline and injection.
+
+    Timelines have a row for each hour and are shuffled once; a task moves them under all injections at once. ``names``
+    declares the label columns.
+    """
+    keys, injections = list(keys), list(injections)
+    d = df.select(*keys, time, score, start, stop)
+    schema = ", ".join([f"`{n}` {t}" for n, t in d.select(*keys).dtypes] + [names, "delay int"])
+    labels = [n.split()[0] for n in names.split(",")]
+    amount = np.array([x.amount for x in injections])
+    params = GateParams(close=close)
+
+    def run(rows, line, hour):
+        z, heads = as_matrix(rows[score], line, hour, np.nan), rows[hour == 0]
+        begin, span = (heads[c].to_numpy(int)[:, None] for c in (start, stop))
+        span = span - begin
+        lasts, waits = (np.concatenate([span if n is None else np.full(span.shape, n) for n in ns], axis=1) for ns in ([x.hours for x in injections], [x.window for x in injections]))
+        latch = Latch(len(heads), np.full((1, len(injections)), params.close), params)
+        delay = np.full(lasts.shape, -1)
+        for t, now in enumerate(z[:, :, None]):
+            since = t - begin
+            moved = now + np.where((since >= 0) & (since < lasts), amount, 0.0)
+            shut = latch.advance(np.nan_to_num(np.abs(moved) if two_sided else moved))
+            hit = shut & (since >= 0) & (since < waits) & (delay < 0)
+            delay = np.where(hit, since, delay)
+        out = heads.loc[heads.index.repeat(len(injections)), keys].reset_index(drop=True)
+        for k, n in enumerate(labels):
+            out[n] = [x.label[k] for x in injections] * len(heads)
+        first = delay.reshape(-1)
+        return out.assign(delay=pd.arrays.IntegerArray(first.astype("int32"), first < 0))
+
+    return on_timelines(d, keys, time, run, schema, parts)
+
+
+def spiked_baseline(
+    df: DataFrame, keys, time: str, value: str, sign: str, mu0: float, centre: float, scale: float, every, height: float,
+    start: int, stop: int, since: int, rate: float = 0.06, warm: int = 60, params: GateParams = GateParams(), parts: int | None = None,
+) -> DataFrame:
+    """Mean shift of the online baseline towards single-hour spikes, from hour ``since`` on, in spike heights: a row per
+    timeline, distance between spikes and gating of the learning. All of them run over one copy of the timelines."""
+    keys = list(keys)
+    d = df.select(*keys, time, value, sign)
+    schema = ", ".join([f"`{n}` {t}" for n, t in d.select(*keys).dtypes] + ["every int, gated boolean, shift double"])
+    step, held = np.repeat(np.asarray(every), 2)[None, :], np.tile([True, False], len(every))[None, :]
+
+    def run(rows, line, hour):
+        x, heads = as_matrix(rows[value], line, hour)[:, :, None], rows[hour == 0]
+        up, lived = heads[sign].to_numpy(float)[:, None], np.bincount(line)[:, None]
+        latch = Latch(len(heads), np.full((1, 1), params.close), params)
+        mean, total = np.full((len(heads), step.size), float(mu0)), np.zeros((len(heads), step.size))
+        for t, now in enumerate(x):
+            spike = (start <= t < stop) & ((t - start) % step == 0)
+            now = now + np.where(spike, up * height, 0.0)
+            shut = latch.advance((np.abs(now - mean) - centre) / scale)
+            if t >= warm:
+                mean = mean + np.where(held & shut, 0.0, rate * (now - mean))
+            if t >= since:
+                total += np.where(t < lived, (mean - mu0) * up, 0.0)
+        shift = np.divide(total, (lived - since) * height, out=np.full(total.shape, np.nan), where=lived > since)
+        out = heads.loc[heads.index.repeat(step.size), keys].reset_index(drop=True)
+        return out.assign(every=np.tile(step[0], len(heads)), gated=np.tile(held[0], len(heads)), shift=pd.array(shift.reshape(-1), dtype="Float64"))
+
+    return on_timelines(d, keys, time, run, schema, parts)
 
 
 def matched_threshold(counts: DataFrame, keys, target: float) -> DataFrame:
@@ -332,7 +442,7 @@ def detector_onsets(df: DataFrame, keys, time: str, score: str, threshold: str,
 
 def gated_baseline(
     df: DataFrame, keys, time: str, value: str, mu0: str, centre: str, scale: str, gated: str,
-    rate: float = 0.06, warm: int = 60, params: GateParams = GateParams(),
+    rate: float = 0.06, warm: int = 60, params: GateParams = GateParams(), parts: int | None = None,
 ) -> DataFrame:
     """Online mean that learns from each hour, and not while its gate is closed (where ``gated``).
 
@@ -357,7 +467,7 @@ def gated_baseline(
             track[t] = mean
         return rows[[*keys, time]].assign(score=distance[hour, line], closed=shut[hour, line], mu=track[hour, line])
 
-    return on_timelines(d, keys, time, run, schema)
+    return on_timelines(d, keys, time, run, schema, parts)
 
 
 def calibrate_gate(df: DataFrame, keys, stream: str) -> DataFrame:

@@ -77,6 +77,11 @@ class Tables:
         )
         return cut_lineage(d)
 
+    @cached_property
+    def trials(self) -> DataFrame:
+        """One backtest trial for each monitored user; written once, as every step of a backtest starts from them."""
+        return cut_lineage(self.table("events").select(F.col("user_id").alias("trial")).distinct())
+
     @cached_property
     def aud(self) -> DataFrame:
         return self.hourly.filter(F.col("aud_n") > 0).select("entity", "hr", "aud_level", "aud_n")

@@ -11,7 +11,7 @@ from sensorgate.plans.alarms import RESID_SQL, energy, gate_sql, residuals
 from sensorgate.plans.common import R, Tables, query
 from sensorgate.plans.rollups import rounded
 from sensorgate.plans.trials import (
-    COUPLED_SQL, HOURS, PLAN_SQL, POOL_SQL, SLOT_SQL, TARGET, coupled, slot_amount, timeline_sql, trials, z_pool,
+    COUPLED_SQL, HOURS, PLAN_SQL, POOL_SQL, SLOT_SQL, TARGET, coupled, parts, slot_amount, timeline_sql, trials, z_pool,
 )
 from sensorgate.session import cut_lineage
 
@@ -20,11 +20,6 @@ VARIANTS = [("spike", float(m), 1, 12) for m in (4, 6, 8, 10, 15, 20, 30)] + [("
 VARIANT_SQL = "vr AS (SELECT kind, mag::DOUBLE AS mag, dur, win FROM (VALUES " + ", ".join(f"('{k}', {m}, {d}, {w})" for k, m, d, w in VARIANTS) + ") x(kind, mag, dur, win))"
 
 
-def variants(d):
-    pick = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(m).alias("mag"), F.lit(n).alias("dur"), F.lit(w).alias("win")) for k, m, n, w in VARIANTS])
-    return d.withColumn("_v", F.explode(pick)).select(*d.columns, "_v.*")
-
-
 QUIET_SQL = """pool AS (SELECT row_number() OVER (ORDER BY entity, hr) - 1 AS pool_idx, fast_residual / scale AS z FROM sf JOIN sc USING (entity) JOIN sm USING (entity) WHERE abs(fast_residual - med) < 3 * scale),
 np AS (SELECT count(*) AS n FROM pool), tr AS (SELECT DISTINCT user_id AS trial FROM events)"""
 
@@ -37,15 +32,13 @@ np AS (SELECT count(*) AS n FROM pool), tr AS (SELECT DISTINCT user_id AS trial
     SELECT kind, mag, {R('count(delay) / count(*)')} AS rate, CASE WHEN kind = 'sustained' THEN {R('avg(delay)')} END AS mean_latency FROM h GROUP BY kind, mag""",
 )
 def injection_variants(t):
-    """Quiet residuals of all rooms in their own scales; every variant is one more key of the same job."""
+    """Quiet residuals of all rooms in their own scales; all variants run over one copy of the timelines."""
     d = residuals(t).filter(F.abs(F.col("fast_residual") - F.col("med_fast_residual")) < F.col("scale") * 3)
     d = d.select("entity", "hr", (F.col("fast_residual") / F.col("scale")).alias("z"))
     pool = bt.index_pool(d, ["entity", "hr"], ["z"])
-    d = variants(bt.resample(trials(t), pool, "trial", HOURS, salt=11))
-    d = d.withColumn("z", F.col("z") + F.when((F.col("t") >= 80) & (F.col("t") < 80 + F.col("dur")), F.col("mag")).otherwise(0.0))
-    d = d.withColumns({"i": F.col("t").cast("long"), "a0": F.lit(80), "a1": 80 + F.col("win")})
-    keys = ["trial", "kind", "mag"]
-    h = bt.first_hit(det.gate(d, keys, "i", "z"), keys, "closed")
+    d = bt.resample(trials(t), pool, "trial", HOURS, salt=11).withColumns({"a0": F.lit(80), "a1": F.lit(HOURS)})
+    injections = [det.Injection((k, m), m, n, w) for k, m, n, w in VARIANTS]
+    h = det.gate_delays(d, ["trial"], "t", "z", "a0", "a1", "kind string, mag double", injections, parts=parts(t))
     late = F.when(F.col("kind") == "sustained", rnd(F.avg("delay")))
     return h.groupBy("kind", "mag").agg(rnd(F.count("delay") / F.count("*")).alias("rate"), late.alias("mean_latency"))
 
@@ -61,11 +54,9 @@ DURATIONS = [6, 12, 24, 36, 48]
     SELECT duration, {R('count(delay) / count(*)')} AS recall, {R('avg(delay)')} AS mean_delay FROM h GROUP BY duration""",
 )
 def duration_sweep(t):
-    plan = bt.plan_events(trials(t), "trial", HOURS).withColumn("duration", F.explode(F.array(*[F.lit(n) for n in DURATIONS])))
-    plan = plan.withColumn("a1", F.col("a0") + F.col("duration"))
-    d = bt.add_events(bt.resample(plan, z_pool(t), "trial", HOURS, salt=2), "z", 2.5, 0.0)
-    keys = ["trial", "duration"]
-    h = bt.first_hit(det.gate(d.withColumn("i", F.col("t").cast("long")), keys, "i", "z", close=3.94, two_sided=False), keys, "closed")
+    d = bt.resample(bt.plan_events(trials(t), "trial", HOURS), z_pool(t), "trial", HOURS, salt=2)
+    grid = [det.Injection((n,), 2.5, n, n) for n in DURATIONS]
+    h = det.gate_delays(d, ["trial"], "t", "z", "a0", "a1", "duration int", grid, close=3.94, two_sided=False, parts=parts(t))
     return h.groupBy("duration").agg(rnd(F.count("delay") / F.count("*")).alias("recall"), rnd(F.avg("delay")).alias("mean_delay"))
 
 
@@ -136,22 +127,22 @@ def interaction(t: Tables):
 
     Hours outside the events are the clean timelines, and the clean score of an hour is the one without injection.
     """
-    d = cut_lineage(coupled(t).filter(F.col("kind") != "coupling_break"))
-    keys = ["trial", "kind", "channel"]
-
-    def long(x):
-        x = x.withColumn("coupled", F.greatest("age", "coherence"))
-        return x.unpivot(["trial", "kind", "t", "a0", "a1"], CHANNELS, "channel", "s")
-
+    d = coupled(t).withColumn("coupled", F.greatest("age", "coherence"))
     clean_coh = F.abs((F.col("zv") - F.col("b") * F.col("za")) - F.col("dmed")) / F.col("dmad")
     clean = d.filter(F.col("kind") == "concordant").withColumns({"age": F.greatest("za", "zv"), "coherence": clean_coh})
-    counts = det.onset_counts(long(clean), ["trial", "channel"], "t", "s", ["gate"], [0.5 + i * STEP for i in range(60)])
-    best = det.matched_threshold(counts, ["channel"], TARGET).select("channel", F.col("h").alias("threshold"))
-    e = long(d).join(best, "channel").withColumn("detector", F.lit("gate"))
-    on = det.detector_onsets(e, keys, "t", "s", "threshold", "detector")
-    on = on.join(bt.plan_events(trials(t), "trial", HOURS), "trial")
-    inside = F.col("onset") & (F.col("t") >= F.col("a0")) & (F.col("t") < F.col("a1"))
-    hit = on.groupBy(*keys).agg(F.bool_or(inside).cast("double").alias("d")).join(best, "channel")
+    clean = clean.withColumn("coupled", F.greatest("age", "coherence"))
+    n = parts(t)
+    counts = det.onset_counts(clean, ["trial"], "t", CHANNELS, ["gate"], [0.5 + i * STEP for i in range(60)], n)
+    best = cut_lineage(det.matched_threshold(counts, ["score"], TARGET).select(F.col("score").alias("channel"), F.col("h").alias("threshold")))
+    limits = {r["channel"]: {"gate": r["threshold"]} for r in best.collect()}  # one row for each channel
+
+    def detected(kind: str):
+        on = det.onset_hours(d.filter(F.col("kind") == kind), ["trial"], "t", None, limits, n)
+        on = bt.plan_events(on.withColumnRenamed("score", "channel"), "trial", HOURS)
+        inside = F.exists("hours", lambda h: (h >= F.col("a0")) & (h < F.col("a1")))
+        return on.select("trial", "channel", F.lit(kind).alias("kind"), inside.cast("double").alias("d"))
+
+    hit = detected("concordant").unionByName(detected("discordant")).join(best, "channel")
     of = lambda k: rnd(F.avg(F.when(F.col("kind") == k, F.col("d"))))
     return hit.groupBy("channel", rnd("threshold").alias("threshold")).agg(
         of("concordant").alias("recall_concordant"), of("discordant").alias("recall_discordant"), rnd(F.avg("d")).alias("recall_mixed")

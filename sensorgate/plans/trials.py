@@ -21,7 +21,7 @@ TARGET = 0.3
 
 
 def trials(t: Tables):
-    return t.events.select(F.col("user_id").alias("trial")).distinct()
+    return t.trials
 
 
 def z_pool(t: Tables):
@@ -33,6 +33,10 @@ POOL_SQL = f"""{FLOW}, {ZROWS}, pool AS (SELECT row_number() OVER (ORDER BY enti
 tr AS (SELECT DISTINCT user_id AS trial FROM events)"""
 
 
+def parts(t: Tables, length: int = HOURS) -> int:
+    return bt.parts_for(trials(t), length)
+
+
 def timeline_sql(name: str, length: int, salt: int) -> str:
     return f"""{name} AS (SELECT d.trial, d.t, z FROM (SELECT trial, CAST(t AS INTEGER) AS t, {mix_sql('trial', 't', salt)} % n AS pool_idx FROM tr, range({length}) r(t), np) d JOIN pool USING (pool_idx))"""
 
@@ -140,12 +144,13 @@ def targeted(t):
     events = bt.plan_slots(trials(t), "trial", HOURS)
     d = bt.resample(trials(t), pair_pool(t), "trial", HOURS, salt=4)
     both = F.array(F.lit("audio"), F.lit("video"))
-    d = d.unpivot(["trial", "t"], ["za", "zv"], "seen", "s").withColumn("seen", F.when(F.col("seen") == "za", "audio").otherwise("video"))
+    d = bt.add_slot_events(d.withColumn("add", F.lit(0.0)), events, "trial", "add", slot_amount())
+    d = d.unpivot(["trial", "t", "add"], ["za", "zv"], "seen", "s").withColumn("seen", F.when(F.col("seen") == "za", "audio").otherwise("video"))
     d = d.withColumn("target", F.explode(both))
     plan = events.withColumn("target", F.explode(both)).withColumn("seen", F.explode(both))
-    amount = F.when(F.col("target") == F.col("seen"), slot_amount()).otherwise(0.0)
+    moved = F.col("s") + F.when(F.col("target") == F.col("seen"), F.col("add")).otherwise(0.0)
     keys = ["trial", "target", "seen"]
-    d = bt.add_slot_events(d, plan, keys, "s", amount).withColumn("alarm", F.abs("s") > 3)
+    d = d.withColumn("alarm", F.abs(moved) > 3)
     o = bt.slot_outcomes(d, plan, keys, "alarm")
     sustained = F.col("kind") == "sustained"
     c = o.groupBy("target", "seen").agg(
@@ -212,9 +217,14 @@ def outcome_sql(alarm: str, keys: str = "trial", name: str = "oc") -> str:
 STATIC_SQL = f"""{POOL_SQL}, {EVENT_SQL}, sa AS (SELECT trial, t, z > 3.1 AND NOT coalesce(lag(z > 3.1) OVER (PARTITION BY trial ORDER BY t), false) AS f FROM evt), {outcome_sql('sa')}"""
 
 
+def onset_outcomes(t: Tables, pool, limits: dict):
+    """Outcomes per trial and detector: one pass over the event timelines, whose plan follows from the trial."""
+    on = det.onset_hours(event_timelines(t, pool), ["trial"], "t", "z", limits, parts(t))
+    return bt.hours_outcomes(bt.plan_events(on, "trial", HOURS), ["trial", "detector"], "hours")
+
+
 def static_outcomes(t: Tables):
-    d = det.static_onsets(event_timelines(t, z_pool(t)), ["trial"], "t", "z", 3.1)
-    return bt.event_outcomes(d, ["trial"])
+    return onset_outcomes(t, z_pool(t), {"static": 3.1}).drop("detector")
 
 
 @query("b06_event_outcomes", f"WITH {STATIC_SQL} SELECT trial, detected, CAST(delay AS INTEGER) AS delay, CAST(spike_fp AS INTEGER) AS spike_fp, CAST(clean_fa AS INTEGER) AS clean_fa FROM oc")
@@ -327,12 +337,10 @@ SWEEP = [1.5, 2.0, 2.5, 3.0, 4.0]
     SELECT magnitude, {R('count(delay) / count(*)')} AS recall, {R('avg(delay)')} AS mean_delay FROM h GROUP BY magnitude""",
 )
 def magnitude_sweep(t):
-    """The grid is one more key: all magnitudes run in the same job."""
-    plan = bt.plan_events(trials(t), "trial", HOURS).withColumn("magnitude", F.explode(F.array(*[F.lit(m) for m in SWEEP])))
-    d = bt.add_events(bt.resample(plan, z_pool(t), "trial", HOURS, salt=2), "z", F.col("magnitude"), 0.0)
-    keys = ["trial", "magnitude"]
-    d = det.gate(d.withColumn("i", F.col("t").cast("long")), keys, "i", "z", close=3.94, two_sided=False)
-    h = bt.first_hit(d, keys, "closed")
+    """All magnitudes run over one copy of the timelines."""
+    d = bt.resample(bt.plan_events(trials(t), "trial", HOURS), z_pool(t), "trial", HOURS, salt=2)
+    grid = [det.Injection((m,), m) for m in SWEEP]
+    h = det.gate_delays(d, ["trial"], "t", "z", "a0", "a1", "magnitude double", grid, close=3.94, two_sided=False, parts=parts(t))
     return h.groupBy("magnitude").agg(rnd(F.count("delay") / F.count("*")).alias("recall"), rnd(F.avg("delay")).alias("mean_delay"))
 
 
@@ -365,7 +373,7 @@ best AS (SELECT detector, h_index, h, m FROM (SELECT *, row_number() OVER (PARTI
 
 
 def matched(t: Tables, pool):
-    counts = det.onset_counts(clean_timelines(t, pool), ["trial"], "t", "z", det.DETECTORS, GRID)
+    counts = det.onset_counts(clean_timelines(t, pool), ["trial"], "t", "z", det.DETECTORS, GRID, parts(t))
     return det.matched_threshold(counts, [], TARGET)
 
 
@@ -381,13 +389,8 @@ FIXED = {"static": 4.1, "ewma": 1.6, "cusum": 7.9, "page_hinkley": 13.3, "adwin"
 FIXED_SQL = "th AS (SELECT detector, 0 AS h_index, h::DOUBLE AS h FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in FIXED.items()) + ") d(detector, h))"
 
 
-def benchmark_table(t: Tables, pool, thresholds):
-    d = event_timelines(t, pool)
-    names = F.create_map(*[x for n in det.DETECTORS for x in (F.lit(n), F.lit(n))])
-    d = d.withColumn("detector", F.explode(F.map_keys(names))).join(thresholds, "detector")
-    on = det.detector_onsets(d, ["trial", "detector"], "t", "z", "h", "detector")
-    on = on.join(bt.plan_events(trials(t), "trial", HOURS), "trial")
-    o = bt.event_outcomes(on, ["trial", "detector"])
+def benchmark_table(t: Tables, pool, limits: dict):
+    o = onset_outcomes(t, pool, limits)
     return o.groupBy("detector").agg(
         rnd(F.avg(F.col("detected").cast("double"))).alias("recall"), rnd(F.percentile("delay", F.lit(0.5))).alias("median_delay"),
         rnd(F.avg("spike_fp")).alias("spike_fp_per_trial"), rnd(F.avg("clean_fa")).alias("clean_fa_per_trial"),
@@ -399,8 +402,7 @@ TABLE_SQL = f"""SELECT detector, {R('avg(CAST(detected AS INTEGER))')} AS recall
 
 @query("b14_benchmark_fixed_thresholds", f"WITH RECURSIVE {POOL_SQL}, {EVENT_SQL}, {FIXED_SQL}, {streams_sql('evt', 'th')}, {outcome_sql('x_on', 'trial, detector')} {TABLE_SQL}")
 def benchmark_fixed(t):
-    pairs = F.explode(F.create_map(*[x for k, v in FIXED.items() for x in (F.lit(k), F.lit(v))])).alias("detector", "h")
-    return benchmark_table(t, z_pool(t), t.spark.range(1).select(pairs))
+    return benchmark_table(t, z_pool(t), FIXED)
 
 
 @query(
@@ -412,7 +414,8 @@ def benchmark_matched(t):
     """Thresholds first matched on clean timelines, then all detectors scored on the same event timelines."""
     pool = z_pool(t)
     h = cut_lineage(matched(t, pool).select("detector", "h"))
-    return benchmark_table(t, pool, h).join(h.withColumn("h", rnd("h")), "detector")
+    limits = {r["detector"]: r["h"] for r in h.collect()}  # one row for each detector
+    return benchmark_table(t, pool, limits).join(h.withColumn("h", rnd("h")), "detector")
 
 
 def pairs_indexed(t: Tables):
@@ -504,8 +507,13 @@ def habituation(t: Tables):
     sign = F.when(mix("trial", F.lit(1), 6) % 2 == 0, 1.0).otherwise(-1.0)
     d = bt.resample(trials(t), pool, "trial", LONG_HOURS, salt=5)
     d = d.withColumn("x", F.col("z") + F.when((F.col("t") >= 80) & (F.col("t") < 300), sign * 7.0).otherwise(0.0))
-    d = nz.attach(d, st, []).withColumn("gated", F.explode(F.array(F.lit(True), F.lit(False))))
-    return det.gated_baseline(d, ["trial", "gated"], "t", "x", "mu0", "c", "s", "gated"), st
+    d = nz.attach(d.select("trial", "t", "x"), st, [])
+
+    def run(gated: bool):
+        b = det.gated_baseline(d.withColumn("gated", F.lit(gated)), ["trial"], "t", "x", "mu0", "c", "s", "gated", parts=parts(t, LONG_HOURS))
+        return b.withColumn("gated", F.lit(gated))
+
+    return run(True).unionByName(run(False)), st
 
 
 @query("g15_gated_online_baseline", f"WITH RECURSIVE {HAB_SQL} SELECT trial, gated, t, {R('score')} AS score, closed, {R('mu')} AS mu FROM ob")
@@ -542,7 +550,7 @@ def drift_curve(t):
 
     d, _ = habituation(t)
     size = F.abs("mu")
-    d = with_quantiles(cut_lineage(d), ["gated", "t"], [F.avg(size).alias("mean_level")], {"": size}, [0.025, 0.975], ["lo", "hi"], bounded=False)
+    d = with_quantiles(cut_lineage(d.select("gated", "t", "mu")), ["gated", "t"], [F.avg(size).alias("mean_level")], {"": size}, [0.025, 0.975], ["lo", "hi"], bounded=False)
     return rounded(d.withColumnsRenamed({"_lo": "lo", "_hi": "hi"}))
 
 
@@ -568,17 +576,16 @@ def spike_frequency(t):
     pool_d = nz.attach(pool, pool.agg(F.avg("z").alias("mu0")), [])
     far = F.abs(F.col("z") - F.col("mu0"))
     st = cut_lineage(pool_d.groupBy("mu0").agg(F.avg(far).alias("c"), (F.stddev_pop(far) + 1e-9).alias("s")))
-    d = nz.attach(bt.resample(trials(t), pool, "trial", SWEEP_HOURS, salt=8), st, [])
+    m = st.first()
+    d = bt.resample(trials(t), pool, "trial", SWEEP_HOURS, salt=8)
     d = d.withColumn("sgn", F.when(mix("trial", F.lit(1), 9) % 2 == 0, 1.0).otherwise(-1.0))
-    d = d.withColumn("every", F.explode(F.array(*[F.lit(n) for n in SPIKE_EVERY])))
-    spike = (F.col("t") >= 80) & (F.col("t") < SWEEP_HOURS - 1) & ((F.col("t") - 80) % F.col("every") == 0)
-    d = d.withColumn("x", F.col("z") + F.when(spike, F.col("sgn") * 8.0).otherwise(0.0))
-    d = d.withColumn("gated", F.explode(F.array(F.lit(True), F.lit(False))))
-    keys = ["trial", "every", "gated", "mu0", "sgn"]
-    d = det.gated_baseline(d, keys, "t", "x", "mu0", "c", "s", "gated").filter(F.col("t") >= SWEEP_HOURS // 2)
-    k = d.groupBy("trial", "every", "gated").agg((F.avg((F.col("mu") - F.col("mu0")) * F.col("sgn")) / 8).alias("f"))
+    if m is None:
+        m = {"mu0": 0.0, "c": 0.0, "s": 1.0}  # no clean score: no timelines
+    k = det.spiked_baseline(
+        d, ["trial"], "t", "z", "sgn", m["mu0"], m["c"], m["s"], SPIKE_EVERY, 8.0, 80, SWEEP_HOURS - 1, SWEEP_HOURS // 2, parts=parts(t, SWEEP_HOURS)
+    )
     return k.groupBy("every", "gated").agg(
-        rnd(F.first(F.lit(24.0) / F.col("every"))).alias("spikes_per_day"), rnd(F.avg("f")).alias("shift"), rnd(F.percentile("f", F.lit(0.025))).alias("lo"), rnd(F.percentile("f", F.lit(0.975))).alias("hi")
+        rnd(F.first(F.lit(24.0) / F.col("every"))).alias("spikes_per_day"), rnd(F.avg("shift")).alias("shift"), rnd(F.percentile("shift", F.lit(0.025))).alias("lo"), rnd(F.percentile("shift", F.lit(0.975))).alias("hi")
     )
 
 
