@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sensorgate.functions.exprs import as_col
+from sensorgate.session import cut_lineage
 
 RANGES = 64  # that the values of a group are cut in
 
@@ -21,11 +22,13 @@ def value_ranges(df: DataFrame, keys, value: str, out: str) -> DataFrame:
     """Adds a whole-number range label that does not fall as the value rises within a group.
 
     Cuts are approximate quantiles of the group's own values, so ranges hold about equal numbers of rows whatever offset
-    or scale the values have. Rows should be distinct by value (or counted), as equal values cannot be parted.
+    or scale the values have. Rows should be distinct by value (or counted), as equal values cannot be parted. The cuts are
+    written once: merged in another order they may come out otherwise, and labels of two reads of the rows must agree.
     """
     keys = list(keys)
     shares = [k / RANGES for k in range(1, RANGES)]
     cuts = df.groupBy(*keys).agg(F.percentile_approx(value, shares, 40 * RANGES).alias("_cuts"))
+    cuts = cut_lineage(cuts)
     d = df.join(cuts, keys) if keys else df.withColumn("_cuts", cuts.scalar())
     label = F.size(F.filter("_cuts", lambda c: c < F.col(value))).cast("long")
     return d.withColumn(out, F.coalesce(label, F.lit(0).cast("long"))).drop("_cuts")

@@ -93,3 +93,11 @@ def test_spiked_baseline_equals_the_gated_baseline_of_each_run(spark, trials, po
         b = det.gated_baseline(x.withColumn("g", F.lit(gated)), ["trial", "sgn"], "t", "x", "m", "c", "s", "g").filter("t >= 120")
         for r in b.groupBy("trial").agg((F.avg((F.col("mu") - 0.1) * F.col("sgn")) / 8).alias("f")).collect():
             assert got[r["trial"], gated] == pytest.approx(r["f"])
+
+
+def test_cuts_of_value_ranges_are_drawn_once(spark):
+    from sensorgate.operators.quantiles import value_ranges
+
+    d = value_ranges(spark.range(1000).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("x")), ["k"], "x", "r")
+    assert "percentile_approx" not in plan_of(d)
+    assert d.groupBy("k").agg(F.count_distinct("r")).collect()
