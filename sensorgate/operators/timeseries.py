@@ -6,12 +6,16 @@ record and not by the number of readings. Operators on raw rows use the scans of
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sensorgate.functions.exprs import as_col
 from sensorgate.operators.ordered import Changes, Last, ordered_scan
+from sensorgate.session import cut_lineage
 
 _UP, _DOWN = W.unboundedPreceding, W.unboundedFollowing
 
@@ -57,7 +61,7 @@ def midnight_rollover(df: DataFrame, keys, order, seconds: str, created_day: str
     """
     steps = [Changes("_days", seconds, falls=True, skip_null=True)] + ([Changes(run, created_day, first=1)] if run else [])
     d = ordered_scan(df, keys, order, steps)
-    dated = F.when(F.col(created_day).isNotNull(), F.struct(*order))
+    dated = F.when(F.col(created_day).isNotNull(), _place(order))
     base = d.groupBy(*keys).agg(F.min_by(created_day, dated).alias("_base"))
     same = [F.col(f"d.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
     d = d.alias("d").join(base.alias("b"), same, "left").select("d.*", "b._base")
@@ -66,27 +70,53 @@ def midnight_rollover(df: DataFrame, keys, order, seconds: str, created_day: str
     return d.withColumn(out, start).drop("_days", "_base")
 
 
+def _place(order) -> Column:
+    """The order as one value; a single column is kept plain, so that a hash table can hold it."""
+    return F.struct(*order) if len(order) > 1 else F.col(order[0])
+
+
+def _same(keys) -> Column:
+    return reduce(and_, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+
+
 def session_checks(rows: DataFrame, keys, order, session: str, start: str, created: str, readable: str):
-    """Per session: readable files, creation times, order of starts, long pauses, anomaly flag."""
+    """Per session: readable files, creation times, order of starts, long pauses, anomaly flag.
+
+    All but distinct counts come from one aggregation with small buffers. Starts that always rise have no equal ones, and
+    a least creation time that is the greatest too is the only one: values are counted apart only for the other sessions.
+    """
     group = [*keys, session]
     ok = F.col(readable)
     t = F.when(ok, F.unix_micros(F.col(start)))
-    d = rows.select(*group, *order, readable, created, t.alias("_t"))
+    d = rows.select(*group, *order, F.when(ok, F.col(created)).alias("_made"), ok.alias("_ok"), t.alias("_t"))
     d = ordered_scan(d, group, order, [Last("_pt", "_t", inclusive=False)])
     pause = F.when(F.col("_t").isNotNull(), (F.col("_t") - F.col("_pt")) / 60e6)
     d = d.withColumn("_pause", pause)
+    known = F.when(F.col("_t").isNotNull(), _place(order))
     s = d.groupBy(*group).agg(
         F.count("*").alias("n_files"),
-        F.count_if(ok).alias("n_readable"),
-        F.count_distinct(F.when(ok, F.col(created))).alias("unique_creation_time"),
+        F.count_if("_ok").alias("n_readable"),
+        F.min("_made").alias("_least"),
+        F.max("_made").alias("_most"),
         F.count_if(F.col("_pause") <= 0).alias("_back"),
         F.count("_t").alias("_n"),
-        F.count_distinct("_t").alias("_nd"),
         F.count_if(F.col("_pause") > 90).alias("n_irregular_gaps"),
         F.max("_pause").alias("max_gap_min"),
-        F.min_by("_t", F.when(F.col("_t").isNotNull(), F.struct(*order))).alias("session_start_us"),
-        F.max_by("_t", F.when(F.col("_t").isNotNull(), F.struct(*order))).alias("session_end_us"),
+        F.min_by("_t", known).alias("session_start_us"),
+        F.max_by("_t", known).alias("session_end_us"),
     )
+    s = cut_lineage(s)  # one row per session, read three times
+
+    def distinct(sessions: DataFrame, value: str, out: str) -> DataFrame:
+        own = d.where(F.col(value).isNotNull()).alias("a").join(sessions.select(*group).alias("b"), _same(group), "left_semi")
+        return own.select(*group, value).distinct().groupBy(*group).agg(F.count("*").alias(out))
+
+    falls = distinct(s.where("_back > 0"), "_t", "_nd")
+    mixed = distinct(s.where("_least < _most"), "_made", "_kinds")
+    s = s.alias("a").join(falls.alias("b"), _same(group), "left").select("a.*", F.coalesce("b._nd", "a._n").alias("_nd"))
+    s = s.alias("a").join(mixed.alias("b"), _same(group), "left")
+    kinds = F.coalesce("b._kinds", F.col("a._least").isNotNull().cast("long"))
+    s = s.select(*[f"a.{c}" for c in (*group, "n_files", "n_readable")], kinds.alias("unique_creation_time"), *[f"a.{c}" for c in ("_back", "_n", "_nd", "n_irregular_gaps", "max_gap_min", "session_start_us", "session_end_us")])
     n = F.col("n_readable")
     s = s.withColumn("clock_frozen_as_expected", ((F.col("unique_creation_time") == 1) & (n > 1)) | (n <= 1))
     s = s.withColumn("monotonic", F.col("_back") == 0).withColumn("duplicates", F.col("_n") != F.col("_nd"))

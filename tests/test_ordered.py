@@ -93,3 +93,28 @@ def test_asof(spark, backfill):
         before = [v for rt, v in known if rt <= t]
         want = before[-1] if before else known[0][1] if backfill and known else None
         assert got[n] == want
+
+
+def test_session_checks_counts_apart_only_where_needed(spark):
+    """Distinct starts and creation times as plain sets, and no step that multiplies the rows for them."""
+    from sensorgate.operators import timeseries
+
+    r = random.Random(5)
+    rows = [(r.choice([None, 1, 2]), r.randint(1, 30), i, r.random() < 0.8, r.choice([None, "a", "a", "b"]), r.choice([None, 10, 20, 30])) for i in range(300)]
+    d = spark.createDataFrame(rows, "k int, run int, seq long, readable boolean, created string, sec int")
+    d = d.withColumn("start", F.timestamp_seconds("sec")).drop("sec")
+    got = timeseries.session_checks(d, ["k"], ["seq"], "run", "start", "created", "readable")
+    plan = got._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert "Expand" not in plan and "SortAggregate" not in plan
+    want = {}
+    for k, run, seq, ok, created, sec in rows:
+        want.setdefault((k, run), []).append((seq, ok, created, None if sec is None or not ok else sec * 1_000_000))
+    seen = 0
+    for x in got.collect():
+        own = want[x["k"], x["run"]]
+        starts = [t for *_, t in own if t is not None]
+        assert x["n_files"] == len(own) and x["unique_creation_time"] == len({c for _, ok, c, _ in own if ok and c})
+        assert x["duplicates"] == (len(set(starts)) < len(starts))
+        assert (x["session_start_us"], x["session_end_us"]) == ((starts[0], starts[-1]) if starts else (None, None))
+        seen += 1
+    assert seen == len(want)
