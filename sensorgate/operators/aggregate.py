@@ -14,15 +14,15 @@ PLACEHOLDERS = (
 )
 
 
-def with_quantiles(df: DataFrame, keys, aggs, cols: dict, qs, names=None, bounded: bool = True) -> DataFrame:
+def with_quantiles(df: DataFrame, keys, aggs, cols: dict, qs, names=None, bounded: bool = True, stored: bool = False) -> DataFrame:
     """Plain aggregates of each group plus exact quantiles.
 
     ``bounded`` groups have a known largest size (the frames of a time bin): all comes from one aggregation. Groups of any
-    size take the quantile search and a join on the group key.
+    size take the quantile search and a join on the group key; see ``exact_quantiles`` for ``stored``.
     """
     keys, qs = list(keys), list(qs)
     if not bounded:
-        return df.groupBy(*keys).agg(*aggs).join(exact_quantiles(df, keys, cols, qs, names), keys, "left")
+        return df.groupBy(*keys).agg(*aggs).join(exact_quantiles(df, keys, cols, qs, names, stored), keys, "left")
     names = names or [f"p{round(q * 100):02d}" for q in qs]
     label = lambda n, i: f"{n}_{names[i]}" if n else names[i]
     more = [F.percentile(as_col(c), F.lit(float(q))).alias(label(n, i)) for n, c in cols.items() for i, q in enumerate(qs)]

@@ -441,22 +441,27 @@ def detector_onsets(df: DataFrame, keys, time: str, score: str, threshold: str,
 
 
 def gated_baseline(
-    df: DataFrame, keys, time: str, value: str, mu0: str, centre: str, scale: str, gated: str,
+    df: DataFrame, keys, time: str, value: str, mu0: str, centre: str, scale: str, gated,
     rate: float = 0.06, warm: int = 60, params: GateParams = GateParams(), parts: int | None = None,
 ) -> DataFrame:
     """Online mean that learns from each hour, and not while its gate is closed (where ``gated``).
 
-    Adds ``score`` (robust distance from the running mean), ``closed`` and ``mu``.
+    Adds ``score`` (robust distance from the running mean), ``closed`` and ``mu``. ``gated`` names a column, or is a list of
+    settings that all run over one copy of the timelines; then a column ``gated`` tells their rows apart.
     """
-    keys = list(keys)
-    d = df.select(*dict.fromkeys([*keys, time, value, mu0, centre, scale, gated]))
+    keys, column = list(keys), [gated] if isinstance(gated, str) else []
+    d = df.select(*dict.fromkeys([*keys, time, value, mu0, centre, scale, *column]))
     kinds = dict(d.dtypes)
-    schema = ", ".join([f"`{n}` {kinds[n]}" for n in [*keys, time]] + ["score double, closed boolean, mu double"])
+    schema = ", ".join([f"`{n}` {kinds[n]}" for n in [*keys, time]] + ["score double, closed boolean, mu double"] + ([] if column else ["gated boolean"]))
 
     def run(rows, line, hour):
         heads, x = rows[hour == 0], as_matrix(rows[value], line, hour)
+        if column:
+            return moved(rows, line, hour, heads, x, ~heads[gated].to_numpy(bool))
+        return pd.concat([moved(rows, line, hour, heads, x, np.full(len(heads), not g)).assign(gated=g) for g in gated])
+
+    def moved(rows, line, hour, heads, x, free):
         mean, middle, spread = (heads[c].to_numpy(float) for c in (mu0, centre, scale))
-        free = ~heads[gated].to_numpy(bool)
         latch = Latch(x.shape[1], np.full((1, 1), params.close), params)
         distance, shut, track = np.empty(x.shape), np.empty(x.shape, bool), np.empty(x.shape)
         for t, now in enumerate(x):

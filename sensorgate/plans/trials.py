@@ -509,11 +509,7 @@ def habituation(t: Tables):
     d = d.withColumn("x", F.col("z") + F.when((F.col("t") >= 80) & (F.col("t") < 300), sign * 7.0).otherwise(0.0))
     d = nz.attach(d.select("trial", "t", "x"), st, [])
 
-    def run(gated: bool):
-        b = det.gated_baseline(d.withColumn("gated", F.lit(gated)), ["trial"], "t", "x", "mu0", "c", "s", "gated", parts=parts(t, LONG_HOURS))
-        return b.withColumn("gated", F.lit(gated))
-
-    return run(True).unionByName(run(False)), st
+    return det.gated_baseline(d, ["trial"], "t", "x", "mu0", "c", "s", [True, False], parts=parts(t, LONG_HOURS)), st
 
 
 @query("g15_gated_online_baseline", f"WITH RECURSIVE {HAB_SQL} SELECT trial, gated, t, {R('score')} AS score, closed, {R('mu')} AS mu FROM ob")
@@ -550,7 +546,7 @@ def drift_curve(t):
 
     d, _ = habituation(t)
     size = F.abs("mu")
-    d = with_quantiles(cut_lineage(d.select("gated", "t", "mu")), ["gated", "t"], [F.avg(size).alias("mean_level")], {"": size}, [0.025, 0.975], ["lo", "hi"], bounded=False)
+    d = with_quantiles(cut_lineage(d.select("gated", "t", "mu")), ["gated", "t"], [F.avg(size).alias("mean_level")], {"": size}, [0.025, 0.975], ["lo", "hi"], bounded=False, stored=True)
     return rounded(d.withColumnsRenamed({"_lo": "lo", "_hi": "hi"}))
 
 

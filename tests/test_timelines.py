@@ -1,5 +1,6 @@
 """Drawn timelines: no side of a join that grows with the hours is held whole, and sweeps read one copy of them."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,25 @@ def test_cuts_of_value_ranges_are_drawn_once(spark):
     d = value_ranges(spark.range(1000).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("x")), ["k"], "x", "r")
     assert "percentile_approx" not in plan_of(d)
     assert d.groupBy("k").agg(F.count_distinct("r")).collect()
+
+
+def test_quantiles_of_stored_rows_equal_the_others(spark):
+    """Offsets, heavy ties, small groups, missing numbers; and ranges that miss their rank."""
+    from sensorgate.operators import quantiles
+
+    r = np.random.default_rng(4)
+    rows = [(0, float(v)) for v in r.normal(300, 0.01, 3000)] + [(1, float(v)) for v in r.integers(0, 3, 2000)] + [(2, 5.0), (3, None), (3, float("nan"))]
+    d = spark.createDataFrame(rows, "k int, x double")
+    qs, cols = [0.0, 0.025, 0.5, 0.975, 1.0], {"": F.col("x"), "twice": F.col("x") * 2}
+    by = lambda df: sorted((x["k"], x["_f"], x["_q"], round(x["_val"], 9)) for x in df.collect())
+    want = by(quantiles.quantiles_long(d, ["k"], cols, qs))
+    assert by(quantiles.stored_quantiles_long(d, ["k"], cols, qs)) == want and len(want) == 30
+
+
+def test_both_settings_of_the_baseline_share_one_copy_of_the_timelines(spark, trials, pool):
+    d = bt.resample(trials, pool, "trial", 240).withColumns({"m": F.lit(0.1), "c": F.lit(0.5), "s": F.lit(0.3)})
+    both = det.gated_baseline(d, ["trial"], "t", "z", "m", "c", "s", [True, False])
+    assert plan_of(both).count("MapInPandas") == 1
+    for gated in (True, False):
+        one = det.gated_baseline(d.withColumn("g", F.lit(gated)), ["trial"], "t", "z", "m", "c", "s", "g")
+        assert sorted(map(tuple, both.filter(F.col("gated") == gated).drop("gated").collect())) == sorted(map(tuple, one.collect()))
