@@ -136,7 +136,11 @@ def slot_outcomes(alarms: DataFrame, events: DataFrame, keys, alarm: str) -> Dat
     """Per event: any alarm in the span (two hours for a spike) and the delay of the first."""
     keys = list(keys)
     hours = alarms.filter(F.col(alarm)).groupBy(*keys).agg(F.array_sort(F.collect_list("t")).alias("_at"))
-    d = events.join(hours, keys, "left")
+    return slot_hits(events.join(hours, keys, "left"))
+
+
+def slot_hits(d: DataFrame) -> DataFrame:
+    """The same from events with the sorted alarm hours ``_at`` of their timeline."""
     end = F.when(F.col("kind") == "spike", F.col("t0") + 2).otherwise(F.col("t1"))
     d = d.withColumn("_in", F.filter("_at", lambda t: (t >= F.col("t0")) & (t < end)))
     hit = F.coalesce(F.size("_in") > 0, F.lit(False))

@@ -333,6 +333,27 @@ def onset_hours(df: DataFrame, keys, time: str, score: str | None, limits: dict,
     return on_timelines(df.select(*keys, time, *plan), keys, time, run, schema, parts)
 
 
+def alarm_hours(df: DataFrame, keys, time: str, limits: dict, parts: int | None = None) -> DataFrame:
+    """Sorted alarm hours ``_at`` of each timeline, two-sided, for each score column: under the gate (``gated``) and where its
+    size passes the limit that ``limits`` names for it. The timelines are read once; ``representation`` names the column."""
+    keys = list(keys)
+    schema = ", ".join([f"`{n}` {t}" for n, t in df.select(*keys).dtypes] + ["representation string, gated boolean, _at array<int>"])
+    close = np.array([[GateParams().close]])
+
+    def run(rows, line, hour):
+        clock, heads, made = as_matrix(rows[time], line, hour).astype(int), rows.loc[hour == 0, keys], []
+        inside = np.arange(len(clock))[:, None] < np.bincount(line)
+        for c, h in limits.items():
+            z = np.abs(as_matrix(rows[c], line, hour))
+            for gated, alarm in ((True, gate_closed(z, close)[:, :, 0]), (False, z > h)):
+                own, at = np.nonzero((alarm & inside).T)
+                hours = np.split(clock[at, own], np.cumsum(np.bincount(own, minlength=len(heads)))[:-1])
+                made.append(heads.assign(representation=c, gated=gated, _at=hours))
+        return pd.concat(made)
+
+    return on_timelines(df.select(*keys, time, *limits), keys, time, run, schema, parts)
+
+
 @dataclass(frozen=True)
 class Injection:
     """An amount added to a timeline from its start hour on, for some hours, and the hours that a detection may take.

@@ -89,12 +89,10 @@ def ablation(t):
     events = bt.plan_slots(trials(t), "trial", HOURS)
     d = bt.resample(trials(t), pool, "trial", HOURS, salt=12)
     d = bt.add_slot_events(d.withColumn("add", F.lit(0.0)), events, "trial", "add", slot_amount())
-    d = d.unpivot(["trial", "t", "add"], kinds, "representation", "z").withColumn("z", F.col("z") + F.col("add"))
-    d = det.gate(d.withColumn("i", F.col("t").cast("long")), ["trial", "representation"], "i", "z").join(limit, "representation")
-    both = F.array(*[F.struct(F.lit(g).alias("gated"), a.alias("alarm")) for g, a in ((True, F.col("closed")), (False, F.abs("z") > F.col("q")))])
-    al = d.select("trial", "representation", "t", F.explode(both).alias("x")).select("trial", "representation", "t", "x.*")
-    plan = events.withColumn("representation", F.explode(F.array(*[F.lit(k) for k in kinds]))).withColumn("gated", F.explode(F.array(F.lit(True), F.lit(False))))
-    o = bt.slot_outcomes(al, plan, ["trial", "representation", "gated"], "alarm")
+    d = d.select("trial", "t", *[(F.col(k) + F.col("add")).alias(k) for k in kinds])
+    limits = {r["representation"]: r["q"] for r in limit.collect()}  # one row for each representation
+    hours = det.alarm_hours(d, ["trial"], "t", limits, parts(t))
+    o = bt.slot_hits(events.join(hours.hint("merge"), "trial"))
     sustained = F.col("kind") == "sustained"
     c = o.groupBy("representation", "gated").agg(
         F.count_if(sustained & F.col("hit")).alias("tp"), F.count_if(~sustained & F.col("hit")).alias("fp"), F.count_if(sustained & ~F.col("hit")).alias("fn")

@@ -124,3 +124,14 @@ def test_both_settings_of_the_baseline_share_one_copy_of_the_timelines(spark, tr
     for gated in (True, False):
         one = det.gated_baseline(d.withColumn("g", F.lit(gated)), ["trial"], "t", "z", "m", "c", "s", "g")
         assert sorted(map(tuple, both.filter(F.col("gated") == gated).drop("gated").collect())) == sorted(map(tuple, one.collect()))
+
+
+def test_alarm_hours_equal_the_gate_and_the_limit_of_each_row(spark, trials, pool):
+    d = bt.resample(trials, pool, "trial", 240).withColumn("z", F.col("z") * 3)
+    got = det.alarm_hours(d, ["trial"], "t", {"z": 2.5})
+    assert "Window" not in plan_of(got)
+    got = {(r["trial"], r["gated"]): list(r["_at"]) for r in got.collect()}
+    rows = det.gate(d.withColumn("i", F.col("t").cast("long")), ["trial"], "i", "z").collect()
+    for k in range(5):
+        assert got[k, True] == sorted(r["t"] for r in rows if r["trial"] == k and r["closed"])
+        assert got[k, False] == sorted(r["t"] for r in rows if r["trial"] == k and abs(r["z"]) > 2.5)
