@@ -30,10 +30,12 @@ def parts_for(trials: DataFrame, length: int) -> int:
     return max(int(trials.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-trials.count() * length // ROWS_PER_TASK))
 
 
-def draw_from(draws: DataFrame, pool: DataFrame, idx: str = "pool_idx") -> DataFrame:
+def draw_from(draws: DataFrame, pool: DataFrame, parts: int, idx: str = "pool_idx") -> DataFrame:
     """Join with the drawn pool rows. Draws are many times their trials and planned as if they were as few, so the side
-    that every task holds is named here: the pool if it is small, otherwise none."""
-    return draws.join(F.broadcast(pool) if pool.count() <= SMALL_POOL else pool.hint("merge"), idx).drop(idx)
+    that every task holds is named here: the pool if it is small, otherwise none, and both are dealt out in ``parts``."""
+    if pool.count() <= SMALL_POOL:
+        return draws.join(F.broadcast(pool), idx).drop(idx)
+    return draws.repartition(parts, idx).join(pool.repartition(parts, idx).hint("merge"), idx).drop(idx)
 
 
 def resample(trials: DataFrame, pool: DataFrame, trial: str, length: int, salt: int = 0) -> DataFrame:
@@ -41,18 +43,20 @@ def resample(trials: DataFrame, pool: DataFrame, trial: str, length: int, salt:
 
     Draws are spread evenly over the pool, so the join key has no hot value.
     """
-    d = trials.repartition(parts_for(trials, length), trial).withColumn("_n", pool_size(pool))
+    n = parts_for(trials, length)
+    d = trials.repartition(n, trial).withColumn("_n", pool_size(pool))
     d = d.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
     d = d.withColumn("pool_idx", (mix(trial, "t", salt) % F.col("_n")).cast("long"))
-    return draw_from(d, pool).drop("_n")
+    return draw_from(d, pool, n).drop("_n")
 
 
 def contiguous_slice(trials: DataFrame, pool: DataFrame, trial: str, length: int, salt: int = 0) -> DataFrame:
     """A run of consecutive pool rows from a drawn start; a pool shorter than the run starts again from its first row."""
-    d = trials.repartition(parts_for(trials, length), trial).withColumn("_n", pool_size(pool))
+    n = parts_for(trials, length)
+    d = trials.repartition(n, trial).withColumn("_n", pool_size(pool))
     d = d.withColumn("_s", (mix(trial, F.lit(0), salt) % F.greatest(F.col("_n") - length, F.lit(1))).cast("long"))
     d = d.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).withColumn("pool_idx", (F.col("_s") + F.col("t")) % F.col("_n"))
-    return draw_from(d, pool).drop("_n", "_s")
+    return draw_from(d, pool, n).drop("_n", "_s")
 
 
 def plan_events(trials: DataFrame, trial: str, length: int = 240, n_spikes: int = 4, salt: int = 100) -> DataFrame:
@@ -224,7 +228,7 @@ def bootstrap_draws(trials: DataFrame, idx: str, replicates: int, salt: int = 30
 
 def bootstrap(trials: DataFrame, idx: str, sums, statistic, replicates: int, salt: int = 300) -> DataFrame:
     """Replicate table: summed columns and the statistic computed from the sums. ``idx`` numbers the trials from 0."""
-    d = draw_from(bootstrap_draws(trials, idx, replicates, salt), trials.select(idx, *sums), idx)
+    d = draw_from(bootstrap_draws(trials, idx, replicates, salt), trials.select(idx, *sums), parts_for(trials, replicates), idx)
     return statistic(d.groupBy("b").agg(*[F.sum(c).alias(c) for c in sums], F.count("*").alias("n")))
 
 

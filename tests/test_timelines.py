@@ -36,6 +36,16 @@ def test_large_pool_is_not_broadcast(trials, pool, monkeypatch):
     assert d.count() == 500
 
 
+@pytest.mark.parametrize("draw", [bt.resample, bt.contiguous_slice])
+def test_draws_from_a_large_pool_are_dealt_out_in_parts_that_grow_with_them(trials, pool, monkeypatch, draw):
+    small = {(r["trial"], r["t"]): r["z"] for r in draw(trials, pool, "trial", 100).collect()}
+    monkeypatch.setattr(bt, "SMALL_POOL", 10)
+    monkeypatch.setattr(bt, "ROWS_PER_TASK", 20)
+    d = draw(trials, pool, "trial", 100)
+    assert d.rdd.getNumPartitions() == bt.parts_for(trials, 100) == 25
+    assert {(r["trial"], r["t"]): r["z"] for r in d.collect()} == small
+
+
 def test_hours_of_events_are_not_broadcast(trials, pool):
     d = bt.resample(trials, pool, "trial", 240)
     d = bt.add_slot_events(d, bt.plan_slots(trials, "trial", 240), "trial", "z", F.lit(1.0))
