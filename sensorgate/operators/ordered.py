@@ -2,7 +2,8 @@
 
 Rows are cut in ranges of (keys, order), so a key with most of the rows spreads over as many tasks as any other rows do.
 Each task walks its sorted rows once, batch by batch, with the state of the key it is in, and writes the rows with
-their local results; its last row is the border summary: first and last key, and the states of both. From these few rows
+their local results; its last row is the border summary: first and last key, and the states of both. The number of ranges
+grows with the rows, so a task sorts about RANGE_ROWS of them in any table. From the summaries
 (one for each task) follows what each range inherits, and the rows of its first key take that in by a join with a table
 of one row for each range. Boundaries of ranges are drawn by sampling and would differ when a lost task is computed
 again, so the rows are stored in the shared folder before the summaries are read.
@@ -18,13 +19,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, BooleanType, DataType, DoubleType, IntegerType, LongType, StructType
 
 from sensorgate.session import scratch_path
 
+RANGE_ROWS = 500_000  # a task sorts about as many
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Number of partitions for a step over ``rows`` rows: the session's, or more where these would grow with the table."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE_ROWS))
+
 
 class Batch:
     """A sorted batch: its columns, where keys begin, and whether the first rows go on with the key before."""
@@ -142,6 +150,43 @@ class Last:
         return {self.out: F.coalesce(self.out, F.when(open_, F.col(f"_of_{self.out}")))}
 
 
+@dataclass(frozen=True)
+class First:
+    """First known value of the key up to the row; NULL only in front of it."""
+
+    out: str
+    reads: str
+
+    def columns(self, kind):
+        return {self.out: kind}
+
+    carried = columns
+
+    def start(self):
+        return None  # or an array of one value
+
+    def walk(self, b: Batch, state):
+        values = b.batch[self.reads]
+        known = values.is_valid().to_numpy(zero_copy_only=False)
+        heads = known & (b.known_before(known, False) < 0)  # first known row of its key in this batch
+        at = b.known_before(heads, True)
+        held = state if state is not None else pa.nulls(1, values.type)
+        pool = pa.concat_arrays([values, held, pa.nulls(1, values.type)])
+        pick = np.where(at >= 0, at, b.size + 1)
+        if state is not None:
+            pick = np.where(b.going_on, b.size, pick)
+        return [pool.take(pa.array(pick))], None if pick[-1] > b.size else pool.take(pa.array(pick[-1:]))
+
+    def join(self, before, inner):
+        return before if before is not None else inner
+
+    def inherit(self, before, first):
+        return [before]
+
+    def finish(self, open_):
+        return {self.out: F.coalesce(F.when(open_, F.col(f"_of_{self.out}")), self.out)}
+
+
 @dataclass(frozen=True)
 class Changes:
     """Running count of the known rows whose value differs from (or ``falls`` below) the known one before in the key.
@@ -210,7 +255,7 @@ class Changes:
         return {self.out: F.col(self.out) + F.when(open_, F.col(f"_of_{self.out}") + step).otherwise(0)}
 
 
-Step = Count | Sum | Last | Changes
+Step = Count | Sum | Last | First | Changes
 
 
 def _walker(keys: list[str], steps: list[Step], schema: pa.Schema):
@@ -268,10 +313,14 @@ def _inherited(edges: list[tuple], steps: list[Step]) -> list[list]:
     return rows
 
 
-def ordered_scan(df: DataFrame, keys, order, steps: list[Step]) -> DataFrame:
-    """All rows with the results of all steps, in one exchange by (keys, order); stored in the shared folder."""
+def ordered_scan(df: DataFrame, keys, order, steps: list[Step], opened: str | None = None) -> DataFrame:
+    """All rows with the results of all steps, in one exchange by (keys, order); stored in the shared folder.
+
+    ``opened`` names a column that tells the rows of the first key of each range. The rows of every key without such rows
+    lie in one range.
+    """
     spark, keys, order = df.sparkSession, list(keys), list(order)
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = tasks_for(spark, df.count())
     types = {f.name: f.dataType for f in df.schema}
     made = [s.columns(types.get(s.reads)) for s in steps]
     schema = StructType()
@@ -303,7 +352,7 @@ def ordered_scan(df: DataFrame, keys, order, steps: list[Step]) -> DataFrame:
     final: dict[str, Column] = {}
     for s in steps:
         final |= s.finish(F.col("_open"))
-    return out.withColumns(final).select(*df.columns, *final)
+    return out.withColumns(final).select(*df.columns, *final, *([F.col("_open").alias(opened)] if opened else []))
 
 
 def row_index(df: DataFrame, keys, order, out: str) -> DataFrame:

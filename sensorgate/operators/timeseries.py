@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sensorgate.functions.exprs import as_col
-from sensorgate.operators.ordered import Changes, Last, ordered_scan
+from sensorgate.operators.ordered import Changes, First, Last, ordered_scan, tasks_for
 from sensorgate.session import cut_lineage
 
 _UP, _DOWN = W.unboundedPreceding, W.unboundedFollowing
@@ -57,14 +57,14 @@ def midnight_rollover(df: DataFrame, keys, order, seconds: str, created_day: str
     """Clock start from a time of day and a base date: each fall of the time of day moves on by one day.
 
     The base is the first known date of the key; rows without a time of day give NULL and are skipped over. ``run`` adds
-    the number of the run of equal dates in the same scan.
+    the number of the run of equal dates in the same scan. The scan hands the base on to all rows behind it; only those in
+    front of it are joined.
     """
-    steps = [Changes("_days", seconds, falls=True, skip_null=True)] + ([Changes(run, created_day, first=1)] if run else [])
+    steps = [Changes("_days", seconds, falls=True, skip_null=True), First("_base", created_day)] + ([Changes(run, created_day, first=1)] if run else [])
     d = ordered_scan(df, keys, order, steps)
-    dated = F.when(F.col(created_day).isNotNull(), _place(order))
-    base = d.groupBy(*keys).agg(F.min_by(created_day, dated).alias("_base"))
-    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    d = d.alias("d").join(base.alias("b"), same, "left").select("d.*", "b._base")
+    base = d.where("_base IS NOT NULL").groupBy(*keys).agg(F.min("_base").alias("_base"))
+    early = d.where("_base IS NULL").drop("_base").alias("a").join(base.alias("b"), _same(keys), "left").select("a.*", "b._base")
+    d = d.where("_base IS NOT NULL").unionByName(early)
     day = F.date_add("_base", F.col("_days")).cast("timestamp")
     start = F.timestamp_micros(F.unix_micros(day) + F.round(F.col(seconds) * 1e6).cast("long"))
     return d.withColumn(out, start).drop("_days", "_base")
@@ -82,41 +82,52 @@ def _same(keys) -> Column:
 def session_checks(rows: DataFrame, keys, order, session: str, start: str, created: str, readable: str):
     """Per session: readable files, creation times, order of starts, long pauses, anomaly flag.
 
-    All but distinct counts come from one aggregation with small buffers. Starts that always rise have no equal ones, and
-    a least creation time that is the greatest too is the only one: values are counted apart only for the other sessions.
+    All but distinct counts come from one aggregation with small buffers. Its tasks take a bounded number of rows: sessions
+    that lie within a range of the scan are dealt out whole, and only the others, one for each range at most, are summed in
+    parts. Starts that always rise have no equal ones, and a least creation time that is the greatest too is the only one:
+    values are counted apart, and joined, only for the other sessions.
     """
     group = [*keys, session]
     ok = F.col(readable)
     t = F.when(ok, F.unix_micros(F.col(start)))
     d = rows.select(*group, *order, F.when(ok, F.col(created)).alias("_made"), ok.alias("_ok"), t.alias("_t"))
-    d = ordered_scan(d, group, order, [Last("_pt", "_t", inclusive=False)])
+    d = ordered_scan(d, group, order, [Last("_pt", "_t", inclusive=False)], opened="_cut")
     pause = F.when(F.col("_t").isNotNull(), (F.col("_t") - F.col("_pt")) / 60e6)
-    d = d.withColumn("_pause", pause)
+    cut = F.broadcast(d.where("_cut").select(*group).distinct()).alias("b")
+    d = d.withColumn("_pause", pause).drop("_pt", "_cut")
     known = F.when(F.col("_t").isNotNull(), _place(order))
-    s = d.groupBy(*group).agg(
-        F.count("*").alias("n_files"),
-        F.count_if("_ok").alias("n_readable"),
-        F.min("_made").alias("_least"),
-        F.max("_made").alias("_most"),
-        F.count_if(F.col("_pause") <= 0).alias("_back"),
-        F.count("_t").alias("_n"),
-        F.count_if(F.col("_pause") > 90).alias("n_irregular_gaps"),
-        F.max("_pause").alias("max_gap_min"),
-        F.min_by("_t", known).alias("session_start_us"),
-        F.max_by("_t", known).alias("session_end_us"),
-    )
-    s = cut_lineage(s)  # one row per session, read three times
+
+    def totals(part: DataFrame) -> DataFrame:
+        return part.groupBy(*group).agg(
+            F.count("*").alias("n_files"),
+            F.count_if("_ok").alias("n_readable"),
+            F.min("_made").alias("_least"),
+            F.max("_made").alias("_most"),
+            F.count_if(F.col("_pause") <= 0).alias("_back"),
+            F.count("_t").alias("_n"),
+            F.count_if(F.col("_pause") > 90).alias("n_irregular_gaps"),
+            F.max("_pause").alias("max_gap_min"),
+            F.min_by("_t", known).alias("session_start_us"),
+            F.max_by("_t", known).alias("session_end_us"),
+        )
+
+    whole = d.alias("a").join(cut, _same(group), "left_anti").repartition(tasks_for(rows.sparkSession, rows.count()), *group)
+    s = totals(whole).unionByName(totals(d.alias("a").join(cut, _same(group), "left_semi")))
+    s = cut_lineage(s)  # one row per session, read several times
 
     def distinct(sessions: DataFrame, value: str, out: str) -> DataFrame:
         own = d.where(F.col(value).isNotNull()).alias("a").join(sessions.select(*group).alias("b"), _same(group), "left_semi")
         return own.select(*group, value).distinct().groupBy(*group).agg(F.count("*").alias(out))
 
-    falls = distinct(s.where("_back > 0"), "_t", "_nd")
-    mixed = distinct(s.where("_least < _most"), "_made", "_kinds")
-    s = s.alias("a").join(falls.alias("b"), _same(group), "left").select("a.*", F.coalesce("b._nd", "a._n").alias("_nd"))
-    s = s.alias("a").join(mixed.alias("b"), _same(group), "left")
-    kinds = F.coalesce("b._kinds", F.col("a._least").isNotNull().cast("long"))
-    s = s.select(*[f"a.{c}" for c in (*group, "n_files", "n_readable")], kinds.alias("unique_creation_time"), *[f"a.{c}" for c in ("_back", "_n", "_nd", "n_irregular_gaps", "max_gap_min", "session_start_us", "session_end_us")])
+    fallen, varied = F.col("_back") > 0, F.coalesce(F.col("_least") < F.col("_most"), F.lit(False))
+    falls = distinct(s.where(fallen), "_t", "_nd")
+    mixed = distinct(s.where(varied), "_made", "_kinds")
+    odd = s.where(fallen | varied).alias("a").join(falls.alias("b"), _same(group), "left").select("a.*", "b._nd")
+    odd = odd.alias("a").join(mixed.alias("b"), _same(group), "left").select("a.*", "b._kinds")
+    s = s.where(~(fallen | varied)).unionByName(odd, allowMissingColumns=True)
+    s = s.withColumn("_nd", F.coalesce("_nd", "_n"))
+    kinds = F.coalesce("_kinds", F.col("_least").isNotNull().cast("long"))
+    s = s.select(*group, "n_files", "n_readable", kinds.alias("unique_creation_time"), "_back", "_n", "_nd", "n_irregular_gaps", "max_gap_min", "session_start_us", "session_end_us")
     n = F.col("n_readable")
     s = s.withColumn("clock_frozen_as_expected", ((F.col("unique_creation_time") == 1) & (n > 1)) | (n <= 1))
     s = s.withColumn("monotonic", F.col("_back") == 0).withColumn("duplicates", F.col("_n") != F.col("_nd"))

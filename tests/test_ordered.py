@@ -118,3 +118,78 @@ def test_session_checks_counts_apart_only_where_needed(spark):
         assert (x["session_start_us"], x["session_end_us"]) == ((starts[0], starts[-1]) if starts else (None, None))
         seen += 1
     assert seen == len(want)
+
+
+@pytest.mark.parametrize("hot", [0.0, 0.7, 1.0])
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_first_known_value(spark, hot, batch):
+    """A base known late in its key, over many ranges and batches."""
+    from sensorgate.operators.ordered import First
+
+    rows = [(k, s, t, v if t > 900 or t % 7 == 0 else None, at) for k, s, t, v, _, at, _ in rows_of(400, hot, batch + 1)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        d = ordered_scan(spark.createDataFrame(rows, "k int, s string, t long, v double, at timestamp").repartition(3), ["k", "s"], ["t"], [First("base", "v"), First("since", "at")])
+        got = sorted((r.t, r.base, r.since) for r in d.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, seen = [], {}
+    for k, s, t, v, at in rows:
+        base, since = seen.get((k, s), (None, None))
+        seen[k, s] = base, since = base if base is not None else v, since if since is not None else at
+        want.append((t, base, since))
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("hot", [0.0, 1.0])
+def test_tasks_of_sessions_keep_their_size(spark, monkeypatch, hot):
+    """Ranges and tasks of sums grow with the rows, and no session is dealt out whole that lies in several ranges."""
+    from sensorgate.operators import ordered, timeseries
+
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 20, raising=False)
+    r = random.Random(6)
+    rows = [(0 if r.random() < hot else r.randint(1, 40), 1, i, True, "a", 60 * i) for i in range(600)]
+    d = spark.createDataFrame(rows, "k int, run int, seq long, readable boolean, created string, sec int")
+    d = d.withColumn("start", F.timestamp_seconds("sec")).drop("sec")
+    scanned = ordered_scan(d, ["k", "run"], ["seq"], [Count("i")])
+    assert len(scanned.inputFiles()) > 20
+    assert max(x["count"] for x in scanned.groupBy(F.input_file_name()).count().collect()) <= 60
+    dealt, real = [], type(d).repartition
+
+    def repartition(frame, n, *columns):
+        dealt.append((n, [x["n"] for x in frame.groupBy("k", "run").agg(F.count("*").alias("n")).collect()]))
+        return real(frame, n, *columns)
+
+    monkeypatch.setattr(type(d), "repartition", repartition)
+    got = {x["k"]: (x["n_files"], x["session_start_us"], x["session_end_us"]) for x in timeseries.session_checks(d, ["k"], ["seq"], "run", "start", "created", "readable").collect()}
+    (n, sizes), *_ = dealt
+    assert n == 30 and max(sizes, default=0) <= 60
+    own = {}
+    for k, _, _, _, _, sec in rows:
+        own.setdefault(k, []).append(sec * 1_000_000)
+    assert got == {k: (len(v), v[0], v[-1]) for k, v in own.items()}
+
+
+@pytest.mark.parametrize("hot", [0.0, 0.7, 1.0])
+def test_midnight_rollover(spark, monkeypatch, hot):
+    """Against a plain loop: the base may be known late in the key, or never."""
+    from sensorgate.operators import ordered, timeseries
+
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 20, raising=False)
+    r = random.Random(7)
+    rows = [(0 if r.random() < hot else r.choice([None, 1, 2, 3]), i, r.choice([None, 100.0, 200.0, 300.0]), None if i < 250 or r.random() < 0.9 else dt.date(2024, 1, r.randint(1, 9))) for i in range(400)]
+    d = spark.createDataFrame(rows + [(9, 0, 5.0, None)], "k int, seq long, tod double, created date")
+    got = timeseries.midnight_rollover(d, ["k"], ["seq"], "tod", "created", "start", run="run")
+    assert set(got.columns) == {"k", "seq", "tod", "created", "run", "start"}
+    got = {(x.k, x.seq): x.us for x in got.select("k", "seq", F.unix_micros("start").alias("us")).collect()}
+    base, day, before = {}, {}, {}
+    for k, _, _, created in rows:
+        if created is not None:
+            base.setdefault(k, created)
+    want = {(9, 0): None}
+    for k, i, tod, _ in rows:
+        if tod is not None:
+            day[k] = day.get(k, 0) + (tod < before.get(k, tod))
+            before[k] = tod
+        want[k, i] = None if tod is None or k not in base else ((base[k] - dt.date(1970, 1, 1)).days + day[k]) * 86_400_000_000 + int(tod * 1e6)
+    assert got == want
