@@ -1,20 +1,24 @@
-"""Near duplicates of embeddings by hierarchical navigable small-world graphs.
-
-Equal vectors are joined first, so a group of copies is one vector with a count. Distinct vectors are dealt over shards;
-each shard gets a graph (layers of ever fewer vectors, every vector linked to near ones in different directions), kept as
-a file in the shared folder. Every vector then queries every shard, its own one in the task that builds the graph: a greedy
-walk down the upper layers, then a beam on the ground layer. A query whose beam is full of hits is compared with all vectors
-of the shard, in blocks. Vectors that their own search does not find are listed in the file, and every query meets them.
-In each task some queries are audited against all vectors of the shard; while the recall of those whose beam can hold their
-links is under ``recall``, the beam is doubled. Pairs found are kept if their cosine, in double precision on the given
-numbers, reaches the threshold; links count copies, and components are the unions of links.
-
-Pairs do not leave their task: it gives back the number of links of each query and a spanning forest, in which a query
-meets each part of a shard once. So the rows grow with the vectors, however many are alike. Tasks hold at most ``most``
-vectors of one shard and a bounded part of the queries, which visit ``VISITS`` shards one after the other.
-
-A shard holds at most ``most`` vectors, and there are at least ``shards`` of them; work grows as vectors times shards, so
-on growing tables ``most`` should be as large as executor memory allows.
+"""Near duplicates of embeddings by a hierarchical navigable small-world graph.
+
+Equal vectors are joined first, so a group of copies is one vector with a count. The graph (layers of ever fewer nodes,
+every node linked to near ones in different directions) stands over a sample of the distinct vectors, one for about
+``BELOW`` of them, from which nodes that are too near to another one are left out; it is kept as a file in the shared
+folder. Every vector walks the graph, down the upper layers and with a beam on the ground layer, and hangs below the first
+few nodes of its beam. Vectors that hang below the same node are compared with each other, and pairs are kept if their
+cosine, in double precision on the given numbers, reaches the threshold; links count copies, and components are the
+unions of links.
+
+How many nodes a vector hangs below is audited, not assumed: up to ``AUDITED`` vectors that are no nodes get a partner of
+exactly the threshold, half of them towards any direction and half towards another vector of the table, both walk, and the
+number (and the beam, if need be) grows until a share ``recall`` of the partners meet below a node; then one node is added.
+Pairs above the threshold meet more often than these. Where so many nodes are needed that all pairs of vectors would be fewer,
+the graph is left with one node, and all vectors are compared.
+
+What is compared grows with the vectors: nodes grow with them up to ``NODES`` (beyond that, shards do). A pair is compared
+below its first common node only; nodes are numbered by what hangs below them, the fullest first, so a large group of
+near copies is compared once. What hangs below a node is dealt out in blocks, and a task takes two blocks of a bounded number
+of vectors. Pairs do not leave it: it gives back the number of links of each vector and a spanning forest. Within a large
+group the comparisons still grow with its square, as exact numbers of links need them.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite numbers link with nothing and are components
 of their own; vectors of different lengths never link; rows that share an id and a vector count as copies, and an id with
@@ -29,6 +33,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,12 +44,17 @@ from sensorgate.llm.components import components
 from sensorgate.llm.token_files import filesystem
 from sensorgate.session import scratch_path
 
-LINKS = 16  # of a vector in an upper layer; twice as many in the ground layer
+LINKS = 16  # of a node in an upper layer; twice as many in the ground layer
 BUILD_BEAM = 64
-BEAM = 64
-AUDITED = 64  # queries of a task
-VISITS = 16  # shards that a task searches
-CELLS = 1 << 22  # of a block of exact comparisons
+BEAM = 32
+BELOW = 512  # vectors for a node of the graph
+NODES = 1 << 14  # of a graph, which one task builds
+AUDITED = 1024  # vectors whose partners are sought
+AT_ONCE = 512  # queries of a walk
+ROWS = 128  # of a block of exact comparisons, which has at most ``CELLS`` pairs
+CELLS = 1 << 22
+BLOCKS = 32  # of a node, while they stay below ``LARGE``
+LARGE = 1 << 16
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -61,7 +72,6 @@ class Graph:
         self.unit = unit(self.raw)
         self.layers: list[np.ndarray] = []
         self.entry = 0
-        self.stray = np.zeros(0, np.int32)  # vectors that no walk finds
 
     # Search
 
@@ -191,14 +201,14 @@ class Graph:
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, raw=self.raw, entry=self.entry, stray=self.stray, **{f"layer{k}": x for k, x in enumerate(self.layers)})
+        np.savez(out, raw=self.raw, entry=self.entry, **{f"layer{k}": x for k, x in enumerate(self.layers)})
         return out.getvalue()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Graph:
         held = np.load(io.BytesIO(data))
         g = cls(held["raw"])
-        g.entry, g.stray = int(held["entry"]), held["stray"]
+        g.entry = int(held["entry"])
         g.layers = [held[f"layer{k}"] for k in range(sum(n.startswith("layer") for n in held.files))]
         return g
 
@@ -209,66 +219,90 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
 
 
-def found_near(g: Graph, queries: np.ndarray, threshold: float, recall: float, beam: int = BEAM) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Query numbers and vector numbers of the pairs that reach the threshold, in blocks of at most ``CELLS`` pairs."""
-    q, n = unit(queries), len(g.unit)
-    margin = max(1e-5, (queries.shape[1] + 4) * 2.0**-23)  # more than the error of a product of unit vectors of floats
-    slack, sure = threshold - margin, threshold + margin
-    rows = max(1, CELLS // n)
-
-    def checked(who: np.ndarray, hits: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        good = near >= sure
-        close = np.flatnonzero(~good)
-        for at in range(0, len(close), 1 << 15):
-            part = close[at : at + (1 << 15)]
-            good[part] = cosines(queries[who[part]], g.raw[hits[part]]) >= threshold
-        return who[good], hits[good]
-
-    audited = np.unique(np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int))
-    truth = np.concatenate([(q[audited[at : at + rows]] @ g.unit.T >= slack).sum(1) for at in range(0, len(audited), rows)])
-    width = min(beam, n)
-    # Queries with more links than the beam holds are compared with all vectors, so they do not count.
-    while width < n and (asked := (truth > 0) & (truth < width)).any():
-        near = g.search(q[audited[asked]], width)[1]
-        if (near >= slack).sum() >= recall * truth[asked].sum():
-            break
+def thinned(vectors: np.ndarray, cosine: float) -> np.ndarray:
+    """Positions of vectors in their order, without those that are as near as ``cosine`` to one that stays."""
+    v = unit(vectors)
+    stays = np.ones(len(v), bool)
+    for k in range(len(v)):
+        if stays[k]:
+            stays[k + 1 :] &= v[k + 1 :] @ v[k] < cosine
+    return np.flatnonzero(stays)
+
+
+def walked(g: Graph, q: np.ndarray, width: int) -> np.ndarray:
+    """Nodes at which unit vectors end, nearest first (-1: none)."""
+    return np.concatenate([g.search(q[at : at + AT_ONCE], width)[0] for at in range(0, len(q), AT_ONCE)])
+
+
+def breadth(g: Graph, sample: np.ndarray, threshold: float, recall: float) -> tuple[int, int]:
+    """Width of the beam, and number of nodes to hang below so that partners of ``sample`` at the threshold meet; 0: too many."""
+    n, count = len(g.unit), len(sample)
+    if count < 64:  # too few to judge by
+        return n, n
+    x, rng = unit(sample), np.random.default_rng(count)
+    to = np.where((np.arange(count) % 2 == 0)[:, None], rng.standard_normal(x.shape), np.roll(x, 1, 0))
+    to -= np.einsum("ij,ij->i", to, x)[:, None] * x
+    to /= np.maximum(np.linalg.norm(to, axis=1, keepdims=True), 1e-9)
+    partners = unit(threshold * x + np.sqrt(max(0, 1 - threshold**2)) * to)
+    width = min(BEAM, n)
+    while True:
+        meet = np.zeros(count, int)
+        for at in range(0, count, AT_ONCE):
+            a, b = (g.search(q[at : at + AT_ONCE], width)[0] for q in (x, partners))
+            place = np.full((len(b), n + 1), n, np.int32)  # the last column is that of no node
+            place[np.arange(len(b))[:, None], b] = np.arange(width)
+            place[:, n] = n
+            meet[at : at + AT_ONCE] = np.maximum(np.take_along_axis(place, a % (n + 1), 1), np.arange(width)).min(1)
+        below = int(np.sort(meet)[int(np.ceil(recall * count)) - 1]) + 2
+        if below <= width or width == n:
+            return width, min(below, n) if below**2 <= 2 * n else 0
+        if width**2 > 2 * n:
+            return width, 0
         width = min(2 * width, n)
 
-    for at in range(0, len(q), step := max(8, min((1 << 24) // n, 512))):
-        part = np.arange(at, min(at + step, len(q)))
-        ids, near = g.search(q[part], width)
-        hit = near >= slack
-        full = hit.all(1) & (width < n)
-        a, b = np.nonzero(hit & ~full[:, None])
-        who, hits, value = part[a], ids[a, b].astype(np.int64), near[a, b]
-        if len(g.stray):
-            own = part[~full]
-            met = q[own] @ g.unit[g.stray].T
-            a, b = np.nonzero(met >= slack)
-            who, hits, value = np.append(who, own[a]), np.append(hits, g.stray[b]), np.append(value, met[a, b])
-            first = np.unique(who * n + hits, return_index=True)[1]
-            who, hits, value = who[first], hits[first], value[first]
-        yield checked(who, hits, value)
-        crowded = part[full]
-        for start in range(0, len(crowded), rows):
-            own = crowded[start : start + rows]
-            near = q[own] @ g.unit.T
-            a, b = np.nonzero(near >= slack)
-            yield checked(own[a], b, near[a, b])
 
+def near_pairs(vectors: np.ndarray, nodes: np.ndarray, node: int, threshold: float, left: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs that reach the threshold and have ``node`` as their first common one, in blocks.
+
+    ``nodes`` are those of each vector in ascending order; vectors are sorted by their first one. With ``left``, so many vectors
+    are compared with the rest (both parts sorted), else all with each other; every pair comes once.
+    """
+    v, n, first = unit(vectors), len(vectors), nodes[:, 0]
+    margin = max(1e-5, (vectors.shape[1] + 4) * 2.0**-23)  # more than the error of a product of unit vectors of floats
+    slack, sure = threshold - margin, threshold + margin
+    before, other = np.where(nodes < node, nodes, -1), np.where(nodes < node, nodes, -2)
+    start = 0 if left is None else left
+    rows = max(1, min(ROWS, CELLS // max(1, n - start)))
+    for at in range(0, n if left is None else left, rows):
+        end = min(at + rows, n if left is None else left)
+        begin = at if left is None else left
+        parts = [(begin, n)]
+        if first[at] == first[end - 1] != node:  # these have met the others of that first node there
+            parts = [(begin, begin + np.searchsorted(first[begin:], first[at])), (begin + np.searchsorted(first[begin:], first[at], "right"), n)]
+        for low, high in parts:
+            near = (v[at:end] @ v[low:high].T).ravel()
+            hits = np.flatnonzero(near >= slack)
+            if not len(hits):
+                continue
+            a, b = np.divmod(hits, high - low)
+            a, b, near = a + at, b + low, near[hits]
+            good = (a < b) & ((first[a] == node) | (first[b] == node))
+            unsure = np.flatnonzero((a < b) & ~good)
+            for k in range(0, len(unsure), 1 << 15):
+                part = unsure[k : k + (1 << 15)]
+                good[part] = ~(before[a[part]][:, :, None] == other[b[part]][:, None, :]).any((1, 2))
+            close = np.flatnonzero(good & (near < sure))
+            for k in range(0, len(close), 1 << 15):
+                part = close[k : k + (1 << 15)]
+                good[part] = cosines(vectors[a[part]], vectors[b[part]]) >= threshold
+            yield a[good], b[good]
 
-class Forest:
-    """Spanning forest of links that come in blocks."""
 
-    def __init__(self) -> None:
-        self.root = np.zeros(0, np.int64)
-        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
+class Forest:
+    """Spanning forest of links between ``n`` vertices that come in blocks."""
 
-    def grow(self, n: int) -> int:
-        """Room for ``n`` more vertices; the number of the first."""
-        first = len(self.root)
-        self.root = np.append(self.root, np.arange(first, first + n))
-        return first
+    def __init__(self, n: int) -> None:
+        self.root = np.arange(n)
 
     def add(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Positions of the links that join trees. Roots are the smallest vertices of their trees."""
@@ -286,35 +320,28 @@ class Forest:
                 self.root = up
 
 
-def _numbers(vectors: pd.Series) -> np.ndarray:
-    return np.stack(list(vectors))
-
-
-def _write(folder: str, name: str, parts: dict[str, np.ndarray], g: Graph) -> None:
+def _write(folder: str, name: str, g: Graph) -> None:
     where, path = filesystem(folder)
     where.create_dir(path, recursive=True)
-    out = io.BytesIO()
-    np.savez(out, **parts)
     with where.open_output_stream(f"{path}/{name}") as f:
-        f.write(len(out.getbuffer()).to_bytes(8, "little"))
-        f.write(out.getbuffer())
         f.write(g.to_bytes())
 
 
-def _read(folder: str, name: str) -> tuple[dict[str, np.ndarray], Graph]:
+def _read(folder: str, name: str) -> Graph:
     where, path = filesystem(folder)
     with where.open_input_file(f"{path}/{name}") as f:
-        held = np.load(io.BytesIO(f.read(int.from_bytes(f.read(8), "little"))))
-        return {k: held[k] for k in held.files}, Graph.from_bytes(f.read())
+        return Graph.from_bytes(f.read())
 
 
-def _result(ids: np.ndarray, links: np.ndarray, edges: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
-    """One row for each vector with links, and one for each edge."""
-    some = np.flatnonzero(links)
-    a, b = (np.concatenate([np.zeros(0, np.int64), *side]) for side in (zip(*edges, strict=True) if edges else ((), ())))
-    other = pd.array(np.append(np.zeros(len(some), np.int64), b), "Int64")
-    other[: len(some)] = pd.NA
-    return pd.DataFrame({"id": np.append(ids[some], a), "links": np.append(links[some], np.zeros(len(a), np.int64)), "other": other})
+def _packed(rows: np.ndarray) -> pa.Array:
+    """Bytes of each row of numbers."""
+    wide = rows.shape[1] * rows.itemsize
+    offsets = np.arange(0, len(rows) * wide + 1, wide).astype(np.int32) if len(rows) else np.zeros(1, np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _numbers(packed: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(packed.to_pylist()), kind).reshape(len(packed), -1)
 
 
 def usable(embedding: str = "embedding"):
@@ -323,88 +350,129 @@ def usable(embedding: str = "embedding"):
     return F.col(embedding).isNotNull() & fine & F.exists(embedding, lambda x: x != 0)
 
 
+def grown(distinct: DataFrame, threshold: float, recall: float, shards: int, folder: str) -> dict[int, tuple[str, int, int, int]]:
+    """Graphs over samples of ``distinct``: for each length of vectors file, nodes, width of the beam, nodes to hang below."""
+    counts = {r["dims"]: r["count"] for r in distinct.groupBy("dims").count().collect()}
+    if not counts:
+        return {}
+    nodes = {d: min(max(n // BELOW, shards), NODES, n) for d, n in counts.items()}
+    limit = F.create_map(*(F.lit(x) for d, n in counts.items() for x in (d, min(1.0, 1.1 * (nodes[d] + AUDITED) / n))))
+    sample = distinct.select("dims", "embedding", "id", (F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1 << 30)) / (1 << 30)).alias("at")).where(F.col("at") < limit[F.col("dims")])
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, dims = pdf.sort_values(["at", "id"], kind="stable"), int(pdf["dims"].iloc[0])
+        vectors = np.stack(list(pdf["embedding"]))
+        top = vectors[: nodes[dims]]
+        g = Graph.build(top[thinned(top, 2 * threshold - 1)])
+        width, below = breadth(g, vectors[len(top) :][:AUDITED], threshold, recall)
+        if not below:  # it takes less to compare all vectors
+            g, width, below = Graph.build(top[:1]), 1, 1
+        name = f"graph-{dims}-{TaskContext.get().taskAttemptId()}.bin"
+        _write(folder, name, g)
+        return pd.DataFrame({"dims": [dims], "file": [name], "nodes": [len(g.unit)], "width": [width], "below": [below]})
+
+    built = sample.groupBy("dims").applyInPandas(build, "dims int, file string, nodes int, width int, below int")
+    return {r["dims"]: (r["file"], r["nodes"], r["width"], r["below"]) for r in stored(built, "graph_files").collect()}
+
+
 def linked(distinct: DataFrame, threshold: float, recall: float, shards: int, most: int) -> DataFrame:
     """Links of ``distinct`` (``id, embedding, copies``) as rows ``id, links, other``.
 
     ``links`` are to be summed over the rows of an id (copies of other ids); rows that have ``other`` are edges of a forest.
     """
-    folder = scratch_path(distinct.sparkSession, "graphs")
-    count = distinct.count()
-    shards = max(shards, -(-count // most))
-    parts, blocks = max(1, -(-count // 4096)), -(-shards // VISITS)
-    spread = distinct.withColumn("dims", F.size("embedding")).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+    spark, folder = distinct.sparkSession, scratch_path(distinct.sparkSession, "graphs")
+    kind = np.float64 if distinct.schema["embedding"].dataType.elementType.typeName() == "double" else np.float32
+    graphs = grown(distinct.withColumn("dims", F.size("embedding")), threshold, recall, shards, folder)
+    if not graphs:
+        return spark.createDataFrame([], "id long, links long, other long")
+    offset = dict(zip(graphs, np.cumsum([0, *(x[1] for x in graphs.values())]).tolist()))  # nodes are numbered over all graphs
+    none, most_nodes = np.iinfo(np.int32).max, max(x[3] for x in graphs.values())
+
+    def hang(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {}
+        for batch in batches:
+            lengths = pc.list_value_length(batch["embedding"]).to_numpy()
+            for dims in np.unique(lengths).tolist():
+                part = batch.filter(pa.array(lengths == dims))
+                file, _, width, below = graphs[dims]
+                if dims not in held:
+                    held = {dims: _read(folder, file)}
+                vectors = part["embedding"].flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dims)
+                at = walked(held[dims], unit(vectors), width)[:, :below]
+                sizes = (at >= 0).sum(1)
+                ends = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+                nodes = pa.ListArray.from_arrays(ends, pa.array((at[at >= 0] + offset[dims]).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part["id"], part["copies"], _packed(vectors), nodes], ["id", "copies", "vector", "nodes"])
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        dims, shard, ids, copies = int(pdf["dims"].iloc[0]), int(pdf["shard"].iloc[0]), pdf["id"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64)
-        vectors = _numbers(pdf["embedding"])
-        del pdf
-        g, n = Graph.build(vectors), len(ids)
-        missed = []
-        for at in range(0, n, 512):
-            found, near = g.search(g.unit[at : at + 512], min(BEAM, n))
-            own = np.arange(at, at + len(found))
-            missed.append(own[~(found == own[:, None]).any(1) & ~(near >= threshold).all(1)])
-        g.stray = np.concatenate(missed).astype(np.int32)
-        links, forest, edges = np.zeros(n, np.int64), Forest(), []
-        forest.grow(n)
-        for who, hits in found_near(g, vectors, threshold, recall):
-            other = ids[who] != ids[hits]
-            who, hits = who[other], hits[other]
-            links += np.bincount(who, copies[hits], n).astype(np.int64)
-            used = forest.add(who, hits)
-            edges.append((ids[who[used]], ids[hits[used]]))
-        name = f"graph-{dims}-{shard}-{TaskContext.get().taskAttemptId()}.bin"
-        _write(folder, name, {"ids": ids, "copies": copies, "tree": forest.root}, g)
-        out = pd.concat([pd.DataFrame({"file": [name]}), _result(ids, links, edges)])
-        return out.assign(dims=dims, shard=shard)[["dims", "shard", "file", "id", "links", "other"]]
-
-    built = spread.groupBy("dims", "shard").applyInPandas(build, "dims int, shard long, file string, id long, links long, other long")
-    built = stored(built, "graph_files")
-    files = built.where("file is not null").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    files = files.select("dims", F.floor(F.col("shard") / VISITS).alias("block"), "part", "shard", "file")
-
-    def search(pdf: pd.DataFrame, visited: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf) or not len(visited):
-            return pd.DataFrame({"id": [], "links": [], "other": []})
-        ids, home, vectors = pdf["id"].to_numpy(np.int64), pdf["shard"].to_numpy(), _numbers(pdf["embedding"])
-        links, forest, edges = np.zeros(len(ids), np.int64), Forest(), []
-        forest.grow(len(ids))
-        for shard, name in sorted(zip(visited["shard"], visited["file"], strict=True)):
-            away = np.flatnonzero(home != shard)
-            if not len(away):
-                continue
-            held, g = _read(folder, name)
-            first = forest.grow(len(g.unit))
-            for who, hits in found_near(g, vectors[away], threshold, recall):
-                who = away[who]
-                other = ids[who] != held["ids"][hits]
-                who, hits = who[other], hits[other]
-                links += np.bincount(who, held["copies"][hits], len(ids)).astype(np.int64)
-                used = forest.add(who, first + held["tree"][hits])
-                edges.append((ids[who[used]], held["ids"][hits[used]]))
-        return _result(ids, links, edges)
-
-    asked = spread.withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    keys = ["dims", "block", "part"]
-    asked = asked.select(*keys, "shard", "id", "embedding").groupBy(*keys)
-    across = asked.cogroup(files.groupBy(*keys)).applyInPandas(search, "id long, links long, other long")
-    return built.where("file is null").select("id", "links", "other").union(across)
-
-
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.99, shards: int = 8, most: int = 100_000) -> DataFrame:
+    count = distinct.count()
+    spread = distinct.select("id", "copies", "embedding").repartition(-(-count // 4096), "id")
+    hung = stored(spread.mapInArrow(hang, "id long, copies long, vector binary, nodes array<int>"), "hung")
+
+    # The fullest nodes come first; a node's vectors are dealt out in blocks.
+    full = sorted(((r["count"], r["node"]) for r in hung.select(F.explode("nodes").alias("node")).groupBy("node").count().collect()), key=lambda x: (-x[0], x[1]))
+    number = np.full(sum(x[1] for x in graphs.values()), none, np.int32)
+    number[[x[1] for x in full]] = np.arange(len(full))
+    blocks = np.array([max(min(-(-n // most), BLOCKS), -(-n // LARGE)) for n, _ in full])
+    rows = int(sum(n * k for (n, _), k in zip(full, blocks.tolist(), strict=True)))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes = batch["id"].to_numpy(), pc.list_value_length(batch["nodes"]).to_numpy()
+            owner = np.repeat(np.arange(len(ids)), sizes)
+            node = number[batch["nodes"].flatten().to_numpy()]
+            own = np.full((len(ids), most_nodes), none, np.int32)
+            own[np.arange(own.shape[1]) < sizes[:, None]] = node
+            own = np.sort(own, 1)
+            sorted_nodes = _packed(own)
+            k = blocks[node]
+            mixed = (ids[owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+            mine = (mixed % k.astype(np.uint64)).astype(np.int64)
+            at = np.repeat(np.arange(len(owner)), k)
+            theirs = np.arange(len(at)) - np.repeat(np.cumsum(k) - k, k)
+            for begin in range(0, len(at), 1 << 14):
+                part, with_ = at[begin : begin + (1 << 14)], theirs[begin : begin + (1 << 14)]
+                a, b, who = np.minimum(mine[part], with_), np.maximum(mine[part], with_), pa.array(owner[part])
+                columns = [pa.array(node[part]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(mine[part] != a)]
+                columns += [batch["id"].take(who), batch["copies"].take(who), batch["vector"].take(who), sorted_nodes.take(who)]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "a", "b", "right", "id", "copies", "vector", "nodes"])
+
+    def compare(t: pa.Table) -> pa.Table:
+        node, whole = t["node"][0].as_py(), t["a"][0].as_py() == t["b"][0].as_py()
+        nodes, right = _numbers(t["nodes"], np.int32), t["right"].to_numpy()
+        order = np.lexsort((t["id"].to_numpy(), nodes[:, 0], right))
+        ids, copies, nodes = t["id"].to_numpy()[order], t["copies"].to_numpy()[order], nodes[order]
+        vectors, n = _numbers(t["vector"], kind)[order], len(order)
+        links, forest, edges = np.zeros(n, np.int64), Forest(n), [np.zeros((2, 0), np.int64)]
+        for a, b in near_pairs(vectors, nodes, node, threshold, None if whole else int((~right).sum())):
+            different = ids[a] != ids[b]
+            a, b = a[different], b[different]
+            links += (np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)).astype(np.int64)
+            used = forest.add(a, b)
+            edges.append(np.stack([ids[a[used]], ids[b[used]]]))
+        some, (u, v) = np.flatnonzero(links), np.concatenate(edges, 1)
+        other = pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(v)])
+        return pa.table({"id": np.append(ids[some], u), "links": np.append(links[some], np.zeros(len(u), np.int64)), "other": other})
+
+    kinds = "node int, a int, b int, right boolean, id long, copies long, vector binary, nodes binary"
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // (1 << 15)))
+    dealt = hung.mapInArrow(deal, kinds).repartition(parts, "node", "a", "b")
+    found = dealt.groupBy("node", "a", "b").applyInArrow(compare, "id long, links long, other long")
+    return found.groupBy("id", "other").agg(F.sum("links").alias("links")).select("id", "links", "other")
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.999, shards: int = 32, most: int = 8192) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row of ``vectors`` (vec_id, embedding)."""
     wide = vectors.schema["embedding"].dataType.elementType.typeName() == "double"
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>" if wide else "array<float>").alias("embedding"))
+    rows = rows.withColumn("hash", F.xxhash64("embedding"))  # joins sort by a number instead of arrays
     valid = rows.where(usable() & F.col("vec_id").isNotNull())
-    groups = stored(valid.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "distinct_vectors")
+    groups = stored(valid.groupBy("hash", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "distinct_vectors")
     links = stored(linked(groups, threshold, recall, shards, most), "links")
     sizes = groups.groupBy("id").agg(F.sum("copies").alias("copies"))
     outside = links.groupBy("id").agg(F.sum("links").alias("outside"))
     parts = components(links.where("other is not null"), "id", "other")
     known = sizes.join(outside, "id", "left").join(parts, "id", "left").select("id", (F.coalesce("outside", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
-    owner = valid.join(groups.select("embedding", "id"), "embedding").select("vec_id", "id").join(known, "id").select("vec_id", "n_links", F.col("component").alias("component_id"))
+    owner = valid.join(groups.select("hash", "embedding", "id"), ["hash", "embedding"]).select("vec_id", "id").join(known, "id").select("vec_id", "n_links", F.col("component").alias("component_id"))
     alone = rows.where(~F.coalesce(usable() & F.col("vec_id").isNotNull(), F.lit(False)))
     out = owner.union(alone.select("vec_id", F.lit(0).cast("long"), "vec_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
