@@ -412,7 +412,7 @@ def linked(distinct: DataFrame, threshold: float, recall: float, shards: int, mo
     full = sorted(((r["count"], r["node"]) for r in hung.select(F.explode("nodes").alias("node")).groupBy("node").count().collect()), key=lambda x: (-x[0], x[1]))
     number = np.full(sum(x[1] for x in graphs.values()), none, np.int32)
     number[[x[1] for x in full]] = np.arange(len(full))
-    blocks = np.array([max(min(-(-n // most), BLOCKS), -(-n // LARGE)) for n, _ in full])
+    blocks = np.array([max(1, min(n // most, BLOCKS), -(-n // LARGE)) for n, _ in full])
     rows = int(sum(n * k for (n, _), k in zip(full, blocks.tolist(), strict=True)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
